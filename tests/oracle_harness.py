@@ -49,7 +49,7 @@ def _digest(columns, rows) -> tuple[int, str]:
 
 
 def compare(spark, name: str, sf_dir: str) -> dict:
-    from zipledger.plans.registry import REGISTRY
+    from zipledger.plans.queries import REGISTRY
     q = REGISTRY[name]
     sdf = q.run(spark, sf_dir)
     s_cols = sdf.columns
@@ -77,7 +77,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     spark = get_session("local[8]", shuffle_partitions=8)
-    from zipledger.plans.registry import REGISTRY
+    from zipledger.plans.queries import REGISTRY
     bad = 0
     for n in (names or list(REGISTRY)):
         try:

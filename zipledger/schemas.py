@@ -52,6 +52,7 @@ LISTING = StructType([
 # Rows emitted by the central-directory reader (mapInPandas).
 RAW_ENTRIES = StructType([
     StructField("archive_path", StringType(), False),
+    StructField("drive", StringType(), True),
     StructField("entry_ordinal", IntegerType(), True),
     StructField("path_in_archive", StringType(), True),
     StructField("file_size", LongType(), True),
@@ -73,6 +74,8 @@ WALK = StructType([
     StructField("file_size", LongType(), True),
     StructField("mtime", DoubleType(), True),
     StructField("depth", IntegerType(), False),
+    StructField("descend", BooleanType(), False),
+    StructField("error", StringType(), True),
 ])
 
 # Rows emitted by the extractor (mapInPandas).
