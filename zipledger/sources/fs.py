@@ -33,3 +33,12 @@ def open_binary(path: str):
 def replace_into(tmp: str, final: str) -> None:
     """Atomic publish of a finished file (same folder, so same filesystem)."""
     os.replace(tmp, final)
+
+
+def path_exists(path: str) -> bool:
+    lp = local_path(path)
+    if lp is not None:
+        return os.path.exists(lp)
+    from pyarrow import fs as pafs
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
