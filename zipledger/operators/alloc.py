@@ -28,6 +28,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from zipledger.session import materialize
 from pyspark.sql.types import (
     BooleanType, LongType, StringType, StructField, StructType,
 )
@@ -126,7 +127,7 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
     folder.
     """
     spark = plan.sparkSession
-    req = _rank_in_node(plan.select("plan_pos", F.col(base_col).alias("node"))).checkpoint(eager=True)
+    req = materialize(_rank_in_node(plan.select("plan_pos", F.col(base_col).alias("node"))), "alloc-req")
     stats = req.groupBy("node").agg(F.count(F.lit(1)).alias("r"), F.min("plan_pos").alias("first_pos"))
     if existing is None:
         existing = spark.createDataFrame([], "name string")
@@ -142,8 +143,8 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
     children = (blockers.select("parent", F.col("node").alias("child"), "k", "exists")
                 .join(counted, ["parent", "child"], "left")
                 .select("parent", "child", "k",
-                        F.when(F.col("exists"), F.lit(0)).otherwise(F.col("c")).cast("long").alias("c"))
-                .checkpoint(eager=True))
+                        F.when(F.col("exists"), F.lit(0)).otherwise(F.col("c")).cast("long").alias("c")))
+    children = materialize(children, "alloc-children")
     # start(n): exists, or taken by the parent before its own first request.
     node_ex = stats.select("node", "r").join(ex, "node", "left").select(
         "node", "r", F.coalesce("exists", F.lit(False)).alias("exists"))
@@ -154,11 +155,9 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
         starts = (node_ex.join(taken.withColumn("taken", F.lit(True)), "node", "left")
                   .select("node", "r", (F.col("exists") | F.coalesce("taken", F.lit(False))).cast("int")
                           .alias("start")))
-        scanned = (children.join(starts.withColumnRenamed("node", "parent"), "parent")
-                   .groupBy("parent").applyInPandas(_scan_children, _SCAN_OUT)
-                   .checkpoint(eager=True))
-        new_taken = (scanned.filter(F.col("reached") & ~F.col("skipped"))
-                     .select(F.col("child").alias("node")).checkpoint(eager=True))
+        scanned = materialize(children.join(starts.withColumnRenamed("node", "parent"), "parent")
+                              .groupBy("parent").applyInPandas(_scan_children, _SCAN_OUT), "alloc-scan")
+        new_taken = scanned.filter(F.col("reached") & ~F.col("skipped")).select(F.col("child").alias("node"))
         if new_taken.exceptAll(taken).isEmpty() and taken.exceptAll(new_taken).isEmpty():
             break
         taken = new_taken

@@ -19,6 +19,7 @@ from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import EXCLUDED_DIRECTORIES
 from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
+from zipledger.session import materialize
 from zipledger.sources.listing import dedupe_paths, list_all, list_takeout
 from zipledger.sources.reader import read_central_directories, split_entries
 
@@ -52,9 +53,9 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
     """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written."""
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     listing, root_errors = list_roots(spark, roots, mode, excluded)
-    listing = listing.checkpoint(eager=True)
+    listing = materialize(listing, "listing")
     # the archives are read exactly once; entries, errors and rollups reuse it
-    raw = read_central_directories(listing).checkpoint(eager=True)
+    raw = materialize(read_central_directories(listing), "raw-entries")
     entries, errors = split_entries(raw, all_files, created_at=ts)
     with_entries = entries.select("archive_path").distinct()
     archives = (listing.join(with_entries, "archive_path", "left_semi")

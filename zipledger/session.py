@@ -70,3 +70,17 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         os.makedirs(local, exist_ok=True)
         return local
     return path
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to a Parquet table in the shared folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes ``df`` exactly once (a
+    reliable checkpoint of an unpersisted plan computes it twice), which
+    matters for side-effecting steps and for expensive reads of archives.
+    """
+    import uuid as _uuid
+    spark = df.sparkSession
+    path = shared_dir(spark, "zipledger-stage") + f"/{name}-{_uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

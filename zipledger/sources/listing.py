@@ -13,8 +13,9 @@ Two listing modes, as in the reference:
 The walk is a breadth-first frontier expansion: the frontier of directories
 is a DataFrame spread over tasks, one ``mapInPandas`` step lists every frontier
 directory with ``os.scandir``, and the child directories become the next
-frontier. Each level is checkpointed to the shared checkpoint folder, so a
-lost executor recomputes one level and the plan does not grow with depth.
+frontier. Each level is written once to a staging table in the shared folder
+(:func:`zipledger.session.materialize`), so a lost executor recomputes at most
+one level and the plan does not grow with depth.
 
 For object stores, :func:`list_binaryfile` lists with Spark's ``binaryFile``
 source (path, length, modification time only; ``content`` is never selected).
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from zipledger.functions.paths import EXCLUDED_DIRECTORIES, TAKEOUT_FOLDER, basename, drive_label
 from zipledger.schemas import LISTING, WALK
-from zipledger.session import checkpoint_root
+from zipledger.session import checkpoint_root, materialize
 
 _WALK_COLS = [f.name for f in WALK.fields]
 
@@ -123,7 +124,7 @@ def walk(spark: SparkSession, roots: DataFrame, excluded: Iterable[str] = EXCLUD
     levels = []
     depth = 0
     while True:
-        level = _expand(frontier, excluded, follow_symlinks).checkpoint(eager=True)
+        level = materialize(_expand(frontier, excluded, follow_symlinks), "walk-level")
         levels.append(level)
         depth += 1
         nxt = level.filter(F.col("descend"))
@@ -149,10 +150,10 @@ def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, Data
     takeout folders that exist but cannot be listed (the drive then fails)."""
     checkpoint_root(spark)
     frontier = roots.select("root", "drive", F.col("root").alias("dir"), F.lit(0).alias("depth"))
-    top = _expand(frontier, (), True).checkpoint(eager=True)
+    top = materialize(_expand(frontier, (), True), "takeout-top")
     folders = top.filter(F.col("error").isNull() & F.col("is_dir") & (F.lower("name") == TAKEOUT_FOLDER))
     inner = _expand(folders.select("root", "drive", F.col("path").alias("dir"), "depth"), (), True)
-    inner = inner.checkpoint(eager=True)
+    inner = materialize(inner, "takeout-inner")
     files = inner.filter(F.col("error").isNull() & F.col("is_file") & F.lower("name").endswith(".zip"))
     errors = inner.filter(F.col("error").isNotNull()).select("drive", "error")
     return _to_listing(files), errors
