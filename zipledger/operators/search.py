@@ -54,8 +54,14 @@ def _limit(df: DataFrame, limit: int | None) -> DataFrame:
     return df.limit(limit) if limit and limit > 0 else df
 
 
-SIZE_DESC = [F.col("file_size").desc(), F.col("archive_path").asc(), F.col("entry_ordinal").asc()]
-NAME_ASC = [F.col("file_name").asc(), F.col("archive_path").asc(), F.col("entry_ordinal").asc()]
+def size_desc() -> list[Column]:
+    """Largest first; ties by archive path and directory position."""
+    return [F.col("file_size").desc(), F.col("archive_path").asc(), F.col("entry_ordinal").asc()]
+
+
+def name_asc() -> list[Column]:
+    """By file name (binary order); ties by archive path and directory position."""
+    return [F.col("file_name").asc(), F.col("archive_path").asc(), F.col("entry_ordinal").asc()]
 
 
 def matched(cat: Catalog, cond: Column) -> DataFrame:
@@ -71,20 +77,20 @@ def search(cat: Catalog, pattern: str | None = "", regex: bool = False, min_size
            limit: int | None = None) -> DataFrame:
     """Search entries by name, size range and extension, largest first."""
     cond = entry_filter(pattern, regex, min_size, max_size, file_types, case_sensitive, ignore_case)
-    res = matched(cat, cond).orderBy(*SIZE_DESC)
+    res = matched(cat, cond).orderBy(*size_desc())
     res = _limit(res, limit)
     return res.select("drive", "archive_name", "archive_path", "file_name", "file_size", "path_in_archive")
 
 
 def list_entries(cat: Catalog, limit: int | None = None) -> DataFrame:
     """All entries ordered by file name (binary order), optional limit."""
-    res = _limit(matched(cat, F.lit(True)).orderBy(*NAME_ASC), limit)
+    res = _limit(matched(cat, F.lit(True)).orderBy(*name_asc()), limit)
     return res.select("file_name", "archive_name", "file_size", "drive")
 
 
 def lookup_by_name(cat: Catalog, file_name: str) -> DataFrame:
     """Extraction lookup: entries whose name contains ``file_name``, largest first."""
-    res = matched(cat, like_contains("file_name", file_name)).orderBy(*SIZE_DESC)
+    res = matched(cat, like_contains("file_name", file_name)).orderBy(*size_desc())
     return res.select("archive_path", "path_in_archive", "file_name", "file_size")
 
 
@@ -92,9 +98,9 @@ def entries_by_uuid(cat: Catalog, uuid: str, file_name: str | None = None) -> Da
     """Entries of one archive; with a name filter largest first, else by name."""
     cond = F.col("archive_uuid") == F.lit(uuid)
     if file_name:
-        res = matched(cat, cond & like_contains("file_name", file_name)).orderBy(*SIZE_DESC)
+        res = matched(cat, cond & like_contains("file_name", file_name)).orderBy(*size_desc())
     else:
-        res = matched(cat, cond).orderBy(*NAME_ASC)
+        res = matched(cat, cond).orderBy(*name_asc())
     return res.select("archive_path", "path_in_archive", "file_name", "file_size", "archive_uuid")
 
 

@@ -63,7 +63,7 @@ def q_alloc_names(spark, sf_dir):
     base, cat = fixture_catalog(spark, sf_dir)
     m = S.matched(cat, like_contains("file_name", "vid-00"))
     twice = m.withColumn("pass", F.lit(0)).unionByName(m.withColumn("pass", F.lit(1)))
-    numbered = X.global_row_number(twice, [F.col("pass")] + S.SIZE_DESC, "plan_pos")
+    numbered = X.global_row_number(twice, [F.col("pass")] + S.size_desc(), "plan_pos")
     named = allocate(numbered.withColumn("base", basename("path_in_archive")))
     return named.select("pass", rel(base).alias("rel_path"), "path_in_archive", "out_name")
 
@@ -84,7 +84,7 @@ WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 def q_extract_run(spark, sf_dir):
     base, cat = fixture_catalog(spark, sf_dir)
     m = S.matched(cat, like_contains("file_name", "vid-0001"))
-    res = X.extract(m, S.SIZE_DESC, fresh_output(spark))
+    res = X.extract(m, S.size_desc(), fresh_output(spark))
     return _result_cols(base, res)
 
 
@@ -99,18 +99,19 @@ def q_extract_by_uuid(spark, sf_dir):
     base, cat = fixture_catalog(spark, sf_dir)
     uuid = archive_uuid_py(base + UUID_PATH)
     m = S.matched(cat, (F.col("archive_uuid") == uuid) & like_contains("file_name", "vid-000"))
-    chosen = S.pick(m, S.SIZE_DESC, "all", all_max=10).drop("choice")
-    res = X.extract(chosen, S.SIZE_DESC, fresh_output(spark))
+    chosen = S.pick(m, S.size_desc(), "all", all_max=10).drop("choice")
+    res = X.extract(chosen, S.size_desc(), fresh_output(spark))
     return _result_cols(base, res)
 
 
-_ALL_ORDER = [F.col("archive_name"), F.col("archive_path"), F.col("file_name"), F.col("entry_ordinal")]
+def _all_order():
+    return [F.col("archive_name"), F.col("archive_path"), F.col("file_name"), F.col("entry_ordinal")]
 
 
 def _extract_all(spark, sf_dir):
     base, cat = fixture_catalog(spark, sf_dir)
     m = S.matched(cat, F.lit(True))
-    return base, X.extract(m, _ALL_ORDER, fresh_output(spark))
+    return base, X.extract(m, _all_order(), fresh_output(spark))
 
 
 @register("extract_all", _with_v(f"SELECT {_RUN_COLS} FROM v JOIN documents d USING (doc_id)"))

@@ -260,7 +260,7 @@ FROM v WHERE {_FOLD} LIKE '%vid-00%'"""))
 def q_extract_plan(spark, sf_dir):
     base, c = fixture_catalog(spark, sf_dir)
     m = S.matched(c, S.name_predicate("vid-00"))
-    p = X.plan(m, S.SIZE_DESC, shared_dir(spark, "zipledger-extract", "preview"))
+    p = X.plan(m, S.size_desc(), shared_dir(spark, "zipledger-extract", "preview"))
     return p.select("plan_pos", rel(base).alias("rel_path"), "path_in_archive", "out_name", "file_size")
 
 

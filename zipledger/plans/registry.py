@@ -304,7 +304,7 @@ SELECT * FROM (
   FROM ja WHERE {_like('vid-00')}) WHERE choice = 3"""))
 def q_pick_nth(spark, sf_dir):
     m = S.matched(cat(spark, sf_dir), P.like_contains("file_name", "vid-00"))
-    return S.pick(m, S.SIZE_DESC, 3).select("archive_path", "path_in_archive", "file_name", "file_size", "choice")
+    return S.pick(m, S.size_desc(), 3).select("archive_path", "path_in_archive", "file_name", "file_size", "choice")
 
 
 @register("pick_all", with_catalog(f"""
@@ -313,7 +313,7 @@ SELECT archive_path, path_in_archive, file_name, file_size,
 FROM ja WHERE {_like('vid-')}"""))
 def q_pick_all(spark, sf_dir):
     m = S.matched(cat(spark, sf_dir), P.like_contains("file_name", "vid-"))
-    return S.pick(m, S.SIZE_DESC, "all").select("archive_path", "path_in_archive", "file_name", "file_size", "choice")
+    return S.pick(m, S.size_desc(), "all").select("archive_path", "path_in_archive", "file_name", "file_size", "choice")
 
 
 @register("pick_all_by_uuid_bounded", with_catalog(f"""
@@ -325,7 +325,7 @@ SELECT archive_path, path_in_archive, file_name, file_size, choice FROM (
 def q_pick_all_by_uuid_bounded(spark, sf_dir):
     # "all" is honoured for at most 10 matches; more matches select nothing
     m = S.matched(cat(spark, sf_dir), (F.col("archive_uuid") == UUID) & P.like_contains("file_name", "vid-0"))
-    return S.pick(m, S.SIZE_DESC, "all", all_max=10).select(
+    return S.pick(m, S.size_desc(), "all", all_max=10).select(
         "archive_path", "path_in_archive", "file_name", "file_size", "choice")
 
 
@@ -404,3 +404,39 @@ SELECT CAST(coalesce(SUM(zip_count), 0) AS BIGINT) AS total_zips,
 FROM ({_ROLLUP_SQL}) x"""))
 def q_scan_totals(spark, sf_dir):
     return ST.scan_totals(ST.drive_rollup(cat(spark, sf_dir)))
+
+
+# ---- A-23: merge of catalogues ------------------------------------------------------------
+@register("merge_catalogs", with_catalog("""
+SELECT a.archive_path, CASE WHEN a.drive IN ('C:', 'D:') THEN 0 ELSE 1 END AS source_ord,
+       (SELECT COUNT(*) FROM ent e WHERE e.archive_uuid = a.archive_uuid) AS file_count
+FROM arch a"""))
+def q_merge_catalogs(spark, sf_dir):
+    # three overlapping sources (drives C+D, D+E, all); the first source having a path wins
+    from zipledger.operators.merge import merge
+    from zipledger.sources.catalog import Catalog
+    c = cat(spark, sf_dir)
+
+    def source(cond, seq):
+        a = c.archives.filter(cond).withColumn("scan_seq", F.lit(seq).cast("long"))
+        return Catalog(a, c.entries.join(a.select("archive_uuid"), "archive_uuid", "left_semi"))
+
+    m = merge([source(F.col("drive").isin("C:", "D:"), 0), source(F.col("drive").isin("D:", "E:"), 1),
+               source(F.lit(True), 2)])
+    counts = m.entries.groupBy("archive_uuid").agg(F.count(F.lit(1)).alias("file_count"))
+    return (m.archives.join(counts, "archive_uuid", "left")
+            .select("archive_path", "source_ord", F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count")))
+
+
+@register("report_choices", with_catalog(f"""
+SELECT row_number() OVER (ORDER BY file_size DESC, archive_path, entry_ordinal) AS choice,
+       substr(file_name, 1, 49) AS name_short, round(file_size / 1048576.0, 1) AS size_mb,
+       substr(archive_name, 1, 29) AS archive_short
+FROM ja WHERE {_like('vid-000')}"""))
+def q_report_choices(spark, sf_dir):
+    # numbered extraction choices: number, name[:49], MB, archive[:29]
+    m = S.matched(cat(spark, sf_dir), P.like_contains("file_name", "vid-000"))
+    n = S.number_choices(m, S.size_desc())
+    return n.select("choice", T.clip("file_name", 49).alias("name_short"),
+                    F.round(T.size_mb("file_size"), 1).alias("size_mb"),
+                    T.clip("archive_name", 29).alias("archive_short"))
