@@ -18,7 +18,7 @@ from zipledger.functions.ids import archive_uuid_py
 from zipledger.operators import search as S
 from zipledger.operators import stats as ST
 from zipledger.plans.oracle_sql import ext_of, fold, with_catalog
-from zipledger.sources.derived import derived_catalog
+from zipledger.sources.derived import stored_derived_catalog
 
 
 @dataclass
@@ -39,7 +39,8 @@ def register(name: str, sql: str | None = None):
 
 
 def cat(spark: SparkSession, sf_dir: str):
-    return derived_catalog(spark, sf_dir)
+    """The catalogue derived from ``documents``, registered once and read."""
+    return stored_derived_catalog(spark, sf_dir)
 
 
 # ---- fixed query parameters --------------------------------------------------
