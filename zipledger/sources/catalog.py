@@ -30,15 +30,18 @@ class Catalog:
 
         An archive path registered by several scans is resolved to one scan:
         the first (lowest ``scan_seq``), or the latest when ``refresh``.
-        The choice is a map-side-combined aggregation (``min_by``/``max_by``),
-        so a path registered many times never gathers in one task.
+        The choice is a map-side-combined ``min``/``max`` aggregation over the
+        ``(scan_seq, scan_id)`` key, so a path registered many times never
+        gathers in one task.
         """
         arch = spark.read.parquet(f"{path}/archives")
         ent = spark.read.parquet(f"{path}/entries")
-        pick = F.max_by if refresh else F.min_by
-        key = F.struct("scan_seq", "scan_id")
-        chosen = (arch.groupBy("archive_path")
-                  .agg(pick(F.struct(*[c for c in arch.columns if c != "archive_path"]), key).alias("a"))
-                  .select("archive_path", "a.*"))
+        pick = F.max if refresh else F.min
+        # the winning registration per path; only its key travels through the
+        # aggregation, so scans of `archives` keep their column pruning
+        winner = (arch.groupBy("archive_path")
+                  .agg(pick(F.struct("scan_seq", "scan_id")).alias("w"))
+                  .select("archive_path", F.col("w.scan_seq").alias("scan_seq"), F.col("w.scan_id").alias("scan_id")))
+        chosen = arch.join(winner, ["archive_path", "scan_seq", "scan_id"], "left_semi")
         visible = ent.join(chosen.select("archive_uuid", "scan_id"), ["archive_uuid", "scan_id"], "left_semi")
         return Catalog(chosen, visible)
