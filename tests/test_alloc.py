@@ -31,3 +31,9 @@ def test_many_copies_of_one_name(spark):
        st.lists(st.sampled_from(NAMES), max_size=5))
 def test_random_plans(spark, bases, existing):
     assert run(spark, bases, existing) == replay(bases, existing)
+
+
+def test_copies_without_child_names(spark):
+    # fast path: no requested or existing name is a child of another
+    bases = ["a.mp4"] * 5 + ["b.txt", "a.mp4", "c"]
+    assert run(spark, bases, ["a.mp4", "c"]) == replay(bases, ["a.mp4", "c"])

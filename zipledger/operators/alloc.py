@@ -136,7 +136,15 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
     blockers = (stats.select("node", "first_pos").join(ex, "node", "full")
                 .withColumn("exists", F.coalesce("exists", F.lit(False))))
     blockers = with_name_parts(blockers, "node").filter(F.col("parent").isNotNull())
-    blockers = blockers.join(stats.select(F.col("node").alias("parent")), "parent", "left_semi")
+    blockers = materialize(blockers.join(stats.select(F.col("node").alias("parent")), "parent", "left_semi"),
+                           "alloc-blockers")
+    node_ex = stats.select("node", "r").join(ex, "node", "left").select(
+        "node", "r", F.coalesce("exists", F.lit(False)).alias("exists"))
+    if blockers.isEmpty():
+        # no requested or existing name is a candidate of another requested
+        # name: the i-th copy of a name gets index i-1 (i if it exists)
+        starts = node_ex.select("node", "r", F.col("exists").cast("int").alias("start"))
+        return _assign(plan, req, starts, None)
     markers = blockers.filter(~F.col("exists")).select("parent", F.col("node").alias("child"),
                                                        F.col("first_pos").alias("pos"))
     counted = _count_before(req, markers)
@@ -146,8 +154,6 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
                         F.when(F.col("exists"), F.lit(0)).otherwise(F.col("c")).cast("long").alias("c")))
     children = materialize(children, "alloc-children")
     # start(n): exists, or taken by the parent before its own first request.
-    node_ex = stats.select("node", "r").join(ex, "node", "left").select(
-        "node", "r", F.coalesce("exists", F.lit(False)).alias("exists"))
     # Iterate to the fixed point: nodes whose parent has no requests are right
     # after one round, their children after two, ... (depth of `_k` nesting).
     taken = spark.createDataFrame([], "node string")
@@ -163,7 +169,13 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
         taken = new_taken
     skips = (scanned.filter(F.col("skipped")).groupBy(F.col("parent").alias("node"))
              .agg(F.collect_list("j").alias("skip_js")))
-    info = starts.join(skips, "node", "left")
+    return _assign(plan, req, starts, skips)
+
+
+def _assign(plan: DataFrame, req: DataFrame, starts: DataFrame, skips: DataFrame | None) -> DataFrame:
+    """Index of each request = start + rank - 1 + skipped children reached so far."""
+    info = starts.join(skips, "node", "left") if skips is not None else \
+        starts.withColumn("skip_js", F.lit(None).cast("array<bigint>"))
     names = with_name_parts(req.select("plan_pos", "node", "j"), "node")
     out = (names.join(info, "node")
            .withColumn("idx", F.col("start") + F.col("j") - 1

@@ -53,7 +53,6 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
     """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written."""
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     listing, root_errors = list_roots(spark, roots, mode, excluded)
-    listing = materialize(listing, "listing")
     # the archives are read exactly once; entries, errors and rollups reuse it
     raw = materialize(read_central_directories(listing), "raw-entries")
     entries, errors = split_entries(raw, all_files, created_at=ts)

@@ -53,55 +53,85 @@ def filter_roots(roots: DataFrame, excluded: DataFrame | None) -> DataFrame:
     return roots.join(excluded.select("root").distinct(), "root", "left_anti")
 
 
+def _list_dir(root, drive, d, depth, excl, follow_symlinks):
+    """WALK tuples for the children of directory ``d`` (one error tuple if unreadable)."""
+    try:
+        it = os.scandir(d)
+    except OSError as e:
+        yield (root, drive, d, "", d, False, False, None, None, int(depth), False, f"{type(e).__name__}: {e}")
+        return
+    with it:
+        while True:
+            try:
+                ent = next(it)
+            except (StopIteration, OSError):
+                break
+            try:
+                is_dir = ent.is_dir()
+            except OSError:
+                is_dir = False
+            try:
+                is_link = ent.is_symlink()
+            except OSError:
+                is_link = False
+            try:
+                is_file = ent.is_file()
+            except OSError:
+                is_file = False
+            descend = is_dir and (follow_symlinks or not is_link) and ent.name not in excl
+            size = mtime = None
+            if not is_dir:
+                try:
+                    st = os.stat(ent.path)
+                    size, mtime = int(st.st_size), float(st.st_mtime)
+                except OSError:
+                    size, mtime = 0, None
+            yield (root, drive, d, ent.name, ent.path, is_dir, is_file, size, mtime, int(depth) + 1, descend, None)
+
+
+def _batched(rows, n=10000):
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) >= n:
+            yield pd.DataFrame(out, columns=_WALK_COLS)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=_WALK_COLS)
+
+
 def _scan_dirs(excluded: tuple[str, ...], follow_symlinks: bool):
     excl = set(excluded)
 
-    def run(batches):
+    def rows(batches):
         for pdf in batches:
-            out = []
             for root, drive, d, depth in zip(pdf["root"], pdf["drive"], pdf["dir"], pdf["depth"]):
+                yield from _list_dir(root, drive, d, depth, excl, follow_symlinks)
+
+    return lambda batches: _batched(rows(batches))
+
+
+def _scan_takeout():
+    """Per root: its ``googletakeout`` folders (any case) and their direct children.
+    An unreadable root is skipped; an unreadable takeout folder yields an error row."""
+    def rows(batches):
+        for pdf in batches:
+            for root, drive in zip(pdf["root"], pdf["drive"]):
                 try:
-                    it = os.scandir(d)
-                except OSError as e:
-                    out.append((root, drive, d, "", d, False, False, None, None, int(depth), False,
-                                f"{type(e).__name__}: {e}"))
-                    continue
-                with it:
-                    while True:
-                        try:
-                            ent = next(it)
-                        except StopIteration:
-                            break
-                        except OSError:
-                            break
-                        try:
-                            is_dir = ent.is_dir()
-                        except OSError:
-                            is_dir = False
-                        try:
-                            is_link = ent.is_symlink()
-                        except OSError:
-                            is_link = False
-                        try:
-                            is_file = ent.is_file()
-                        except OSError:
-                            is_file = False
-                        descend = is_dir and (follow_symlinks or not is_link) and ent.name not in excl
-                        size = mtime = None
-                        if not is_dir:
+                    with os.scandir(root) as it:
+                        folders = []
+                        for ent in it:
                             try:
-                                st = os.stat(ent.path)
-                                size, mtime = int(st.st_size), float(st.st_mtime)
+                                if ent.name.lower() == TAKEOUT_FOLDER and ent.is_dir():
+                                    folders.append(ent.path)
                             except OSError:
-                                size, mtime = 0, None
-                        out.append((root, drive, d, ent.name, ent.path, is_dir, is_file, size, mtime,
-                                    int(depth) + 1, descend, None))
-                        if len(out) >= 10000:
-                            yield pd.DataFrame(out, columns=_WALK_COLS)
-                            out = []
-            if out:
-                yield pd.DataFrame(out, columns=_WALK_COLS)
-    return run
+                                pass
+                except OSError:
+                    continue
+                for folder in folders:
+                    yield from _list_dir(root, drive, folder, 1, (), True)
+
+    return lambda batches: _batched(rows(batches))
 
 
 def _expand(frontier: DataFrame, excluded, follow_symlinks: bool) -> DataFrame:
@@ -149,11 +179,9 @@ def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, Data
     """Takeout mode: ``(listing, errors)``; ``errors`` has ``(drive, error)`` for
     takeout folders that exist but cannot be listed (the drive then fails)."""
     checkpoint_root(spark)
-    frontier = roots.select("root", "drive", F.col("root").alias("dir"), F.lit(0).alias("depth"))
-    top = materialize(_expand(frontier, (), True), "takeout-top")
-    folders = top.filter(F.col("error").isNull() & F.col("is_dir") & (F.lower("name") == TAKEOUT_FOLDER))
-    inner = _expand(folders.select("root", "drive", F.col("path").alias("dir"), "depth"), (), True)
-    inner = materialize(inner, "takeout-inner")
+    parts = max(spark.sparkContext.defaultParallelism, 2)
+    inner = materialize(roots.select("root", "drive").repartition(parts).mapInPandas(_scan_takeout(), WALK),
+                        "takeout")
     files = inner.filter(F.col("error").isNull() & F.col("is_file") & F.lower("name").endswith(".zip"))
     errors = inner.filter(F.col("error").isNotNull()).select("drive", "error")
     return _to_listing(files), errors
