@@ -195,3 +195,23 @@ def test_extraction_names_errors_and_bytes(spark, scratch):
                                   "file_size long, entry_ordinal int")
     res2 = X.extract(ghost, [F.col("path_in_archive")], out).collect()
     assert [(r.status, r.bytes_written) for r in res2] == [("missing", None)]
+
+
+def test_first_registration_wins_and_resolve(spark, scratch):
+    cat_path = f"{scratch}/catalog"
+    _zip(f"{scratch}/r/GoogleTakeout/a.zip", [("a.mp4", b"a"), ("b.mp4", b"bb")])
+    roots = roots_frame(spark, [f"{scratch}/r"], ["A:"])
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS, scan_seq=1)
+    scan_and_register(spark, roots, cat_path, "s2", scan_ts=TS, scan_seq=2)   # same path again
+    c = Catalog.read(spark, cat_path)
+    assert [r.scan_id for r in c.archives.collect()] == ["s1"] and c.entries.count() == 2
+    # a duplicate registration copied in by other means is resolved on request
+    c.archives.withColumn("scan_id", F.lit("s3")).withColumn("scan_seq", F.lit(0).cast("long")) \
+        .write.mode("append").partitionBy("scan_id").parquet(f"{cat_path}/archives")
+    c.entries.drop("scan_id").withColumn("scan_id", F.lit("s3")) \
+        .write.mode("append").partitionBy("scan_id").parquet(f"{cat_path}/entries")
+    assert Catalog.read(spark, cat_path).archives.count() == 2
+    r = Catalog.read(spark, cat_path, resolve=True)
+    assert [x.scan_id for x in r.archives.collect()] == ["s3"] and r.entries.count() == 2
+    r2 = Catalog.read(spark, cat_path, refresh=True)
+    assert [x.scan_id for x in r2.archives.collect()] == ["s1"]

@@ -6,7 +6,8 @@ replaces only its own ``scan_id`` partition (dynamic partition overwrite), so
 a rerun of the same scan is idempotent and other scans are untouched.
 
 Entries are written before archives: readers (:meth:`Catalog.read`) only see
-entries whose archive row exists, so a half-written scan is invisible.
+scans whose archive partition is committed, so a half-written scan is
+invisible. A path registered by an earlier scan is not registered again.
 Entries are range-partitioned on ``(archive_uuid, entry_ordinal)`` before the
 write: files come out sorted by archive, so Parquet min/max statistics prune
 uuid lookups, and an archive holding a large share of all entries is split
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS
+from zipledger.sources.fs import path_exists
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -30,14 +32,25 @@ def _write(df: DataFrame, path: str) -> None:
 
 def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id: str,
              errors: DataFrame | None = None) -> None:
-    """Write one scan. Archives without any entry are not registered."""
+    """Write one scan. Archives without any entry are not registered.
+
+    An archive path already registered by *another* scan is skipped with its
+    entries (first registration wins, as a unique path constraint would do),
+    so readers never have to resolve duplicates. A rerun of the same
+    ``scan_id`` replaces that scan's partitions and stays idempotent.
+    """
+    spark = entries.sparkSession
+    if path_exists(f"{catalog_path}/archives"):
+        taken = (spark.read.parquet(f"{catalog_path}/archives")
+                 .filter(F.col("scan_id") != scan_id).select("archive_uuid"))
+        entries = entries.join(taken, "archive_uuid", "left_anti")
     ent = entries.select(*ENTRY_COLS).withColumn("scan_id", F.lit(scan_id))
     ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
         "archive_uuid", "entry_ordinal")
     _write(ent, f"{catalog_path}/entries")
     if errors is not None:
         _write(errors.withColumn("scan_id", F.lit(scan_id)), f"{catalog_path}/scan_errors")
-    written = (entries.sparkSession.read.parquet(f"{catalog_path}/entries")
+    written = (spark.read.parquet(f"{catalog_path}/entries")
                .filter(F.col("scan_id") == scan_id).select("archive_uuid").distinct())
     arch = archives.join(written, "archive_uuid", "left_semi")
     _write(arch.select(*ARCHIVE_COLS).withColumn("scan_id", F.lit(scan_id)), f"{catalog_path}/archives")

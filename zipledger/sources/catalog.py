@@ -1,9 +1,9 @@
 """The catalogue: an ``archives`` and an ``entries`` DataFrame.
 
 On storage the catalogue is two Parquet tables partitioned by ``scan_id``
-(written by :mod:`zipledger.plans.register`). Readers see only entries whose
-archive row exists in the same scan, so a scan whose archive rows are not yet
-committed is invisible (entries are written first, archives last).
+(written by :mod:`zipledger.plans.register`). Readers see only entries of
+scans whose archive partition is committed, so a scan whose archive rows are
+not yet written is invisible (entries are written first, archives last).
 """
 
 from __future__ import annotations
@@ -25,20 +25,27 @@ class Catalog:
     entries: DataFrame
 
     @staticmethod
-    def read(spark: SparkSession, path: str, refresh: bool = False) -> "Catalog":
+    def read(spark: SparkSession, path: str, resolve: bool = False, refresh: bool = False) -> "Catalog":
         """Open a stored catalogue.
 
-        An archive path registered by several scans is resolved to one scan:
-        the first (lowest ``scan_seq``), or the latest when ``refresh``.
-        The choice is a map-side-combined ``min``/``max`` aggregation over the
-        ``(scan_seq, scan_id)`` key, so a path registered many times never
-        gathers in one task.
+        The sink registers each archive path once (first scan wins), so by
+        default a reader only applies the visibility rule: entries of scans
+        whose ``archives`` partition is committed. That is a semi-join with the
+        few distinct ``scan_id`` values (dynamic partition pruning), and both
+        scans keep their column pruning.
+
+        ``resolve`` handles catalogues assembled by other means (copied
+        partitions, concurrent writers): a path registered by several scans
+        is resolved to the first (lowest ``scan_seq``), or the latest with
+        ``refresh``, by a map-side-combined ``min``/``max`` over the
+        ``(scan_seq, scan_id)`` key, and entries follow the chosen scan.
         """
         arch = spark.read.parquet(f"{path}/archives")
         ent = spark.read.parquet(f"{path}/entries")
+        if not (resolve or refresh):
+            committed = arch.select("scan_id").distinct()
+            return Catalog(arch, ent.join(committed, "scan_id", "left_semi"))
         pick = F.max if refresh else F.min
-        # the winning registration per path; only its key travels through the
-        # aggregation, so scans of `archives` keep their column pruning
         winner = (arch.groupBy("archive_path")
                   .agg(pick(F.struct("scan_seq", "scan_id")).alias("w"))
                   .select("archive_path", F.col("w.scan_seq").alias("scan_seq"), F.col("w.scan_id").alias("scan_id")))
