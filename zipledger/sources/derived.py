@@ -63,9 +63,18 @@ def entry_rows(documents: DataFrame, with_text: bool = False) -> DataFrame:
     return df.withColumn("path_in_archive", F.concat(F.col("lang"), F.lit("/"), F.col("file_name")))
 
 
-def derived_catalog(spark: SparkSession, sf_dir: str, path_style: str = "wsl") -> Catalog:
+def derived_catalog(spark: SparkSession, sf_dir: str, path_style: str = "wsl",
+                    stage: bool = False) -> Catalog:
+    """Archives and entries derived from ``documents``.
+
+    With ``stage`` the entry rows are written once to the shared folder, so
+    the texts are read (and hashed) once for both tables.
+    """
     docs = read_documents(spark, sf_dir)
     rows = entry_rows(docs).withColumn("archive_uuid", archive_uuid("archive_path"))
+    if stage:
+        from zipledger.session import materialize
+        rows = materialize(rows, "derived-rows")
     ts = F.lit(SCAN_TS).cast("timestamp")
     entries = rows.select(
         "archive_uuid", "file_name", "file_size", "path_in_archive", "entry_ordinal", "file_hash",
@@ -104,7 +113,7 @@ def stored_derived_catalog(spark: SparkSession, sf_dir: str, rebuild: bool = Fal
     pointer = os.path.join(root, "_CURRENT")
     if rebuild or not os.path.exists(pointer):
         path = f"{root}/{_uuid.uuid4().hex}"
-        cat = derived_catalog(spark, sf_dir)
+        cat = derived_catalog(spark, sf_dir, stage=True)
         register(path, cat.archives, cat.entries, "derived")
         tmp = f"{pointer}.{_uuid.uuid4().hex}"
         with open(tmp, "w") as fh:
