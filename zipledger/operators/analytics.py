@@ -76,12 +76,15 @@ def compare(left: DataFrame, right: DataFrame, key: str = "path_in_archive") ->
 
 def categorize(spark: SparkSession, entries: DataFrame, mapping: Mapping[str, str],
                default: str = "other") -> DataFrame:
-    """Add ``category`` by extension. The mapping is a driver-side dict, so its
-    size is known before the join and broadcasting it is safe."""
-    m = spark.createDataFrame([(k.lower(), v) for k, v in mapping.items()], "extension string, category string")
+    """Add ``category`` by extension. The mapping is a driver-side dict of
+    bounded size, so it becomes a map literal inside the projection (no join,
+    no broadcast, no Python)."""
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(k.lower()), F.lit(v)]
+    lookup = F.create_map(*pairs)
     return (entries.withColumn("extension", extension("path_in_archive"))
-            .join(F.broadcast(m), "extension", "left")
-            .withColumn("category", F.coalesce("category", F.lit(default))))
+            .withColumn("category", F.coalesce(F.try_element_at(lookup, F.col("extension")), F.lit(default))))
 
 
 _CRC = StructType([
