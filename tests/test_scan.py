@@ -215,3 +215,23 @@ def test_first_registration_wins_and_resolve(spark, scratch):
     assert [x.scan_id for x in r.archives.collect()] == ["s3"] and r.entries.count() == 2
     r2 = Catalog.read(spark, cat_path, refresh=True)
     assert [x.scan_id for x in r2.archives.collect()] == ["s1"]
+
+
+def test_integrity_check_finds_corrupt_entry(spark, scratch):
+    from zipledger.operators.analytics import integrity_check
+    from zipledger.sources.reader import read_central_directories
+    good, broken = f"{scratch}/r/GoogleTakeout/good.zip", f"{scratch}/r/GoogleTakeout/broken.zip"
+    os.makedirs(os.path.dirname(good), exist_ok=True)
+    for p in (good, broken):
+        with zipfile.ZipFile(p, "w", compression=zipfile.ZIP_STORED) as zf:
+            zf.writestr("a.mp4", b"A" * 1000)
+            zf.writestr("b.mp4", b"B" * 1000)
+    with zipfile.ZipFile(broken) as zf:
+        off = zf.getinfo("b.mp4").header_offset + 30 + len("b.mp4") + 10   # inside b.mp4's data
+    with open(broken, "r+b") as fh:
+        fh.seek(off)
+        fh.write(b"X")
+    listing = spark.createDataFrame([(good, "R:"), (broken, "R:")], "archive_path string, drive string")
+    got = {r.archive_path.rsplit("/", 1)[1]: (r.status, r.checked, r.first_bad)
+           for r in integrity_check(read_central_directories(listing)).collect()}
+    assert got == {"good.zip": ("ok", 2, None), "broken.zip": ("corrupt", 2, 1)}

@@ -150,3 +150,70 @@ def integrity_check(raw: DataFrame, tasks: int | None = None) -> DataFrame:
                     F.when(F.col("r") == 2, "error").when(F.col("r") == 1, "corrupt").otherwise("ok").alias("status"),
                     F.when(F.col("r") == 2, F.lit(0)).otherwise(F.col("checked")).cast("long").alias("checked"),
                     "first_bad"))
+
+
+_TEXT = StructType([
+    StructField("archive_path", StringType(), False),
+    StructField("entry_ordinal", IntegerType(), False),
+    StructField("text", StringType(), True),
+    StructField("error", StringType(), True),
+])
+
+
+def _text_rows(encoding: str):
+    def run(batches):
+        cur, zf, fh, bad, infos = None, None, None, None, None
+        try:
+            for pdf in batches:
+                out = []
+                for apath, ordinal in zip(pdf["archive_path"], pdf["entry_ordinal"]):
+                    if apath != cur:
+                        for h in (zf, fh):
+                            if h is not None:
+                                h.close()
+                        cur, zf, fh, bad = apath, None, None, None
+                        try:
+                            fh = open_binary(apath)
+                            zf = zipfile.ZipFile(fh)
+                            infos = zf.infolist()
+                        except Exception as e:
+                            bad = f"{type(e).__name__}: {e}"
+                    if bad is not None:
+                        out.append((apath, int(ordinal), None, bad))
+                        continue
+                    try:
+                        with zf.open(infos[int(ordinal)]) as src:   # the whole entry, never a prefix
+                            out.append((apath, int(ordinal), src.read().decode(encoding, errors="replace"), None))
+                    except Exception as e:
+                        out.append((apath, int(ordinal), None, f"{type(e).__name__}: {e}"))
+                    if len(out) >= 256:
+                        yield pd.DataFrame(out, columns=[f.name for f in _TEXT.fields])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=[f.name for f in _TEXT.fields])
+        finally:
+            for h in (zf, fh):
+                if h is not None:
+                    h.close()
+    return run
+
+
+def search_text(cat: Catalog, pattern: str, extensions=(".txt",), ignore_case: bool = False,
+                encoding: str = "utf-8", tasks: int | None = None) -> DataFrame:
+    """Entries with a text extension whose whole decoded content matches ``pattern``.
+
+    Contents are read on the executors in (archive, ordinal chunk) slices and
+    handed to Spark in small batches; the regular expression runs JVM-side.
+    """
+    ent = (cat.entries.filter(extension("path_in_archive").isin([e.lower() for e in extensions]))
+           .select("archive_uuid", "path_in_archive", "entry_ordinal", "file_name", "file_size")
+           .join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid"))
+    n = tasks or max(2 * ent.sparkSession.sparkContext.defaultParallelism, 2)
+    texts = (ent.select("archive_path", "entry_ordinal")
+             .repartition(n, "archive_path", F.floor(F.col("entry_ordinal") / CHUNK))
+             .sortWithinPartitions("archive_path", "entry_ordinal")
+             .mapInPandas(_text_rows(encoding), _TEXT))
+    hit = texts.filter(F.col("text").rlike(("(?i)" if ignore_case else "") + pattern))
+    return (hit.select("archive_path", "entry_ordinal")
+            .join(ent.select("archive_path", "entry_ordinal", "path_in_archive", "file_name", "file_size"),
+                  ["archive_path", "entry_ordinal"]))

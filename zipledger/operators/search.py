@@ -88,6 +88,17 @@ def list_entries(cat: Catalog, limit: int | None = None) -> DataFrame:
     return res.select("file_name", "archive_name", "file_size", "drive")
 
 
+def list_entries_full(cat: Catalog, limit: int | None = None) -> DataFrame:
+    """``list_entries`` keeping the archive name for display."""
+    return _limit(matched(cat, F.lit(True)).orderBy(*name_asc()), limit)
+
+
+def report_list(df: DataFrame) -> DataFrame:
+    """Display columns of a listing (name[:49], archive[:29], MB, drive)."""
+    return df.select(clip("file_name", 49).alias("name_short"), clip("archive_name", 29).alias("archive_short"),
+                     F.round(size_mb("file_size"), 1).alias("size_mb"), "drive")
+
+
 def lookup_by_name(cat: Catalog, file_name: str) -> DataFrame:
     """Extraction lookup: entries whose name contains ``file_name``, largest first."""
     res = matched(cat, like_contains("file_name", file_name)).orderBy(*size_desc())

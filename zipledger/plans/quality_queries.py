@@ -288,3 +288,19 @@ def q_stream_scan(spark, sf_dir):
     q.awaitTermination()
     c = Catalog.read(spark, catalog_path)
     return list_archives(c).select("archive_name", "drive", "file_count", rel(base).alias("rel_path"))
+
+
+# ---- C-2: search inside text entries ---------------------------------------------------------
+@register("search_text", f"""
+WITH {ENT0.strip()}
+SELECT e.archive_path AS rel_path, e.lang || '/' || e.file_name AS path_in_archive, e.file_name, e.file_size
+FROM ent0 e JOIN documents d USING (doc_id)
+WHERE {ext_of("e.lang || '/' || e.file_name")} = '.txt' AND regexp_matches(d.text, '[Ll]icen[cs]e')""")
+def q_search_text(spark, sf_dir):
+    # whole texts of the .txt entries, read from the scanned archives (all files mode)
+    from zipledger.plans.scan import scan
+    base, roots = fixture(spark, sf_dir)
+    res = scan(spark, roots, mode="takeout", all_files=True, scan_ts=_dt.datetime(2024, 1, 2))
+    c = Catalog(res.archives, res.entries)
+    hits = A.search_text(c, "[Ll]icen[cs]e")
+    return hits.select(rel(base).alias("rel_path"), "path_in_archive", "file_name", "file_size")
