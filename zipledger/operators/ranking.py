@@ -2,9 +2,10 @@
 
 ``row_number() over (order by ...)`` without a partition moves every row into
 one task. ``global_row_number`` numbers rows of a total order without that:
-the range-partitioned sort keeps each partition ordered, per-partition counts
-(one row per partition, a bound known before the job) are prefix-summed and
-broadcast, and each row adds its offset inside the partition.
+the range-partitioned sort keeps each partition ordered, each row is tagged with
+its partition and position and written once, per-partition counts (one row per
+partition, a bound known before the job) are prefix-summed and broadcast, and
+each row adds its offset inside the partition.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zipledger.session import materialize
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """Append a 1-based ``name`` numbering ``df`` in ``order``.
@@ -19,9 +22,11 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_no")
     ``order`` must be a total order (end with unique columns); otherwise the
     numbering of ties is unspecified, as it is for the reference.
     """
-    tagged = (df.orderBy(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    # (partition, position) are written once, so the counts and the rows below
+    # see the same numbering whatever AQE does to either branch
+    tagged = materialize(df.orderBy(*order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
