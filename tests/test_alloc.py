@@ -3,7 +3,22 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from zipledger.operators.alloc import allocate, replay
+import os
+
+from zipledger.operators.alloc import allocate
+
+
+def replay(bases, existing=()):
+    """Brute force: extract one entry after the other, probing name, name_1, ..."""
+    taken, out = set(existing), []
+    for b in bases:
+        stem, ext = os.path.splitext(b)
+        name, i = b, 1
+        while name in taken:
+            name, i = f"{stem}_{i}{ext}", i + 1
+        taken.add(name)
+        out.append(name)
+    return out
 
 NAMES = ["a.mp4", "a_1.mp4", "a_2.mp4", "a_1_1.mp4", "a_1_2.mp4", "a", "a_1", ".a", ".a_1", "a.",
          "a_1.", "b.tar.gz", "b.tar_1.gz", "b.tar_1_1.gz", "._1.mp4", "..mp4", "a_01.mp4", "a_0.mp4"]

@@ -184,19 +184,3 @@ def _assign(plan: DataFrame, req: DataFrame, starts: DataFrame, skips: DataFrame
            .select("plan_pos", _candidate(F.col("stem"), F.col("ext"), F.col("idx"), F.col("node"))
                    .alias("out_name")))
     return plan.join(out, "plan_pos")
-
-
-def replay(bases: list[str], existing: list[str] = ()) -> list[str]:
-    """Sequential reference of the rule (used by tests as the brute-force oracle)."""
-    import os
-    taken = set(existing)
-    out = []
-    for b in bases:
-        stem, ext = os.path.splitext(b)
-        name, i = b, 1
-        while name in taken:
-            name = f"{stem}_{i}{ext}"
-            i += 1
-        taken.add(name)
-        out.append(name)
-    return out
