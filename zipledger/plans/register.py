@@ -31,16 +31,18 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id: str,
-             errors: DataFrame | None = None) -> None:
+             errors: DataFrame | None = None, check_existing: bool = True) -> None:
     """Write one scan. Archives without any entry are not registered.
 
     An archive path already registered by *another* scan is skipped with its
     entries (first registration wins, as a unique path constraint would do),
     so readers never have to resolve duplicates. A rerun of the same
     ``scan_id`` replaces that scan's partitions and stays idempotent.
+    ``check_existing=False`` is for callers that already removed registered
+    archives from their input (the scan job filters its listing).
     """
     spark = entries.sparkSession
-    if path_exists(f"{catalog_path}/archives"):
+    if check_existing and path_exists(f"{catalog_path}/archives"):
         taken = (spark.read.parquet(f"{catalog_path}/archives")
                  .filter(F.col("scan_id") != scan_id).select("archive_uuid"))
         entries = entries.join(taken, "archive_uuid", "left_anti")

@@ -20,6 +20,7 @@ from zipledger.functions.paths import EXCLUDED_DIRECTORIES
 from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
 from zipledger.session import materialize
+from zipledger.sources.fs import path_exists
 from zipledger.sources.listing import dedupe_paths, list_all, list_takeout
 from zipledger.sources.reader import read_central_directories, split_entries
 
@@ -49,10 +50,16 @@ def list_roots(spark: SparkSession, roots: DataFrame, mode: str = "takeout",
 
 def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files: bool = False,
          excluded: Iterable[str] = EXCLUDED_DIRECTORIES, scan_ts: _dt.datetime | None = None,
-         scan_seq: int = 0) -> ScanResult:
-    """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written."""
+         scan_seq: int = 0, skip: DataFrame | None = None) -> ScanResult:
+    """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written.
+
+    ``skip`` (column ``archive_path``) lists archives not to read at all,
+    e.g. those another scan already registered (resume).
+    """
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     listing, root_errors = list_roots(spark, roots, mode, excluded)
+    if skip is not None:
+        listing = listing.join(skip.select("archive_path").distinct(), "archive_path", "left_anti")
     # the archives are read exactly once; entries, errors and rollups reuse it
     raw = materialize(read_central_directories(listing), "raw-entries")
     entries, errors = split_entries(raw, all_files, created_at=ts)
@@ -81,7 +88,16 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
 
 def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str, scan_id: str,
                       **kw) -> ScanResult:
-    """Scan and write the result as partition ``scan_id`` of the catalogue."""
-    res = scan(spark, roots, **kw)
-    register(catalog_path, res.archives, res.entries, scan_id, res.errors)
+    """Scan and write the result as partition ``scan_id`` of the catalogue.
+
+    Archives another scan already registered are dropped from the listing, so
+    they are never opened again (first registration wins; a rerun of the same
+    ``scan_id`` reads its own archives again and replaces its partition).
+    """
+    registered = None
+    if path_exists(f"{catalog_path}/archives"):
+        registered = (spark.read.parquet(f"{catalog_path}/archives")
+                      .filter(F.col("scan_id") != scan_id).select("archive_path"))
+    res = scan(spark, roots, skip=registered, **kw)
+    register(catalog_path, res.archives, res.entries, scan_id, res.errors, check_existing=False)
     return res
