@@ -284,7 +284,7 @@ def q_stream_scan(spark, sf_dir):
     ckpt = shared_dir(spark, "zipledger-stream", run_id, "checkpoint")
     drive_of = lambda c: F.concat(F.upper(F.regexp_extract(c, r"/mnt/([a-z])/GoogleTakeout/", 1)), F.lit(":"))
     q = watch(spark, base + "/mnt/*/GoogleTakeout", catalog_path, ckpt, all_files=False, drive_of=drive_of,
-              max_files_per_trigger=16, scan_ts=_dt.datetime(2024, 1, 3))
+              max_files_per_trigger=32, scan_ts=_dt.datetime(2024, 1, 3))
     q.awaitTermination()
     c = Catalog.read(spark, catalog_path)
     return list_archives(c).select("archive_name", "drive", "file_count", rel(base).alias("rel_path"))

@@ -184,6 +184,7 @@ SELECT split_part(archive_path, '/', -1) AS archive_name, drive, COUNT(*) AS fil
        archive_path AS rel_path
 FROM v GROUP BY archive_path, drive""")
 def q_register(spark, sf_dir):
-    base, path, _ = _run_scan_job(spark, sf_dir)
-    cat = Catalog.read(spark, path)
+    # what the sink wrote for the fixture scan, read back through the catalogue reader
+    from zipledger.plans.extract_queries import fixture_catalog
+    base, cat = fixture_catalog(spark, sf_dir)
     return list_archives(cat).select("archive_name", "drive", "file_count", rel(base).alias("rel_path"))

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from zipledger.schemas import ARCHIVES, ENTRIES
 
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
                 "file_hash", "last_modified", "scan_date", "scan_seq"]
@@ -19,6 +22,10 @@ ENTRY_COLS = ["archive_uuid", "file_name", "file_size", "path_in_archive", "entr
               "file_hash", "created_at", "compressed_size", "entry_mtime"]
 
 
+def _with_scan_id(schema: StructType) -> StructType:
+    return StructType(list(schema.fields) + [StructField("scan_id", StringType(), True)])
+
+
 @dataclass
 class Catalog:
     archives: DataFrame
@@ -40,8 +47,8 @@ class Catalog:
         ``refresh``, by a map-side-combined ``min``/``max`` over the
         ``(scan_seq, scan_id)`` key, and entries follow the chosen scan.
         """
-        arch = spark.read.parquet(f"{path}/archives")
-        ent = spark.read.parquet(f"{path}/entries")
+        arch = spark.read.schema(_with_scan_id(ARCHIVES)).parquet(f"{path}/archives")
+        ent = spark.read.schema(_with_scan_id(ENTRIES)).parquet(f"{path}/entries")
         if not (resolve or refresh):
             committed = arch.select("scan_id").distinct()
             return Catalog(arch, ent.join(committed, "scan_id", "left_semi"))
