@@ -111,6 +111,17 @@ def q_list_takeout(spark, sf_dir):
     return listing.select(rel(base).alias("rel_path"), "archive_name", "drive")
 
 
+@register("list_archives_binaryfile",
+          f"WITH {ENT0.strip()},{_ALL_ARCHIVES} SELECT rel_path, archive_name, drive FROM all_arch")
+def q_list_archives_binaryfile(spark, sf_dir):
+    # the object-store listing path: Spark's binaryFile source over every drive folder
+    from zipledger.sources.listing import list_binaryfile
+    base, _ = fixture(spark, sf_dir)
+    drive_of = lambda c: F.concat(F.upper(F.regexp_extract(c, r"/mnt/([a-z])/", 1)), F.lit(":"))
+    listing = list_binaryfile(spark, base + "/mnt/*", base=base, drive_of=drive_of)
+    return listing.select(rel(base).alias("rel_path"), "archive_name", "drive")
+
+
 @register("archive_metadata", f"""
 WITH {ENT0.strip()},{_ALL_ARCHIVES}
 SELECT rel_path, archive_name, TRUE AS has_size, TRUE AS has_mtime FROM all_arch""")

@@ -187,21 +187,29 @@ def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, Data
     return _to_listing(files), errors
 
 
-def list_binaryfile(spark: SparkSession, root: str, drive: str | None = None,
-                    excluded: Iterable[str] = EXCLUDED_DIRECTORIES) -> DataFrame:
-    """Recursive listing through the ``binaryFile`` source (object stores)."""
+def list_binaryfile(spark: SparkSession, location: str, base: str | None = None,
+                    drive_of=None, excluded: Iterable[str] = EXCLUDED_DIRECTORIES) -> DataFrame:
+    """Recursive listing through Spark's ``binaryFile`` source (object stores).
+
+    ``location`` may be a folder or a glob; ``base`` is the part of the path
+    below which excluded directory names are pruned (default: ``location``).
+    Only ``path``, ``length`` and ``modificationTime`` are selected, so file
+    contents are never read. Unlike the walk, this source skips names that
+    start with ``_`` or ``.``.
+    """
     df = (spark.read.format("binaryFile")
           .option("recursiveFileLookup", "true")
           .option("pathGlobFilter", "*.[zZ][iI][pP]")
-          .load(root)
+          .load(location)
           .select("path", "length", "modificationTime"))
     path = F.regexp_replace("path", r"^file:", "")
-    rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
-    parts = F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
-    keep = ~F.exists(parts, lambda x: x.isin(list(excluded))) if excluded else F.lit(True)
+    prefix = (base or location).rstrip("/")
+    rel = F.substring(path, len(prefix) + 2, 1 << 30)
+    dirs = F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
+    keep = ~F.exists(dirs, lambda x: x.isin(list(excluded))) if excluded else F.lit(True)
+    drive = drive_of(path) if drive_of else drive_label(path, "posix")
     return (df.filter(keep)
-            .select(F.lit(root).alias("root"),
-                    (F.lit(drive) if drive else drive_label(F.lit(root), "posix")).alias("drive"),
+            .select(F.lit(prefix).alias("root"), drive.alias("drive"),
                     path.alias("archive_path"), basename(path).alias("archive_name"),
                     F.col("length").alias("file_size"), F.col("modificationTime").alias("last_modified")))
 
