@@ -16,7 +16,6 @@ from zipledger.operators import extract as X
 from zipledger.operators import search as S
 from zipledger.operators.merge import merge_paths
 from zipledger.operators.stats import summary
-from zipledger.plans.register import register
 from zipledger.plans.scan import list_roots, scan, scan_and_register
 from zipledger.sources.catalog import Catalog
 from zipledger.sources.listing import roots_frame

@@ -19,7 +19,6 @@ from zipledger.plans.oracle_sql import ENT0, ext_of
 from zipledger.plans.registry import VIDEO_EXT_SQL, register
 from zipledger.plans.scan import list_roots, scan, scan_and_register
 from zipledger.session import shared_dir
-from zipledger.sources.catalog import Catalog
 from zipledger.sources.derived import archive_path_col, read_documents
 from zipledger.sources.listing import filter_roots
 from zipledger.sources.packer import entry_datetime_sql, pack_documents
