@@ -130,3 +130,24 @@ def extract(matches: DataFrame, order: list[Column], output_dir: str, skip_exist
     spark = matches.sparkSession
     existing = None if skip_existing_scan else existing_names(spark, output_dir)
     return run(plan(matches, order, output_dir, existing))
+
+
+def remaining(matches: DataFrame, results: DataFrame) -> DataFrame:
+    """Matches a previous run has not extracted successfully (resume)."""
+    done = results.filter(F.col("status") == "ok").select("archive_path", "path_in_archive")
+    return matches.join(done, ["archive_path", "path_in_archive"], "left_anti")
+
+
+def validate(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """Check extracted files against expected ``file_size`` and ``file_hash``.
+
+    ``expected`` has ``archive_path, path_in_archive, file_size, file_hash``
+    (the hash may be NULL, then only the size is checked).
+    """
+    j = results.join(expected, ["archive_path", "path_in_archive"], "left")
+    verdict = (F.when(F.col("status") != "ok", F.col("status"))
+               .when(F.col("file_size").isNull(), F.lit("unknown"))
+               .when(F.col("bytes_written") != F.col("file_size"), F.lit("size_mismatch"))
+               .when(F.col("file_hash").isNotNull() & (F.col("sha256") != F.col("file_hash")), F.lit("hash_mismatch"))
+               .otherwise(F.lit("valid")))
+    return j.select("archive_path", "path_in_archive", "output_path", verdict.alias("verdict"))

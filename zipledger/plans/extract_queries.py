@@ -128,3 +128,28 @@ def q_extract_tally(spark, sf_dir):
     t = extract_tally(res)
     return t.select(F.when(F.col("archive_path").isNull(), F.lit(None))
                     .otherwise(rel(base)).alias("rel_path"), "extracted", "errors")
+
+
+@register("extract_validate", _with_v("SELECT archive_path AS rel_path, path_in_archive, 'valid' AS verdict FROM v"))
+def q_extract_validate(spark, sf_dir):
+    # every extracted file checked against the content hashes of the derived catalogue
+    from zipledger.plans.registry import cat as derived
+    base, res = _extract_all(spark, sf_dir)
+    d = derived(spark, sf_dir)
+    expected = (d.entries.join(d.archives.select("archive_uuid", "archive_path"), "archive_uuid")
+                .select(F.concat(F.lit(base), F.col("archive_path")).alias("archive_path"),
+                        "path_in_archive", "file_size", "file_hash"))
+    v = X.validate(res, expected)
+    return v.select(rel(base).alias("rel_path"), "path_in_archive", "verdict")
+
+
+@register("extract_resume", _with_v(r"""
+SELECT archive_path AS rel_path, path_in_archive FROM v
+WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vid-000%'
+  AND translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NOT LIKE '%vid-0001%'"""))
+def q_extract_resume(spark, sf_dir):
+    # a first run extracted the 'vid-0001' matches; resuming 'vid-000' leaves the rest
+    base, cat = fixture_catalog(spark, sf_dir)
+    first = X.extract(S.matched(cat, like_contains("file_name", "vid-0001")), S.size_desc(), fresh_output(spark))
+    todo = X.remaining(S.matched(cat, like_contains("file_name", "vid-000")), first)
+    return todo.select(rel(base).alias("rel_path"), "path_in_archive")
