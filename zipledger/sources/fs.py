@@ -42,3 +42,25 @@ def path_exists(path: str) -> bool:
     from pyarrow import fs as pafs
     filesystem, inner = pafs.FileSystem.from_uri(path)
     return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
+
+
+def partition_values(table_path: str, column: str) -> list[str]:
+    """Values of a Hive-style partition column, read from folder names.
+
+    A partition folder appears only when the writing job commits, so this is
+    the set of committed partitions; it is metadata (one name per partition),
+    not table data.
+    """
+    from urllib.parse import unquote
+    prefix = f"{column}="
+    lp = local_path(table_path)
+    if lp is not None:
+        if not os.path.isdir(lp):
+            return []
+        names = [e.name for e in os.scandir(lp) if e.is_dir()]
+    else:
+        from pyarrow import fs as pafs
+        filesystem, inner = pafs.FileSystem.from_uri(table_path)
+        infos = filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+        names = [i.base_name for i in infos if i.type == pafs.FileType.Directory]
+    return sorted(unquote(n[len(prefix):]) for n in names if n.startswith(prefix))
