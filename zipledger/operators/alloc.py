@@ -136,8 +136,7 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
     blockers = (stats.select("node", "first_pos").join(ex, "node", "full")
                 .withColumn("exists", F.coalesce("exists", F.lit(False))))
     blockers = with_name_parts(blockers, "node").filter(F.col("parent").isNotNull())
-    blockers = materialize(blockers.join(stats.select(F.col("node").alias("parent")), "parent", "left_semi"),
-                           "alloc-blockers")
+    blockers = blockers.join(stats.select(F.col("node").alias("parent")), "parent", "left_semi")
     node_ex = stats.select("node", "r").join(ex, "node", "left").select(
         "node", "r", F.coalesce("exists", F.lit(False)).alias("exists"))
     if blockers.isEmpty():
@@ -145,6 +144,7 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
         # name: the i-th copy of a name gets index i-1 (i if it exists)
         starts = node_ex.select("node", "r", F.col("exists").cast("int").alias("start"))
         return _assign(plan, req, starts, None)
+    blockers = materialize(blockers, "alloc-blockers")
     markers = blockers.filter(~F.col("exists")).select("parent", F.col("node").alias("child"),
                                                        F.col("first_pos").alias("pos"))
     counted = _count_before(req, markers)

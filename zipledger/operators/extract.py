@@ -41,9 +41,12 @@ _RES_COLS = [f.name for f in EXTRACT_RESULT.fields]
 def existing_names(spark, output_dir: str) -> DataFrame:
     """Names already present in ``output_dir`` (listed on an executor)."""
     from zipledger.sources.listing import walk
-    roots = spark.createDataFrame([(output_dir, None)], "root string, drive string")
     if not os.path.isdir(output_dir):
         return spark.createDataFrame([], "name string")
+    with os.scandir(output_dir) as it:          # O(1): is there anything at all?
+        if next(it, None) is None:
+            return spark.createDataFrame([], "name string")
+    roots = spark.createDataFrame([(output_dir, None)], "root string, drive string")
     return walk(spark, roots, excluded=(), max_depth=1).filter(F.col("error").isNull()).select(
         F.col("name"))
 
