@@ -262,3 +262,13 @@ def test_stream_batch_replay_is_idempotent(spark, scratch):
         write(batch, 7)
     c = Catalog.read(spark, f"{scratch}/catalog")
     assert c.archives.count() == 2 and c.entries.count() == 3
+
+
+def test_walk_follow_symlinks_option(spark, scratch):
+    from zipledger.sources.listing import list_all
+    _f10(scratch)
+    roots = roots_frame(spark, [scratch], ["R:"])
+    got = {r.archive_path for r in list_all(spark, roots, follow_symlinks=True).collect()}
+    assert f"{scratch}/link/C.ZIP" in got and f"{scratch}/sub/C.ZIP" in got
+    assert f"{scratch}/.git/g.zip" not in got            # exclusions still apply
+    assert len(list_all(spark, roots, excluded=()).collect()) == len(_walk_oracle(scratch, excluded=()))
