@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid
-from zipledger.functions.paths import EXCLUDED_DIRECTORIES
+from zipledger.functions.paths import EXCLUDED_DIRECTORIES, is_directory_entry, is_target
 from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
 from zipledger.session import materialize
@@ -60,8 +60,13 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
     listing, root_errors = list_roots(spark, roots, mode, excluded)
     if skip is not None:
         listing = listing.join(skip.select("archive_path").distinct(), "archive_path", "left_anti")
-    # the archives are read exactly once; entries, errors and rollups reuse it
-    raw = materialize(read_central_directories(listing), "raw-entries")
+    # the archives are read exactly once; entries, errors and rollups reuse it.
+    # Only target entries and error rows are kept (filtered in the same stage),
+    # so non-target entries never reach the staging table.
+    raw = read_central_directories(listing)
+    keep = F.col("error_class").isNotNull() | (
+        ~is_directory_entry("path_in_archive") & is_target("path_in_archive", all_files))
+    raw = materialize(raw.filter(keep), "raw-entries")
     entries, errors = split_entries(raw, all_files, created_at=ts)
     with_entries = entries.select("archive_path").distinct()
     archives = (listing.join(with_entries, "archive_path", "left_semi")
