@@ -272,3 +272,15 @@ def test_walk_follow_symlinks_option(spark, scratch):
     assert f"{scratch}/link/C.ZIP" in got and f"{scratch}/sub/C.ZIP" in got
     assert f"{scratch}/.git/g.zip" not in got            # exclusions still apply
     assert len(list_all(spark, roots, excluded=()).collect()) == len(_walk_oracle(scratch, excluded=()))
+
+
+def test_compression_ratio_filter(spark, scratch):
+    from zipledger.operators.analytics import filter_ratio
+    path = f"{scratch}/r/GoogleTakeout/mixed.zip"
+    os.makedirs(os.path.dirname(path))
+    with zipfile.ZipFile(path, "w") as zf:
+        zf.writestr(zipfile.ZipInfo("flat.mp4"), os.urandom(4000), compress_type=zipfile.ZIP_STORED)
+        zf.writestr(zipfile.ZipInfo("text.mp4"), b"a" * 4000, compress_type=zipfile.ZIP_DEFLATED)
+    res = scan(spark, roots_frame(spark, [f"{scratch}/r"], ["M:"]), mode="takeout", scan_ts=TS)
+    assert [r.file_name for r in filter_ratio(res.entries, 0.5).collect()] == ["text.mp4"]
+    assert res.entries.count() == 2
