@@ -26,6 +26,7 @@ from zipledger.operators import stats as ST
 from zipledger.operators.merge import merge_paths
 from zipledger.plans.register import register
 from zipledger.plans.scan import ScanResult, scan_and_register
+from zipledger.session import ship_package
 from zipledger.sources.catalog import Catalog
 from zipledger.sources.fs import partition_values, path_exists
 from zipledger.sources.listing import roots_frame
@@ -33,6 +34,7 @@ from zipledger.sources.listing import roots_frame
 
 class Ledger:
     def __init__(self, spark: SparkSession, catalog_path: str, path_style: str = "posix"):
+        ship_package(spark)
         self.spark = spark
         self.path = catalog_path.rstrip("/")
         self.path_style = path_style

@@ -38,6 +38,7 @@ def get_session(master: str | None = None, app: str = "zipledger",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -85,3 +86,33 @@ def materialize(df, name: str):
     path = shared_dir(spark, "zipledger-stage") + f"/{name}-{_uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``zipledger`` importable in executor Python workers (once per app).
+
+    The executor-side steps (reader, walker, extractor, hasher) are functions
+    of this package; Spark ships the zipped package with ``addPyFile``, the
+    standard way to distribute Python code to a cluster. The zip is built on
+    the driver and uploaded by Spark.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="zipledger-code-"), "zipledger.zip")
+    with zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
