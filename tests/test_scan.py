@@ -15,7 +15,7 @@ from zipledger.functions.paths import EXCLUDED_DIRECTORIES
 from zipledger.operators import extract as X
 from zipledger.operators import search as S
 from zipledger.operators.merge import merge_paths
-from zipledger.operators.stats import summary
+from zipledger.operators.stats import list_archives, summary
 from zipledger.plans.scan import list_roots, scan, scan_and_register
 from zipledger.sources.catalog import Catalog
 from zipledger.sources.listing import roots_frame
@@ -284,3 +284,27 @@ def test_compression_ratio_filter(spark, scratch):
     res = scan(spark, roots_frame(spark, [f"{scratch}/r"], ["M:"]), mode="takeout", scan_ts=TS)
     assert [r.file_name for r in filter_ratio(res.entries, 0.5).collect()] == ["text.mp4"]
     assert res.entries.count() == 2
+
+
+def test_nested_archives_one_level(spark, scratch):
+    import io
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("clip.mp4", b"c" * 50)
+        zf.writestr("photo.jpg", b"p")
+    outer = f"{scratch}/r/bundle.zip"
+    os.makedirs(os.path.dirname(outer))
+    with zipfile.ZipFile(outer, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("a/inner.zip", inner.getvalue())       # deflated inner archive
+        zf.writestr("b/fake.ZIP", b"not a zip")             # named .zip, not an archive
+        zf.writestr("top.mp4", b"t" * 5)
+    cat_path = f"{scratch}/catalog"
+    res = scan_and_register(spark, roots_frame(spark, [f"{scratch}/r"], ["N:"]), cat_path, "s1",
+                            mode="all", nested=True, scan_ts=TS)
+    got = sorted((r.archive_path.replace(scratch, ""), r.file_name, r.file_size) for r in res.entries.collect())
+    assert got == [("/r/bundle.zip", "top.mp4", 5), ("/r/bundle.zip!/a/inner.zip", "clip.mp4", 50)]
+    errs = [(e.archive_path.replace(scratch, ""), e.error_class) for e in res.errors.collect()]
+    assert errs == [("/r/bundle.zip!/b/fake.ZIP", "BadZipFile")]
+    c = Catalog.read(spark, cat_path)
+    names = sorted((r.archive_name, r.file_count) for r in list_archives(c).collect())
+    assert names == [("bundle.zip", 1), ("inner.zip", 1)]

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid
-from zipledger.functions.paths import EXCLUDED_DIRECTORIES, is_directory_entry, is_target
+from zipledger.functions.paths import EXCLUDED_DIRECTORIES, basename, is_directory_entry, is_target
 from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
 from zipledger.session import materialize
 from zipledger.sources.fs import path_exists
 from zipledger.sources.listing import dedupe_paths, list_all, list_takeout
-from zipledger.sources.reader import read_central_directories, split_entries
+from zipledger.sources.reader import NESTED_SEP, read_central_directories, read_nested, split_entries
 
 
 @dataclass
@@ -50,11 +50,13 @@ def list_roots(spark: SparkSession, roots: DataFrame, mode: str = "takeout",
 
 def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files: bool = False,
          excluded: Iterable[str] = EXCLUDED_DIRECTORIES, scan_ts: _dt.datetime | None = None,
-         scan_seq: int = 0, skip: DataFrame | None = None) -> ScanResult:
+         scan_seq: int = 0, skip: DataFrame | None = None, nested: bool = False) -> ScanResult:
     """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written.
 
     ``skip`` (column ``archive_path``) lists archives not to read at all,
-    e.g. those another scan already registered (resume).
+    e.g. those another scan already registered (resume). ``nested`` also
+    reads archives stored inside the archives (one level), registered under
+    the virtual path ``<outer>!/<member>``.
     """
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     listing, root_errors = list_roots(spark, roots, mode, excluded)
@@ -64,12 +66,23 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
     # Only target entries and error rows are kept (filtered in the same stage),
     # so non-target entries never reach the staging table.
     raw = read_central_directories(listing)
-    keep = F.col("error_class").isNotNull() | (
-        ~is_directory_entry("path_in_archive") & is_target("path_in_archive", all_files))
-    raw = materialize(raw.filter(keep), "raw-entries")
+    file_entry = ~is_directory_entry("path_in_archive")
+    wanted = F.col("error_class").isNotNull() | (file_entry & is_target("path_in_archive", all_files))
+    inner_zip = F.col("error_class").isNull() & file_entry & F.lower("path_in_archive").endswith(".zip")
+    raw = materialize(raw.filter(wanted | inner_zip) if nested else raw.filter(wanted), "raw-entries")
+    containers = listing
+    if nested:
+        inner_raw = materialize(read_nested(raw.filter(inner_zip)).filter(wanted), "raw-nested")
+        containers = listing.unionByName(
+            raw.filter(inner_zip).select(
+                F.lit(None).cast("string").alias("root"), "drive",
+                F.concat("archive_path", F.lit(NESTED_SEP), "path_in_archive").alias("archive_path"),
+                basename("path_in_archive").alias("archive_name"), "file_size",
+                F.col("entry_mtime").alias("last_modified")))
+        raw = raw.filter(wanted).unionByName(inner_raw)
     entries, errors = split_entries(raw, all_files, created_at=ts)
     with_entries = entries.select("archive_path").distinct()
-    archives = (listing.join(with_entries, "archive_path", "left_semi")
+    archives = (containers.join(with_entries, "archive_path", "left_semi")
                 .select(archive_uuid("archive_path").alias("archive_uuid"), "drive", "archive_name",
                         "archive_path", "file_size", F.lit(None).cast("string").alias("file_hash"),
                         "last_modified", ts.alias("scan_date"), F.lit(scan_seq).cast("long").alias("scan_seq")))

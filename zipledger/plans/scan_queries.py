@@ -198,3 +198,22 @@ def q_register(spark, sf_dir):
     from zipledger.plans.extract_queries import fixture_catalog
     base, cat = fixture_catalog(spark, sf_dir)
     return list_archives(cat).select("archive_name", "drive", "file_count", rel(base).alias("rel_path"))
+
+
+@register("scan_nested", f"""
+WITH {ENT0.strip()}
+SELECT '/nested/' || split_part(archive_path, '/', 3) || '/bundle-' || split_part(archive_path, '/', -1)
+         || '!/parts/' || split_part(archive_path, '/', -1) AS rel_path,
+       {_DRIVE} AS drive, file_name, file_size, lang || '/' || file_name AS path_in_archive
+FROM ent0""")
+def q_scan_nested(spark, sf_dir):
+    # bundles each holding one packed part: the inner archives are read through the outer ones
+    from zipledger.sources.packer import pack_nested
+    base = pack_nested(spark, sf_dir)
+    letters = (read_documents(spark, sf_dir)
+               .select(F.regexp_extract(archive_path_col(), r"^/mnt/([a-z])/", 1).alias("l")).distinct())
+    roots = letters.select(F.concat(F.lit(base + "/nested/"), F.col("l")).alias("root"),
+                           F.concat(F.upper("l"), F.lit(":")).alias("drive"))
+    res = scan(spark, roots, mode="all", all_files=True, nested=True, scan_ts=SCAN_TS)
+    inner = res.entries.filter(F.col("archive_path").contains("!/"))
+    return inner.select(rel(base).alias("rel_path"), "drive", "file_name", "file_size", "path_in_archive")

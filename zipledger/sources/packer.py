@@ -123,3 +123,38 @@ def pack_documents(spark: SparkSession, sf_dir: str, base: str | None = None) ->
     with open(marker, "w") as fh:
         fh.write("ok\n")
     return base
+
+
+def _bundle_writer(base: str):
+    def write(batches):
+        for pdf in batches:
+            for path in pdf["archive_path"]:
+                part = base + path
+                letter = path.split("/")[2]
+                final = f"{base}/nested/{letter}/bundle-{os.path.basename(path)}"
+                os.makedirs(os.path.dirname(final), exist_ok=True)
+                tmp = f"{final}.{_uuid.uuid4().hex}.part"
+                with zipfile.ZipFile(tmp, "w") as zf:
+                    zf.write(part, arcname=f"parts/{os.path.basename(path)}", compress_type=zipfile.ZIP_STORED)
+                os.replace(tmp, final)
+                yield pd.DataFrame({"archive_path": [final], "entries": [1]})
+    return write
+
+
+def pack_nested(spark: SparkSession, sf_dir: str) -> str:
+    """Bundles holding one packed archive part each: ``<root>/nested/<c|d|e>/bundle-<part>.zip``.
+
+    One bundle per part keeps every bundle bounded (a whole source or drive
+    in one bundle would be one hot task).
+    """
+    base = pack_documents(spark, sf_dir)
+    marker = os.path.join(base, "_NESTED")
+    if os.path.exists(marker):
+        return base
+    parts = (read_documents(spark, sf_dir).select(archive_path_col().alias("archive_path")).distinct())
+    n = max(spark.sparkContext.defaultParallelism, 2)
+    (parts.repartition(n, "archive_path").mapInPandas(_bundle_writer(base), PACK_RESULT)
+     .write.format("noop").mode("overwrite").save())
+    with open(marker, "w") as fh:
+        fh.write("ok\n")
+    return base

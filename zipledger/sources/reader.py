@@ -71,6 +71,66 @@ def read_central_directories(listing: DataFrame, batch_rows: int = BATCH_ROWS,
             .mapInPandas(_read_directories(batch_rows), RAW_ENTRIES))
 
 
+NESTED_SEP = "!/"  # virtual path of an inner archive: <outer archive>!/<member path>
+CHUNK = 4096
+
+
+def _read_nested(batch_rows: int):
+    def run(batches):
+        cur, zf, fh, bad = None, None, None, None
+        out = []
+        try:
+            for pdf in batches:
+                for outer, drive, member in zip(pdf["archive_path"], pdf["drive"], pdf["path_in_archive"]):
+                    vpath = f"{outer}{NESTED_SEP}{member}"
+                    if outer != cur:
+                        for h in (zf, fh):
+                            if h is not None:
+                                h.close()
+                        cur, zf, fh, bad = outer, None, None, None
+                        try:
+                            fh = open_binary(outer)
+                            zf = zipfile.ZipFile(fh)
+                        except Exception as e:
+                            bad = e
+                    try:
+                        if bad is not None:
+                            raise bad
+                        with zf.open(member) as inner_fh, zipfile.ZipFile(inner_fh) as inner:
+                            for i, info in enumerate(inner.infolist()):
+                                out.append((vpath, drive, i, info.filename, int(info.file_size),
+                                            int(info.compress_size), _mtime(info), None, None))
+                                if len(out) >= batch_rows:
+                                    yield pd.DataFrame(out, columns=_RAW_COLS)
+                                    out = []
+                    except Exception as e:  # an inner member that is not a readable archive
+                        out.append((vpath, drive, None, None, None, None, None, type(e).__name__, str(e)))
+            if out:
+                yield pd.DataFrame(out, columns=_RAW_COLS)
+        finally:
+            for h in (zf, fh):
+                if h is not None:
+                    h.close()
+    return run
+
+
+def read_nested(raw: DataFrame, batch_rows: int = BATCH_ROWS, tasks: int | None = None) -> DataFrame:
+    """One level of nesting: ``RAW_ENTRIES`` of every ``.zip`` entry inside the
+    archives of ``raw``, each inner archive named ``<outer>!/<member>``.
+
+    Inner archives are spread by (outer archive, ordinal chunk), so a bundle
+    holding many archives is read by several tasks; an inner archive is read
+    through the outer one (no extraction to disk).
+    """
+    n = tasks or max(2 * raw.sparkSession.sparkContext.defaultParallelism, 2)
+    inner = raw.filter(F.col("error_class").isNull() & ~is_directory_entry("path_in_archive")
+                       & F.lower("path_in_archive").endswith(".zip"))
+    return (inner.select("archive_path", "drive", "path_in_archive", "entry_ordinal")
+            .repartition(n, "archive_path", F.floor(F.col("entry_ordinal") / CHUNK))
+            .sortWithinPartitions("archive_path", "entry_ordinal")
+            .mapInPandas(_read_nested(batch_rows), RAW_ENTRIES))
+
+
 def split_entries(raw: DataFrame, all_files: bool = False, created_at=None) -> tuple[DataFrame, DataFrame]:
     """(entries, errors): catalogue entry rows for target files, and error rows."""
     ok = raw.filter(F.col("error_class").isNull())
