@@ -43,3 +43,5 @@ def test_ledger_commands(spark, scratch):
     led.merge([other.path])
     s = led.stats().collect()[0]
     assert (s.zip_files, s.video_files) == (3, 11)
+    use = {r.op: r.runs for r in led.usage().collect()}
+    assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "merge": 1}

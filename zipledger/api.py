@@ -13,6 +13,7 @@ argument (a number, or ``"all"``).
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid as _uuid
 from collections.abc import Iterable
 
@@ -39,6 +40,22 @@ class Ledger:
         self.path = catalog_path.rstrip("/")
         self.path_style = path_style
 
+    # ---- audit trail (append-only) ----------------------------------------------------
+    def _audit(self, op: str, **args) -> None:
+        row = [(op, json.dumps(args, sort_keys=True, default=str), _dt.datetime.now())]
+        (self.spark.createDataFrame(row, "op string, args string, at timestamp")
+         .coalesce(1).write.mode("append").parquet(f"{self.path}/audit"))
+
+    def audit_log(self) -> DataFrame:
+        if not path_exists(f"{self.path}/audit"):
+            return self.spark.createDataFrame([], "op string, args string, at timestamp")
+        return self.spark.read.parquet(f"{self.path}/audit")
+
+    def usage(self) -> DataFrame:
+        """Commands run against this catalogue: count, first and last time."""
+        return (self.audit_log().groupBy("op")
+                .agg(F.count(F.lit(1)).alias("runs"), F.min("at").alias("first"), F.max("at").alias("last")))
+
     # ---- catalogue -------------------------------------------------------------------
     def catalog(self) -> Catalog:
         if not path_exists(f"{self.path}/archives"):
@@ -55,11 +72,13 @@ class Ledger:
         rf = roots_frame(self.spark, roots, drives)
         sid = scan_id or _dt.datetime.now().strftime("%Y%m%dT%H%M%S") + "-" + _uuid.uuid4().hex[:6]
         seq = len(partition_values(f"{self.path}/archives", "scan_id"))
+        self._audit("scan", roots=roots, mode=mode, all_files=all_files, scan_id=sid)
         return scan_and_register(self.spark, rf, self.path, sid, mode=mode, all_files=all_files,
                                  excluded=excluded, scan_seq=seq)
 
     def merge(self, source_paths: Iterable[str], scan_id: str = "merged") -> None:
         """Merge other catalogues into this one (first source wins, missing skipped)."""
+        self._audit("merge", sources=list(source_paths), scan_id=scan_id)
         m = merge_paths(self.spark, [self.path] + list(source_paths) if path_exists(f"{self.path}/archives")
                         else list(source_paths))
         register(self.path, m.archives.drop("source_ord"), m.entries.drop("source_ord"), scan_id)
@@ -68,6 +87,8 @@ class Ledger:
     def search(self, pattern: str = "", regex: bool = False, min_size: int | None = None,
                max_size: int | None = None, file_types: list[str] | None = None,
                ignore_case: bool = False, limit: int | None = None) -> DataFrame:
+        self._audit("search", pattern=pattern, regex=regex, min_size=min_size, max_size=max_size,
+                    file_types=file_types, limit=limit)
         return S.search(self.catalog(), pattern, regex, min_size, max_size, file_types,
                         ignore_case=ignore_case, limit=limit)
 
@@ -89,12 +110,14 @@ class Ledger:
     # ---- extraction ------------------------------------------------------------------
     def extract(self, file_name: str, output_dir: str, choice: int | str = 1) -> DataFrame:
         """Extract a match of ``file_name`` (largest first): number ``choice`` or ``"all"``."""
+        self._audit("extract", file_name=file_name, output_dir=output_dir, choice=choice)
         m = S.matched(self.catalog(), like_contains("file_name", file_name))
         return X.extract(S.pick(m, S.size_desc(), choice).drop("choice"), S.size_desc(), output_dir)
 
     def extract_by_uuid(self, uuid: str, output_dir: str, file_name: str | None = None,
                         choice: int | str = 1) -> DataFrame:
         """Extract from one archive; ``"all"`` is allowed for at most 10 matches."""
+        self._audit("extract_by_uuid", uuid=uuid, file_name=file_name, output_dir=output_dir, choice=choice)
         cond = F.col("archive_uuid") == uuid
         if file_name:
             cond = cond & like_contains("file_name", file_name)
@@ -104,6 +127,7 @@ class Ledger:
 
     def extract_all(self, output_dir: str) -> DataFrame:
         """Every catalogued entry, archives by name, entries by file name."""
+        self._audit("extract_all", output_dir=output_dir)
         order = [F.col("archive_name"), F.col("archive_path"), F.col("file_name"), F.col("entry_ordinal")]
         return X.extract(S.matched(self.catalog(), F.lit(True)), order, output_dir)
 
