@@ -446,7 +446,7 @@ def q_report_choices(spark, sf_dir):
 @register("report_list", with_catalog("""
 SELECT substr(file_name, 1, 49) AS name_short, substr(archive_name, 1, 29) AS archive_short,
        round(file_size / 1048576.0, 1) AS size_mb, drive
-FROM ja ORDER BY file_name, archive_path, entry_ordinal LIMIT 50"""))
+FROM ja"""))
 def q_report_list(spark, sf_dir):
-    # list display: name[:49], archive[:29], MB, drive (first 50 by name)
-    return S.report_list(S.list_entries_full(cat(spark, sf_dir), limit=50))
+    # list display of every entry: name[:49], archive[:29], MB, drive (ordered by name)
+    return S.report_list(S.list_entries_full(cat(spark, sf_dir)))
