@@ -29,7 +29,7 @@ from zipledger.plans.register import register
 from zipledger.plans.scan import ScanResult, scan_and_register
 from zipledger.session import ship_package
 from zipledger.sources.catalog import Catalog
-from zipledger.sources.fs import partition_values, path_exists
+from zipledger.sources.fs import partition_values_of, path_exists
 from zipledger.sources.listing import roots_frame
 
 
@@ -47,7 +47,7 @@ class Ledger:
          .coalesce(1).write.mode("append").parquet(f"{self.path}/audit"))
 
     def audit_log(self) -> DataFrame:
-        if not path_exists(f"{self.path}/audit"):
+        if not path_exists(f"{self.path}/audit", self.spark):
             return self.spark.createDataFrame([], "op string, args string, at timestamp")
         return self.spark.read.parquet(f"{self.path}/audit")
 
@@ -58,7 +58,7 @@ class Ledger:
 
     # ---- catalogue -------------------------------------------------------------------
     def catalog(self) -> Catalog:
-        if not path_exists(f"{self.path}/archives"):
+        if not path_exists(f"{self.path}/archives", self.spark):
             from zipledger.schemas import ARCHIVES, ENTRIES
             empty = self.spark.createDataFrame
             return Catalog(empty([], ARCHIVES), empty([], ENTRIES))
@@ -71,7 +71,8 @@ class Ledger:
         roots = [r for r in roots if r not in set(exclude_roots)]
         rf = roots_frame(self.spark, roots, drives)
         sid = scan_id or _dt.datetime.now().strftime("%Y%m%dT%H%M%S") + "-" + _uuid.uuid4().hex[:6]
-        seq = len(partition_values(f"{self.path}/archives", "scan_id"))
+        seq = (len(partition_values_of(self.spark.read.parquet(f"{self.path}/archives"), "scan_id"))
+               if path_exists(f"{self.path}/archives", self.spark) else 0)
         self._audit("scan", roots=roots, mode=mode, all_files=all_files, scan_id=sid)
         return scan_and_register(self.spark, rf, self.path, sid, mode=mode, all_files=all_files,
                                  excluded=excluded, scan_seq=seq)
@@ -79,7 +80,7 @@ class Ledger:
     def merge(self, source_paths: Iterable[str], scan_id: str = "merged") -> None:
         """Merge other catalogues into this one (first source wins, missing skipped)."""
         self._audit("merge", sources=list(source_paths), scan_id=scan_id)
-        m = merge_paths(self.spark, [self.path] + list(source_paths) if path_exists(f"{self.path}/archives")
+        m = merge_paths(self.spark, [self.path] + list(source_paths) if path_exists(f"{self.path}/archives", self.spark)
                         else list(source_paths))
         register(self.path, m.archives.drop("source_ord"), m.entries.drop("source_ord"), scan_id)
 

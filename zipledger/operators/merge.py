@@ -45,5 +45,5 @@ def merge(catalogs: Iterable[Catalog]) -> Catalog:
 
 def merge_paths(spark: SparkSession, paths: Iterable[str]) -> Catalog:
     """Merge stored catalogues; a missing source is skipped."""
-    cats = [Catalog.read(spark, p) for p in paths if path_exists(f"{p}/archives")]
+    cats = [Catalog.read(spark, p) for p in paths if path_exists(f"{p}/archives", spark)]
     return merge(cats)

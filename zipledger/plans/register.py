@@ -42,7 +42,7 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     archives from their input (the scan job filters its listing).
     """
     spark = entries.sparkSession
-    if check_existing and path_exists(f"{catalog_path}/archives"):
+    if check_existing and path_exists(f"{catalog_path}/archives", entries.sparkSession):
         taken = (spark.read.parquet(f"{catalog_path}/archives")
                  .filter(F.col("scan_id") != scan_id).select("archive_uuid"))
         entries = entries.join(taken, "archive_uuid", "left_anti")

@@ -113,7 +113,7 @@ def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str,
     ``scan_id`` reads its own archives again and replaces its partition).
     """
     registered = None
-    if path_exists(f"{catalog_path}/archives"):
+    if path_exists(f"{catalog_path}/archives", spark):
         registered = (spark.read.parquet(f"{catalog_path}/archives")
                       .filter(F.col("scan_id") != scan_id).select("archive_path"))
     res = scan(spark, roots, skip=registered, **kw)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from zipledger.schemas import ARCHIVES, ENTRIES
-from zipledger.sources.fs import partition_values
+from zipledger.sources.fs import partition_values_of
 
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
                 "file_hash", "last_modified", "scan_date", "scan_seq"]
@@ -39,9 +39,10 @@ class Catalog:
         The sink registers each archive path once (first scan wins), so by
         default a reader only applies the visibility rule: entries of scans
         whose ``archives`` partition is committed. The committed scans are the
-        ``scan_id=`` folders of ``archives`` (one name per scan), so the rule
-        is a static partition filter on ``entries``: no join, and both scans
-        keep their column pruning.
+        ``scan_id=`` folders in the file listing Spark made for ``archives``
+        (partition folders appear only at job commit), so the rule is a static
+        partition filter on ``entries``: no join, and both scans keep their
+        column pruning.
 
         ``resolve`` handles catalogues assembled by other means (copied
         partitions, concurrent writers): a path registered by several scans
@@ -52,7 +53,7 @@ class Catalog:
         arch = spark.read.schema(_with_scan_id(ARCHIVES)).parquet(f"{path}/archives")
         ent = spark.read.schema(_with_scan_id(ENTRIES)).parquet(f"{path}/entries")
         if not (resolve or refresh):
-            committed = partition_values(f"{path}/archives", "scan_id")
+            committed = partition_values_of(arch, "scan_id")
             return Catalog(arch, ent.filter(F.col("scan_id").isin(committed)))
         pick = F.max if refresh else F.min
         winner = (arch.groupBy("archive_path")

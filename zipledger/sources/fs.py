@@ -8,6 +8,7 @@ only needs a seekable binary stream.
 from __future__ import annotations
 
 import os
+import re
 
 
 def local_path(path: str) -> str | None:
@@ -35,32 +36,26 @@ def replace_into(tmp: str, final: str) -> None:
     os.replace(tmp, final)
 
 
-def path_exists(path: str) -> bool:
+def path_exists(path: str, spark=None) -> bool:
+    """Existence of a local path, or of a remote one through the session's
+    Hadoop FileSystem (the same client Spark reads with)."""
     lp = local_path(path)
     if lp is not None:
         return os.path.exists(lp)
+    if spark is not None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
     from pyarrow import fs as pafs
     filesystem, inner = pafs.FileSystem.from_uri(path)
     return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
 
 
-def partition_values(table_path: str, column: str) -> list[str]:
-    """Values of a Hive-style partition column, read from folder names.
+def partition_values_of(df, column: str) -> list[str]:
+    """Hive partition values present in the files a DataFrame reads.
 
-    A partition folder appears only when the writing job commits, so this is
-    the set of committed partitions; it is metadata (one name per partition),
-    not table data.
+    ``inputFiles()`` is the listing Spark already made for the read, so no
+    extra listing and no data is touched.
     """
     from urllib.parse import unquote
-    prefix = f"{column}="
-    lp = local_path(table_path)
-    if lp is not None:
-        if not os.path.isdir(lp):
-            return []
-        names = [e.name for e in os.scandir(lp) if e.is_dir()]
-    else:
-        from pyarrow import fs as pafs
-        filesystem, inner = pafs.FileSystem.from_uri(table_path)
-        infos = filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
-        names = [i.base_name for i in infos if i.type == pafs.FileType.Directory]
-    return sorted(unquote(n[len(prefix):]) for n in names if n.startswith(prefix))
+    pat = re.compile(rf"/{re.escape(column)}=([^/]+)/")
+    return sorted({unquote(m.group(1)) for f in df.inputFiles() for m in [pat.search(f)] if m})
