@@ -180,8 +180,8 @@ def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, Data
     takeout folders that exist but cannot be listed (the drive then fails)."""
     checkpoint_root(spark)
     parts = max(spark.sparkContext.defaultParallelism, 2)
-    inner = materialize(roots.select("root", "drive").repartition(parts).mapInPandas(_scan_takeout(), WALK),
-                        "takeout")
+    # direct children only: cheap to list again, so no staging write
+    inner = roots.select("root", "drive").repartition(parts).mapInPandas(_scan_takeout(), WALK)
     files = inner.filter(F.col("error").isNull() & F.col("is_file") & F.lower("name").endswith(".zip"))
     errors = inner.filter(F.col("error").isNotNull()).select("drive", "error")
     return _to_listing(files), errors
