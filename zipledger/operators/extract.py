@@ -4,8 +4,8 @@
    (``plan_pos``, :func:`global_row_number`), and every entry gets its output
    name from the collision rule (:func:`zipledger.operators.alloc.allocate`)
    *before* anything is written, so a retried task writes the same names.
-2. **Run**: the plan is spread by ``(archive_path, plan_pos div CHUNK)``; a
-   task opens each of its archives once and copies its entries in 1 MiB
+2. **Run**: the plan is spread by ``(archive_path, entry_ordinal div CHUNK)``;
+   a task opens each of its archives once and copies its entries in 1 MiB
    chunks to a temporary name, then renames it into place. An archive with
    many selected entries is split over several tasks (each opens it once).
    Missing entries and unreadable archives become error rows, not failures.
@@ -33,7 +33,7 @@ from zipledger.schemas import EXTRACT_RESULT
 from zipledger.session import materialize
 from zipledger.sources.fs import open_binary
 
-CHUNK = 4096       # planned entries of one archive per extraction task
+CHUNK = 4096       # directory positions of one archive per extraction task
 COPY_BYTES = 1 << 20
 _RES_COLS = [f.name for f in EXTRACT_RESULT.fields]
 
@@ -58,7 +58,9 @@ def plan(matches: DataFrame, order: list[Column], output_dir: str,
     with_base = numbered.withColumn("base", basename("path_in_archive"))
     named = allocate(with_base, existing)
     out_dir = output_dir.rstrip("/")
-    return named.select("plan_pos", "archive_path", "path_in_archive", "file_name", "file_size", "out_name",
+    ordinal = F.col("entry_ordinal") if "entry_ordinal" in named.columns else F.lit(None).cast("int")
+    return named.select("plan_pos", "archive_path", "path_in_archive", "file_name", "file_size",
+                        ordinal.alias("entry_ordinal"), "out_name",
                         F.concat(F.lit(out_dir + "/"), F.col("out_name")).alias("output_path"))
 
 
@@ -121,8 +123,13 @@ def _extract_rows():
 def run(planned: DataFrame, tasks: int | None = None) -> DataFrame:
     """Execute a plan once; returns the result rows (``EXTRACT_RESULT``)."""
     n = tasks or max(2 * planned.sparkSession.sparkContext.defaultParallelism, 2)
-    work = (planned.select("plan_pos", "archive_path", "path_in_archive", "output_path")
-            .repartition(n, "archive_path", F.floor(F.col("plan_pos") / CHUNK))
+    # slices of one archive by directory position: an archive is opened at most
+    # ceil(entries / CHUNK) times, whatever order the plan has
+    cols = planned.columns
+    pos = F.coalesce(F.col("entry_ordinal"), F.col("plan_pos")) if "entry_ordinal" in cols else F.col("plan_pos")
+    work = (planned.select("plan_pos", "archive_path", "path_in_archive", "output_path", pos.alias("_slice_pos"))
+            .repartition(n, "archive_path", F.floor(F.col("_slice_pos") / CHUNK))
+            .drop("_slice_pos")
             .sortWithinPartitions("archive_path", "plan_pos")
             .mapInPandas(_extract_rows(), EXTRACT_RESULT))
     return materialize(work, "extract-results")
