@@ -308,3 +308,13 @@ def test_nested_archives_one_level(spark, scratch):
     c = Catalog.read(spark, cat_path)
     names = sorted((r.archive_name, r.file_count) for r in list_archives(c).collect())
     assert names == [("bundle.zip", 1), ("inner.zip", 1)]
+
+
+def test_follow_symlinks_survives_a_cycle(spark, scratch):
+    from zipledger.sources.listing import list_all
+    _zip(f"{scratch}/r/a/x.zip", [("x.mp4", b"x")])
+    os.symlink(f"{scratch}/r", f"{scratch}/r/a/loop")          # r/a/loop -> r  (a cycle)
+    os.symlink(f"{scratch}/r/a", f"{scratch}/r/alias")         # a second way into r/a
+    roots = roots_frame(spark, [f"{scratch}/r"], ["L:"])
+    got = sorted(r.archive_path.replace(scratch, "") for r in list_all(spark, roots, follow_symlinks=True).collect())
+    assert got == ["/r/a/x.zip", "/r/alias/x.zip"]   # every alias is visited, the cycle is not followed

@@ -1,7 +1,7 @@
 """Fixed schemas of the catalogue tables and of the executor-side readers."""
 
 from pyspark.sql.types import (
-    BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
+    ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
     StructType, TimestampType,
 )
 
@@ -76,6 +76,7 @@ WALK = StructType([
     StructField("depth", IntegerType(), False),
     StructField("descend", BooleanType(), False),
     StructField("error", StringType(), True),
+    StructField("chain", ArrayType(StringType()), True),
 ])
 
 # Rows emitted by the extractor (mapInPandas).

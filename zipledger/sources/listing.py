@@ -53,12 +53,19 @@ def filter_roots(roots: DataFrame, excluded: DataFrame | None) -> DataFrame:
     return roots.join(excluded.select("root").distinct(), "root", "left_anti")
 
 
-def _list_dir(root, drive, d, depth, excl, follow_symlinks):
-    """WALK tuples for the children of directory ``d`` (one error tuple if unreadable)."""
+def _list_dir(root, drive, d, depth, excl, follow_symlinks, chain=None):
+    """WALK tuples for the children of directory ``d`` (one error tuple if unreadable).
+
+    When links are followed, ``chain`` holds the real paths of ``d`` and its
+    ancestors; a child directory that is one of them (a link cycle) is listed
+    but not descended, so the walk ends while every alias is still visited.
+    """
+    if follow_symlinks and chain is None:
+        chain = [os.path.realpath(d)]
     try:
         it = os.scandir(d)
     except OSError as e:
-        yield (root, drive, d, "", d, False, False, None, None, int(depth), False, f"{type(e).__name__}: {e}")
+        yield (root, drive, d, "", d, False, False, None, None, int(depth), False, f"{type(e).__name__}: {e}", None)
         return
     with it:
         while True:
@@ -79,6 +86,13 @@ def _list_dir(root, drive, d, depth, excl, follow_symlinks):
             except OSError:
                 is_file = False
             descend = is_dir and (follow_symlinks or not is_link) and ent.name not in excl
+            child_chain = None
+            if descend and follow_symlinks:
+                real = os.path.realpath(ent.path)
+                if real in chain:
+                    descend = False
+                else:
+                    child_chain = list(chain) + [real]
             size = mtime = None
             if not is_dir:
                 try:
@@ -86,7 +100,8 @@ def _list_dir(root, drive, d, depth, excl, follow_symlinks):
                     size, mtime = int(st.st_size), float(st.st_mtime)
                 except OSError:
                     size, mtime = 0, None
-            yield (root, drive, d, ent.name, ent.path, is_dir, is_file, size, mtime, int(depth) + 1, descend, None)
+            yield (root, drive, d, ent.name, ent.path, is_dir, is_file, size, mtime, int(depth) + 1, descend, None,
+                   child_chain)
 
 
 def _batched(rows, n=10000):
@@ -105,8 +120,10 @@ def _scan_dirs(excluded: tuple[str, ...], follow_symlinks: bool):
 
     def rows(batches):
         for pdf in batches:
-            for root, drive, d, depth in zip(pdf["root"], pdf["drive"], pdf["dir"], pdf["depth"]):
-                yield from _list_dir(root, drive, d, depth, excl, follow_symlinks)
+            chains = pdf["chain"] if "chain" in pdf.columns else [None] * len(pdf)
+            for root, drive, d, depth, chain in zip(pdf["root"], pdf["drive"], pdf["dir"], pdf["depth"], chains):
+                chain = None if chain is None else list(chain)
+                yield from _list_dir(root, drive, d, depth, excl, follow_symlinks, chain)
 
     return lambda batches: _batched(rows(batches))
 
@@ -150,7 +167,8 @@ def walk(spark: SparkSession, roots: DataFrame, excluded: Iterable[str] = EXCLUD
          follow_symlinks: bool = False, max_depth: int | None = None) -> DataFrame:
     """Every entry below the roots (``WALK`` rows), level by level."""
     checkpoint_root(spark)
-    frontier = roots.select("root", "drive", F.col("root").alias("dir"), F.lit(0).alias("depth"))
+    frontier = roots.select("root", "drive", F.col("root").alias("dir"), F.lit(0).alias("depth"),
+                            F.lit(None).cast("array<string>").alias("chain"))
     levels = []
     depth = 0
     while True:
@@ -160,7 +178,7 @@ def walk(spark: SparkSession, roots: DataFrame, excluded: Iterable[str] = EXCLUD
         nxt = level.filter(F.col("descend"))
         if (max_depth is not None and depth >= max_depth) or nxt.isEmpty():
             break
-        frontier = nxt.select("root", "drive", F.col("path").alias("dir"), F.col("depth"))
+        frontier = nxt.select("root", "drive", F.col("path").alias("dir"), F.col("depth"), "chain")
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
