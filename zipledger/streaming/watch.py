@@ -22,6 +22,7 @@ from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, drive_label
 from zipledger.plans.register import register
 from zipledger.session import materialize
+from zipledger.sources.fs import path_exists
 from zipledger.sources.reader import read_central_directories, split_entries
 
 
@@ -49,6 +50,13 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
         listing = batch.select(path.alias("archive_path"), F.col("length").alias("file_size"),
                                F.col("modificationTime").alias("last_modified"))
         listing = listing.withColumn("drive", drive_of(F.col("archive_path")))
+        sid = f"stream-{batch_id:06d}"
+        spark = batch.sparkSession
+        if path_exists(f"{catalog_path}/archives", spark):
+            # archives registered by earlier batches or scans are not read again
+            done = (spark.read.parquet(f"{catalog_path}/archives")
+                    .filter(F.col("scan_id") != sid).select("archive_path"))
+            listing = listing.join(done, "archive_path", "left_anti")
         ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
         raw = materialize(read_central_directories(listing), f"stream-raw-{batch_id}")
         entries, errors = split_entries(raw, all_files, created_at=ts)
@@ -57,7 +65,7 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
                             basename("archive_path").alias("archive_name"), "archive_path", "file_size",
                             F.lit(None).cast("string").alias("file_hash"), "last_modified",
                             ts.alias("scan_date"), F.lit(int(batch_id)).cast("long").alias("scan_seq")))
-        register(catalog_path, archives, entries, f"stream-{batch_id:06d}", errors)
+        register(catalog_path, archives, entries, sid, errors, check_existing=False)
     return write
 
 
