@@ -102,3 +102,25 @@ def test_suffix_and_regex(spark):
     assert sorted(r[0] for r in df.filter(P.like_suffix("file_name", ".mp4")).collect()) == ["a.MP4", "b.mp4"]
     assert [r[0] for r in df.filter(P.regex_find("file_name", "^img_", True)).collect()] == ["IMG_01.mov"]
     assert df.filter(P.regex_find("file_name", "^img_")).count() == 0
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="aAbB_%\\\\.Ää1", max_size=6), min_size=1, max_size=40),
+       st.lists(st.text(alphabet="aAbB_%\\\\.Ää", max_size=3), min_size=1, max_size=4))
+def test_like_parity_random(spark, names, patterns):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (i INTEGER, name TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(names)))
+    df = spark.createDataFrame(list(enumerate(names)), "i int, file_name string")
+    for pat in patterns:
+        want = sorted(r[0] for r in con.execute("SELECT i FROM t WHERE name LIKE ?", (f"%{pat}%",)))
+        got = sorted(r.i for r in df.filter(P.like_contains("file_name", pat)).collect())
+        assert got == want, (pat, names)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="/.mntcdx", max_size=12), min_size=1, max_size=60))
+def test_drive_label_random(spark, paths):
+    got = _eval(spark, paths, [lambda c: P.drive_label(c, "posix"), lambda c: P.drive_label(c, "wsl")])
+    for i, p in enumerate(paths):
+        assert got[i] == (_ref_label(p, False), _ref_label(p, True)), repr(p)
