@@ -101,6 +101,15 @@ def _count_before(requests: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def _scan_children(pdf_iter_group: pd.DataFrame) -> pd.DataFrame:
+    """For one parent node, walk its blocking children in index order.
+
+    ``s`` counts children skipped so far, so child index ``k`` is reached by
+    the parent's request number ``j = k - start + 1 - s``. The child is
+    skipped when it was blocked before that request came (``c`` = number of
+    the parent's requests before the child's blocking time, 0 if it exists),
+    i.e. when ``c < j``. Children beyond the parent's ``r`` requests are never
+    reached. The group holds distinct child names only, never request copies.
+    """
     pdf = pdf_iter_group.sort_values("k")
     start = int(pdf["start"].iloc[0])
     r = int(pdf["r"].iloc[0])
