@@ -43,5 +43,14 @@ def test_ledger_commands(spark, scratch):
     led.merge([other.path])
     s = led.stats().collect()[0]
     assert (s.zip_files, s.video_files) == (3, 11)
+    checks = led.validate(roots=[f"{scratch}/d0", f"{scratch}/d1", f"{scratch}/d2"], drives=["C:", "D:", "E:"])
+    assert {k: v.count() for k, v in checks.items()} == {"orphan_entries": 0, "empty_archives": 0,
+                                                         "duplicate_paths": 0, "missing_archives": 0,
+                                                         "size_drift": 0}
+    dups = led.duplicates().collect()
+    assert sorted((r.file_size, r.copies, r.archives) for r in dups) == [(10 * (i + 1), 2, 2) for i in range(5)]
+    assert led.archive_stats().count() == 3 and led.timeline().count() >= 1
+    led.export(led.stats(), f"{scratch}/export", "csv")
+    assert os.path.exists(f"{scratch}/export/_SUCCESS")
     use = {r.op: r.runs for r in led.usage().collect()}
     assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "merge": 1}

@@ -134,3 +134,40 @@ class Ledger:
 
     def extraction_tally(self, results: DataFrame) -> DataFrame:
         return ST.extract_tally(results)
+
+    # ---- documented extras --------------------------------------------------------------
+    def duplicates(self) -> DataFrame:
+        """Groups of identical contents (size + sha256), hashing only size collisions."""
+        from zipledger.operators.quality import duplicates_by_content
+        return duplicates_by_content(self.catalog())
+
+    def validate(self, roots: Iterable[str] | None = None, drives: Iterable[str] | None = None,
+                 mode: str = "takeout") -> dict[str, DataFrame]:
+        """Integrity checks; with ``roots`` also missing archives and size drift."""
+        from zipledger.operators import quality as Q
+        c = self.catalog()
+        out = {"orphan_entries": Q.orphan_entries(c), "empty_archives": Q.empty_archives(c),
+               "duplicate_paths": Q.duplicate_paths(c.archives)}
+        if roots is not None:
+            from zipledger.plans.scan import list_roots
+            listing, _ = list_roots(self.spark, roots_frame(self.spark, list(roots), drives), mode)
+            out["missing_archives"] = Q.missing_archives(c, listing)
+            out["size_drift"] = Q.size_drift(c, listing)
+        return out
+
+    def export(self, df: DataFrame, path: str, fmt: str = "csv") -> None:
+        """Write a result as CSV (with header) or JSON lines."""
+        w = df.write.mode("overwrite")
+        (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
+
+    def archive_stats(self) -> DataFrame:
+        from zipledger.operators.analytics import archive_stats
+        return archive_stats(self.catalog())
+
+    def timeline(self, unit: str = "month") -> DataFrame:
+        from zipledger.operators.analytics import timeline
+        return timeline(self.catalog().entries, unit)
+
+    def search_text(self, pattern: str, extensions=(".txt",), ignore_case: bool = False) -> DataFrame:
+        from zipledger.operators.analytics import search_text
+        return search_text(self.catalog(), pattern, extensions, ignore_case)
