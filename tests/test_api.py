@@ -52,5 +52,9 @@ def test_ledger_commands(spark, scratch):
     assert led.archive_stats().count() == 3 and led.timeline().count() >= 1
     led.export(led.stats(), f"{scratch}/export", "csv")
     assert os.path.exists(f"{scratch}/export/_SUCCESS")
+    _zip(f"{scratch}/d3/GoogleTakeout/late.zip", [("late.mp4", b"late")])
+    led.watch(f"{scratch}/d3/GoogleTakeout", f"{scratch}/stream-ckpt").awaitTermination()
+    assert led.stats().collect()[0].video_files == 12
     use = {r.op: r.runs for r in led.usage().collect()}
-    assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "merge": 1}
+    assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "merge": 1,
+                   "watch": 1}

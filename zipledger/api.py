@@ -171,3 +171,12 @@ class Ledger:
     def search_text(self, pattern: str, extensions=(".txt",), ignore_case: bool = False) -> DataFrame:
         from zipledger.operators.analytics import search_text
         return search_text(self.catalog(), pattern, extensions, ignore_case)
+
+    def watch(self, folders: str, checkpoint_location: str, all_files: bool = False,
+              available_now: bool = True, max_files_per_trigger: int | None = None):
+        """Register new archives appearing under ``folders`` (a path or glob) as they
+        arrive; returns the StreamingQuery (``available_now`` stops when caught up)."""
+        from zipledger.streaming.watch import watch
+        self._audit("watch", folders=folders, available_now=available_now)
+        return watch(self.spark, folders, self.path, checkpoint_location, all_files=all_files,
+                     available_now=available_now, max_files_per_trigger=max_files_per_trigger)
