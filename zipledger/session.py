@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -89,6 +90,7 @@ def materialize(df, name: str):
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -97,13 +99,19 @@ def ship_package(spark: SparkSession) -> None:
     The executor-side steps (reader, walker, extractor, hasher) are functions
     of this package; Spark ships the zipped package with ``addPyFile``, the
     standard way to distribute Python code to a cluster. The zip is built on
-    the driver and uploaded by Spark.
+    the driver and uploaded by Spark; concurrent callers ship it once.
     """
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if sc.applicationId in _SHIPPED:
+            return
+        _ship(sc)
+        _SHIPPED.add(sc.applicationId)
+
+
+def _ship(sc) -> None:
     import zipfile
 
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
     out = os.path.join(tempfile.mkdtemp(prefix="zipledger-code-"), "zipledger.zip")
@@ -115,4 +123,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, parent))
     sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
