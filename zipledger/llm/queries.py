@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zipledger.llm import decontaminate
+from zipledger.llm import decontaminate, packing, token_files
 from zipledger.llm.common import table
+from zipledger.session import shared_dir
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "llm-tokens") + f"/{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.digest(token_files.read(spark, path))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=1, size=2048)
+
+
 #: Words, windows and coverage again in SQL: a document's word is hit if a benchmark window covers it.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(
@@ -41,6 +53,8 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op5_token_files": op5_token_files,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
