@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zipledger.llm import decontaminate, packing, token_files
+from zipledger.llm import decontaminate, minhash, packing, token_files, toxicity
 from zipledger.llm.common import table
 from zipledger.session import shared_dir
 
@@ -22,10 +22,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read(spark, path))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1, size=2048)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Words, windows and coverage again in SQL: a document's word is hit if a benchmark window covers it.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(
@@ -54,7 +62,9 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
