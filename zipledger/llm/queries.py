@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zipledger.llm import decontaminate, minhash, packing, token_files, toxicity
+from zipledger.llm import decontaminate, minhash, packing, suffix_array, suffix_tree, token_files, toxicity
 from zipledger.llm.common import table
 from zipledger.session import shared_dir
 
@@ -16,6 +16,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.report(table(spark, sf_dir, "documents"), window=35)
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.report(table(spark, sf_dir, "documents"), length=50)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "llm-tokens") + f"/{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -61,6 +69,8 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_tree": op2_suffix_tree,
+    "op4_suffix_array": op4_suffix_array,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
