@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zipledger.llm import decontaminate, minhash, packing, suffix_array, suffix_tree, token_files, toxicity
+from zipledger.llm import decontaminate, lm, minhash, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from zipledger.llm.common import table
 from zipledger.session import shared_dir
 
@@ -34,6 +34,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), end_id=1, size=2048)
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array": op4_suffix_array,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
 }
