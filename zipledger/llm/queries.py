@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zipledger.llm import decontaminate, lm, minhash, packing, quality, suffix_array, suffix_tree, token_files, toxicity
+from zipledger.llm import decontaminate, fingerprint, lm, minhash, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from zipledger.llm.common import table
 from zipledger.session import shared_dir
 
@@ -20,6 +20,10 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.report(table(spark, sf_dir, "documents"), window=35)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.report(table(spark, sf_dir, "documents"), length=50)
 
@@ -78,6 +82,7 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_tree": op2_suffix_tree,
+    "op3_fingerprints": op3_fingerprints,
     "op4_suffix_array": op4_suffix_array,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
