@@ -95,7 +95,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, sample: i
     if np.ptp(target) == 0:  # nothing was counted
         ratio = np.zeros(BUCKETS)
     rows = id_text(docs).mapInArrow(_weigh(ratio, seed), "doc_id long, log_weight double, gumbel_key double")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "weights")  # ranges read it twice
     order = [F.desc("gumbel_key"), F.asc("doc_id"), F.asc("row")]
     dealt = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "keys")
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))

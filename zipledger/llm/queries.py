@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zipledger.llm import decontaminate, fingerprint, lm, minhash, packing, quality, suffix_array, suffix_tree, token_files, toxicity
 from zipledger.llm.common import table
@@ -39,7 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"))
+    rows = lm.scores(table(spark, sf_dir, "documents"))
+    # sums of doubles depend on their order in the last digits
+    return rows.withColumn("log_score", F.round("log_score", 6)).withColumn(
+        "mean_log_score", F.round("mean_log_score", 6))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +83,79 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
+#: Windows of 35 words whose sequence starts more than once; the words they cover go.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(
+        regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (
+        SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (s)),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: Bytes as hex digits; strings of 50 bytes that also start in a document with a smaller doc_id.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pos AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (
+        SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+old AS (SELECT s, min(doc_id) AS first FROM pos GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS b FROM pos JOIN old USING (s) WHERE doc_id > first),
+run AS (SELECT r, i, sum(CASE WHEN b IS NULL OR i > b + 50 THEN 1 ELSE 0 END)
+               OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, min(i) AS lo, max(i) + 50 AS hi FROM run GROUP BY r, k),
+gap AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM span),
+cut AS (SELECT d.r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS tail,
+               string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS t
+        FROM gap JOIN d ON d.r = gap.r GROUP BY d.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE t || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+#: Word pairs and words counted in all documents, the document's own taken off.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(
+        regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+one AS (SELECT r, p, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS y FROM (
+        SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d)),
+c1 AS (SELECT x, count(*) AS n FROM one GROUP BY x), c2 AS (SELECT y, x, count(*) AS n FROM one GROUP BY y, x),
+m1 AS (SELECT r, x, count(*) AS n FROM one GROUP BY r, x), m2 AS (SELECT r, y, x, count(*) AS n FROM one GROUP BY r, y, x),
+size AS (SELECT r, count(*) AS n, (SELECT count(*) FROM one) AS corpus FROM one GROUP BY r),
+rest AS (SELECT one.r, one.y, c1.n - m1.n AS w1, c2.n - m2.n AS w2, cy.n - my.n AS before, corpus - size.n AS others
+         FROM one JOIN c1 ON one.x = c1.x JOIN m1 ON one.r = m1.r AND one.x = m1.x JOIN size ON one.r = size.r
+         LEFT JOIN c2 ON one.y = c2.y AND one.x = c2.x LEFT JOIN m2 ON one.r = m2.r AND one.y = m2.y AND one.x = m2.x
+         LEFT JOIN c1 cy ON one.y = cy.x LEFT JOIN m1 my ON one.r = my.r AND one.y = my.x),
+sums AS (SELECT r, count(*) AS n, sum(CASE WHEN w2 > 0 THEN ln(w2) - ln(before)
+                WHEN w1 > 0 THEN ln(w1) - ln(others) + CASE WHEN y IS NULL THEN 0 ELSE ln(0.4) END
+                ELSE 2 * ln(0.4) - ln(others + 1) END) AS score FROM rest GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score,
+       round(score / n, 6) AS mean_log_score
+FROM d LEFT JOIN sums USING (r)
+"""
+
+#: All pairs with a common shingle, and what is reachable over the similar ones.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+        SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+         GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT link.b, reach.other FROM reach JOIN link ON link.a = reach.doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id,
+       d.doc_id = min(other) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_tree": op2_suffix_tree,
@@ -94,4 +171,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op2_suffix_tree": OP2_SQL,
+    "op4_suffix_array": OP4_SQL,
+    "op7_lm_scoring": OP7_SQL,
+    "op10_minhash": OP10_SQL,
 }

@@ -131,8 +131,6 @@ def remove(docs: DataFrame, length: int = 50) -> DataFrame:
     A removed byte may cut a character; its other bytes go too, so that texts stay UTF-8.
     """
     parts = staged(docs)
-    kept = find(parts, rule(length), with_text=True).select("__seq", "kept")
-    rest = parts.drop("__z", "__part", "__doc", "__no_id")
-    nulls = docs.select([F.col(f"`{c}`") for c in docs.columns])
-    return rest.join(kept, "__seq").withColumnRenamed("kept", "text").select(
-        *[F.col(f"`{c}`").cast(t) for c, t in nulls.dtypes])
+    kept = find(parts, rule(length), with_text=True).select("__seq", F.col("kept").alias("__kept"))
+    rest = parts.drop("__z", "__part", "__doc", "__no_id").join(kept, "__seq")
+    return rest.select(*[F.col("__kept" if c.lower() == "text" else f"`{c}`").cast(t).alias(c) for c, t in docs.dtypes])

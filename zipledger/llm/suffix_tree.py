@@ -131,7 +131,6 @@ def report(docs: DataFrame, window: int = 35) -> DataFrame:
 def remove(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with the remaining words, joined by a space, as text; all columns and rows."""
     parts = staged(docs)
-    kept = find(parts, rule(window), with_text=True).select("__seq", "kept")
-    rest = parts.drop("__z", "__part", "__doc", "__no_id")
-    return rest.join(kept, "__seq").withColumnRenamed("kept", "text").select(
-        *[F.col(f"`{c}`").cast(t) for c, t in docs.dtypes])
+    kept = find(parts, rule(window), with_text=True).select("__seq", F.col("kept").alias("__kept"))
+    rest = parts.drop("__z", "__part", "__doc", "__no_id").join(kept, "__seq")
+    return rest.select(*[F.col("__kept" if c.lower() == "text" else f"`{c}`").cast(t).alias(c) for c, t in docs.dtypes])
