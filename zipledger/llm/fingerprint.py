@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, or a stretch of ``PIECE`` characters of a longer line. Its digest has
-48 bits of hash and 16 check bits. A sketch has ``CELLS`` cells in three rows; a digest goes
+A paragraph is a sentence or line, or a stretch of ``PIECE`` characters of a longer one, so
+that an edit leaves the paragraphs after it as they were. Its digest has 48 bits of hash and
+16 check bits. A sketch has ``CELLS`` cells in three rows; a digest goes
 into one cell of each row, and a cell holds how many digests it has and their XOR. Equal
 texts have equal sketches, which is what the fingerprint string spells out.
 
@@ -45,7 +46,8 @@ PEELS = 24
 
 def digests(text: str) -> str:
     """Distinct paragraph digests of a text column: 48 bits of hash, 16 of check."""
-    parts = f"regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}', 0)"
+    end, other = "[.!?]", "[^.!?\\\\n]"
+    parts = f"regexp_extract_all({text}, '{other}{{0,{PIECE}}}{end}+|{other}{{1,{PIECE}}}', 0)"
     head = f"transform({parts}, p -> shiftrightunsigned(xxhash64(p), 16))"
     return f"array_distinct(transform({head}, h -> shiftleft(h, 16) | (xxhash64(h) & 65535L)))"
 
