@@ -115,8 +115,8 @@ def ranked(rows: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size: int = 2048) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
-    rows = ranked(id_text(docs).mapInArrow(_cut(vocabulary or default_vocabulary(), end_id, size), PIECES))
-    rows = stage(rows, "ranks")
+    cut = id_text(docs).mapInArrow(_cut(vocabulary or default_vocabulary(), end_id, size), PIECES)
+    rows = stage(ranked(stage(cut, "cuts")), "ranks")  # dealing by ranges reads the cuts twice
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``size`` rows
     table = spark.createDataFrame(places(patterns(histogram, size)),
                                   "length long, lo long, hi long, sequence long, offset long")
