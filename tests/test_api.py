@@ -3,6 +3,8 @@
 import os
 import zipfile
 
+import pytest
+
 from zipledger.api import Ledger
 from zipledger.functions.ids import archive_uuid_py
 
@@ -34,6 +36,13 @@ def test_ledger_commands(spark, scratch):
     allu = led.extract_by_uuid(uuid, out, choice="all").collect()
     assert len(allu) == 5 and {r.status for r in allu} == {"ok"}
     assert "video_0_3_1.mp4" in {os.path.basename(r.output_path) for r in allu}   # collision with the first run
+    _zip(f"{scratch}/many/GoogleTakeout/many.zip", [(f"m{i}.mp4", b"m") for i in range(12)])
+    many = Ledger(spark, f"{scratch}/catalog-many")
+    many.scan([f"{scratch}/many"], drives=["M:"])
+    muuid = archive_uuid_py(f"{scratch}/many/GoogleTakeout/many.zip")
+    assert many.extract_by_uuid(muuid, f"{scratch}/out-many", choice="all").count() == 12
+    with pytest.raises(ValueError):
+        many.extract_by_uuid(muuid, f"{scratch}/out-many", choice="every")
     tally = {r.archive_path: (r.extracted, r.errors) for r in led.extraction_tally(led.extract_all(out)).collect()}
     assert tally[None] == (10, 0)
     # merge another catalogue: only its new archive is added

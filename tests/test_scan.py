@@ -16,8 +16,9 @@ from zipledger.operators import extract as X
 from zipledger.operators import search as S
 from zipledger.operators.merge import merge_paths
 from zipledger.operators.stats import list_archives, summary
-from zipledger.plans.scan import list_roots, scan, scan_and_register
-from zipledger.sources.catalog import Catalog
+from zipledger.plans.scan import labelled, list_roots, scan, scan_and_register
+from zipledger.schemas import SCAN_ERRORS, SCAN_PROGRESS
+from zipledger.sources.catalog import Catalog, visible
 from zipledger.sources.listing import roots_frame
 
 TS = dt.datetime(2024, 5, 1)
@@ -126,7 +127,7 @@ def test_half_written_scan_is_invisible(spark, scratch):
     c = Catalog.read(spark, cat_path)
     # entries of a scan whose archives were never committed
     orphan = c.entries.withColumn("archive_uuid", F.lit("x")).withColumn("scan_id", F.lit("s2"))
-    orphan.write.mode("append").partitionBy("scan_id").parquet(f"{cat_path}/entries")
+    orphan.write.mode("append").partitionBy("scan_id", "run_id").parquet(f"{cat_path}/entries")
     assert Catalog.read(spark, cat_path).entries.count() == 1
 
 
@@ -189,7 +190,7 @@ def test_extraction_names_errors_and_bytes(spark, scratch):
     with open(f"{out}/x.mp4", "rb") as fh:
         assert fh.read() == b"old"
     # an entry missing from the archive is reported, not fatal
-    ghost = spark.createDataFrame([(f"{root}/GoogleTakeout/e.zip", "zz/none.mp4", "none.mp4", 1, 0)],
+    ghost = spark.createDataFrame([(f"{root}/GoogleTakeout/e.zip", "zz/none.mp4", "none.mp4", 1, 9)],
                                   "archive_path string, path_in_archive string, file_name string, "
                                   "file_size long, entry_ordinal int")
     res2 = X.extract(ghost, [F.col("path_in_archive")], out).collect()
@@ -206,9 +207,12 @@ def test_first_registration_wins_and_resolve(spark, scratch):
     assert [r.scan_id for r in c.archives.collect()] == ["s1"] and c.entries.count() == 2
     # a duplicate registration copied in by other means is resolved on request
     c.archives.withColumn("scan_id", F.lit("s3")).withColumn("scan_seq", F.lit(0).cast("long")) \
-        .write.mode("append").partitionBy("scan_id").parquet(f"{cat_path}/archives")
+        .write.mode("append").partitionBy("scan_id", "run_id").parquet(f"{cat_path}/archives")
     c.entries.drop("scan_id").withColumn("scan_id", F.lit("s3")) \
-        .write.mode("append").partitionBy("scan_id").parquet(f"{cat_path}/entries")
+        .write.mode("append").partitionBy("scan_id", "run_id").parquet(f"{cat_path}/entries")
+    manifest = spark.read.parquet(f"{cat_path}/manifest")
+    (manifest.filter("scan_id = 's1'").withColumn("scan_id", F.lit("s3"))
+     .write.mode("append").parquet(f"{cat_path}/manifest"))
     assert Catalog.read(spark, cat_path).archives.count() == 2
     r = Catalog.read(spark, cat_path, resolve=True)
     assert [x.scan_id for x in r.archives.collect()] == ["s3"] and r.entries.count() == 2
@@ -318,3 +322,148 @@ def test_follow_symlinks_survives_a_cycle(spark, scratch):
     roots = roots_frame(spark, [f"{scratch}/r"], ["L:"])
     got = sorted(r.archive_path.replace(scratch, "") for r in list_all(spark, roots, follow_symlinks=True).collect())
     assert got == ["/r/a/x.zip", "/r/alias/x.zip"]   # every alias is visited, the cycle is not followed
+
+
+def test_nested_to_any_depth_with_duplicate_names(spark, scratch):
+    import io
+
+    def packed(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+            for name, data in members:
+                zf.writestr(name, data)
+        return out.getvalue()
+
+    deep = packed([("deep.mp4", b"deep!")])
+    members = [("i.zip", packed([("first.mp4", b"1")])), ("i.zip", packed([("second.mp4", b"22"), ("in/d.zip", deep)]))]
+    os.makedirs(f"{scratch}/r")
+    with open(f"{scratch}/r/o.zip", "wb") as fh:
+        fh.write(packed(members))
+    cat_path = f"{scratch}/catalog"
+    scan_and_register(spark, roots_frame(spark, [f"{scratch}/r"], ["N:"]), cat_path, "s1", mode="all", nested=True,
+                      scan_ts=TS)
+    c = Catalog.read(spark, cat_path)
+    rows = S.matched(c, F.lit(True)).collect()
+    assert sorted((r.archive_path.replace(scratch, ""), r.file_name) for r in rows) == [
+        ("/r/o.zip!/i.zip", "first.mp4"), ("/r/o.zip!1/i.zip", "second.mp4"), ("/r/o.zip!1/i.zip!/in/d.zip", "deep.mp4")]
+    res = X.extract(S.matched(c, F.lit(True)), S.size_desc(), f"file:{scratch}/out").collect()
+    assert {r.path_in_archive: (r.status, r.bytes_written) for r in res} == {
+        "first.mp4": ("ok", 1), "second.mp4": ("ok", 2), "deep.mp4": ("ok", 5)}
+    assert sorted(os.listdir(f"{scratch}/out")) == ["deep.mp4", "first.mp4", "second.mp4"]
+
+
+def test_entries_of_one_name_keep_their_bytes(spark, scratch):
+    _zip(f"{scratch}/r/GoogleTakeout/d.zip", [("x.mp4", b"one"), ("x.mp4", b"three"), ("y.mp4", b"y")])
+    cat_path = f"{scratch}/catalog"
+    scan_and_register(spark, roots_frame(spark, [f"{scratch}/r"], ["D:"]), cat_path, "s1", scan_ts=TS)
+    m = S.matched(Catalog.read(spark, cat_path), F.lit(True))
+    res = X.extract(m, S.size_desc(), f"{scratch}/out")
+    assert {(r.entry_ordinal, r.bytes_written) for r in res.collect()} == {(0, 3), (1, 5), (2, 1)}
+    expected = m.select("archive_path", "path_in_archive", "entry_ordinal", "file_size").withColumn(
+        "file_hash", F.lit(None).cast("string"))
+    assert [r.verdict for r in X.validate(res, expected).collect()] == ["valid"] * 3
+    one = X.extract(m.filter("entry_ordinal = 0"), S.size_desc(), f"{scratch}/out2")
+    assert sorted(r.entry_ordinal for r in X.remaining(m, one).collect()) == [1, 2]
+
+
+def test_extraction_never_replaces_a_foreign_file(spark, scratch):
+    _zip(f"{scratch}/r/GoogleTakeout/d.zip", [("x.mp4", b"new")])
+    scan_and_register(spark, roots_frame(spark, [f"{scratch}/r"], ["D:"]), f"{scratch}/c", "s1", scan_ts=TS)
+    planned = X.plan(S.matched(Catalog.read(spark, f"{scratch}/c"), F.lit(True)), S.size_desc(), f"{scratch}/out")
+    os.makedirs(f"{scratch}/out")
+    with open(f"{scratch}/out/x.mp4", "w") as fh:      # taken after the plan was made
+        fh.write("mine")
+    assert [r.status for r in X.run(planned).collect()] == ["error"]
+    with open(f"{scratch}/out/x.mp4") as fh:
+        assert fh.read() == "mine"
+    assert os.listdir(f"{scratch}/out") == ["x.mp4"]
+
+
+def test_empty_scans_and_reruns(spark, scratch):
+    cat_path = f"{scratch}/catalog"
+    os.makedirs(f"{scratch}/r/GoogleTakeout")
+    roots = roots_frame(spark, [f"{scratch}/r"], ["A:"])
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS)          # nothing there yet
+    assert Catalog.read(spark, cat_path).archives.count() == 0
+    with open(f"{scratch}/r/GoogleTakeout/a.zip", "w") as fh:
+        fh.write("broken")
+    _zip(f"{scratch}/r/GoogleTakeout/b.zip", [("b.mp4", b"b")])
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS)
+    errors = lambda: visible(spark, cat_path, "scan_errors", SCAN_ERRORS).count()
+    assert errors() == 1 and Catalog.read(spark, cat_path).entries.count() == 1
+    _zip(f"{scratch}/r/GoogleTakeout/a.zip", [("a.mp4", b"a")])
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS)          # mended: the error goes
+    assert errors() == 0 and Catalog.read(spark, cat_path).archives.count() == 2
+    progress = visible(spark, cat_path, "scan_progress", SCAN_PROGRESS)
+    assert {r.status for r in progress.collect()} == {"done"} and progress.count() == 2
+    os.remove(f"{scratch}/r/GoogleTakeout/a.zip")
+    os.remove(f"{scratch}/r/GoogleTakeout/b.zip")
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS)          # all gone
+    assert Catalog.read(spark, cat_path).archives.count() == 0
+
+
+def test_resume_skips_unchanged_bad_archives(spark, scratch):
+    cat_path = f"{scratch}/catalog"
+    _zip(f"{scratch}/r/GoogleTakeout/none.zip", [("readme.txt", b"t")])
+    with open(f"{scratch}/r/GoogleTakeout/bad.zip", "w") as fh:
+        fh.write("broken")
+    roots = roots_frame(spark, [f"{scratch}/r"], ["A:"])
+    scan_and_register(spark, roots, cat_path, "s1", scan_ts=TS)
+    assert scan_and_register(spark, roots, cat_path, "s2", resume=True, scan_ts=TS).listing.count() == 0
+    _zip(f"{scratch}/r/GoogleTakeout/none.zip", [("readme.txt", b"t"), ("v.mp4", b"v")])
+    again = scan_and_register(spark, roots, cat_path, "s3", resume=True, scan_ts=TS)
+    assert [r.archive_name for r in again.listing.collect()] == ["none.zip"] and again.entries.count() == 1
+
+
+def test_two_streams_share_a_catalogue(spark, scratch):
+    from zipledger.streaming.watch import watch
+    _zip(f"{scratch}/a/x.zip", [("x.mp4", b"x")])
+    _zip(f"{scratch}/a/no-targets.zip", [("x.txt", b"x")])
+    _zip(f"{scratch}/b/y.zip", [("y.mp4", b"y")])
+    for name in "ab":
+        watch(spark, f"{scratch}/{name}", f"{scratch}/catalog", f"{scratch}/ckpt-{name}", scan_ts=TS,
+              max_files_per_trigger=1).awaitTermination()
+    names = sorted(r.archive_name for r in Catalog.read(spark, f"{scratch}/catalog").archives.collect())
+    assert names == ["x.zip", "y.zip"]
+
+
+def test_archives_take_the_label_of_their_own_path(spark, scratch):
+    rows = [("/mnt/c/Takeout/a.zip", None), ("/mnt/d/b.zip", None), ("/data/x.zip", "Z:")]
+    listing = spark.createDataFrame(rows, "archive_path string, drive string")
+    assert [r.drive for r in labelled(listing, "wsl").collect()] == ["C:", "D:", "Z:"]
+    assert [r.drive for r in labelled(listing, "posix").collect()] == ["mnt", "mnt", "Z:"]
+    _zip(f"{scratch}/r/a.zip", [("a.mp4", b"a")])
+    res = scan(spark, roots_frame(spark, [f"{scratch}/r"]), mode="all", scan_ts=TS)
+    assert [r.drive for r in res.rollup.collect()] == [scratch.split("/")[1]]
+
+
+def test_object_listing_extensions_and_links(spark, scratch):
+    _f10(scratch)
+    objects = scan(spark, roots_frame(spark, [scratch], ["O:"]), mode="objects", extensions=[".TXT"], scan_ts=TS)
+    assert {r.drive for r in objects.listing.collect()} == {"O:"}
+    assert {r.file_name.rsplit(".", 1)[1] for r in objects.entries.collect()} <= {"txt"}
+    linked = scan(spark, roots_frame(spark, [scratch], ["R:"]), mode="all", follow_symlinks=True, scan_ts=TS)
+    assert f"{scratch}/link/C.ZIP" in {r.archive_path for r in linked.listing.collect()}
+
+
+def test_compare_by_checksum_and_repeated_paths(spark):
+    from zipledger.operators.analytics import compare
+    schema = "path_in_archive string, entry_ordinal int, file_size long, crc32 long"
+    left = spark.createDataFrame([("a", 0, 4, 1), ("b", 1, 4, 2), ("b", 2, 5, 3), ("c", 3, 1, 4)], schema)
+    right = spark.createDataFrame([("a", 0, 4, 9), ("b", 1, 4, 2), ("b", 2, 5, 3), ("d", 3, 1, 4)], schema)
+    got = sorted((r.path_in_archive, r.status) for r in compare(left, right).collect())
+    assert got == [("a", "changed"), ("b", "same"), ("b", "same"), ("c", "removed"), ("d", "added")]
+
+
+def test_unreadable_candidates_are_reported(spark, scratch):
+    from zipledger.operators.analytics import search_text
+    from zipledger.operators.quality import duplicates_by_content
+    for name in "ab":
+        _zip(f"{scratch}/r/GoogleTakeout/{name}.zip", [("t.txt", b"same text")])
+    scan_and_register(spark, roots_frame(spark, [f"{scratch}/r"], ["A:"]), f"{scratch}/c", "s1", all_files=True,
+                      scan_ts=TS)
+    c = Catalog.read(spark, f"{scratch}/c")
+    assert duplicates_by_content(c).count() == 1 and search_text(c, "same").count() == 2
+    os.rename(f"{scratch}/r/GoogleTakeout/b.zip", f"{scratch}/r/b.away")
+    assert duplicates_by_content(c).count() == 0 and duplicates_by_content(c, errors=True).count() == 1
+    assert search_text(c, "same").count() == 1 and search_text(c, "same", errors=True).count() == 1

@@ -28,8 +28,8 @@ from zipledger.operators.merge import merge_paths
 from zipledger.plans.register import register
 from zipledger.plans.scan import ScanResult, scan_and_register
 from zipledger.session import ship_package
-from zipledger.sources.catalog import Catalog
-from zipledger.sources.fs import partition_values_of, path_exists
+from zipledger.sources.catalog import Catalog, published
+from zipledger.sources.fs import path_exists
 from zipledger.sources.listing import roots_frame
 
 
@@ -58,24 +58,25 @@ class Ledger:
 
     # ---- catalogue -------------------------------------------------------------------
     def catalog(self) -> Catalog:
-        if not path_exists(f"{self.path}/archives", self.spark):
-            from zipledger.schemas import ARCHIVES, ENTRIES
-            empty = self.spark.createDataFrame
-            return Catalog(empty([], ARCHIVES), empty([], ENTRIES))
         return Catalog.read(self.spark, self.path)
 
     def scan(self, roots: Iterable[str], drives: Iterable[str] | None = None, mode: str = "takeout",
              all_files: bool = False, excluded: Iterable[str] = EXCLUDED_DIRECTORIES,
-             exclude_roots: Iterable[str] = (), scan_id: str | None = None) -> ScanResult:
-        """Scan roots and register what was found (one Spark job set, all roots in parallel)."""
+             exclude_roots: Iterable[str] = (), scan_id: str | None = None,
+             extensions: Iterable[str] | None = None, follow_symlinks: bool = False,
+             nested: bool = False, resume: bool = False) -> ScanResult:
+        """Scan roots and register what was found (one Spark job set, all roots in parallel).
+
+        Without ``drives``, archives are labelled by their paths in the ledger's path style."""
         roots = [r for r in roots if r not in set(exclude_roots)]
         rf = roots_frame(self.spark, roots, drives)
         sid = scan_id or _dt.datetime.now().strftime("%Y%m%dT%H%M%S") + "-" + _uuid.uuid4().hex[:6]
-        seq = (len(partition_values_of(self.spark.read.parquet(f"{self.path}/archives"), "scan_id"))
-               if path_exists(f"{self.path}/archives", self.spark) else 0)
+        seq = published(self.spark, self.path).count()
         self._audit("scan", roots=roots, mode=mode, all_files=all_files, scan_id=sid)
         return scan_and_register(self.spark, rf, self.path, sid, mode=mode, all_files=all_files,
-                                 excluded=excluded, scan_seq=seq)
+                                 excluded=excluded, scan_seq=seq, path_style=self.path_style,
+                                 extensions=extensions, follow_symlinks=follow_symlinks, nested=nested,
+                                 resume=resume)
 
     def merge(self, source_paths: Iterable[str], scan_id: str = "merged") -> None:
         """Merge other catalogues into this one (first source wins, missing skipped)."""
@@ -117,14 +118,14 @@ class Ledger:
 
     def extract_by_uuid(self, uuid: str, output_dir: str, file_name: str | None = None,
                         choice: int | str = 1) -> DataFrame:
-        """Extract from one archive; ``"all"`` is allowed for at most 10 matches."""
+        """Extract from one archive: match number ``choice``, or ``"all"``."""
         self._audit("extract_by_uuid", uuid=uuid, file_name=file_name, output_dir=output_dir, choice=choice)
         cond = F.col("archive_uuid") == uuid
         if file_name:
             cond = cond & like_contains("file_name", file_name)
         order = S.size_desc() if file_name else S.name_asc()
         m = S.matched(self.catalog(), cond)
-        return X.extract(S.pick(m, order, choice, all_max=10).drop("choice"), order, output_dir)
+        return X.extract(S.pick(m, order, choice).drop("choice"), order, output_dir)
 
     def extract_all(self, output_dir: str) -> DataFrame:
         """Every catalogued entry, archives by name, entries by file name."""
@@ -179,4 +180,5 @@ class Ledger:
         from zipledger.streaming.watch import watch
         self._audit("watch", folders=folders, available_now=available_now)
         return watch(self.spark, folders, self.path, checkpoint_location, all_files=all_files,
-                     available_now=available_now, max_files_per_trigger=max_files_per_trigger)
+                     available_now=available_now, max_files_per_trigger=max_files_per_trigger,
+                     path_style=self.path_style)

@@ -46,11 +46,11 @@ def extension(c) -> Column:
     return F.regexp_extract(F.lower(basename(c)), r"(?s)^\.*[^.].*(\.[^.]*)\z", 1)
 
 
-def is_target(c, all_files: bool = False, extensions: Iterable[str] = VIDEO_EXTENSIONS) -> Column:
-    """Target-file predicate: every file when ``all_files``, else by extension."""
+def is_target(c, all_files: bool = False, extensions: Iterable[str] | None = None) -> Column:
+    """Target-file predicate: every file when ``all_files``, else by extension (video by default)."""
     if all_files:
         return F.lit(True)
-    return extension(c).isin([e.lower() for e in extensions])
+    return extension(c).isin([e.lower() for e in (VIDEO_EXTENSIONS if extensions is None else extensions)])
 
 
 def is_directory_entry(c) -> Column:

@@ -3,19 +3,17 @@ categories, date filters, integrity check)."""
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from zipledger.functions.paths import extension
 from zipledger.sources.catalog import Catalog
-from zipledger.sources.fs import open_binary
-
-CHUNK = 4096
+from zipledger.sources.slices import each_entry, sliced, told
 
 
 def same_file_across_archives(entries: DataFrame, hash_col: str = "file_hash") -> DataFrame:
@@ -63,14 +61,22 @@ def filter_ratio(entries: DataFrame, max_ratio: float) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, key: str = "path_in_archive") -> DataFrame:
-    """Entry-level diff of two archives: added, removed, changed, same."""
-    lft = left.select(F.col(key).alias("key"), F.col("file_size").alias("left_size"))
-    rgt = right.select(F.col(key).alias("key"), F.col("file_size").alias("right_size"))
-    j = lft.join(rgt, "key", "full")
-    status = (F.when(F.col("left_size").isNull(), "added")
-              .when(F.col("right_size").isNull(), "removed")
-              .when(F.col("left_size") != F.col("right_size"), "changed")
-              .otherwise("same"))
+    """Entry-level diff of two archives: added, removed, changed, same.
+
+    Entries with one path are matched in their order. Equal sizes with unequal checksums
+    are changed; where a checksum is unknown, the size decides."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        crc = F.col("crc32") if "crc32" in df.columns else F.lit(None).cast("long")
+        order = F.col("entry_ordinal") if "entry_ordinal" in df.columns else F.lit(0)
+        nth = F.row_number().over(W.partitionBy(key).orderBy(order))
+        return df.select(F.col(key).alias("key"), nth.alias("nth"), F.col("file_size").alias(f"{name}_size"),
+                         crc.alias(f"{name}_crc"))
+
+    j = side(left, "left").join(side(right, "right"), ["key", "nth"], "full")
+    differs = (F.col("left_size") != F.col("right_size")) | F.coalesce(
+        F.col("left_crc") != F.col("right_crc"), F.lit(False))
+    status = (F.when(F.col("left_size").isNull(), "added").when(F.col("right_size").isNull(), "removed")
+              .when(differs, "changed").otherwise("same"))
     return j.select(F.col("key").alias(key), "left_size", "right_size", status.alias("status"))
 
 
@@ -95,53 +101,30 @@ _CRC = StructType([
 ])
 
 
-def _crc_rows():
-    def run(batches):
-        cur, zf, fh, bad, infos = None, None, None, None, None
-        try:
-            for pdf in batches:
-                out = []
-                for apath, ordinal in zip(pdf["archive_path"], pdf["entry_ordinal"]):
-                    if apath != cur:
-                        for h in (zf, fh):
-                            if h is not None:
-                                h.close()
-                        cur, zf, fh, bad = apath, None, None, None
-                        try:
-                            fh = open_binary(apath)
-                            zf = zipfile.ZipFile(fh)
-                            infos = zf.infolist()
-                        except Exception as e:
-                            bad = f"{type(e).__name__}: {e}"
-                    if bad is not None:
-                        out.append((apath, None if pd.isna(ordinal) else int(ordinal), "error", bad))
-                        continue
-                    try:
-                        with zf.open(infos[int(ordinal)]) as src:  # reading to EOF checks the CRC
-                            while src.read(1 << 20):
-                                pass
-                        out.append((apath, int(ordinal), "ok", None))
-                    except Exception as e:
-                        out.append((apath, int(ordinal), "corrupt", f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=[f.name for f in _CRC.fields])
-        finally:
-            for h in (zf, fh):
-                if h is not None:
-                    h.close()
-    return run
-
-
-def integrity_check(raw: DataFrame, tasks: int | None = None) -> DataFrame:
+def _check_entry(opened, row) -> tuple:
+    path, ordinal = row["archive_path"], row["entry_ordinal"]
+    ordinal = None if pd.isna(ordinal) else int(ordinal)
+    try:
+        info = opened.entry(path, ordinal or 0)
+    except Exception as e:
+        return (path, ordinal, "error", told(e))
+    try:
+        with opened.zip.open(info) as src:  # reading to the end checks the CRC
+            while src.read(1 << 20):
+                pass
+        return (path, ordinal, "ok", None)
+    except Exception as e:
+        return (path, ordinal, "corrupt", told(e))
+
+
+def integrity_check(raw: DataFrame) -> DataFrame:
     """Per archive: ``ok``, ``corrupt`` (first bad entry) or ``error`` (unreadable).
 
     ``raw`` are reader rows (every entry incl. non-targets, and error rows).
-    Entries are checked in (archive, ordinal chunk) slices on many tasks.
+    Entries are checked in slices of even size on many tasks.
     """
-    n = tasks or max(2 * raw.sparkSession.sparkContext.defaultParallelism, 2)
-    work = (raw.select("archive_path", "entry_ordinal")
-            .repartition(n, "archive_path", F.floor(F.coalesce(F.col("entry_ordinal"), F.lit(0)) / CHUNK))
-            .sortWithinPartitions("archive_path", "entry_ordinal")
-            .mapInPandas(_crc_rows(), _CRC))
+    wanted = [c for c in ("archive_path", "entry_ordinal", "compressed_size") if c in raw.columns]
+    work = sliced(raw.select(*wanted)).mapInPandas(each_entry(_check_entry, _CRC.fieldNames()), _CRC)
     rank = F.when(F.col("status") == "error", 2).when(F.col("status") == "corrupt", 1).otherwise(0)
     return (work.groupBy("archive_path")
             .agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("checked"),
@@ -154,66 +137,47 @@ def integrity_check(raw: DataFrame, tasks: int | None = None) -> DataFrame:
 
 _TEXT = StructType([
     StructField("archive_path", StringType(), False),
+    StructField("path_in_archive", StringType(), False),
     StructField("entry_ordinal", IntegerType(), False),
+    StructField("file_name", StringType(), True),
+    StructField("file_size", LongType(), True),
     StructField("text", StringType(), True),
     StructField("error", StringType(), True),
 ])
 
 
-def _text_rows(encoding: str):
-    def run(batches):
-        cur, zf, fh, bad, infos = None, None, None, None, None
+def _read_text(encoding: str):
+    def make(opened, row) -> tuple:
+        key = tuple(row[c] for c in ("archive_path", "path_in_archive", "entry_ordinal", "file_name", "file_size"))
         try:
-            for pdf in batches:
-                out = []
-                for apath, ordinal in zip(pdf["archive_path"], pdf["entry_ordinal"]):
-                    if apath != cur:
-                        for h in (zf, fh):
-                            if h is not None:
-                                h.close()
-                        cur, zf, fh, bad = apath, None, None, None
-                        try:
-                            fh = open_binary(apath)
-                            zf = zipfile.ZipFile(fh)
-                            infos = zf.infolist()
-                        except Exception as e:
-                            bad = f"{type(e).__name__}: {e}"
-                    if bad is not None:
-                        out.append((apath, int(ordinal), None, bad))
-                        continue
-                    try:
-                        with zf.open(infos[int(ordinal)]) as src:   # the whole entry, never a prefix
-                            out.append((apath, int(ordinal), src.read().decode(encoding, errors="replace"), None))
-                    except Exception as e:
-                        out.append((apath, int(ordinal), None, f"{type(e).__name__}: {e}"))
-                    if len(out) >= 256:
-                        yield pd.DataFrame(out, columns=[f.name for f in _TEXT.fields])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=[f.name for f in _TEXT.fields])
-        finally:
-            for h in (zf, fh):
-                if h is not None:
-                    h.close()
-    return run
+            info = opened.entry(row["archive_path"], int(row["entry_ordinal"]))
+            with opened.zip.open(info) as src:   # the whole entry, never a prefix
+                return (*key, src.read().decode(encoding, errors="replace"), None)
+        except Exception as e:
+            return (*key, None, told(e))
+    return make
+
+
+def entry_texts(cat: Catalog, extensions=(".txt",), encoding: str = "utf-8") -> DataFrame:
+    """Whole decoded contents of entries (``extensions=None``: of all), or why they cannot be read."""
+    ent = cat.entries
+    if extensions is not None:
+        ent = ent.filter(extension("path_in_archive").isin([e.lower() for e in extensions]))
+    ent = ent.join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid").select(
+        "archive_path", "path_in_archive", "entry_ordinal", "file_name", "file_size", "compressed_size")
+    return sliced(ent).mapInPandas(each_entry(_read_text(encoding), _TEXT.fieldNames()), _TEXT)
 
 
 def search_text(cat: Catalog, pattern: str, extensions=(".txt",), ignore_case: bool = False,
-                encoding: str = "utf-8", tasks: int | None = None) -> DataFrame:
-    """Entries with a text extension whose whole decoded content matches ``pattern``.
+                encoding: str = "utf-8", errors: bool = False) -> DataFrame:
+    """Entries whose whole decoded content matches ``pattern``.
 
-    Contents are read on the executors in (archive, ordinal chunk) slices and
-    handed to Spark in small batches; the regular expression runs JVM-side.
+    Contents are read on the executors and handed to Spark in batches of bounded bytes;
+    the regular expression runs JVM-side. ``errors`` returns the entries that could not
+    be read instead.
     """
-    ent = (cat.entries.filter(extension("path_in_archive").isin([e.lower() for e in extensions]))
-           .select("archive_uuid", "path_in_archive", "entry_ordinal", "file_name", "file_size")
-           .join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid"))
-    n = tasks or max(2 * ent.sparkSession.sparkContext.defaultParallelism, 2)
-    texts = (ent.select("archive_path", "entry_ordinal")
-             .repartition(n, "archive_path", F.floor(F.col("entry_ordinal") / CHUNK))
-             .sortWithinPartitions("archive_path", "entry_ordinal")
-             .mapInPandas(_text_rows(encoding), _TEXT))
+    texts = entry_texts(cat, extensions, encoding)
+    if errors:
+        return texts.filter(F.col("error").isNotNull()).drop("text")
     hit = texts.filter(F.col("text").rlike(("(?i)" if ignore_case else "") + pattern))
-    return (hit.select("archive_path", "entry_ordinal")
-            .join(ent.select("archive_path", "entry_ordinal", "path_in_archive", "file_name", "file_size"),
-                  ["archive_path", "entry_ordinal"]))
+    return hit.select("archive_path", "entry_ordinal", "path_in_archive", "file_name", "file_size")

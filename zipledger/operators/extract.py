@@ -4,23 +4,25 @@
    (``plan_pos``, :func:`global_row_number`), and every entry gets its output
    name from the collision rule (:func:`zipledger.operators.alloc.allocate`)
    *before* anything is written, so a retried task writes the same names.
-2. **Run**: the plan is spread by ``(archive_path, entry_ordinal div CHUNK)``;
+2. **Run**: the plan is dealt in slices of even bytes (:mod:`zipledger.sources.slices`);
    a task opens each of its archives once and copies its entries in 1 MiB
-   chunks to a temporary name, then renames it into place. An archive with
-   many selected entries is split over several tasks (each opens it once).
+   chunks to a temporary name, then links it to its own, which fails if another
+   file has taken that name since. An entry is what its archive holds at its
+   ordinal, so entries of one name are each extracted with their own bytes.
    Missing entries and unreadable archives become error rows, not failures.
 3. The results are written once to a table in the shared folder, so the side
    effects happen once per run and later queries (tallies) reuse them.
 
-Output folders must be visible to every executor (a shared mount).
+Output folders must be visible to every executor: a shared mount, or a URI that
+pyarrow writes to.
 """
 
 from __future__ import annotations
 
+import filecmp
 import hashlib
 import os
 import uuid as _uuid
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,24 +33,32 @@ from zipledger.operators.alloc import allocate
 from zipledger.operators.ranking import global_row_number
 from zipledger.schemas import EXTRACT_RESULT
 from zipledger.session import materialize
-from zipledger.sources.fs import open_binary
+from zipledger.sources.fs import local_path
+from zipledger.sources.slices import each_entry, sliced, told
 
-CHUNK = 4096       # directory positions of one archive per extraction task
 COPY_BYTES = 1 << 20
 _RES_COLS = [f.name for f in EXTRACT_RESULT.fields]
 
 
+def _names(batches):
+    for pdf in batches:
+        for folder in pdf["folder"]:
+            local = local_path(folder)
+            if local is not None:
+                names = os.listdir(local) if os.path.isdir(local) else []
+            else:
+                from pyarrow import fs as pafs
+                filesystem, inner = pafs.FileSystem.from_uri(folder)
+                chosen = pafs.FileSelector(inner, allow_not_found=True)
+                names = [i.base_name for i in filesystem.get_file_info(chosen)]
+            for i in range(0, len(names), 10000):
+                yield pd.DataFrame({"name": names[i:i + 10000]})
+
+
 def existing_names(spark, output_dir: str) -> DataFrame:
-    """Names already present in ``output_dir`` (listed on an executor)."""
-    from zipledger.sources.listing import walk
-    if not os.path.isdir(output_dir):
-        return spark.createDataFrame([], "name string")
-    with os.scandir(output_dir) as it:          # O(1): is there anything at all?
-        if next(it, None) is None:
-            return spark.createDataFrame([], "name string")
-    roots = spark.createDataFrame([(output_dir, None)], "root string, drive string")
-    return walk(spark, roots, excluded=(), max_depth=1).filter(F.col("error").isNull()).select(
-        F.col("name"))
+    """Names already present in ``output_dir``, as the executors see it."""
+    folder = spark.createDataFrame([(output_dir,)], "folder string")
+    return materialize(folder.mapInPandas(_names, "name string"), "existing-names")
 
 
 def plan(matches: DataFrame, order: list[Column], output_dir: str,
@@ -64,75 +74,73 @@ def plan(matches: DataFrame, order: list[Column], output_dir: str,
                         F.concat(F.lit(out_dir + "/"), F.col("out_name")).alias("output_path"))
 
 
-def _extract_rows():
-    def run(batches):
-        cur, zf, fh, bad = None, None, None, None
-
-        def close():
-            if zf is not None:
-                zf.close()
-            if fh is not None:
-                fh.close()
-
-        try:
-            for pdf in batches:
-                out = []
-                for pos, apath, member, target in zip(pdf["plan_pos"], pdf["archive_path"],
-                                                      pdf["path_in_archive"], pdf["output_path"]):
-                    if apath != cur:
-                        close()
-                        cur, zf, fh, bad = apath, None, None, None
-                        try:
-                            fh = open_binary(apath)
-                            zf = zipfile.ZipFile(fh)
-                        except Exception as e:
-                            bad = f"{type(e).__name__}: {e}"
-                    if bad is not None:
-                        out.append((int(pos), apath, member, target, "error", None, None, bad))
-                        continue
-                    try:
-                        info = zf.getinfo(member)
-                    except KeyError:
-                        out.append((int(pos), apath, member, target, "missing", None, None,
-                                    f"File '{member}' not found in ZIP archive"))
-                        continue
-                    tmp = f"{target}.{_uuid.uuid4().hex}.part"
-                    try:
-                        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-                        h, n = hashlib.sha256(), 0
-                        with zf.open(info) as src, open(tmp, "wb") as dst:
-                            while True:
-                                chunk = src.read(COPY_BYTES)
-                                if not chunk:
-                                    break
-                                dst.write(chunk)
-                                h.update(chunk)
-                                n += len(chunk)
-                        os.replace(tmp, target)
-                        out.append((int(pos), apath, member, target, "ok", n, h.hexdigest(), None))
-                    except Exception as e:
-                        if os.path.exists(tmp):
-                            os.remove(tmp)
-                        out.append((int(pos), apath, member, target, "error", None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=_RES_COLS)
-        finally:
-            close()
-    return run
-
-
-def run(planned: DataFrame, tasks: int | None = None) -> DataFrame:
+def _publish(tmp: str, target: str) -> None:
+    """Give a finished file its name unless a file that is not ours has it."""
+    try:
+        os.link(tmp, target)   # fails if the name is taken, atomically
+    except FileExistsError:
+        if not filecmp.cmp(tmp, target, shallow=False):   # the same bytes: an earlier attempt of this task
+            raise
+    os.remove(tmp)
+
+
+def _copy(src, target: str) -> tuple[int, str]:
+    """Write a stream to a path or URI; (bytes, sha256)."""
+    h, n = hashlib.sha256(), 0
+    local = local_path(target)
+    if local is None:
+        from pyarrow import fs as pafs
+        filesystem, inner = pafs.FileSystem.from_uri(target)
+        if filesystem.get_file_info(inner).type != pafs.FileType.NotFound:
+            raise FileExistsError(target)
+        out, tmp = filesystem.open_output_stream(inner), None
+    else:
+        os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
+        tmp = f"{local}.{_uuid.uuid4().hex}.part"
+        out = open(tmp, "wb")
+    try:
+        with out as dst:
+            while chunk := src.read(COPY_BYTES):
+                dst.write(chunk)
+                h.update(chunk)
+                n += len(chunk)
+        if tmp is not None:
+            _publish(tmp, local)
+    finally:
+        if tmp is not None and os.path.exists(tmp):
+            os.remove(tmp)
+    return n, h.hexdigest()
+
+
+def _extract_entry(opened, row) -> tuple:
+    path, member, ordinal = row["archive_path"], row["path_in_archive"], row["entry_ordinal"]
+    ordinal = None if pd.isna(ordinal) else int(ordinal)
+    key = (int(row["plan_pos"]), path, member, ordinal, row["output_path"])
+    try:
+        opened.entry(path, 0) if ordinal is None else None
+        infos = opened.infos if ordinal is None else [opened.entry(path, ordinal)]
+        # without an ordinal the last of the entries with the name is meant
+        info = next((i for i in reversed(infos) if i.filename == member), None)
+    except IndexError:
+        info = None
+    except Exception as e:
+        return (*key, "error", None, None, told(e))
+    if info is None:
+        return (*key, "missing", None, None, f"File '{member}' not found in ZIP archive")
+    try:
+        with opened.zip.open(info) as src:
+            return (*key, "ok", *_copy(src, row["output_path"]), None)
+    except Exception as e:
+        return (*key, "error", None, None, told(e))
+
+
+def run(planned: DataFrame) -> DataFrame:
     """Execute a plan once; returns the result rows (``EXTRACT_RESULT``)."""
-    n = tasks or max(2 * planned.sparkSession.sparkContext.defaultParallelism, 2)
-    # slices of one archive by directory position: an archive is opened at most
-    # ceil(entries / CHUNK) times, whatever order the plan has
-    cols = planned.columns
-    pos = F.coalesce(F.col("entry_ordinal"), F.col("plan_pos")) if "entry_ordinal" in cols else F.col("plan_pos")
-    work = (planned.select("plan_pos", "archive_path", "path_in_archive", "output_path", pos.alias("_slice_pos"))
-            .repartition(n, "archive_path", F.floor(F.col("_slice_pos") / CHUNK))
-            .drop("_slice_pos")
-            .sortWithinPartitions("archive_path", "plan_pos")
-            .mapInPandas(_extract_rows(), EXTRACT_RESULT))
-    return materialize(work, "extract-results")
+    ordinal = F.col("entry_ordinal") if "entry_ordinal" in planned.columns else F.lit(None).cast("int")
+    work = planned.select("plan_pos", "archive_path", "path_in_archive", ordinal.alias("entry_ordinal"),
+                          "output_path", "file_size")
+    work = sliced(work, "entry_ordinal", "plan_pos", size="file_size")
+    return materialize(work.mapInPandas(each_entry(_extract_entry, _RES_COLS), EXTRACT_RESULT), "extract-results")
 
 
 def extract(matches: DataFrame, order: list[Column], output_dir: str, skip_existing_scan: bool = False) -> DataFrame:
@@ -142,22 +150,34 @@ def extract(matches: DataFrame, order: list[Column], output_dir: str, skip_exist
     return run(plan(matches, order, output_dir, existing))
 
 
+_ENTRY = ["archive_path", "path_in_archive", "entry_ordinal"]
+
+
+def _same_entry(left: DataFrame, right: DataFrame):
+    """Entries are the same by archive, path and place; where a side has no place, by path."""
+    same = (left["archive_path"] == right["archive_path"]) & (left["path_in_archive"] == right["path_in_archive"])
+    if "entry_ordinal" in left.columns and "entry_ordinal" in right.columns:
+        same = same & (left["entry_ordinal"] == right["entry_ordinal"])
+    return same
+
+
 def remaining(matches: DataFrame, results: DataFrame) -> DataFrame:
     """Matches a previous run has not extracted successfully (resume)."""
-    done = results.filter(F.col("status") == "ok").select("archive_path", "path_in_archive")
-    return matches.join(done, ["archive_path", "path_in_archive"], "left_anti")
+    done = results.filter(F.col("status") == "ok").select(*_ENTRY)
+    return matches.join(done, _same_entry(matches, done), "left_anti")
 
 
 def validate(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Check extracted files against expected ``file_size`` and ``file_hash``.
 
-    ``expected`` has ``archive_path, path_in_archive, file_size, file_hash``
+    ``expected`` has ``archive_path, path_in_archive, entry_ordinal, file_size, file_hash``
     (the hash may be NULL, then only the size is checked).
     """
-    j = results.join(expected, ["archive_path", "path_in_archive"], "left")
+    j = results.join(expected, _same_entry(results, expected), "left").select(
+        results["*"], expected["file_size"], expected["file_hash"])
     verdict = (F.when(F.col("status") != "ok", F.col("status"))
                .when(F.col("file_size").isNull(), F.lit("unknown"))
                .when(F.col("bytes_written") != F.col("file_size"), F.lit("size_mismatch"))
                .when(F.col("file_hash").isNotNull() & (F.col("sha256") != F.col("file_hash")), F.lit("hash_mismatch"))
                .otherwise(F.lit("valid")))
-    return j.select("archive_path", "path_in_archive", "output_path", verdict.alias("verdict"))
+    return j.select("archive_path", "path_in_archive", "entry_ordinal", "output_path", verdict.alias("verdict"))

@@ -3,25 +3,21 @@
 These are documented in the reference (columns exist, README promises them)
 without code; they are built from that intent as plain DataFrame plans.
 Hashing reads entry bytes on the executors and is limited to entries whose
-size collides with another entry's (a file with a unique size cannot have a
-duplicate), so most entries are never read.
+size and checksum collide with another entry's, so most entries are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import time
-import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zipledger.schemas import HASHED
 from zipledger.sources.catalog import Catalog
-from zipledger.sources.fs import open_binary
+from zipledger.sources.slices import each_entry, sliced, told
 
-CHUNK = 4096
+_KEY = ["archive_path", "path_in_archive", "entry_ordinal", "archive_uuid", "file_size"]
 _HASH_COLS = [f.name for f in HASHED.fields]
 
 
@@ -34,75 +30,59 @@ def duplicate_groups(entries: DataFrame, hash_col: str = "file_hash") -> DataFra
 
 
 def size_collisions(entries: DataFrame) -> DataFrame:
-    """Entries whose size occurs more than once (the only duplicate candidates)."""
-    sizes = entries.groupBy("file_size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return entries.join(sizes.select("file_size"), "file_size", "left_semi")
-
-
-def _hash_rows():
-    def run(batches):
-        cur, zf, fh, bad = None, None, None, None
-        try:
-            for pdf in batches:
-                out = []
-                for apath, member, ordinal in zip(pdf["archive_path"], pdf["path_in_archive"], pdf["entry_ordinal"]):
-                    if apath != cur:
-                        if zf is not None:
-                            zf.close()
-                        if fh is not None:
-                            fh.close()
-                        cur, zf, fh, bad = apath, None, None, None
-                        try:
-                            fh = open_binary(apath)
-                            zf = zipfile.ZipFile(fh)
-                            infos = zf.infolist()
-                        except Exception as e:
-                            bad = f"{type(e).__name__}: {e}"
-                    if bad is not None:
-                        out.append((apath, member, int(ordinal), None, bad))
-                        continue
-                    try:
-                        info = infos[int(ordinal)]
-                        h = hashlib.sha256()
-                        with zf.open(info) as src:
-                            while True:
-                                chunk = src.read(1 << 20)
-                                if not chunk:
-                                    break
-                                h.update(chunk)
-                        out.append((apath, member, int(ordinal), h.hexdigest(), None))
-                    except Exception as e:
-                        out.append((apath, member, int(ordinal), None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=_HASH_COLS)
-        finally:
-            if zf is not None:
-                zf.close()
-            if fh is not None:
-                fh.close()
-    return run
-
-
-def hash_entries(entries: DataFrame, tasks: int | None = None) -> DataFrame:
-    """sha256 of entry contents (``archive_path``, ``path_in_archive``, ``entry_ordinal`` in).
-
-    Work is spread by (archive, ordinal chunk), so one huge archive is hashed
-    by several tasks; each task opens an archive once per chunk.
-    """
-    n = tasks or max(2 * entries.sparkSession.sparkContext.defaultParallelism, 2)
-    return (entries.select("archive_path", "path_in_archive", "entry_ordinal")
-            .repartition(n, "archive_path", F.floor(F.col("entry_ordinal") / CHUNK))
-            .sortWithinPartitions("archive_path", "entry_ordinal")
-            .mapInPandas(_hash_rows(), HASHED))
-
-
-def duplicates_by_content(cat: Catalog) -> DataFrame:
-    """Duplicate groups for a catalogue without stored hashes (hash on demand)."""
+    """Entries whose size and checksum occur more than once (the only duplicate candidates).
+
+    The checksum of the central directory costs no read; where it is unknown (null), the
+    size alone decides."""
+    if "crc32" not in entries.columns:
+        entries = entries.withColumn("crc32", F.lit(None).cast("long"))
+    sizes = entries.groupBy("file_size").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("crc32").alias("_known")).filter("_n > 1")
+    sums = entries.groupBy("file_size", "crc32").agg(F.count(F.lit(1)).alias("_m"))
+    # of a size that has entries without a checksum, every entry is a candidate
+    pairs = sums.join(sizes, "file_size").filter((F.col("_m") > 1) | (F.col("_known") < F.col("_n")))
+    pairs = pairs.select(F.col("file_size").alias("_size"), F.col("crc32").alias("_crc"))
+    return entries.join(pairs, (F.col("file_size") == F.col("_size")) & F.col("crc32").eqNullSafe(F.col("_crc")),
+                        "left_semi")
+
+
+def _hash_entry(opened, row) -> tuple:
+    key = (row["archive_path"], row["path_in_archive"], int(row["entry_ordinal"]), row["archive_uuid"], row["file_size"])
+    try:
+        info = opened.entry(row["archive_path"], int(row["entry_ordinal"]))
+        h = hashlib.sha256()
+        with opened.zip.open(info) as src:
+            while chunk := src.read(1 << 20):
+                h.update(chunk)
+        return (*key, h.hexdigest(), None)
+    except Exception as e:
+        return (*key, None, told(e))
+
+
+def hash_entries(entries: DataFrame) -> DataFrame:
+    """sha256 of entry contents; entries that cannot be read have an error message."""
+    for name, kind in (("archive_uuid", "string"), ("file_size", "long")):
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(None).cast(kind))
+    wanted = [*_KEY, *(["compressed_size"] if "compressed_size" in entries.columns else [])]
+    return sliced(entries.select(*wanted)).mapInPandas(each_entry(_hash_entry, _HASH_COLS), HASHED)
+
+
+def hashed_candidates(cat: Catalog) -> DataFrame:
+    """Content hashes (or errors) of all entries that may have a duplicate."""
     ent = cat.entries.join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid")
-    cand = size_collisions(ent)
-    hashed = hash_entries(cand)
-    with_hash = cand.join(hashed.select("archive_path", "entry_ordinal", "content_hash"),
-                          ["archive_path", "entry_ordinal"])
-    return duplicate_groups(with_hash, "content_hash")
+    return hash_entries(size_collisions(ent))
+
+
+def duplicates_by_content(cat: Catalog, errors: bool = False) -> DataFrame:
+    """Duplicate groups for a catalogue without stored hashes (hash on demand).
+
+    ``errors`` returns the candidates that could not be read instead."""
+    hashed = hashed_candidates(cat)
+    if errors:
+        return hashed.filter(F.col("content_hash").isNull()).select(
+            "archive_path", "path_in_archive", "entry_ordinal", "error_message")
+    return duplicate_groups(hashed, "content_hash")
 
 
 # ---- validation (B-3) -----------------------------------------------------------
@@ -133,18 +113,11 @@ def size_drift(cat: Catalog, listing: DataFrame) -> DataFrame:
 
 
 # ---- preview / resume / metrics (B-4, B-5, B-6) -----------------------------------
-def scan_resume(listing: DataFrame, cat: Catalog) -> DataFrame:
-    """Listed archives not yet registered (what a resumed scan still has to do)."""
-    return listing.join(cat.archives.select("archive_path"), "archive_path", "left_anti")
-
-
-def scan_metrics_row(cat: Catalog, started: float, finished: float | None = None) -> DataFrame:
-    """One ``scan_metrics`` row from the catalogue summary and the run duration."""
-    from zipledger.operators.stats import summary
-    dur = (finished or time.time()) - started
-    s = summary(cat)
-    return s.select(F.col("drives").cast("long").alias("total_drives"),
-                    F.col("zip_files").alias("total_zip_files"),
-                    F.col("video_files").alias("total_video_files"),
-                    F.col("total_size").alias("total_size_bytes"),
-                    F.lit(float(dur)).alias("scan_duration_seconds"))
+def scan_resume(listing: DataFrame, progress: DataFrame) -> DataFrame:
+    """Listed archives that ``progress`` (``SCAN_PROGRESS`` rows) does not have as they are
+    now: what a resumed scan still has to do."""
+    seen = progress.select("archive_path", F.col("file_size").alias("_size"),
+                           F.col("last_modified").alias("_mtime")).distinct()
+    same = ((listing["archive_path"] == seen["archive_path"]) & listing["file_size"].eqNullSafe(F.col("_size"))
+            & listing["last_modified"].eqNullSafe(F.col("_mtime")))
+    return listing.join(seen, same, "left_anti")

@@ -127,21 +127,15 @@ def number_choices(matches: DataFrame, order: list[Column]) -> DataFrame:
     return global_row_number(matches, order, "choice")
 
 
-def pick(matches: DataFrame, order: list[Column], choice: int | str,
-         all_max: int | None = None) -> DataFrame:
+def pick(matches: DataFrame, order: list[Column], choice: int | str) -> DataFrame:
     """Select the ``choice``-th match, or every match for ``"all"``.
 
-    ``all_max`` bounds ``"all"`` (the by-uuid rule allows it for at most 10
-    matches); an out-of-range number selects nothing.
+    An out-of-range number selects nothing; another string raises ``ValueError``.
     """
     if isinstance(choice, str):
         if choice.lower() != "all":
-            return matches.limit(0).withColumn("choice", F.lit(None).cast("long"))
-        numbered = number_choices(matches, order)
-        if all_max is not None:
-            n = matches.select(F.count(F.lit(1)))
-            numbered = numbered.filter(n.scalar() <= F.lit(all_max))
-        return numbered
+            raise ValueError(f"choice is a number or 'all', not {choice!r}")
+        return number_choices(matches, order)
     if choice < 1:
         return matches.limit(0).withColumn("choice", F.lit(None).cast("long"))
     return (matches.orderBy(*order).offset(choice - 1).limit(1)

@@ -7,7 +7,6 @@ folder below the shared folder.
 
 from __future__ import annotations
 
-import os
 import uuid as _uuid
 
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from zipledger.plans.registry import UUID_PATH, VIDEO_EXT_SQL, register
 from zipledger.plans.scan_queries import _run_scan_job, rel
 from zipledger.session import shared_dir
 from zipledger.sources.catalog import Catalog
+from zipledger.sources.fs import path_exists
 
 
 def fixture_catalog(spark, sf_dir):
@@ -30,11 +30,21 @@ def fixture_catalog(spark, sf_dir):
     from zipledger.plans.scan_queries import _catalog_path, fixture
     base, _ = fixture(spark, sf_dir)
     path = _catalog_path(spark, sf_dir)
-    marker = os.path.join(path, "_REGISTERED")
-    if not os.path.exists(marker):
-        _run_scan_job(spark, sf_dir)
-        with open(marker, "w") as fh:
-            fh.write("ok\n")
+    if not path_exists(f"{path}/manifest", spark):
+        _run_scan_job(spark, sf_dir, path)
+    return base, Catalog.read(spark, path)
+
+
+def full_catalog(spark, sf_dir):
+    """(fixture root, catalogue of all files of the fixture archives); scanned once."""
+    import datetime as _dt
+
+    from zipledger.plans.scan import scan_and_register
+    from zipledger.plans.scan_queries import _catalog_path, fixture
+    base, roots = fixture(spark, sf_dir)
+    path = _catalog_path(spark, sf_dir) + "-all"
+    if not path_exists(f"{path}/manifest", spark):
+        scan_and_register(spark, roots, path, "all-files", all_files=True, scan_ts=_dt.datetime(2024, 1, 2), scan_seq=1)
     return base, Catalog.read(spark, path)
 
 
@@ -89,17 +99,14 @@ def q_extract_run(spark, sf_dir):
 
 
 @register("extract_by_uuid", _with_v(f"""
-SELECT {_RUN_COLS} FROM (
-  SELECT v.*, COUNT(*) OVER () AS n FROM v
-  WHERE archive_path = '{UUID_PATH}'
-    AND translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vid-000%') x
-JOIN documents d USING (doc_id) WHERE n <= 10"""))
+SELECT {_RUN_COLS} FROM v JOIN documents d USING (doc_id)
+WHERE archive_path = '{UUID_PATH}'"""))
 def q_extract_by_uuid(spark, sf_dir):
-    # "all" matches of one archive, allowed for at most 10 matches
+    # every entry of one archive
     base, cat = fixture_catalog(spark, sf_dir)
     uuid = archive_uuid_py(base + UUID_PATH)
-    m = S.matched(cat, (F.col("archive_uuid") == uuid) & like_contains("file_name", "vid-000"))
-    chosen = S.pick(m, S.size_desc(), "all", all_max=10).drop("choice")
+    m = S.matched(cat, F.col("archive_uuid") == uuid)
+    chosen = S.pick(m, S.size_desc(), "all").drop("choice")
     res = X.extract(chosen, S.size_desc(), fresh_output(spark))
     return _result_cols(base, res)
 
@@ -138,7 +145,7 @@ def q_extract_validate(spark, sf_dir):
     d = derived(spark, sf_dir)
     expected = (d.entries.join(d.archives.select("archive_uuid", "archive_path"), "archive_uuid")
                 .select(F.concat(F.lit(base), F.col("archive_path")).alias("archive_path"),
-                        "path_in_archive", "file_size", "file_hash"))
+                        "path_in_archive", "file_size", "file_hash"))   # paths are unique there
     v = X.validate(res, expected)
     return v.select(rel(base).alias("rel_path"), "path_in_archive", "verdict")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-import time
 import uuid as _uuid
 
 from pyspark.sql import functions as F
@@ -15,13 +14,14 @@ from zipledger.operators import extract as X
 from zipledger.operators import quality as Q
 from zipledger.operators import search as S
 from zipledger.operators.stats import list_archives
-from zipledger.plans.extract_queries import _V, fixture_catalog
+from zipledger.plans.extract_queries import _V, fixture_catalog, full_catalog
 from zipledger.plans.oracle_sql import ENT0, ext_of, with_catalog
 from zipledger.plans.registry import SEARCH_COLS, UUID, UUID_PATH, VIDEO_EXT_SQL, cat, register
-from zipledger.plans.scan_queries import _catalog_path, fixture, rel
+from zipledger.plans.scan_queries import _ALL_ARCHIVES, _catalog_path, fixture, rel
 from zipledger.plans.scan import list_roots
 from zipledger.session import shared_dir
-from zipledger.sources.catalog import Catalog
+from zipledger.schemas import SCAN_METRICS, SCAN_PROGRESS
+from zipledger.sources.catalog import Catalog, visible
 from zipledger.sources.packer import entry_datetime_sql
 from zipledger.sources.reader import read_central_directories
 from zipledger.streaming.watch import watch
@@ -31,6 +31,12 @@ def _with_v(select_sql: str, extra: str = "") -> str:
     return f"WITH {ENT0.strip()},{_V}{(',' + extra.strip()) if extra else ''}\n{select_sql.strip()}"
 
 
+def _with_all(select_sql: str) -> str:
+    """Like ``_with_v``, with ``v`` holding every entry, whatever its type."""
+    return (f"WITH {ENT0.strip()},\nv AS (SELECT *, lang || '/' || file_name AS path_in_archive FROM ent0)\n"
+            f"{select_sql.strip()}")
+
+
 _DRIVE = "upper(split_part(archive_path, '/', 3)) || ':'"
 _BAD = "regexp_extract(archive_path, '^(.*/takeout-)', 1) || source || '-index.zip'"
 _FOLD = "translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,12 +50,12 @@ def q_dup_by_hash(spark, sf_dir):
     return Q.duplicate_groups(cat(spark, sf_dir).entries)
 
 
-@register("dup_by_content", _with_v("""
+@register("dup_by_content", _with_all("""
 SELECT file_size, sha256(d.text) AS file_hash, COUNT(*) AS copies, COUNT(DISTINCT v.archive_path) AS archives
 FROM v JOIN documents d USING (doc_id) GROUP BY file_size, sha256(d.text) HAVING COUNT(*) > 1"""))
 def q_dup_by_content(spark, sf_dir):
-    # the fixture catalogue stores no hashes: size-colliding entries are hashed on read
-    _, c = fixture_catalog(spark, sf_dir)
+    # scanned catalogues store no hashes: entries of equal size and checksum are hashed on read
+    _, c = full_catalog(spark, sf_dir)
     return Q.duplicates_by_content(c)
 
 
@@ -122,14 +128,17 @@ def q_validate_missing(spark, sf_dir):
     return Q.missing_archives(c, listing).select(rel(base).alias("rel_path"))
 
 
-@register("validate_size_drift", """
-SELECT CAST(NULL AS VARCHAR) AS rel_path, CAST(NULL AS BIGINT) AS file_size, CAST(NULL AS BIGINT) AS size_now
-WHERE FALSE""")
+@register("validate_size_drift", _with_v(f"""
+SELECT DISTINCT archive_path AS rel_path, CAST(7 AS BIGINT) AS grown FROM v WHERE {_DRIVE} = 'C:'"""))
 def q_validate_size_drift(spark, sf_dir):
+    # the archives of one drive have grown by seven bytes since the scan
     base, c = fixture_catalog(spark, sf_dir)
     _, roots = fixture(spark, sf_dir)
     listing, _ = list_roots(spark, roots, mode="takeout")
-    return Q.size_drift(c, listing).select(rel(base).alias("rel_path"), "file_size", "size_now")
+    grown = listing.withColumn("file_size", F.when(F.col("drive") == "C:", F.col("file_size") + 7)
+                               .otherwise(F.col("file_size")))
+    return Q.size_drift(c, grown).select(rel(base).alias("rel_path"),
+                                         (F.col("size_now") - F.col("file_size")).alias("grown"))
 
 
 # ---- B-4 / B-5 / B-6: preview, resume, metrics ------------------------------------------------
@@ -144,24 +153,36 @@ def q_scan_preview(spark, sf_dir):
             .select(rel(base).alias("rel_path"), "drive", "entries"))
 
 
-@register("scan_resume", f"WITH {ENT0.strip()} SELECT DISTINCT {_BAD} AS rel_path FROM ent0")
+@register("scan_resume", f"""
+WITH {ENT0.strip()},{_ALL_ARCHIVES} SELECT rel_path FROM all_arch WHERE drive = 'E:'""")
 def q_scan_resume(spark, sf_dir):
-    base, c = fixture_catalog(spark, sf_dir)
+    # after a full scan only archives that have changed since are left to do: here those of one drive
+    base, _ = full_catalog(spark, sf_dir)
     _, roots = fixture(spark, sf_dir)
     listing, _ = list_roots(spark, roots, mode="takeout")
-    return Q.scan_resume(listing, c).select(rel(base).alias("rel_path"))
+    edited = listing.withColumn("file_size", F.when(F.col("drive") == "E:", F.col("file_size") + 1)
+                                .otherwise(F.col("file_size")))
+    progress = visible(spark, _catalog_path(spark, sf_dir) + "-all", "scan_progress", SCAN_PROGRESS)
+    return Q.scan_resume(edited, progress).select(rel(base).alias("rel_path"))
 
 
-@register("scan_metrics", _with_v(f"""
+@register("scan_progress", f"""
+WITH {ENT0.strip()},{_ALL_ARCHIVES}
+SELECT rel_path, CASE WHEN archive_name LIKE '%-index.zip' THEN 'error' ELSE 'done' END AS status FROM all_arch""")
+def q_scan_progress(spark, sf_dir):
+    base, _ = full_catalog(spark, sf_dir)
+    progress = visible(spark, _catalog_path(spark, sf_dir) + "-all", "scan_progress", SCAN_PROGRESS)
+    return progress.select(rel(base).alias("rel_path"), "status")
+
+
+@register("scan_metrics", _with_all(f"""
 SELECT COUNT(DISTINCT {_DRIVE}) AS total_drives, COUNT(DISTINCT archive_path) AS total_zip_files,
        COUNT(*) AS total_video_files, CAST(SUM(file_size) AS BIGINT) AS total_size_bytes,
        TRUE AS has_duration FROM v"""))
 def q_scan_metrics(spark, sf_dir):
-    t0 = time.time()
-    _, c = fixture_catalog(spark, sf_dir)
-    row = Q.scan_metrics_row(c, t0)
-    path = _catalog_path(spark, sf_dir) + "/scan_metrics"
-    row.write.mode("append").parquet(path)
+    # the row the scan job wrote
+    full_catalog(spark, sf_dir)
+    row = visible(spark, _catalog_path(spark, sf_dir) + "-all", "scan_metrics", SCAN_METRICS)
     return row.select("total_drives", "total_zip_files", "total_video_files", "total_size_bytes",
                       (F.col("scan_duration_seconds") >= 0).alias("has_duration"))
 
@@ -170,11 +191,11 @@ def q_scan_metrics(spark, sf_dir):
 _MTIME = entry_datetime_sql("doc_id")
 
 
-@register("filter_by_date", _with_v(f"""
+@register("filter_by_date", _with_all(f"""
 SELECT archive_path AS rel_path, path_in_archive, {_MTIME} AS entry_mtime FROM v
 WHERE {_MTIME} >= TIMESTAMP '2021-01-01' AND {_MTIME} < TIMESTAMP '2022-01-01'"""))
 def q_filter_by_date(spark, sf_dir):
-    base, c = fixture_catalog(spark, sf_dir)
+    base, c = full_catalog(spark, sf_dir)
     e = c.entries.join(c.archives.select("archive_uuid", "archive_path"), "archive_uuid")
     f = A.filter_dates(e, _dt.datetime(2021, 1, 1), _dt.datetime(2022, 1, 1))
     return f.select(rel(base).alias("rel_path"), "path_in_archive", "entry_mtime")
@@ -191,21 +212,32 @@ def q_archive_stats(spark, sf_dir):
                     "avg_size", "compression_ratio")
 
 
-@register("archive_ratio", _with_v("""
-SELECT archive_path AS rel_path, COUNT(*) AS entries, TRUE AS compressed
+@register("archive_ratio", _with_all("""
+SELECT archive_path AS rel_path, COUNT(*) AS entries, CAST(SUM(file_size) AS BIGINT) AS total_size, TRUE AS within
 FROM v GROUP BY archive_path"""))
 def q_archive_ratio(spark, sf_dir):
-    # compression ratio of the scanned archives (text deflates well below 1)
-    base, c = fixture_catalog(spark, sf_dir)
+    # deflated prose takes between a twentieth and all of its size
+    base, c = full_catalog(spark, sf_dir)
     s = A.archive_stats(c)
-    return s.select(rel(base).alias("rel_path"), "entries", (F.col("compression_ratio") < 1).alias("compressed"))
+    return s.select(rel(base).alias("rel_path"), "entries", "total_size",
+                    F.col("compression_ratio").between(0.05, 1.05).alias("within"))
+
+
+@register("filter_by_ratio", _with_all("""
+SELECT archive_path AS rel_path, path_in_archive FROM v WHERE file_size > 0 AND file_size * 1.02 + 20 <= file_size * 1.5"""))
+def q_filter_by_ratio(spark, sf_dir):
+    # deflate adds at most a few bytes, so every entry that is not tiny passes a ratio of 1.5
+    base, c = full_catalog(spark, sf_dir)
+    e = c.entries.join(c.archives.select("archive_uuid", "archive_path"), "archive_uuid")
+    f = A.filter_ratio(e.filter(F.col("file_size") * 1.02 + 20 <= F.col("file_size") * 1.5), 1.5)
+    return f.select(rel(base).alias("rel_path"), "path_in_archive")
 
 
-@register("timeline", _with_v(f"""
+@register("timeline", _with_all(f"""
 SELECT date_trunc('month', {_MTIME}) AS period, COUNT(*) AS entries, CAST(SUM(file_size) AS BIGINT) AS bytes
 FROM v GROUP BY 1"""))
 def q_timeline(spark, sf_dir):
-    _, c = fixture_catalog(spark, sf_dir)
+    _, c = full_catalog(spark, sf_dir)
     return A.timeline(c.entries, "month")
 
 
@@ -291,16 +323,11 @@ def q_stream_scan(spark, sf_dir):
 
 
 # ---- C-2: search inside text entries ---------------------------------------------------------
-@register("search_text", f"""
-WITH {ENT0.strip()}
-SELECT e.archive_path AS rel_path, e.lang || '/' || e.file_name AS path_in_archive, e.file_name, e.file_size
-FROM ent0 e JOIN documents d USING (doc_id)
-WHERE {ext_of("e.lang || '/' || e.file_name")} = '.txt' AND regexp_matches(d.text, '[Ll]icen[cs]e')""")
+@register("search_text", _with_all("""
+SELECT v.archive_path AS rel_path, v.path_in_archive, v.file_name, v.file_size
+FROM v JOIN documents d USING (doc_id) WHERE regexp_matches(d.text, '[Ll]icen[cs]e')"""))
 def q_search_text(spark, sf_dir):
-    # whole texts of the .txt entries, read from the scanned archives (all files mode)
-    from zipledger.plans.scan import scan
-    base, roots = fixture(spark, sf_dir)
-    res = scan(spark, roots, mode="takeout", all_files=True, scan_ts=_dt.datetime(2024, 1, 2))
-    c = Catalog(res.archives, res.entries)
-    hits = A.search_text(c, "[Ll]icen[cs]e")
+    # whole texts of all entries, read from the scanned archives
+    base, c = full_catalog(spark, sf_dir)
+    hits = A.search_text(c, "[Ll]icen[cs]e", extensions=None)
     return hits.select(rel(base).alias("rel_path"), "path_in_archive", "file_name", "file_size")

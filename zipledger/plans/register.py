@@ -1,58 +1,68 @@
-"""The catalogue sink: register archives and entries of one scan.
-
-Layout: ``<catalog>/entries``, ``<catalog>/archives`` and
-``<catalog>/scan_errors``, each Parquet partitioned by ``scan_id``. A scan
-replaces only its own ``scan_id`` partition (dynamic partition overwrite), so
-a rerun of the same scan is idempotent and other scans are untouched.
-
-Entries are written before archives: readers (:meth:`Catalog.read`) only see
-scans whose archive partition is committed, so a half-written scan is
-invisible. A path registered by an earlier scan is not registered again.
-Entries are range-partitioned on ``(archive_uuid, entry_ordinal)`` before the
-write: files come out sorted by archive, so Parquet min/max statistics prune
-uuid lookups, and an archive holding a large share of all entries is split
-over several ranges instead of landing in one writer task.
+"""The catalogue sink: one run of a scan, published at once.
+
+Layout: ``<catalog>/entries``, ``archives``, ``scan_errors``, ``scan_progress`` and
+``scan_metrics``, each Parquet partitioned by ``scan_id`` and ``run_id``, and
+``<catalog>/manifest``. A run writes into new ``run_id`` folders, and the row it
+appends to the manifest at the end makes all its tables visible together; the run
+of the same scan that was visible before is replaced as a whole, so a rerun leaves
+no stale archives, entries or errors behind. A failed run is never seen.
+
+A path registered by an earlier scan is not registered again. Entries are
+range-partitioned on ``(archive_uuid, entry_ordinal)`` before the write: files come
+out sorted by archive, so Parquet min/max statistics prune uuid lookups, and an
+archive holding a large share of all entries is split over several ranges instead
+of landing in one writer task.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid as _uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS
-from zipledger.sources.fs import path_exists
+from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST, SCAN_ERRORS
+from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS, _with_run, read_table, visible
 
 
-def _write(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("scan_id")
-     .parquet(path))
+def _write(df: DataFrame, path: str, scan_id: str, run_id: str) -> None:
+    (df.withColumn("scan_id", F.lit(scan_id)).withColumn("run_id", F.lit(run_id))
+     .write.mode("append").partitionBy("scan_id", "run_id").parquet(path))
 
 
 def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id: str,
-             errors: DataFrame | None = None, check_existing: bool = True) -> None:
-    """Write one scan. Archives without any entry are not registered.
-
-    An archive path already registered by *another* scan is skipped with its
-    entries (first registration wins, as a unique path constraint would do),
-    so readers never have to resolve duplicates. A rerun of the same
-    ``scan_id`` replaces that scan's partitions and stays idempotent.
-    ``check_existing=False`` is for callers that already removed registered
-    archives from their input (the scan job filters its listing).
+             errors: DataFrame | None = None, check_existing: bool = True,
+             more: dict[str, DataFrame] | None = None) -> str:
+    """Write one run of a scan, publish it and return its run id.
+
+    Archives without any entry are not registered; a run without rows is published
+    all the same. An archive path already registered by *another* scan is skipped
+    with its entries (first registration wins, as a unique path constraint would
+    do), so readers never have to resolve duplicates. ``check_existing=False`` is
+    for callers that already removed registered archives from their input (the scan
+    job filters its listing). ``more`` are further tables of the run by name.
     """
     spark = entries.sparkSession
-    if check_existing and path_exists(f"{catalog_path}/archives", entries.sparkSession):
-        taken = (spark.read.parquet(f"{catalog_path}/archives")
-                 .filter(F.col("scan_id") != scan_id).select("archive_uuid"))
+    run_id = _uuid.uuid4().hex
+    if check_existing:
+        taken = visible(spark, catalog_path, "archives", ARCHIVES).filter(
+            F.col("scan_id") != scan_id).select("archive_uuid")
         entries = entries.join(taken, "archive_uuid", "left_anti")
-    ent = entries.select(*ENTRY_COLS).withColumn("scan_id", F.lit(scan_id))
+    ent = entries.select(*ENTRY_COLS)
     ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
         "archive_uuid", "entry_ordinal")
-    _write(ent, f"{catalog_path}/entries")
+    _write(ent, f"{catalog_path}/entries", scan_id, run_id)
+    written = (read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES))
+               .filter((F.col("scan_id") == scan_id) & (F.col("run_id") == run_id))
+               .select("archive_uuid").distinct())
+    _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
+           f"{catalog_path}/archives", scan_id, run_id)
+    tables = dict(more or {})
     if errors is not None:
-        _write(errors.withColumn("scan_id", F.lit(scan_id)), f"{catalog_path}/scan_errors")
-    written = (spark.read.parquet(f"{catalog_path}/entries")
-               .filter(F.col("scan_id") == scan_id).select("archive_uuid").distinct())
-    arch = archives.join(written, "archive_uuid", "left_semi")
-    _write(arch.select(*ARCHIVE_COLS).withColumn("scan_id", F.lit(scan_id)), f"{catalog_path}/archives")
+        tables["scan_errors"] = errors.select(*SCAN_ERRORS.fieldNames())
+    for name, rows in tables.items():
+        _write(rows, f"{catalog_path}/{name}", scan_id, run_id)
+    row = spark.createDataFrame([(scan_id, run_id, _dt.datetime.now())], MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{catalog_path}/manifest")
+    return run_id

@@ -317,16 +317,13 @@ def q_pick_all(spark, sf_dir):
     return S.pick(m, S.size_desc(), "all").select("archive_path", "path_in_archive", "file_name", "file_size", "choice")
 
 
-@register("pick_all_by_uuid_bounded", with_catalog(f"""
-SELECT archive_path, path_in_archive, file_name, file_size, choice FROM (
-  SELECT archive_path, path_in_archive, file_name, file_size,
-         row_number() OVER (ORDER BY file_size DESC, archive_path, entry_ordinal) AS choice,
-         COUNT(*) OVER () AS n
-  FROM ja WHERE archive_uuid = '{UUID}' AND {_like('vid-0')}) WHERE n <= 10"""))
-def q_pick_all_by_uuid_bounded(spark, sf_dir):
-    # "all" is honoured for at most 10 matches; more matches select nothing
+@register("pick_all_by_uuid", with_catalog(f"""
+SELECT archive_path, path_in_archive, file_name, file_size,
+       row_number() OVER (ORDER BY file_size DESC, archive_path, entry_ordinal) AS choice
+FROM ja WHERE archive_uuid = '{UUID}' AND {_like('vid-0')}"""))
+def q_pick_all_by_uuid(spark, sf_dir):
     m = S.matched(cat(spark, sf_dir), (F.col("archive_uuid") == UUID) & P.like_contains("file_name", "vid-0"))
-    return S.pick(m, S.size_desc(), "all", all_max=10).select(
+    return S.pick(m, S.size_desc(), "all").select(
         "archive_path", "path_in_archive", "file_name", "file_size", "choice")
 
 

@@ -9,6 +9,7 @@ partition replaces the merge step.
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from dataclasses import dataclass
 from collections.abc import Iterable
 
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid
-from zipledger.functions.paths import EXCLUDED_DIRECTORIES, basename, is_directory_entry, is_target
+from zipledger.functions.paths import EXCLUDED_DIRECTORIES, drive_label, is_directory_entry, is_target
+from zipledger.operators import quality as Q
 from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
+from zipledger.schemas import ARCHIVES, SCAN_PROGRESS
 from zipledger.session import materialize
-from zipledger.sources.fs import path_exists
-from zipledger.sources.listing import dedupe_paths, list_all, list_takeout
-from zipledger.sources.reader import NESTED_SEP, read_central_directories, read_nested, split_entries
+from zipledger.sources.catalog import visible
+from zipledger.sources.listing import dedupe_paths, list_all, list_objects, list_takeout_rows, split_takeout
+from zipledger.sources.reader import inner_archives, is_inner_archive, read_central_directories, split_entries
 
 
 @dataclass
@@ -32,67 +35,101 @@ class ScanResult:
     entries: DataFrame
     errors: DataFrame
     rollup: DataFrame
+    progress: DataFrame
 
     def totals(self) -> DataFrame:
         return scan_totals(self.rollup)
 
 
 def list_roots(spark: SparkSession, roots: DataFrame, mode: str = "takeout",
-               excluded: Iterable[str] = EXCLUDED_DIRECTORIES) -> tuple[DataFrame, DataFrame | None]:
+               excluded: Iterable[str] = EXCLUDED_DIRECTORIES,
+               follow_symlinks: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(listing, roots that failed) of the archives below ``roots``.
+
+    ``takeout`` and ``all`` walk folders that executors mount; ``objects`` lists with
+    Spark's file source, for object stores. The listing is written once, so every later
+    step sees the same files with the same sizes.
+    """
+    root_errors = None
     if mode == "takeout":
-        listing, root_errors = list_takeout(spark, roots)
+        found = materialize(list_takeout_rows(spark, roots), "takeout")
+        listing, root_errors = split_takeout(found)
     elif mode == "all":
-        listing, root_errors = list_all(spark, roots, excluded), None
+        listing = list_all(spark, roots, excluded, follow_symlinks)
+    elif mode == "objects":
+        listing = list_objects(spark, roots, excluded)
     else:
         raise ValueError(f"unknown listing mode {mode!r}")
-    return dedupe_paths(listing), root_errors
+    return materialize(dedupe_paths(listing), "listing"), root_errors
+
+
+def labelled(listing: DataFrame, path_style: str | None) -> DataFrame:
+    """Archives of roots without a given drive take the label of their own path."""
+    return listing.withColumn("drive", F.coalesce("drive", drive_label("archive_path", path_style or "posix")))
 
 
 def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files: bool = False,
          excluded: Iterable[str] = EXCLUDED_DIRECTORIES, scan_ts: _dt.datetime | None = None,
-         scan_seq: int = 0, skip: DataFrame | None = None, nested: bool = False) -> ScanResult:
-    """Plan a scan of ``roots`` (``root``, ``drive``); nothing is written.
-
-    ``skip`` (column ``archive_path``) lists archives not to read at all,
-    e.g. those another scan already registered (resume). ``nested`` also
-    reads archives stored inside the archives (one level), registered under
-    the virtual path ``<outer>!/<member>``.
+         scan_seq: int = 0, skip: DataFrame | None = None, nested: bool = False,
+         path_style: str | None = None, extensions: Iterable[str] | None = None,
+         follow_symlinks: bool = False, unchanged: DataFrame | None = None) -> ScanResult:
+    """Plan a scan of ``roots`` (``root``, ``drive``); nothing is registered.
+
+    A root whose ``drive`` is null labels its archives by their paths (``path_style``).
+    ``extensions`` are the target extensions (the video extensions by default).
+    ``skip`` (column ``archive_path``) lists archives not to read at all, e.g. those
+    another scan already registered; ``unchanged`` (path, size, modification time) those
+    to leave out as long as they have not changed (resume). ``nested`` also reads archives
+    stored inside archives, level by level until there are none, registered under the
+    virtual path ``<outer>!/<member>``.
     """
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
-    listing, root_errors = list_roots(spark, roots, mode, excluded)
+    listing, root_errors = list_roots(spark, roots, mode, excluded, follow_symlinks)
+    listing = labelled(listing, path_style)
     if skip is not None:
         listing = listing.join(skip.select("archive_path").distinct(), "archive_path", "left_anti")
+    if unchanged is not None:
+        listing = Q.scan_resume(listing, unchanged)
     # the archives are read exactly once; entries, errors and rollups reuse it.
     # Only target entries and error rows are kept (filtered in the same stage),
     # so non-target entries never reach the staging table.
-    raw = read_central_directories(listing)
     file_entry = ~is_directory_entry("path_in_archive")
-    wanted = F.col("error_class").isNotNull() | (file_entry & is_target("path_in_archive", all_files))
-    inner_zip = F.col("error_class").isNull() & file_entry & F.lower("path_in_archive").endswith(".zip")
-    raw = materialize(raw.filter(wanted | inner_zip) if nested else raw.filter(wanted), "raw-entries")
-    containers = listing
-    if nested:
-        inner_raw = materialize(read_nested(raw.filter(inner_zip)).filter(wanted), "raw-nested")
-        containers = listing.unionByName(
-            raw.filter(inner_zip).select(
-                F.lit(None).cast("string").alias("root"), "drive",
-                F.concat("archive_path", F.lit(NESTED_SEP), "path_in_archive").alias("archive_path"),
-                basename("path_in_archive").alias("archive_name"), "file_size",
-                F.col("entry_mtime").alias("last_modified")))
-        raw = raw.filter(wanted).unionByName(inner_raw)
-    entries, errors = split_entries(raw, all_files, created_at=ts)
+    wanted = F.col("error_class").isNotNull() | (file_entry & is_target("path_in_archive", all_files, extensions))
+    containers, raw, level = listing, None, listing
+    while True:
+        rows = read_central_directories(level).withColumn("_wanted", wanted)
+        rows = materialize(rows.filter(F.col("_wanted") | is_inner_archive()) if nested
+                           else rows.filter("_wanted"), "raw-entries")
+        kept = rows.filter("_wanted").drop("_wanted")
+        raw = kept if raw is None else raw.unionByName(kept)
+        if not nested or rows.filter(is_inner_archive()).isEmpty():
+            break
+        level = materialize(inner_archives(rows), "inner-archives")
+        containers = containers.unionByName(level)
+    entries, errors = split_entries(raw, True, created_at=ts)   # targets only, see above
     with_entries = entries.select("archive_path").distinct()
     archives = (containers.join(with_entries, "archive_path", "left_semi")
                 .select(archive_uuid("archive_path").alias("archive_uuid"), "drive", "archive_name",
                         "archive_path", "file_size", F.lit(None).cast("string").alias("file_hash"),
                         "last_modified", ts.alias("scan_date"), F.lit(scan_seq).cast("long").alias("scan_seq")))
+    failed = errors.select("archive_path").distinct().withColumn("_failed", F.lit(True))
+    done = with_entries.withColumn("_done", F.lit(True))
+    progress = (containers.join(failed, "archive_path", "left").join(done, "archive_path", "left")
+                .select("archive_path", "file_size", "last_modified",
+                        F.when(F.col("_failed"), "error").when(F.col("_done"), "done")
+                        .otherwise("no_targets").alias("status")))
     per_drive = (entries.groupBy("archive_path", "drive").agg(F.count(F.lit(1)).alias("n"))
                  .groupBy("drive").agg(F.count(F.lit(1)).alias("zip_count"),
                                        F.sum("n").cast("long").alias("video_count")))
-    drives = roots.select("drive").distinct()
+    # a root without a drive and without archives is reported under its own label
+    bare = roots.filter("drive is null").join(listing.select("root").distinct(), "root", "left_anti")
+    drives = (roots.select("drive").filter("drive is not null").union(listing.select("drive"))
+              .union(bare.select(drive_label("root", path_style or "posix").alias("drive")))).distinct()
     rollup = drives.join(per_drive, "drive", "left")
     if root_errors is not None:
-        rollup = rollup.join(root_errors.groupBy("drive").agg(F.min("error").alias("error")), "drive", "left")
+        failed_roots = labelled(root_errors, path_style)
+        rollup = (drives.union(failed_roots.select("drive")).distinct().join(per_drive, "drive", "left")
+                  .join(failed_roots.groupBy("drive").agg(F.min("error").alias("error")), "drive", "left"))
     else:
         rollup = rollup.withColumn("error", F.lit(None).cast("string"))
     ok = F.col("error").isNull()
@@ -101,21 +138,37 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
         F.when(ok, F.coalesce("zip_count", F.lit(0))).otherwise(0).cast("long").alias("zip_count"),
         F.when(ok, F.coalesce("video_count", F.lit(0))).otherwise(0).cast("long").alias("video_count"),
         "error", ok.alias("success"))
-    return ScanResult(listing, archives, entries, errors, rollup)
+    return ScanResult(listing, archives, entries, errors, rollup, progress)
+
+
+def metrics(res: ScanResult, seconds: float) -> DataFrame:
+    """The scan's ``scan_metrics`` row."""
+    arch = res.archives.agg(F.count_distinct("drive").alias("total_drives"), F.count("*").alias("total_zip_files"))
+    ent = res.entries.agg(F.count("*").alias("total_video_files"),
+                          F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("total_size_bytes"))
+    one = F.lit(1).alias("one")   # one row each
+    return (arch.select("*", one).join(ent.select("*", one), "one").drop("one")
+            .withColumn("scan_duration_seconds", F.lit(float(seconds))))
 
 
 def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str, scan_id: str,
-                      **kw) -> ScanResult:
-    """Scan and write the result as partition ``scan_id`` of the catalogue.
+                      resume: bool = False, **kw) -> ScanResult:
+    """Scan and publish the result as a run of ``scan_id``.
 
     Archives another scan already registered are dropped from the listing, so
     they are never opened again (first registration wins; a rerun of the same
-    ``scan_id`` reads its own archives again and replaces its partition).
+    ``scan_id`` reads its own archives again and replaces its last run). With
+    ``resume``, archives that other scans found bad or without targets are left
+    out too unless their size or modification time has changed.
     """
-    registered = None
-    if path_exists(f"{catalog_path}/archives", spark):
-        registered = (spark.read.parquet(f"{catalog_path}/archives")
-                      .filter(F.col("scan_id") != scan_id).select("archive_path"))
-    res = scan(spark, roots, skip=registered, **kw)
-    register(catalog_path, res.archives, res.entries, scan_id, res.errors, check_existing=False)
+    started = time.time()
+    registered = visible(spark, catalog_path, "archives", ARCHIVES).filter(
+        F.col("scan_id") != scan_id).select("archive_path")
+    unchanged = None
+    if resume:
+        unchanged = visible(spark, catalog_path, "scan_progress", SCAN_PROGRESS).filter(
+            (F.col("scan_id") != scan_id) & (F.col("status") != "done"))
+    res = scan(spark, roots, skip=registered, unchanged=unchanged, **kw)
+    register(catalog_path, res.archives, res.entries, scan_id, res.errors, check_existing=False,
+             more={"scan_progress": res.progress, "scan_metrics": metrics(res, time.time() - started)})
     return res

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid as _uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,13 +144,14 @@ def q_roots_filtered(spark, sf_dir):
 
 
 def _catalog_path(spark, sf_dir) -> str:
-    key = os.path.basename(os.path.normpath(sf_dir))
-    return shared_dir(spark, "zipledger-catalogs", f"fixture-{key}")
+    # named after the fixture, whose folder changes with the documents table
+    return shared_dir(spark, "zipledger-catalogs") + "/" + os.path.basename(pack_documents(spark, sf_dir))
 
 
-def _run_scan_job(spark, sf_dir):
+def _run_scan_job(spark, sf_dir, path=None):
+    """The scan job over the fixture, into a catalogue of its own unless ``path`` is given."""
     base, roots = fixture(spark, sf_dir)
-    path = _catalog_path(spark, sf_dir)
+    path = path or shared_dir(spark, "zipledger-catalogs", f"job-{_uuid.uuid4().hex}")
     res = scan_and_register(spark, roots, path, "fixture-scan", mode="takeout", all_files=False,
                             scan_ts=SCAN_TS, scan_seq=1)
     return base, path, res

@@ -29,6 +29,7 @@ ENTRIES = StructType([
     StructField("created_at", TimestampType(), False),
     StructField("compressed_size", LongType(), True),
     StructField("entry_mtime", TimestampType(), True),
+    StructField("crc32", LongType(), True),
 ])
 
 # Archives that could not be read (the reference only logs these).
@@ -39,6 +40,30 @@ SCAN_ERRORS = StructType([
     StructField("error_message", StringType(), True),
 ])
 
+# Every archive a scan has looked at, and what came of it.
+SCAN_PROGRESS = StructType([
+    StructField("archive_path", StringType(), False),
+    StructField("file_size", LongType(), True),
+    StructField("last_modified", TimestampType(), True),
+    StructField("status", StringType(), False),   # done, no_targets or error
+])
+
+# One row per scan.
+SCAN_METRICS = StructType([
+    StructField("total_drives", LongType(), True),
+    StructField("total_zip_files", LongType(), True),
+    StructField("total_video_files", LongType(), True),
+    StructField("total_size_bytes", LongType(), True),
+    StructField("scan_duration_seconds", DoubleType(), True),
+])
+
+# Published runs: readers see, of every scan, the run published last.
+MANIFEST = StructType([
+    StructField("scan_id", StringType(), False),
+    StructField("run_id", StringType(), False),
+    StructField("published_at", TimestampType(), False),
+])
+
 # Output of the listing step: one row per candidate archive file.
 LISTING = StructType([
     StructField("root", StringType(), False),
@@ -58,6 +83,7 @@ RAW_ENTRIES = StructType([
     StructField("file_size", LongType(), True),
     StructField("compressed_size", LongType(), True),
     StructField("entry_mtime", TimestampType(), True),
+    StructField("crc32", LongType(), True),
     StructField("error_class", StringType(), True),
     StructField("error_message", StringType(), True),
 ])
@@ -84,6 +110,7 @@ EXTRACT_RESULT = StructType([
     StructField("plan_pos", LongType(), False),
     StructField("archive_path", StringType(), False),
     StructField("path_in_archive", StringType(), False),
+    StructField("entry_ordinal", IntegerType(), True),
     StructField("output_path", StringType(), False),
     StructField("status", StringType(), False),
     StructField("bytes_written", LongType(), True),
@@ -96,6 +123,8 @@ HASHED = StructType([
     StructField("archive_path", StringType(), False),
     StructField("path_in_archive", StringType(), False),
     StructField("entry_ordinal", IntegerType(), False),
+    StructField("archive_uuid", StringType(), True),
+    StructField("file_size", LongType(), True),
     StructField("content_hash", StringType(), True),
     StructField("error_message", StringType(), True),
 ])

@@ -1,9 +1,9 @@
 """The catalogue: an ``archives`` and an ``entries`` DataFrame.
 
-On storage the catalogue is two Parquet tables partitioned by ``scan_id``
-(written by :mod:`zipledger.plans.register`). Readers see only entries of
-scans whose archive partition is committed, so a scan whose archive rows are
-not yet written is invisible (entries are written first, archives last).
+On storage every table of the catalogue is Parquet partitioned by ``scan_id`` and
+``run_id`` (written by :mod:`zipledger.plans.register`), and ``manifest`` has one
+row per published run. Readers see, of every scan, the run published last: all of
+it or nothing of it, whatever a running or failed scan has written.
 """
 
 from __future__ import annotations
@@ -14,17 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from zipledger.schemas import ARCHIVES, ENTRIES
-from zipledger.sources.fs import partition_values_of
+from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST
+from zipledger.sources.fs import path_exists
 
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
                 "file_hash", "last_modified", "scan_date", "scan_seq"]
 ENTRY_COLS = ["archive_uuid", "file_name", "file_size", "path_in_archive", "entry_ordinal",
-              "file_hash", "created_at", "compressed_size", "entry_mtime"]
+              "file_hash", "created_at", "compressed_size", "entry_mtime", "crc32"]
 
 
-def _with_scan_id(schema: StructType) -> StructType:
-    return StructType(list(schema.fields) + [StructField("scan_id", StringType(), True)])
+def _with_run(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("scan_id", StringType(), True),
+                       StructField("run_id", StringType(), True)])
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table, empty where nothing has been written yet."""
+    if not path_exists(path, spark):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """(scan_id, run_id) of the run of each scan that readers see."""
+    return (read_table(spark, f"{path}/manifest", MANIFEST).groupBy("scan_id")
+            .agg(F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id")))
+
+
+def visible(spark: SparkSession, path: str, table: str, schema: StructType) -> DataFrame:
+    """Rows of a table's published runs (a join on partition columns, so files of
+    other runs are pruned at run time)."""
+    rows = read_table(spark, f"{path}/{table}", _with_run(schema))
+    return rows.join(published(spark, path), ["scan_id", "run_id"], "left_semi")
 
 
 @dataclass
@@ -37,12 +58,7 @@ class Catalog:
         """Open a stored catalogue.
 
         The sink registers each archive path once (first scan wins), so by
-        default a reader only applies the visibility rule: entries of scans
-        whose ``archives`` partition is committed. The committed scans are the
-        ``scan_id=`` folders in the file listing Spark made for ``archives``
-        (partition folders appear only at job commit), so the rule is a static
-        partition filter on ``entries``: no join, and both scans keep their
-        column pruning.
+        default a reader only applies the visibility rule of the manifest.
 
         ``resolve`` handles catalogues assembled by other means (copied
         partitions, concurrent writers): a path registered by several scans
@@ -50,15 +66,14 @@ class Catalog:
         ``refresh``, by a map-side-combined ``min``/``max`` over the
         ``(scan_seq, scan_id)`` key, and entries follow the chosen scan.
         """
-        arch = spark.read.schema(_with_scan_id(ARCHIVES)).parquet(f"{path}/archives")
-        ent = spark.read.schema(_with_scan_id(ENTRIES)).parquet(f"{path}/entries")
+        arch = visible(spark, path, "archives", ARCHIVES)
+        ent = visible(spark, path, "entries", ENTRIES)
         if not (resolve or refresh):
-            committed = partition_values_of(arch, "scan_id")
-            return Catalog(arch, ent.filter(F.col("scan_id").isin(committed)))
+            return Catalog(arch, ent)
         pick = F.max if refresh else F.min
         winner = (arch.groupBy("archive_path")
                   .agg(pick(F.struct("scan_seq", "scan_id")).alias("w"))
                   .select("archive_path", F.col("w.scan_seq").alias("scan_seq"), F.col("w.scan_id").alias("scan_id")))
         chosen = arch.join(winner, ["archive_path", "scan_seq", "scan_id"], "left_semi")
-        visible = ent.join(chosen.select("archive_uuid", "scan_id"), ["archive_uuid", "scan_id"], "left_semi")
-        return Catalog(chosen, visible)
+        kept = ent.join(chosen.select("archive_uuid", "scan_id"), ["archive_uuid", "scan_id"], "left_semi")
+        return Catalog(chosen, kept)

@@ -55,6 +55,7 @@ def entry_rows(documents: DataFrame, with_text: bool = False) -> DataFrame:
         F.col("doc_id"), F.col("lang"),
         F.octet_length("text").cast("long").alias("file_size"),
         F.sha2("text", 256).alias("file_hash"),
+        F.crc32("text").alias("crc32"),
         F.expr(f"cast(pmod(doc_id, {PART_ROWS}) as int)").alias("entry_ordinal"),
     ]
     if with_text:
@@ -79,7 +80,7 @@ def derived_catalog(spark: SparkSession, sf_dir: str, path_style: str = "wsl",
     entries = rows.select(
         "archive_uuid", "file_name", "file_size", "path_in_archive", "entry_ordinal", "file_hash",
         ts.alias("created_at"), F.lit(None).cast("long").alias("compressed_size"),
-        F.lit(None).cast("timestamp").alias("entry_mtime"))
+        F.lit(None).cast("timestamp").alias("entry_mtime"), "crc32")
     # one row per archive; partial aggregation runs map-side before the shuffle
     archives = (rows.groupBy("archive_path")
                 .agg(F.sum("file_size").alias("file_size"))

@@ -2,13 +2,22 @@
 
 Archives are opened by path on the executor that reads them (never shipped as
 bytes through Spark, so archives larger than 2 GiB are fine); ``zipfile``
-only needs a seekable binary stream.
+only needs a seekable binary stream. An archive stored inside another has a
+virtual path, ``<outer>!/<member>``, or ``<outer>!<ordinal>/<member>`` where an
+earlier member of the outer archive has the same name.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import re
+import zipfile
+
+#: Where a virtual path goes from an archive into a member of it.
+_INTO = re.compile(r"(?<=\.zip)!(\d*)/", re.IGNORECASE)
+#: A compressed inner archive up to this size is held in memory while it is read.
+INNER_BYTES = 64 << 20
 
 
 def local_path(path: str) -> str | None:
@@ -22,7 +31,7 @@ def local_path(path: str) -> str | None:
     return path
 
 
-def open_binary(path: str):
+def _open_file(path: str):
     lp = local_path(path)
     if lp is not None:
         return open(lp, "rb")
@@ -31,9 +40,25 @@ def open_binary(path: str):
     return filesystem.open_input_file(inner)
 
 
-def replace_into(tmp: str, final: str) -> None:
-    """Atomic publish of a finished file (same folder, so same filesystem)."""
-    os.replace(tmp, final)
+def _open_member(outer, ordinal: str, member: str):
+    zf = zipfile.ZipFile(outer)
+    infos = zf.infolist()
+    info = (infos[int(ordinal)] if ordinal else next((i for i in infos if i.filename == member), None))
+    if info is None:
+        raise FileNotFoundError(f"{member} is not in the archive")
+    if info.compress_type != zipfile.ZIP_STORED and info.file_size <= INNER_BYTES:
+        with zf.open(info) as src:   # seeking back in a deflated member starts it over
+            return io.BytesIO(src.read())
+    return zf.open(info)
+
+
+def open_binary(path: str):
+    """A seekable stream of a file, or of a member for a virtual path."""
+    steps = _INTO.split(path)
+    stream = _open_file(steps[0])
+    for ordinal, member in zip(steps[1::2], steps[2::2]):
+        stream = _open_member(stream, ordinal, member)
+    return stream
 
 
 def path_exists(path: str, spark=None) -> bool:
@@ -48,14 +73,3 @@ def path_exists(path: str, spark=None) -> bool:
     from pyarrow import fs as pafs
     filesystem, inner = pafs.FileSystem.from_uri(path)
     return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
-
-
-def partition_values_of(df, column: str) -> list[str]:
-    """Hive partition values present in the files a DataFrame reads.
-
-    ``inputFiles()`` is the listing Spark already made for the read, so no
-    extra listing and no data is touched.
-    """
-    from urllib.parse import unquote
-    pat = re.compile(rf"/{re.escape(column)}=([^/]+)/")
-    return sorted({unquote(m.group(1)) for f in df.inputFiles() for m in [pat.search(f)] if m})

@@ -39,11 +39,10 @@ _WALK_COLS = [f.name for f in WALK.fields]
 
 
 def roots_frame(spark: SparkSession, roots: Iterable[str], drives: Iterable[str] | None = None) -> DataFrame:
-    """Roots as a DataFrame ``(root, drive)``; the drive defaults to the A-10 label."""
+    """Roots as a DataFrame ``(root, drive)``; without a drive, archives take the label of their own path."""
     roots = list(roots)
     labels = list(drives) if drives is not None else [None] * len(roots)
-    df = spark.createDataFrame(list(zip(roots, labels)), "root string, drive string")
-    return df.withColumn("drive", F.coalesce("drive", drive_label("root", "posix")))
+    return spark.createDataFrame(list(zip(roots, labels)), "root string, drive string")
 
 
 def filter_roots(roots: DataFrame, excluded: DataFrame | None) -> DataFrame:
@@ -53,8 +52,9 @@ def filter_roots(roots: DataFrame, excluded: DataFrame | None) -> DataFrame:
     return roots.join(excluded.select("root").distinct(), "root", "left_anti")
 
 
-def _list_dir(root, drive, d, depth, excl, follow_symlinks, chain=None):
-    """WALK tuples for the children of directory ``d`` (one error tuple if unreadable).
+def _list_dir(root, drive, d, depth, excl, follow_symlinks, chain=None, every=False):
+    """WALK tuples for the children of directory ``d`` (one error tuple if unreadable):
+    directories to descend into and archives, or ``every`` child.
 
     When links are followed, ``chain`` holds the real paths of ``d`` and its
     ancestors; a child directory that is one of them (a link cycle) is listed
@@ -94,6 +94,8 @@ def _list_dir(root, drive, d, depth, excl, follow_symlinks, chain=None):
                 else:
                     child_chain = list(chain) + [real]
             size = mtime = None
+            if not (descend or every or ent.name.lower().endswith(".zip")):
+                continue
             if not is_dir:
                 try:
                     st = os.stat(ent.path)
@@ -115,7 +117,7 @@ def _batched(rows, n=10000):
         yield pd.DataFrame(out, columns=_WALK_COLS)
 
 
-def _scan_dirs(excluded: tuple[str, ...], follow_symlinks: bool):
+def _scan_dirs(excluded: tuple[str, ...], follow_symlinks: bool, every: bool):
     excl = set(excluded)
 
     def rows(batches):
@@ -123,7 +125,7 @@ def _scan_dirs(excluded: tuple[str, ...], follow_symlinks: bool):
             chains = pdf["chain"] if "chain" in pdf.columns else [None] * len(pdf)
             for root, drive, d, depth, chain in zip(pdf["root"], pdf["drive"], pdf["dir"], pdf["depth"], chains):
                 chain = None if chain is None else list(chain)
-                yield from _list_dir(root, drive, d, depth, excl, follow_symlinks, chain)
+                yield from _list_dir(root, drive, d, depth, excl, follow_symlinks, chain, every)
 
     return lambda batches: _batched(rows(batches))
 
@@ -151,10 +153,10 @@ def _scan_takeout():
     return lambda batches: _batched(rows(batches))
 
 
-def _expand(frontier: DataFrame, excluded, follow_symlinks: bool) -> DataFrame:
+def _expand(frontier: DataFrame, excluded, follow_symlinks: bool, every: bool) -> DataFrame:
     parts = max(frontier.sparkSession.sparkContext.defaultParallelism, 2)
     return (frontier.repartition(parts)
-            .mapInPandas(_scan_dirs(tuple(excluded), follow_symlinks), WALK))
+            .mapInPandas(_scan_dirs(tuple(excluded), follow_symlinks, every), WALK))
 
 
 def _to_listing(files: DataFrame) -> DataFrame:
@@ -164,15 +166,15 @@ def _to_listing(files: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, roots: DataFrame, excluded: Iterable[str] = EXCLUDED_DIRECTORIES,
-         follow_symlinks: bool = False, max_depth: int | None = None) -> DataFrame:
-    """Every entry below the roots (``WALK`` rows), level by level."""
+         follow_symlinks: bool = False, max_depth: int | None = None, every: bool = False) -> DataFrame:
+    """The folders and archives below the roots (``WALK`` rows), or ``every`` entry, level by level."""
     checkpoint_root(spark)
     frontier = roots.select("root", "drive", F.col("root").alias("dir"), F.lit(0).alias("depth"),
                             F.lit(None).cast("array<string>").alias("chain"))
     levels = []
     depth = 0
     while True:
-        level = materialize(_expand(frontier, excluded, follow_symlinks), "walk-level")
+        level = materialize(_expand(frontier, excluded, follow_symlinks, every), "walk-level")
         levels.append(level)
         depth += 1
         nxt = level.filter(F.col("descend"))
@@ -193,16 +195,36 @@ def list_all(spark: SparkSession, roots: DataFrame,
     return _to_listing(files)
 
 
-def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Takeout mode: ``(listing, errors)``; ``errors`` has ``(drive, error)`` for
-    takeout folders that exist but cannot be listed (the drive then fails)."""
+def list_takeout_rows(spark: SparkSession, roots: DataFrame) -> DataFrame:
+    """Takeout mode: ``WALK`` rows of the archives and errors in the roots' takeout folders."""
     checkpoint_root(spark)
     parts = max(spark.sparkContext.defaultParallelism, 2)
-    # direct children only: cheap to list again, so no staging write
     inner = roots.select("root", "drive").repartition(parts).mapInPandas(_scan_takeout(), WALK)
-    files = inner.filter(F.col("error").isNull() & F.col("is_file") & F.lower("name").endswith(".zip"))
-    errors = inner.filter(F.col("error").isNotNull()).select("drive", "error")
-    return _to_listing(files), errors
+    return inner.filter(F.col("error").isNotNull() | F.col("is_file") & F.lower("name").endswith(".zip"))
+
+
+def split_takeout(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(listing, errors)``; ``errors`` are takeout folders that exist but cannot be
+    listed (the drive then fails)."""
+    errors = rows.filter(F.col("error").isNotNull()).select("drive", F.col("parent").alias("archive_path"), "error")
+    return _to_listing(rows.filter(F.col("error").isNull())), errors
+
+
+def list_takeout(spark: SparkSession, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takeout mode, listed when used: ``(listing, errors)``."""
+    return split_takeout(list_takeout_rows(spark, roots))
+
+
+def list_objects(spark: SparkSession, roots: DataFrame,
+                 excluded: Iterable[str] = EXCLUDED_DIRECTORIES) -> DataFrame:
+    """Recursive listing of object-store roots by Spark's file source (``list_binaryfile``).
+
+    The roots are what the user named, a handful of locations."""
+    out = None
+    for root, drive in roots.select("root", "drive").collect():
+        one = list_binaryfile(spark, root, excluded=excluded).withColumn("drive", F.lit(drive).cast("string"))
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], LISTING) if out is None else out
 
 
 def list_binaryfile(spark: SparkSession, location: str, base: str | None = None,

@@ -15,7 +15,7 @@ import datetime as _dt
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid
@@ -25,6 +25,8 @@ from zipledger.sources.fs import open_binary
 
 _RAW_COLS = [f.name for f in RAW_ENTRIES.fields]
 BATCH_ROWS = 10000
+#: Central directories one task reads, about.
+ARCHIVES_PER_TASK = 500
 
 
 def _mtime(info: zipfile.ZipInfo):
@@ -42,13 +44,13 @@ def _read_directories(batch_rows: int):
                 try:
                     with open_binary(path) as fh, zipfile.ZipFile(fh) as zf:
                         for i, info in enumerate(zf.infolist()):
-                            out.append((path, drive, i, info.filename, int(info.file_size),
-                                        int(info.compress_size), _mtime(info), None, None))
+                            out.append((path, drive, i, info.filename, int(info.file_size), int(info.compress_size),
+                                        _mtime(info), int(info.CRC), None, None))
                             if len(out) >= batch_rows:
                                 yield pd.DataFrame(out, columns=_RAW_COLS)
                                 out = []
                 except Exception as e:  # bad archive: record and continue
-                    out.append((path, drive, None, None, None, None, None, type(e).__name__, str(e)))
+                    out.append((path, drive, None, None, None, None, None, None, type(e).__name__, str(e)))
                 if len(out) >= batch_rows:
                     yield pd.DataFrame(out, columns=_RAW_COLS)
                     out = []
@@ -57,78 +59,46 @@ def _read_directories(batch_rows: int):
     return run
 
 
+def task_count(spark, amount: int, each: int) -> int:
+    """Tasks for ``amount`` of work: ``each`` per task, and at least two per core."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-int(amount) // int(each)), 2)
+
+
 def read_central_directories(listing: DataFrame, batch_rows: int = BATCH_ROWS,
                              tasks: int | None = None) -> DataFrame:
     """``RAW_ENTRIES`` rows for every archive of ``listing`` (archive_path, drive).
 
-    Archives are hash-spread over ``tasks`` partitions (default: twice the
-    cluster's parallelism). The number is explicit so AQE does not coalesce
-    the small listing rows into a single reading task.
+    Archives are hash-spread over ``tasks`` partitions (default: as many as the
+    number of archives asks for). The number is explicit so AQE does not
+    coalesce the small listing rows into a single reading task.
     """
-    n = tasks or max(2 * listing.sparkSession.sparkContext.defaultParallelism, 2)
+    n = tasks or task_count(listing.sparkSession, listing.count(), ARCHIVES_PER_TASK)
     return (listing.select("archive_path", "drive")
             .repartition(n, "archive_path")
             .mapInPandas(_read_directories(batch_rows), RAW_ENTRIES))
 
 
-NESTED_SEP = "!/"  # virtual path of an inner archive: <outer archive>!/<member path>
-CHUNK = 4096
-
-
-def _read_nested(batch_rows: int):
-    def run(batches):
-        cur, zf, fh, bad = None, None, None, None
-        out = []
-        try:
-            for pdf in batches:
-                for outer, drive, member in zip(pdf["archive_path"], pdf["drive"], pdf["path_in_archive"]):
-                    vpath = f"{outer}{NESTED_SEP}{member}"
-                    if outer != cur:
-                        for h in (zf, fh):
-                            if h is not None:
-                                h.close()
-                        cur, zf, fh, bad = outer, None, None, None
-                        try:
-                            fh = open_binary(outer)
-                            zf = zipfile.ZipFile(fh)
-                        except Exception as e:
-                            bad = e
-                    try:
-                        if bad is not None:
-                            raise bad
-                        with zf.open(member) as inner_fh, zipfile.ZipFile(inner_fh) as inner:
-                            for i, info in enumerate(inner.infolist()):
-                                out.append((vpath, drive, i, info.filename, int(info.file_size),
-                                            int(info.compress_size), _mtime(info), None, None))
-                                if len(out) >= batch_rows:
-                                    yield pd.DataFrame(out, columns=_RAW_COLS)
-                                    out = []
-                    except Exception as e:  # an inner member that is not a readable archive
-                        out.append((vpath, drive, None, None, None, None, None, type(e).__name__, str(e)))
-            if out:
-                yield pd.DataFrame(out, columns=_RAW_COLS)
-        finally:
-            for h in (zf, fh):
-                if h is not None:
-                    h.close()
-    return run
+def is_inner_archive() -> Column:
+    """Reader rows that are themselves archives to look into."""
+    return (F.col("error_class").isNull() & ~is_directory_entry("path_in_archive")
+            & F.lower("path_in_archive").endswith(".zip"))
 
 
-def read_nested(raw: DataFrame, batch_rows: int = BATCH_ROWS, tasks: int | None = None) -> DataFrame:
-    """One level of nesting: ``RAW_ENTRIES`` of every ``.zip`` entry inside the
-    archives of ``raw``, each inner archive named ``<outer>!/<member>``.
+def inner_archives(raw: DataFrame) -> DataFrame:
+    """Listing rows (``LISTING``) of the archives stored inside the archives of ``raw``.
 
-    Inner archives are spread by (outer archive, ordinal chunk), so a bundle
-    holding many archives is read by several tasks; an inner archive is read
-    through the outer one (no extraction to disk).
+    The virtual path is ``<outer>!/<member>``; a member whose name an earlier
+    inner archive has already is named with its ordinal.
     """
-    n = tasks or max(2 * raw.sparkSession.sparkContext.defaultParallelism, 2)
-    inner = raw.filter(F.col("error_class").isNull() & ~is_directory_entry("path_in_archive")
-                       & F.lower("path_in_archive").endswith(".zip"))
-    return (inner.select("archive_path", "drive", "path_in_archive", "entry_ordinal")
-            .repartition(n, "archive_path", F.floor(F.col("entry_ordinal") / CHUNK))
-            .sortWithinPartitions("archive_path", "entry_ordinal")
-            .mapInPandas(_read_nested(batch_rows), RAW_ENTRIES))
+    inner = raw.filter(is_inner_archive())
+    first = inner.groupBy("archive_path", "path_in_archive").agg(F.min("entry_ordinal").alias("_first"))
+    into = F.when(F.col("entry_ordinal") == F.col("_first"), F.lit("!/")).otherwise(
+        F.concat(F.lit("!"), F.col("entry_ordinal").cast("string"), F.lit("/")))
+    return inner.join(first, ["archive_path", "path_in_archive"]).select(
+        F.lit(None).cast("string").alias("root"), "drive",
+        F.concat("archive_path", into, "path_in_archive").alias("archive_path"),
+        basename("path_in_archive").alias("archive_name"), "file_size",
+        F.col("entry_mtime").alias("last_modified"))
 
 
 def split_entries(raw: DataFrame, all_files: bool = False, created_at=None) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +111,7 @@ def split_entries(raw: DataFrame, all_files: bool = False, created_at=None) -> t
                        basename("path_in_archive").alias("file_name"),
                        "file_size", "path_in_archive", "entry_ordinal",
                        F.lit(None).cast("string").alias("file_hash"),
-                       ts.alias("created_at"), "compressed_size", "entry_mtime"))
+                       ts.alias("created_at"), "compressed_size", "entry_mtime", "crc32"))
     errors = raw.filter(F.col("error_class").isNotNull()).select(
         "archive_path", "drive", "error_class", "error_message")
     return entries, errors

@@ -2,9 +2,10 @@
 
 The file stream source remembers which files it has seen (in the query's
 checkpoint), so each micro-batch holds only archives that appeared since the
-last one. Every micro-batch is scanned like a batch job and registered as
-catalogue partition ``stream-<batch_id>``: a replayed batch (after a failure)
-overwrites the same partition, so the sink is idempotent. Only ``path``,
+last one. Every micro-batch is scanned like a batch job and registered as scan
+``stream-<stream>-<batch_id>``, where the stream is a hash of its checkpoint and
+source: streams do not touch each other's scans, and a replayed batch (after a
+failure) replaces its own. Only ``path``,
 ``length`` and ``modificationTime`` of the ``binaryFile`` source are used;
 ``content`` is never selected, so archive bytes are not loaded by Spark.
 """
@@ -12,6 +13,7 @@ overwrites the same partition, so the sink is idempotent. Only ``path``,
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +23,9 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, drive_label
 from zipledger.plans.register import register
+from zipledger.schemas import ARCHIVES
 from zipledger.session import materialize
-from zipledger.sources.fs import path_exists
+from zipledger.sources.catalog import visible
 from zipledger.sources.reader import read_central_directories, split_entries
 
 
@@ -44,19 +47,17 @@ def archive_stream(spark: SparkSession, folders: str, max_files_per_trigger: int
 
 
 def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column], Column],
-                  scan_ts: _dt.datetime | None):
+                  scan_ts: _dt.datetime | None, stream: str = ""):
     def write(batch: DataFrame, batch_id: int) -> None:
         path = F.regexp_replace("path", r"^file:", "")
         listing = batch.select(path.alias("archive_path"), F.col("length").alias("file_size"),
                                F.col("modificationTime").alias("last_modified"))
         listing = listing.withColumn("drive", drive_of(F.col("archive_path")))
-        sid = f"stream-{batch_id:06d}"
-        spark = batch.sparkSession
-        if path_exists(f"{catalog_path}/archives", spark):
-            # archives registered by earlier batches or scans are not read again
-            done = (spark.read.parquet(f"{catalog_path}/archives")
-                    .filter(F.col("scan_id") != sid).select("archive_path"))
-            listing = listing.join(done, "archive_path", "left_anti")
+        sid = f"stream-{stream}-{batch_id:06d}"
+        # archives registered by earlier batches or scans are not read again
+        done = visible(batch.sparkSession, catalog_path, "archives", ARCHIVES).filter(
+            F.col("scan_id") != sid).select("archive_path")
+        listing = materialize(listing.join(done, "archive_path", "left_anti"), f"stream-listing-{batch_id}")
         ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
         raw = materialize(read_central_directories(listing), f"stream-raw-{batch_id}")
         entries, errors = split_entries(raw, all_files, created_at=ts)
@@ -72,12 +73,13 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
 def watch(spark: SparkSession, folders: str, catalog_path: str, checkpoint_location: str,
           all_files: bool = False, drive_of: Callable[[Column], Column] | None = None,
           available_now: bool = True, max_files_per_trigger: int | None = None,
-          scan_ts: _dt.datetime | None = None, processing_time: str = "1 minute"):
+          scan_ts: _dt.datetime | None = None, processing_time: str = "1 minute", path_style: str = "posix"):
     """Start the cataloguing stream; with ``available_now`` it stops when caught up."""
-    drive_of = drive_of or (lambda c: drive_label(c, "posix"))
+    drive_of = drive_of or (lambda c: drive_label(c, path_style))
+    name = hashlib.sha256(f"{checkpoint_location}\n{folders}".encode()).hexdigest()[:12]
     stream = archive_stream(spark, folders, max_files_per_trigger)
     w = (stream.writeStream
-         .foreachBatch(_batch_writer(catalog_path, all_files, drive_of, scan_ts))
+         .foreachBatch(_batch_writer(catalog_path, all_files, drive_of, scan_ts, name))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
