@@ -34,14 +34,19 @@ from zipledger.sources.listing import roots_frame
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, catalog_path: str, path_style: str = "posix"):
+    def __init__(self, spark: SparkSession, catalog_path: str, path_style: str = "posix", audit: bool = True):
+        """``path_style`` labels archives by their paths; ``audit=False`` keeps no audit trail
+        (it writes a small file for every command)."""
         ship_package(spark)
+        self.audited = audit
         self.spark = spark
         self.path = catalog_path.rstrip("/")
         self.path_style = path_style
 
     # ---- audit trail (append-only) ----------------------------------------------------
     def _audit(self, op: str, **args) -> None:
+        if not self.audited:
+            return
         row = [(op, json.dumps(args, sort_keys=True, default=str), _dt.datetime.now())]
         (self.spark.createDataFrame(row, "op string, args string, at timestamp")
          .coalesce(1).write.mode("append").parquet(f"{self.path}/audit"))
@@ -133,6 +138,11 @@ class Ledger:
         order = [F.col("archive_name"), F.col("archive_path"), F.col("file_name"), F.col("entry_ordinal")]
         return X.extract(S.matched(self.catalog(), F.lit(True)), order, output_dir)
 
+    def extract_by_rules(self, rules: list, output_dir: str, default: str = "other") -> DataFrame:
+        """Every catalogued entry into the sub-folder of the first rule (condition, folder) it meets."""
+        self._audit("extract_by_rules", folders=[f for _, f in rules], output_dir=output_dir)
+        return X.extract_by_rules(S.matched(self.catalog(), F.lit(True)), S.size_desc(), output_dir, rules, default)
+
     def extraction_tally(self, results: DataFrame) -> DataFrame:
         return ST.extract_tally(results)
 
@@ -157,8 +167,11 @@ class Ledger:
         return out
 
     def export(self, df: DataFrame, path: str, fmt: str = "csv") -> None:
-        """Write a result as CSV (with header) or JSON lines."""
+        """Write a result as CSV (with header), JSON lines or XML (an element ``row`` each)."""
         w = df.write.mode("overwrite")
+        if fmt == "xml":
+            w.format("xml").option("rowTag", "row").save(path)
+            return
         (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
 
     def archive_stats(self) -> DataFrame:

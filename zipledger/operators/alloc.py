@@ -84,20 +84,24 @@ def _count_before(requests: DataFrame, markers: DataFrame) -> DataFrame:
                           F.lit(None).cast("string").alias("child"), F.lit(0).alias("is_marker"))
     mk = markers.select("parent", F.floor(F.col("pos") / BUCKET).alias("bucket"), "pos", "child",
                         F.lit(1).alias("is_marker"))
-    bucket_off = (requests.groupBy(F.col("node").alias("parent"), "bucket").agg(F.count(F.lit(1)).alias("n")))
-    # offset of a bucket = requests of the parent in earlier buckets; markers
-    # can fall into buckets without requests, so offsets are summed by join
     u = req.unionByName(mk)
-    w = Window.partitionBy("parent", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    inside = (u.withColumn("before", F.coalesce(F.sum(1 - F.col("is_marker")).over(w), F.lit(0)))
-              .filter(F.col("is_marker") == 1).select("parent", "child", "bucket", "before"))
-    earlier = (inside.select("parent", "bucket").distinct().alias("m")
-               .join(bucket_off.alias("o"), (F.col("m.parent") == F.col("o.parent"))
-                     & (F.col("o.bucket") < F.col("m.bucket")), "left")
-               .groupBy(F.col("m.parent").alias("parent"), F.col("m.bucket").alias("bucket"))
-               .agg(F.coalesce(F.sum("o.n"), F.lit(0)).alias("off")))
-    return (inside.join(earlier, ["parent", "bucket"])
-            .select("parent", "child", (F.col("off") + F.col("before")).alias("c")))
+    return (_running(u, "parent", "bucket", ["pos"], 1 - F.col("is_marker"))
+            .filter(F.col("is_marker") == 1).select("parent", "child", F.col("running").alias("c")))
+
+
+def _running(rows: DataFrame, key: str, bucket: str, order: list, amount: Column) -> DataFrame:
+    """``rows`` with ``running``: the sum of ``amount`` over a key's rows before each.
+
+    Two levels, so that a key with a large share of all rows is no single window: sums of
+    buckets are added up per key, and rows within their bucket only."""
+    rows = rows.withColumn("_amount", amount)
+    sums = rows.groupBy(key, bucket).agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(key, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("_here", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+            .join(offs, [key, bucket]).withColumn("running", F.col("_off") + F.col("_here"))
+            .drop("_amount", "_off", "_here"))
 
 
 def _scan_children(pdf_iter_group: pd.DataFrame) -> pd.DataFrame:
@@ -176,20 +180,24 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
         if new_taken.exceptAll(taken).isEmpty() and taken.exceptAll(new_taken).isEmpty():
             break
         taken = new_taken
-    skips = (scanned.filter(F.col("skipped")).groupBy(F.col("parent").alias("node"))
-             .agg(F.collect_list("j").alias("skip_js")))
+    skips = scanned.filter(F.col("skipped")).select(F.col("parent").alias("node"), "j")
     return _assign(plan, req, starts, skips)
 
 
 def _assign(plan: DataFrame, req: DataFrame, starts: DataFrame, skips: DataFrame | None) -> DataFrame:
     """Index of each request = start + rank - 1 + skipped children reached so far."""
-    info = starts.join(skips, "node", "left") if skips is not None else \
-        starts.withColumn("skip_js", F.lit(None).cast("array<bigint>"))
-    names = with_name_parts(req.select("plan_pos", "node", "j"), "node")
-    out = (names.join(info, "node")
-           .withColumn("idx", F.col("start") + F.col("j") - 1
-                       + F.when(F.col("skip_js").isNull(), F.lit(0))
-                       .otherwise(F.size(F.filter("skip_js", lambda x: x <= F.col("j")))))
+    asked = req.select("plan_pos", "node", "j")
+    if skips is None:
+        asked = asked.withColumn("running", F.lit(0))
+    else:   # a child skipped at the rank of a request comes before it
+        both = asked.withColumn("skip", F.lit(0)).unionByName(
+            skips.select(F.lit(None).cast("long").alias("plan_pos"), "node", F.col("j").cast("long").alias("j"),
+                         F.lit(1).alias("skip")))
+        both = both.withColumn("bucket", F.floor(F.col("j") / BUCKET))
+        asked = _running(both, "node", "bucket", [F.col("j"), F.desc("skip")], F.col("skip")).filter("skip = 0")
+    names = with_name_parts(asked.select("plan_pos", "node", "j", "running"), "node")
+    out = (names.join(starts, "node")
+           .withColumn("idx", F.col("start") + F.col("j") - 1 + F.col("running"))
            .select("plan_pos", _candidate(F.col("stem"), F.col("ext"), F.col("idx"), F.col("node"))
                    .alias("out_name")))
     return plan.join(out, "plan_pos")

@@ -62,10 +62,14 @@ def existing_names(spark, output_dir: str) -> DataFrame:
 
 
 def plan(matches: DataFrame, order: list[Column], output_dir: str,
-         existing: DataFrame | None = None) -> DataFrame:
-    """``(plan_pos, archive_path, path_in_archive, file_name, file_size, out_name, output_path)``."""
+         existing: DataFrame | None = None, folder: Column | None = None) -> DataFrame:
+    """``(plan_pos, archive_path, path_in_archive, file_name, file_size, out_name, output_path)``.
+
+    ``folder`` is the sub-folder of each match; names are allocated within it, and
+    ``existing`` then has names with their folder."""
     numbered = global_row_number(matches, order, "plan_pos")
-    with_base = numbered.withColumn("base", basename("path_in_archive"))
+    base = basename("path_in_archive")
+    with_base = numbered.withColumn("base", base if folder is None else F.concat(folder, F.lit("/"), base))
     named = allocate(with_base, existing)
     out_dir = output_dir.rstrip("/")
     ordinal = F.col("entry_ordinal") if "entry_ordinal" in named.columns else F.lit(None).cast("int")
@@ -150,6 +154,25 @@ def extract(matches: DataFrame, order: list[Column], output_dir: str, skip_exist
     return run(plan(matches, order, output_dir, existing))
 
 
+def folder_of(rules: list[tuple[Column, str]], default: str = "other") -> Column:
+    """The folder of the first rule (condition, folder) that an entry meets."""
+    out = F.lit(default)
+    for condition, folder in reversed(rules):
+        out = F.when(condition, F.lit(folder)).otherwise(out)
+    return out
+
+
+def extract_by_rules(matches: DataFrame, order: list[Column], output_dir: str, rules: list[tuple[Column, str]],
+                     default: str = "other") -> DataFrame:
+    """Extract ``matches`` into sub-folders of ``output_dir`` chosen by ``rules``."""
+    spark, existing = matches.sparkSession, None
+    for folder in dict.fromkeys([f for _, f in rules] + [default]):
+        names = existing_names(spark, f"{output_dir.rstrip('/')}/{folder}").select(
+            F.concat(F.lit(folder + "/"), "name").alias("name"))
+        existing = names if existing is None else existing.unionByName(names)
+    return run(plan(matches, order, output_dir, existing, folder_of(rules, default)))
+
+
 _ENTRY = ["archive_path", "path_in_archive", "entry_ordinal"]
 
 

@@ -52,13 +52,20 @@ def archive_info(cat: Catalog, uuid: str) -> DataFrame:
 
 
 def list_archives(cat: Catalog, limit: int | None = None) -> DataFrame:
-    """Archives with entry counts ordered by name, optional limit."""
+    """Archives with entry counts ordered by name, optional limit.
+
+    The order needs no counts, so a limit is applied first and only the entries of
+    those archives are counted."""
+    if limit and limit > 0:
+        top = cat.archives.orderBy("archive_name", "archive_path").limit(limit)
+        mine = cat.entries.join(top.select("archive_uuid"), "archive_uuid", "left_semi")
+        cat = Catalog(top, mine)
     res = (cat.archives.join(entry_counts(cat), "archive_uuid", "left")
            .select("archive_name", "drive", "archive_uuid",
                    F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"),
                    "archive_path")
            .orderBy("archive_name", "archive_path"))
-    return res.limit(limit) if limit and limit > 0 else res
+    return res
 
 
 def drive_rollup(cat: Catalog, roots: DataFrame | None = None, all_files: bool = False,

@@ -8,7 +8,7 @@ import uuid as _uuid
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid_py
-from zipledger.functions.paths import VIDEO_EXTENSIONS
+from zipledger.functions.paths import VIDEO_EXTENSIONS, is_target
 from zipledger.operators import analytics as A
 from zipledger.operators import extract as X
 from zipledger.operators import quality as Q
@@ -77,6 +77,9 @@ def _exported(spark, sf_dir, fmt: str):
     res = S.search(cat(spark, sf_dir), "00", min_size=1000, max_size=200000, file_types=["mp4", "mov"])
     out = shared_dir(spark, "zipledger-export", f"{fmt}-{_uuid.uuid4().hex}")
     w = res.write.mode("overwrite")
+    if fmt == "xml":
+        w.format("xml").option("rowTag", "row").save(out)
+        return spark.read.schema(res.schema).format("xml").option("rowTag", "row").load(out)
     if fmt == "csv":
         w.option("header", True).csv(out)
         return spark.read.schema(res.schema).option("header", True).csv(out)
@@ -94,22 +97,31 @@ def q_export_json(spark, sf_dir):
     return _exported(spark, sf_dir, "json")
 
 
+@register("export_xml", _SEARCH_SQL)
+def q_export_xml(spark, sf_dir):
+    return _exported(spark, sf_dir, "xml")
+
+
 # ---- B-3: validation -----------------------------------------------------------------------
 @register("validate_orphans", with_catalog("""
-SELECT archive_uuid, file_name, path_in_archive FROM ja WHERE drive = 'E:'"""))
+SELECT 'lost-' || archive_uuid AS archive_uuid, file_name, path_in_archive FROM ja WHERE drive = 'E:'"""))
 def q_validate_orphans(spark, sf_dir):
+    # planted: the entries of one drive a second time, under archives that are not there
     c = cat(spark, sf_dir)
-    broken = Catalog(c.archives.filter(F.col("drive") != "E:"), c.entries)
+    moved = c.entries.join(c.archives.filter(F.col("drive") == "E:").select("archive_uuid"), "archive_uuid")
+    moved = moved.withColumn("archive_uuid", F.concat(F.lit("lost-"), "archive_uuid"))
+    broken = Catalog(c.archives, c.entries.unionByName(moved))
     return Q.orphan_entries(broken).select("archive_uuid", "file_name", "path_in_archive")
 
 
 @register("validate_empty_archives", with_catalog("""
-SELECT archive_uuid, archive_path FROM arch a
-WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.archive_uuid = a.archive_uuid AND e.file_size < 2000)"""))
+SELECT 'empty-' || archive_uuid AS archive_uuid, '/empty' || archive_path AS archive_path FROM arch"""))
 def q_validate_empty(spark, sf_dir):
+    # planted: every archive a second time without its entries
     c = cat(spark, sf_dir)
-    small = Catalog(c.archives, c.entries.filter(F.col("file_size") < 2000))
-    return Q.empty_archives(small).select("archive_uuid", "archive_path")
+    bare = c.archives.withColumn("archive_uuid", F.concat(F.lit("empty-"), "archive_uuid")).withColumn(
+        "archive_path", F.concat(F.lit("/empty"), "archive_path"))
+    return Q.empty_archives(Catalog(c.archives.unionByName(bare), c.entries)).select("archive_uuid", "archive_path")
 
 
 @register("validate_duplicate_paths", with_catalog("""
@@ -304,6 +316,21 @@ def q_extract_space(spark, sf_dir):
     return m.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").cast("long").alias("bytes_needed"))
 
 
+# ---- C-11: extraction by rules ------------------------------------------------------------
+@register("extract_by_rules", _with_all(f"""
+SELECT CASE WHEN {ext_of('path_in_archive')} IN ({VIDEO_EXT_SQL}) THEN 'video'
+            WHEN file_size < 2000 THEN 'small' ELSE 'other' END || '/' || file_name AS out_name,
+       path_in_archive, 'ok' AS status, file_size AS bytes_written
+FROM v"""))
+def q_extract_by_rules(spark, sf_dir):
+    _, c = full_catalog(spark, sf_dir)
+    rules = [(is_target("path_in_archive"), "video"), (F.col("file_size") < 2000, "small")]
+    out = shared_dir(spark, "zipledger-extract", _uuid.uuid4().hex)
+    res = X.extract_by_rules(S.matched(c, F.lit(True)), S.size_desc(), out, rules)
+    return res.select(F.substring(F.col("output_path"), len(out) + 2, 1 << 30).alias("out_name"),
+                      "path_in_archive", "status", "bytes_written")
+
+
 # ---- C-1: streaming registration of new archives ------------------------------------------
 @register("stream_scan", _with_v(f"""
 SELECT split_part(archive_path, '/', -1) AS archive_name, {_DRIVE} AS drive, COUNT(*) AS file_count,
