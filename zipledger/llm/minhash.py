@@ -16,8 +16,11 @@ probability of about two in a million, so only pairs with ``T`` collisions count
 
 Links are confirmed on the full sets. Not all pairs of a dense group are confirmed: first
 every member of a list names the partner it collides with most; these pairs are confirmed
-and joined into components. Then all candidate pairs that still cross components are
-confirmed as well, which leaves none between documents that are not already connected.
+and joined into components. Then the lists that still hold candidate pairs between two
+components get the texts of those members, and each such pair is confirmed in one list
+(that of the first value the two have in common), best first, unless links found there
+have already connected it. That leaves no pair untried between documents of different
+components, and no more rows than members and links leave a list.
 
 Defined results: a null or empty text, or one without words, has the empty set and is
 linked with nothing. Rows that repeat a doc_id are expected to repeat its text and share
@@ -72,8 +75,15 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that little is held at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
         counts, keys, signs = [], [], []
         for values in shingle_sets(texts_of(batch.column(1))):
             counts.append(len(values))
@@ -103,107 +113,183 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return classes.join(posts, "rep")
 
 
+LIST = ["token", "i", "j"]
+
+
 def lists(heads: DataFrame) -> DataFrame:
     """Postings with what is needed to count collisions, dealt by list and sorted by set size."""
-    posts = heads.withColumn("post", F.explode("posts")).drop("posts")
+    posts = heads.withColumn("post", F.explode("posts"))
     blocks = F.ceil(F.col("post.freq") / BLOCK)
     posts = posts.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(
         F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     posts = posts.withColumn("cell", F.explode(cells)).withColumn("token", F.col("post.token"))
-    posts = posts.select("token", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "rep", "n",
-                         "sig", *[c for c in heads.columns if c == "label"])
-    return posts.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
-
-
-def _collisions(every: bool):
-    """Pairs of a list with T collisions: each member's best, or (``every``) all between labels."""
-    def pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size, n = len(rows), rows["n"].to_numpy()
-        keys = rows[["token", "i", "j"]].to_numpy()
-        last = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), size - 1)
-        end = last[np.searchsorted(last, np.arange(size))] + 1  # where each row's list ends
-        sig, block = np.stack(rows["sig"].to_numpy()), rows["block"].to_numpy()
-        cross = keys[:, 1] != keys[:, 2]
-        label = rows["label"].to_numpy() if every else None
-        best = np.full(size, T - 1)
-        partner = np.full(size, -1)
-        alive, d = np.arange(size), 1
-        while len(alive):
-            alive = alive[alive + d < end[alive]]
-            alive = alive[100 * n[alive] >= SIMILARITY * n[alive + d]]  # sorted by size: later ones fail too
-            left, right = alive, alive + d
-            if every:
-                use = label[left] != label[right]
-                left, right = left[use], right[use]
-            use = ~cross[left] | (block[left] != block[right])
-            left, right = left[use], right[use]
-            same = (sig[left] == sig[right]).sum(axis=1)
-            if every:
-                hit = same >= T
-                yield left[hit], right[hit]
-            else:
-                for x, y in ((left, right), (right, left)):
-                    better = same > best[x]
-                    best[x[better]], partner[x[better]] = same[better], y[better]
-            d += 1
-        if not every:
-            found = np.flatnonzero(partner >= 0)
-            yield found, partner[found]
-
+    named = ["label"] if "label" in heads.columns else []
+    tokens = [F.col("posts.token").alias("tokens")] if named else []
+    return _dealt(posts.select("token", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "rep", "n",
+                               "sig", *named, *tokens))
+
+
+def _dealt(posts: DataFrame) -> DataFrame:
+    return posts.repartition(*LIST).sortWithinPartitions(*LIST, "n", "rep")
+
+
+def _similar(rows: pd.DataFrame, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, collisions) of the pairs with T collisions in each list of ``rows``.
+
+    Rows are compared with the first, second ... row after them for as long as set sizes
+    allow. ``across`` only yields pairs of two labels."""
+    size, n = len(rows), rows["n"].to_numpy()
+    keys = rows[LIST].to_numpy()
+    last = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), size - 1)
+    end = last[np.searchsorted(last, np.arange(size))] + 1  # where each row's list ends
+    sig, block = np.stack(rows["sig"].to_numpy()), rows["block"].to_numpy()
+    cross = keys[:, 1] != keys[:, 2]
+    label = rows["label"].to_numpy() if across else None
+    alive, d = np.arange(size), 1
+    while len(alive):
+        alive = alive[alive + d < end[alive]]
+        alive = alive[100 * n[alive] >= SIMILARITY * n[alive + d]]  # sorted by size: later ones fail too
+        left, right = alive, alive + d
+        use = ~cross[left] | (block[left] != block[right])
+        if across:
+            use &= label[left] != label[right]
+        left, right = left[use], right[use]
+        same = (sig[left] == sig[right]).sum(axis=1)
+        hit = same >= T
+        if hit.any():
+            yield left[hit], right[hit], same[hit]
+        d += 1
+
+
+def _by_list(work):
+    """A ``mapInPandas`` function that gives ``work`` whole lists, as many as a batch holds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = rows[["token", "i", "j"]].to_numpy()
-            cut = len(rows) - int((keys[::-1] != keys[-1]).any(axis=1).argmax()) if len(rows) else 0
-            if cut == len(rows) and (keys == keys[-1]).all():
-                cut = 0  # all of one list, which may go on
+            keys = rows[LIST].to_numpy()
+            other = (keys != keys[-1]).any(axis=1) if len(rows) else np.empty(0, bool)
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last list may go on
             held = rows.iloc[cut:]
-            yield from out(rows.iloc[:cut])
-        if held is not None:
-            yield from out(held)
-
-    def out(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(rows) > 1:
-            rows = rows.reset_index(drop=True)
-            rep = rows["rep"].to_numpy()
-            for x, y in pairs(rows):
-                if len(x):
-                    both = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1), axis=0)
-                    yield pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
+            if cut > 1:
+                yield from work(rows.iloc[:cut].reset_index(drop=True))
+        if held is not None and len(held) > 1:
+            yield from work(held.reset_index(drop=True))
     return run
 
 
-def candidates(heads: DataFrame, every: bool = False) -> DataFrame:
-    """(u, v), u < v: candidate pairs of classes, each once."""
-    return lists(heads).mapInPandas(_collisions(every), "u long, v long").filter("u < v").distinct()
+def _name_partners(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Each member's pair with the partner it collides with most."""
+    best, partner = np.full(len(rows), T - 1), np.full(len(rows), -1)
+    for left, right, same in _similar(rows):
+        for x, y in ((left, right), (right, left)):
+            better = same > best[x]
+            best[x[better]], partner[x[better]] = same[better], y[better]
+    found = np.flatnonzero(partner >= 0)
+    if len(found):
+        a, b = rows["rep"].to_numpy()[found], rows["rep"].to_numpy()[partner[found]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        yield pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
+
+
+def candidates(heads: DataFrame) -> DataFrame:
+    """(u, v), u < v: the pairs that members of lists name, each once."""
+    return lists(heads).mapInPandas(_by_list(_name_partners), "u long, v long").filter("u < v").distinct()
+
+
+def _across(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidate pairs of two labels that fall to this list, by falling collisions."""
+    found = list(_similar(rows, across=True))
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    left, right, same = (np.concatenate(x) for x in zip(*found))
+    earlier: dict[int, frozenset] = {}  # values that come before the list's own
+    for r in np.unique(np.concatenate([left, right])).tolist():
+        tokens = rows["tokens"].iat[r].tolist()
+        earlier[r] = frozenset(tokens[:tokens.index(rows["token"].iat[r])])
+    mine = np.array([earlier[a].isdisjoint(earlier[b]) for a, b in zip(left.tolist(), right.tolist())], bool)
+    left, right, same = left[mine], right[mine], same[mine]
+    order = np.argsort(-same, kind="stable")
+    return left[order], right[order], same[order]
+
+
+def _open_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The members of lists that have candidate pairs of two labels."""
+    left, right, _ = _across(rows)
+    if len(left):
+        yield rows.iloc[np.unique(np.concatenate([left, right]))][[*LIST, "block", "rep"]]
+
+
+class Sets:
+    """Shingle sets of packed texts; those used last are remembered, up to ``LIMIT`` numbers."""
+
+    LIMIT = 4 << 20
+
+    def __init__(self):
+        self.unpack, self.known, self.size = zstandard.ZstdDecompressor(), {}, 0
+
+    def get(self, key: int, packed: bytes) -> np.ndarray:
+        values = self.known.get(key)
+        if values is None:
+            values = next(shingle_sets([self.unpack.decompress(packed)]))
+            if self.size + len(values) > self.LIMIT:
+                self.known, self.size = {}, 0
+            self.known[key] = values
+            self.size += len(values)
+        return values
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets are similar enough."""
+    if 100 * min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return bool(common) and 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+
+
+def _link_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The links between labels of each list, as many as it takes to connect what is connected."""
+    left, right, _ = _across(rows)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    label, rep, packed, sets, out = (rows["label"].tolist(), rows["rep"].tolist(), rows["z"].tolist(), Sets(), [])
+    for x, y in zip(left.tolist(), right.tolist()):
+        a, b = find(label[x]), find(label[y])
+        if a != b and linked(sets.get(rep[x], packed[x]), sets.get(rep[y], packed[y])):
+            root[max(a, b)] = min(a, b)
+            out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    if out:
+        yield pd.DataFrame(out, columns=["u", "v"])
+
+
+def links_across(heads: DataFrame, packed: DataFrame) -> DataFrame:
+    """(u, v): links between classes of different ``label``s, enough to connect all that are linked."""
+    open_ = stage(lists(heads).mapInPandas(_by_list(_open_members), "token long, i long, j long, block long, rep long"),
+                  "open")
+    texts = packed.select(F.col("doc_id").alias("rep"), "z")
+    rows = open_.join(heads.select("rep", "n", "sig", "label", F.col("posts.token").alias("tokens")), "rep")
+    return _dealt(rows.join(texts, "rep")).mapInPandas(_by_list(_link_members), "u long, v long")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _small(batches):
         z = [packer.compress(t) for t in texts_of(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        table = batch.to_pydict()
-        # a text is unpacked once for all its pairs in the batch
-        ids = {}
-        for key, z in (("u", "zu"), ("v", "zv")):
-            ids |= dict(zip(table[key], table[z]))
-        order = list(ids)
-        sets = dict(zip(order, shingle_sets([unpack.decompress(ids[i]) for i in order])))
-        keep = []
-        for k, (u, v) in enumerate(zip(table["u"], table["v"])):
-            a, b = sets[u], sets[v]
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            if common and 100 * common >= SIMILARITY * (len(a) + len(b) - common):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([table[c][k] for k in keep], pa.int64()) for c in "uv"], ["u", "v"])
+    sets = Sets()
+    for batch in _small(batches):
+        rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+        keep = [(u, v) for u, v, zu, zv in rows if linked(sets.get(u, zu), sets.get(v, zv))]
+        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keep], pa.int64()) for c in (0, 1)], ["u", "v"])
 
 
 def confirmed(pairs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -229,8 +315,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = heads.join(first, heads["rep"] == first["node"], "left").withColumn(
         "label", F.coalesce("component", "rep")).drop("node", "component")
-    rest = candidates(named, every=True).join(pairs, ["u", "v"], "left_anti")
-    more = stage(confirmed(rest, packed), "links")
+    named = stage(named, "labelled")
+    more = stage(links_across(named, packed), "links")
     last = components(links.union(more)) if more.take(1) else first
 
     reps = classes.select(F.col("set_key").alias("k"), "rep")
