@@ -45,6 +45,10 @@ def test_ledger_commands(spark, scratch):
         many.extract_by_uuid(muuid, f"{scratch}/out-many", choice="every")
     tally = {r.archive_path: (r.extracted, r.errors) for r in led.extraction_tally(led.extract_all(out)).collect()}
     assert tally[None] == (10, 0)
+    assert led.extraction_history().count() == 1 + 5 + 10
+    from zipledger.operators.search import F
+    rules = led.extract_by_rules([(F.col("file_size") > 30, "large")], f"{scratch}/rules", default="small").collect()
+    assert sorted(os.path.relpath(r.output_path, f"{scratch}/rules").split("/")[0] for r in rules) == ["large"] * 4 + ["small"] * 6
     # merge another catalogue: only its new archive is added
     _zip(f"{scratch}/d2/GoogleTakeout/takeout_2.zip", [("v.mp4", b"v")])
     other = Ledger(spark, f"{scratch}/catalog2")
@@ -65,5 +69,5 @@ def test_ledger_commands(spark, scratch):
     led.watch(f"{scratch}/d3/GoogleTakeout", f"{scratch}/stream-ckpt").awaitTermination()
     assert led.stats().collect()[0].video_files == 12
     use = {r.op: r.runs for r in led.usage().collect()}
-    assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "merge": 1,
+    assert use == {"scan": 1, "search": 1, "extract": 1, "extract_by_uuid": 1, "extract_all": 1, "extract_by_rules": 1, "merge": 1,
                    "watch": 1}

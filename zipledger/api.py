@@ -19,6 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from zipledger.functions.paths import EXCLUDED_DIRECTORIES, like_contains
 from zipledger.operators import extract as X
@@ -28,7 +29,8 @@ from zipledger.operators.merge import merge_paths
 from zipledger.plans.register import register
 from zipledger.plans.scan import ScanResult, scan_and_register
 from zipledger.session import ship_package
-from zipledger.sources.catalog import Catalog, published
+from zipledger.schemas import EXTRACT_RESULT
+from zipledger.sources.catalog import Catalog, published, read_table
 from zipledger.sources.fs import path_exists
 from zipledger.sources.listing import roots_frame
 
@@ -119,7 +121,7 @@ class Ledger:
         """Extract a match of ``file_name`` (largest first): number ``choice`` or ``"all"``."""
         self._audit("extract", file_name=file_name, output_dir=output_dir, choice=choice)
         m = S.matched(self.catalog(), like_contains("file_name", file_name))
-        return X.extract(S.pick(m, S.size_desc(), choice).drop("choice"), S.size_desc(), output_dir)
+        return self._record(X.extract(S.pick(m, S.size_desc(), choice).drop("choice"), S.size_desc(), output_dir))
 
     def extract_by_uuid(self, uuid: str, output_dir: str, file_name: str | None = None,
                         choice: int | str = 1) -> DataFrame:
@@ -130,18 +132,29 @@ class Ledger:
             cond = cond & like_contains("file_name", file_name)
         order = S.size_desc() if file_name else S.name_asc()
         m = S.matched(self.catalog(), cond)
-        return X.extract(S.pick(m, order, choice).drop("choice"), order, output_dir)
+        return self._record(X.extract(S.pick(m, order, choice).drop("choice"), order, output_dir))
 
     def extract_all(self, output_dir: str) -> DataFrame:
         """Every catalogued entry, archives by name, entries by file name."""
         self._audit("extract_all", output_dir=output_dir)
         order = [F.col("archive_name"), F.col("archive_path"), F.col("file_name"), F.col("entry_ordinal")]
-        return X.extract(S.matched(self.catalog(), F.lit(True)), order, output_dir)
+        return self._record(X.extract(S.matched(self.catalog(), F.lit(True)), order, output_dir))
 
     def extract_by_rules(self, rules: list, output_dir: str, default: str = "other") -> DataFrame:
         """Every catalogued entry into the sub-folder of the first rule (condition, folder) it meets."""
         self._audit("extract_by_rules", folders=[f for _, f in rules], output_dir=output_dir)
-        return X.extract_by_rules(S.matched(self.catalog(), F.lit(True)), S.size_desc(), output_dir, rules, default)
+        return self._record(X.extract_by_rules(S.matched(self.catalog(), F.lit(True)), S.size_desc(), output_dir,
+                                               rules, default))
+
+    def _record(self, results: DataFrame) -> DataFrame:
+        """Append an extraction's result rows to the catalogue's history."""
+        results.withColumn("at", F.lit(_dt.datetime.now())).write.mode("append").parquet(f"{self.path}/extractions")
+        return results
+
+    def extraction_history(self) -> DataFrame:
+        """The result rows of all extractions from this catalogue, with their time ``at``."""
+        schema = StructType([*EXTRACT_RESULT.fields, StructField("at", TimestampType(), True)])
+        return read_table(self.spark, f"{self.path}/extractions", schema)
 
     def extraction_tally(self, results: DataFrame) -> DataFrame:
         return ST.extract_tally(results)

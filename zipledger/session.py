@@ -87,11 +87,27 @@ def materialize(df, name: str):
     """
     import uuid as _uuid
     spark = df.sparkSession
-    path = shared_dir(spark, "zipledger-stage") + f"/{name}-{_uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{name}-{_uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return shared_dir(spark, "zipledger-stage", spark.sparkContext.applicationId)
+
+
+def clear_stage(spark: SparkSession, *names: str) -> None:
+    """Remove this application's staged tables (those of the given names, or all).
+
+    For use when the DataFrames that read them are no longer needed; the streaming
+    cataloguer does it after every micro-batch."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    filesystem = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in filesystem.listStatus(root):
+        if not names or status.getPath().getName().rsplit("-", 1)[0] in names:
+            filesystem.delete(status.getPath(), True)
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

@@ -11,6 +11,7 @@ jobs; both paths and the DuckDB oracle use the definitions below.
 from __future__ import annotations
 
 import datetime as _dt
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, drive_label
 from zipledger.sources.catalog import Catalog
+from zipledger.sources.fs import path_exists, version_of
 
 # ---- fixed values of the derived catalogue ---------------------------------
 PART_ROWS = 4096                    # documents per archive part (doc_id div PART_ROWS)
@@ -99,27 +101,15 @@ def stored_derived_catalog(spark: SparkSession, sf_dir: str, rebuild: bool = Fal
 
     Queries read the stored catalogue (small columns, archives sorted by
     uuid) instead of re-deriving it from the document texts every time. The
-    build goes through the same sink as a scan and is published by a marker
-    written last; ``rebuild`` forces a fresh build (used by the benchmark).
+    build goes through the same sink as a scan; ``rebuild`` publishes a fresh
+    run (used by the benchmark).
     """
-    import os
-    import uuid as _uuid
-
     from zipledger.plans.register import register
     from zipledger.session import shared_dir
 
-    st = os.stat(f"{sf_dir}/documents.parquet")
-    key = f"{os.path.basename(os.path.normpath(sf_dir))}-{st.st_size}-{int(st.st_mtime)}"
-    root = shared_dir(spark, "zipledger-derived", key)
-    pointer = os.path.join(root, "_CURRENT")
-    if rebuild or not os.path.exists(pointer):
-        path = f"{root}/{_uuid.uuid4().hex}"
+    key = os.path.basename(sf_dir.rstrip("/"))
+    path = shared_dir(spark, "zipledger-derived") + f"/{key}-{version_of(f'{sf_dir}/documents.parquet', spark)}"
+    if rebuild or not path_exists(f"{path}/manifest", spark):
         cat = derived_catalog(spark, sf_dir, stage=True)
-        register(path, cat.archives, cat.entries, "derived")
-        tmp = f"{pointer}.{_uuid.uuid4().hex}"
-        with open(tmp, "w") as fh:
-            fh.write(path)
-        os.replace(tmp, pointer)
-    with open(pointer) as fh:
-        path = fh.read().strip()
+        register(path, cat.archives, cat.entries, "derived", check_existing=False)
     return Catalog.read(spark, path)

@@ -61,15 +61,26 @@ def open_binary(path: str):
     return stream
 
 
-def path_exists(path: str, spark=None) -> bool:
-    """Existence of a local path, or of a remote one through the session's
-    Hadoop FileSystem (the same client Spark reads with)."""
-    lp = local_path(path)
-    if lp is not None:
-        return os.path.exists(lp)
-    if spark is not None:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
-    from pyarrow import fs as pafs
-    filesystem, inner = pafs.FileSystem.from_uri(path)
-    return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
+def _hadoop(spark, path: str):
+    """The Hadoop path and its file system: the client Spark itself reads with."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(path: str, spark) -> bool:
+    """Whether a local or remote path exists."""
+    jpath, filesystem = _hadoop(spark, path)
+    return bool(filesystem.exists(jpath))
+
+
+def mark(path: str, spark) -> None:
+    """Make an empty file, the sign that what lies beside it is complete."""
+    jpath, filesystem = _hadoop(spark, path)
+    filesystem.create(jpath, True).close()
+
+
+def version_of(path: str, spark) -> str:
+    """A name for the present state of a file or folder: its bytes and modification time."""
+    jpath, filesystem = _hadoop(spark, path)
+    size = filesystem.getContentSummary(jpath).getLength()
+    return f"{size}-{filesystem.getFileStatus(jpath).getModificationTime() // 1000}"

@@ -26,6 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from zipledger.session import shared_dir
 from zipledger.sources.derived import archive_path_col, entry_rows, read_documents
+from zipledger.sources.fs import mark, path_exists, version_of
 
 PACK_RESULT = StructType([
     StructField("archive_path", StringType(), False),
@@ -103,11 +104,10 @@ def pack_documents(spark: SparkSession, sf_dir: str, base: str | None = None) ->
     to ``<root>/mnt/c/GoogleTakeout/x.zip``.
     """
     if base is None:
-        key = os.path.basename(os.path.normpath(sf_dir))
-        st = os.stat(f"{sf_dir}/documents.parquet")
-        base = shared_dir(spark, "zipledger-fixtures", f"{key}-{st.st_size}-{int(st.st_mtime)}")
-    marker = os.path.join(base, "_PACKED")
-    if os.path.exists(marker):
+        key = os.path.basename(sf_dir.rstrip("/"))
+        base = shared_dir(spark, "zipledger-fixtures", f"{key}-{version_of(f'{sf_dir}/documents.parquet', spark)}")
+    marker = f"{base}/_PACKED"
+    if path_exists(marker, spark):
         return base
     docs = read_documents(spark, sf_dir)
     rows = entry_rows(docs, with_text=True).select("archive_path", "path_in_archive", "doc_id", "text")
@@ -120,8 +120,7 @@ def pack_documents(spark: SparkSession, sf_dir: str, base: str | None = None) ->
     bad = (docs.select("source", archive_path_col().alias("archive_path"))
            .select(bad_archive_path_col().alias("bad_path"), "source").distinct())
     bad.mapInPandas(_bad_writer(base), PACK_RESULT).write.format("noop").mode("overwrite").save()
-    with open(marker, "w") as fh:
-        fh.write("ok\n")
+    mark(marker, spark)
     return base
 
 
@@ -148,13 +147,12 @@ def pack_nested(spark: SparkSession, sf_dir: str) -> str:
     in one bundle would be one hot task).
     """
     base = pack_documents(spark, sf_dir)
-    marker = os.path.join(base, "_NESTED")
-    if os.path.exists(marker):
+    marker = f"{base}/_NESTED"
+    if path_exists(marker, spark):
         return base
     parts = (read_documents(spark, sf_dir).select(archive_path_col().alias("archive_path")).distinct())
     n = max(spark.sparkContext.defaultParallelism, 2)
     (parts.repartition(n, "archive_path").mapInPandas(_bundle_writer(base), PACK_RESULT)
      .write.format("noop").mode("overwrite").save())
-    with open(marker, "w") as fh:
-        fh.write("ok\n")
+    mark(marker, spark)
     return base

@@ -24,7 +24,7 @@ from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, drive_label
 from zipledger.plans.register import register
 from zipledger.schemas import ARCHIVES
-from zipledger.session import materialize
+from zipledger.session import clear_stage, materialize
 from zipledger.sources.catalog import visible
 from zipledger.sources.reader import read_central_directories, split_entries
 
@@ -57,9 +57,9 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
         # archives registered by earlier batches or scans are not read again
         done = visible(batch.sparkSession, catalog_path, "archives", ARCHIVES).filter(
             F.col("scan_id") != sid).select("archive_path")
-        listing = materialize(listing.join(done, "archive_path", "left_anti"), f"stream-listing-{batch_id}")
+        listing = materialize(listing.join(done, "archive_path", "left_anti"), f"listing-{sid}")
         ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
-        raw = materialize(read_central_directories(listing), f"stream-raw-{batch_id}")
+        raw = materialize(read_central_directories(listing), f"raw-{sid}")
         entries, errors = split_entries(raw, all_files, created_at=ts)
         archives = (listing.join(entries.select("archive_path").distinct(), "archive_path", "left_semi")
                     .select(archive_uuid("archive_path").alias("archive_uuid"), "drive",
@@ -67,6 +67,7 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
                             F.lit(None).cast("string").alias("file_hash"), "last_modified",
                             ts.alias("scan_date"), F.lit(int(batch_id)).cast("long").alias("scan_seq")))
         register(catalog_path, archives, entries, sid, errors, check_existing=False)
+        clear_stage(batch.sparkSession, f"listing-{sid}", f"raw-{sid}")
     return write
 
 
