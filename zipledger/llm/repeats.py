@@ -38,15 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zipledger.llm.common import pieces, stage
-from zipledger.llm.words import gram_hashes, mix, texts_of, word_hashes
+from zipledger.llm.words import gram_hashes, texts_of, word_hashes
 
 #: Text bytes in a part, and about as many behind a bucket. Raise it with the memory of executors.
 PART_BYTES = 4 << 20
 #: Places of a k-gram from which on its contexts are sent window by window.
 HOT = 2000
 MESSAGE = "part long, bucket long, kind int, blob binary"
-_TABLE = np.random.default_rng(256).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
+_ODD = np.random.default_rng(256).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: (sorted order of some unit sequences, units each has in common with the one before it)
 Order = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
@@ -102,20 +101,18 @@ def staged(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return stage(docs.mapInArrow(_squeeze(part_bytes), schema), "parts")
 
 
-def _byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hashes of the ``k`` bytes from each place on, by doubling."""
-    wide, powers, h, size = {}, {}, _TABLE[raw], 1
-    while size <= k:
-        wide[size], powers[size] = h, np.uint64(pow(_BASE, size, 1 << 64))
-        h = h[:-size] * powers[size] + h[size:]
-        size *= 2
-    out, done = None, 0
-    for size in sorted(wide, reverse=True):
-        if k - done >= size:
-            nxt = wide[size][done:]
-            out = nxt if out is None else out[:len(nxt)] * powers[size] + nxt[:len(out)]
-            done += size
-    return mix(out[:max(0, len(raw) - k + 1)])
+def _byte_grams(raw: bytes, k: int) -> np.ndarray:
+    """Hashes of the ``k`` bytes from each place on; they are read as words of up to eight bytes."""
+    count, size = len(raw) - k + 1, max(w for w in (8, 4, 2, 1) if w <= k)
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    words = np.ndarray((len(raw) - size + 1,), f"<u{size}", raw, strides=(1,))  # the word at every byte
+    h = np.zeros(count, np.uint64)
+    for i, at in enumerate(sorted({*range(0, k - size + 1, size), k - size})):
+        h += words[at:at + count] * _ODD[i]
+    h ^= h >> np.uint64(32)
+    h *= _ODD[-1]
+    return h
 
 
 class Chunk:
@@ -142,7 +139,7 @@ class Chunk:
         self.at, self.lo, self.hi, self.hash = none, none, none, np.empty(0, np.uint64)
         if len(values) < n:
             return
-        grams = gram_hashes(values, k) if self.rule.words else _byte_grams(values, k)
+        grams = gram_hashes(values, k) if self.rule.words else _byte_grams(self.raw, k)
         # the hash decides, then the place; 24 bits of place suffice for all but giant texts
         bits = np.uint64(max(24, len(grams).bit_length()))
         least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -171,7 +168,7 @@ def chunks(rule: Rule, packed: list[bytes]) -> Iterator[tuple[int, Chunk]]:
     for i, z in enumerate(packed):
         texts.append(unpack.decompress(z))
         size += len(texts[-1])
-        if size >= 1 << 20:
+        if size >= 1 << 17:  # arrays of 64-bit numbers that fit a core's cache
             yield start, Chunk(rule, texts)
             start, texts, size = i + 1, [], 0
     if texts:
@@ -250,34 +247,42 @@ class Contexts:
         self.known, self.hot = known >> np.uint64(8), (known & np.uint64(255)) == 2
         self.buckets = buckets
 
-    def places(self) -> Iterator[tuple[int, Chunk, list[tuple[int, int, int, int]]]]:
-        """(first text, chunk, places) in order; a place: (first window, last window, bucket, index)."""
+    def _number(self, bucket: int, key: bytes, value: int) -> int:
+        """The number of a context in its bucket; its value takes in one more place."""
+        mine = self.by_bucket[bucket]
+        old = mine.get(key)
+        if old is None:
+            mine[key] = [value, len(mine)]
+            return len(mine) - 1
+        if not self.rule.least:
+            old[0] += value
+        elif value < old[0]:
+            old[0] = value
+        return old[1]
+
+    def places(self) -> Iterator[tuple[int, Chunk, list[tuple[int, int, int, int, int]]]]:
+        """(first text, chunk, places) in order; a place: (text, first window, last window, bucket, number)."""
         docs, no_id = self.rows["__doc"].to_numpy(), self.rows["__no_id"].to_numpy()
+        least, n, number, first = self.rule.least, self.rule.n, self._number, [bytes((i,)) for i in range(256)]
         for start, chunk in chunks(self.rule, self.rows["__z"].tolist()):
             out = []
             if len(self.known):
                 spot = np.minimum(np.searchsorted(self.known, chunk.hash), len(self.known) - 1)
                 hit = np.flatnonzero(self.known[spot] == chunk.hash)
                 owner = np.searchsorted(chunk.firsts, chunk.lo[hit], side="right") - 1 + start
-                bucket = (chunk.hash[hit] % np.uint64(self.buckets)).tolist()
-                for b, d, at, lo, hi, hot in zip(bucket, owner.tolist(), chunk.at[hit].tolist(), chunk.lo[hit].tolist(),
-                                                 chunk.hi[hit].tolist(), self.hot[spot[hit]].tolist()):
-                    if self.rule.least and no_id[d]:
-                        continue
-                    value = int(docs[d]) if self.rule.least else 1
-                    for x, y in (((p, p) for p in range(lo, hi + 1)) if hot else ((lo, hi),)):
-                        key = bytes((at - x,)) + chunk.cut(x, y + self.rule.n)
-                        if hot:
-                            b = zlib.crc32(key) % self.buckets
-                        mine = self.by_bucket[b]
-                        old = mine.get(key)
-                        if old is None:
-                            old = mine[key] = [value, len(mine)]
-                        elif self.rule.least:
-                            old[0] = min(old[0], value)
-                        else:
-                            old[0] += value
-                        out.append((x, y, b, old[1]))
+                if least:
+                    hit, owner = hit[~no_id[owner]], owner[~no_id[owner]]
+                hot, cut = self.hot[spot[hit]], chunk.cut
+                value = docs[owner] if least else np.ones(len(hit), np.int64)
+                bucket = (chunk.hash[hit] % np.uint64(self.buckets)).astype(np.int64)
+                every = (bucket, owner, value, chunk.at[hit], chunk.lo[hit], chunk.hi[hit])
+                for b, d, v, at, lo, hi in zip(*(x[~hot].tolist() for x in every)):
+                    out.append((d, lo, hi, b, number(b, first[at - lo] + cut(lo, hi + n), v)))
+                for _, d, v, at, lo, hi in zip(*(x[hot].tolist() for x in every)):
+                    for p in range(lo, hi + 1):  # window by window
+                        key = first[at - p] + cut(p, p + n)
+                        b = zlib.crc32(key) % self.buckets
+                        out.append((d, p, p, b, number(b, key, v)))
             yield start, chunk, out
 
 
@@ -312,8 +317,8 @@ def _read_contexts(blob: bytes) -> tuple[list[bytes], list[int]]:
     return [raw[e - n:e] for n, e in zip(lengths.tolist(), ends)], values
 
 
-def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[list[int] | None]:
-    """For each distinct context the values of its windows, or None if all are its own value."""
+def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[tuple[bytes, list[int]] | None]:
+    """For each distinct context its runs of windows (lengths, values), or None if all have its own value."""
     units = [rule.units(c[1:]) for c in contexts]
     left = np.array([c[0] for c in contexts])
     # contexts whose anchor's k-gram no other context has stand alone
@@ -321,36 +326,50 @@ def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[
     for i, (u, at) in enumerate(zip(units, left.tolist())):
         grams[tuple(u[at:at + rule.k]) if rule.words else u[at:at + rule.k]].append(i)
     many = np.array([i for g in grams.values() if len(g) > 1 for i in g], np.int64)
-    out: list[list[int] | None] = [None] * len(contexts)
+    out: list[tuple[bytes, list[int]] | None] = [None] * len(contexts)
     if not len(many):
         return out
-    most = left[many]  # offsets of the anchor in the first and the last window
+    size, most = len(many), left[many]  # offsets of the anchor in the first and the last window
     fewest = most - np.array([len(units[i]) for i in many]) + rule.n
     order, common = rule.order([units[i][at:] for i, at in zip(many.tolist(), most.tolist())])
-    rank = np.empty(len(many), np.int64)
-    rank[order] = np.arange(len(many))
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
     own = np.array([values[i] for i in many.tolist()], np.int64)
-    side = np.zeros(len(many), np.int64)  # class of the units to the left, one more for each offset
-    found = {}
-    for j in range(int(most.max()) + 1):
+    before = _before(rule, [units[i][:at] for i, at in zip(many.tolist(), most.tolist())], int(most.max()))
+    kinds, total = int(before.max(initial=0)) + 1, np.minimum if rule.least else np.add
+    side = np.zeros(size, np.int64)  # class of the units to the left, one more for each offset
+    found = np.zeros((size, int(most.max()) + 1), np.int64)
+    for j in range(found.shape[1]):
         if j:
             rows = np.flatnonzero(most >= j)
-            names: dict = {}
-            side[rows] = [names.setdefault((s, units[i][at - j]), len(names)) for s, i, at in
-                          zip(side[rows].tolist(), many[rows].tolist(), most[rows].tolist())]
+            side[rows] = np.unique(side[rows] * kinds + before[rows, j - 1], return_inverse=True)[1]
         rows = np.flatnonzero((fewest <= j) & (j <= most))
         if len(rows):
-            run = np.cumsum(common < rule.n - j)[rank[rows]]
-            _, same = np.unique(run * (len(many) + 1) + side[rows], return_inverse=True)
-            if rule.least:
-                total = np.full(same.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(total, same, own[rows])
-            else:
-                total = np.zeros(same.max() + 1, np.int64)
-                np.add.at(total, same, own[rows])
-            found[j] = dict(zip(rows.tolist(), total[same].tolist()))
-    for r, i in enumerate(many.tolist()):  # windows from the first on: offsets fall
-        out[i] = [found[j][r] for j in range(int(most[r]), int(fewest[r]) - 1, -1)]
+            key = np.cumsum(common < rule.n - j)[rank[rows]] * (size + 1) + side[rows]
+            by = np.argsort(key, kind="stable")
+            first = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+            sums = total.reduceat(own[rows[by]], np.flatnonzero(first))
+            found[rows[by], j] = sums[np.cumsum(first) - 1]
+    for r, (i, high, low) in enumerate(zip(many.tolist(), most.tolist(), fewest.tolist())):
+        each = found[r, low:high + 1][::-1]  # windows from the first on: offsets fall
+        ends = np.flatnonzero(each[1:] != each[:-1])
+        if len(ends):
+            lengths = np.diff(np.concatenate([[-1], ends, [len(each) - 1]]))
+            out[i] = (lengths.astype(np.uint8).tobytes(), each[np.append(ends, len(each) - 1)].tolist())
+        else:
+            out[i] = (bytes((255,)), [int(each[0])])  # to the last window
+    return out
+
+
+def _before(rule: Rule, lefts: list, width: int) -> np.ndarray:
+    """The units before each anchor as numbers, the nearest first."""
+    if not rule.words:
+        rows = b"".join([u[::-1].ljust(width, b"\0") for u in lefts])
+        return np.frombuffer(rows, np.uint8).reshape(len(lefts), width).astype(np.int64)
+    names: dict[bytes, int] = {}
+    out = np.zeros((len(lefts), max(width, 1)), np.int64)
+    for r, u in enumerate(lefts):
+        out[r, :len(u)] = [names.setdefault(w, len(names)) for w in reversed(u)]
     return out
 
 
@@ -366,28 +385,19 @@ def _answer_contexts(rule: Rule):
                     total.append(value)
                 else:
                     total[i] = min(total[i], value) if rule.least else total[i] + value
-        windows = window_values(rule, list(number), total)
+        windows, one = window_values(rule, list(number), total), bytes((255,))
         packer, out = zstandard.ZstdCompressor(level=3), []
         for part, bucket, (keys, values) in zip(rows["part"], rows["bucket"], sent):
             counts, lengths, answers = bytearray(), bytearray(), []
             for key, value in zip(keys, values):
                 i = number[key]
-                each = windows[i]
-                runs = 0
-                if each is not None:
-                    last = None
-                    for v in each:
-                        if v == last:
-                            lengths[-1] += 1
-                        else:
-                            lengths.append(1)
-                            answers.append(v)
-                            last, runs = v, runs + 1
-                elif total[i] != value:
-                    lengths.append(255)  # to the last window
-                    answers.append(total[i])
-                    runs = 1
-                counts.append(runs)
+                runs = windows[i] or (one, [total[i]])
+                if runs[0] == one and runs[1][0] == value:
+                    counts.append(0)
+                else:
+                    counts.append(len(runs[1]))
+                    lengths += runs[0]
+                    answers += runs[1]
             raw = (np.array([len(counts), len(lengths)], "<u4").tobytes() + bytes(counts) + bytes(lengths)
                    + np.array(answers, "<i8").tobytes())
             out.append((part, bucket, 3, packer.compress(raw)))
@@ -395,17 +405,15 @@ def _answer_contexts(rule: Rule):
     return run
 
 
-def _read_answer(blob: bytes) -> list[list[tuple[int, int]]]:
-    """For each context its runs (windows, value); none: the part's own value holds."""
+def _read_answer(blob: bytes) -> tuple[bytes, list[int], bytes, list[int]]:
+    """(runs of each context, where they begin, windows and value of each run).
+
+    A context without runs has the part's own value in all its windows."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     count, runs = np.frombuffer(raw, "<u4", 2).tolist()
     counts, lengths = raw[8:8 + count], raw[8 + count:8 + count + runs]
-    values = np.frombuffer(raw, "<i8", runs, 8 + count + runs).tolist()
-    out, at = [], 0
-    for c in counts:
-        out.append(list(zip(lengths[at:at + c], values[at:at + c])))
-        at += c
-    return out
+    begins = np.cumsum(np.frombuffer(counts, np.uint8), dtype=np.int64) - np.frombuffer(counts, np.uint8)
+    return counts, begins.tolist(), lengths, np.frombuffer(raw, "<i8", runs, 8 + count + runs).tolist()
 
 
 # -- results ---------------------------------------------------------------------------
@@ -421,19 +429,26 @@ def _finish(rule: Rule, buckets: int, with_text: bool):
         replies = answers[answers["kind"] == 3]
         said = {b: _read_answer(x) for b, x in zip(replies["bucket"], replies["blob"])}
         own = {b: [v for v, _ in mine.values()] for b, mine in found.by_bucket.items()}
-        docs, seqs, out = rows["__doc"].tolist(), rows["__seq"].tolist(), []
+        docs, seqs, out, repeated = rows["__doc"].tolist(), rows["__seq"].tolist(), [], rule.repeated
         for start, chunk, places in every:
-            cover = np.zeros(chunk.size + 1, np.int32)
-            firsts = chunk.firsts
-            owner = (np.searchsorted(firsts, [p[0] for p in places], side="right") - 1 + start).tolist()
-            for d, (lo, hi, bucket, index) in zip(owner, places):
-                runs = said[bucket][index] if bucket in said else ()
-                for length, value in runs or ((255, own[bucket][index]),):
-                    end = min(hi, lo + length - 1)
-                    if rule.repeated(value, docs[d]):
-                        cover[lo] += 1
-                        cover[end + rule.n] -= 1
-                    lo = end + 1
+            cover, firsts = np.zeros(chunk.size + 1, np.int32), chunk.firsts
+            begin: list[int] = []
+            end: list[int] = []
+            for d, lo, hi, bucket, index in places:
+                counts, begins, lengths, values = said[bucket]
+                if not counts[index]:
+                    if repeated(own[bucket][index], docs[d]):
+                        begin.append(lo)
+                        end.append(hi)
+                    continue
+                for r in range(begins[index], begins[index] + counts[index]):
+                    last = min(hi, lo + lengths[r] - 1)
+                    if repeated(values[r], docs[d]):
+                        begin.append(lo)
+                        end.append(last)
+                    lo = last + 1
+            np.add.at(cover, np.array(begin, np.int64), 1)
+            np.add.at(cover, np.array(end, np.int64) + rule.n, -1)
             gone = np.cumsum(cover[:-1]) > 0
             edges = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1 if len(gone) else gone
             for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):

@@ -24,9 +24,12 @@ TOGETHER = 1 << 20
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -81,5 +84,6 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = words[:count] * _PLACE[0]
     for i in range(1, n):
-        h = h + words[i:i + count] * _PLACE[i]
-    return mix(h + np.uint64(n))
+        h += words[i:i + count] * _PLACE[i]
+    h += np.uint64(n)
+    return mix(h)
