@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: Chunks remembered by a worker process; further ones are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Letters with an optional run of ASCII punctuation after them.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 #: Characters for which lower-casing and composition are those of the vocabulary, letter by letter.
@@ -27,7 +28,7 @@ def default_vocabulary() -> str:
 
 
 class _Memo(dict):
-    """chunk -> its ids as little-endian 16-bit bytes."""
+    """chunk -> its ids as the bytes of 16-bit numbers; kept from the second time on."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -36,12 +37,13 @@ class _Memo(dict):
         self.merges = self.whole.model
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled: dict[str, str] = {}
+        self.once: set[str] = set()
 
     def _word(self, word: str) -> bytes:
         """A run of letters: one word of the vocabulary's splitting rule."""
         if not word.isascii():  # bytes as the letters that stand for them
             word = "".join([self.spelled.get(c) or self._spell(c) for c in word])
-        return np.array([t.id for t in self.merges.tokenize(word)], "<u2").tobytes()
+        return array("H", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
     def _spell(self, c: str) -> str:
         self.spelled[c] = s = self.letters.pre_tokenize_str(c)[0][0]
@@ -53,11 +55,16 @@ class _Memo(dict):
             if m[2]:
                 ids = self[m[1]] + self[m[2]]
             else:
-                ids = self._word(unicodedata.normalize("NFC", chunk))
+                ids = self._word(chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk))
         else:
-            ids = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self) < REMEMBERED:
-            self[chunk] = ids
+            ids = array("H", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if chunk in self.once:  # most words of a corpus are met once only
+            if len(self) < REMEMBERED:
+                self[chunk] = ids
+        else:
+            if len(self.once) >= REMEMBERED:
+                self.once.clear()
+            self.once.add(chunk)
         return ids
 
 
@@ -77,9 +84,9 @@ def encoder(vocabulary: str):
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
-            return np.empty(0, "<u2")
+            return np.empty(0, np.uint16)
         if not _SIMPLE.search(text):
             text = text.lower()
-        return np.frombuffer(b"".join(map(look, text.replace("\n", " ").split(" "))), "<u2")
+        return np.frombuffer(b"".join(map(look, text.replace("\n", " ").split(" "))), np.uint16)
 
     return encode
