@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.llm import decontaminate, minhash, packing, suffix_array, toxicity
-from zipledger.llm.common import stage, table
+from zipledger.llm.common import ship, stage, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7."""
+    ship(spark)
     return toxicity.keep(docs, table(spark, sf_dir, "labels"), limit=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
+    ship(spark)
     return minhash.keep(docs)
 
 
@@ -34,6 +36,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     ``n_chars``, where there is one, is the length of the remaining text.
     """
+    ship(spark)
     kept = suffix_array.remove(docs, length=50)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,11 +45,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten benchmark words."""
+    ship(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), n=10, what="documents")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2,048 tokens."""
+    ship(spark)
     return packing.pack(docs, end_id=1, size=2048)
 
 
