@@ -27,7 +27,8 @@ HEADLINE = [
     "summary", "archive_info", "list_archives_counts", "drive_rollup",
     "dup_by_hash", "merge_catalogs", "categories", "archive_stats",
     # real archives
-    "scan_entries", "register", "extract_run", "integrity_check", "stream_scan",
+    "scan_entries", "register", "extract_run", "extract_all", "dup_by_content", "search_text",
+    "integrity_check", "stream_scan",
 ]
 
 

@@ -37,7 +37,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """(scan_id, run_id) of the run of each scan that readers see."""
-    return (read_table(spark, f"{path}/manifest", MANIFEST).groupBy("scan_id")
+    # a row per run: one task reads them all, and the few rows are broadcast by their size
+    return (read_table(spark, f"{path}/manifest", MANIFEST).coalesce(1).groupBy("scan_id")
             .agg(F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id")))
 
 
