@@ -110,7 +110,8 @@ def read_clause(symbols: list[int], weights: list[float], grammar: Composition)
 class Symbols(dict):
     """word -> (symbol, weight); remembers the words it has met, up to a bound."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 150_000
+    NOTHING = (OTHER, 0.0)
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__({c: (END, 0.0) for c in ".!?;:\n"})
@@ -122,7 +123,7 @@ class Symbols(dict):
         found = [self.lexicon.get("=" + word, 0.0)]
         found += [self.lexicon.get("^" + word[:n], 0.0) for n in BEGINNINGS if len(word) >= n]
         weight = max(found)
-        out = (INSULT, weight) if weight else (OTHER, 0.0)
+        out = (INSULT, weight) if weight else self.NOTHING
         if len(self) < self.REMEMBERED:
             self[word] = out
         return out
