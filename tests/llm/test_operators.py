@@ -140,7 +140,8 @@ def test_fingerprint_of_an_edit(spark):
     text = ". ".join(brute.prose(k, 9) for k in range(40))
     rows = [(3, text), (2, text.replace(" ", " longer ", 1)), (1, brute.prose(90, 300))]
     got = {r["doc_id"]: r for r in fingerprint.report(brute.table(spark, rows)).collect()}
-    assert got[3]["near_next"] == pytest.approx(78 / 80) and got[2]["near_next"] == 0
+    assert got[3]["near_next"] == pytest.approx(38 / 40)  # one of twenty pairs of sentences
+    assert got[2]["near_next"] == 0
     assert got[3]["fingerprint"] != got[2]["fingerprint"] and 0.5 < got[3]["near_edited"] < 0.85
 
 

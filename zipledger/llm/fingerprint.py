@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a sentence or line, or a stretch of ``PIECE`` characters of a longer one, so
-that an edit leaves the paragraphs after it as they were. Its digest has 48 bits of hash and
+A paragraph is a pair of sentences of one line, each cut after ``PIECE`` characters if it is
+longer, so that an edit leaves the paragraphs after it as they were. Its digest has 48 bits of hash and
 16 check bits. A sketch has ``CELLS`` cells in three rows; a digest goes
 into one cell of each row, and a cell holds how many digests it has and their XOR. Equal
 texts have equal sketches, which is what the fingerprint string spells out.
@@ -35,7 +35,7 @@ PIECE = 128
 ROWS, WIDTH = 3, 8
 CELLS = ROWS * WIDTH
 #: Digests for which a page of a larger sketch is meant.
-PAGE = 6
+PAGE = 12
 #: Texts in one range of doc_ids, and ranges at most.
 RANGE_BYTES, RANGES = 8 << 20, 1024
 #: Rounds of peeling tried at a time; every round takes out at least one digest.
@@ -47,26 +47,30 @@ PEELS = 24
 def digests(text: str) -> str:
     """Distinct paragraph digests of a text column: 48 bits of hash, 16 of check."""
     end, other = "[.!?]", "[^.!?\\\\n]"
-    parts = f"regexp_extract_all({text}, '{other}{{0,{PIECE}}}{end}+|{other}{{1,{PIECE}}}', 0)"
+    sentence = f"{other}{{0,{PIECE}}}{end}+|{other}{{1,{PIECE}}}"
+    parts = f"regexp_extract_all({text}, '(?:{sentence}){{1,2}}', 0)"
     head = f"transform({parts}, p -> shiftrightunsigned(xxhash64(p), 16))"
     return f"array_distinct(transform({head}, h -> shiftleft(h, 16) | (xxhash64(h) & 65535L)))"
 
 
-def _cell(digest: str, row: str, salt: int) -> str:
-    """The place of a digest in a row of cells."""
-    # three bits for each of three rows from one hash, renewed by the salt
-    return f"(shiftrightunsigned(xxhash64({digest}, {salt}), int(3 * ({row}))) & {WIDTH - 1}L)"
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _in_cell(digest: str, cell: str, salt: int) -> str:
-    return f"{_cell(digest, f'{cell} div {WIDTH}', salt)} = ({cell}) % {WIDTH}"
+def placed(found: str, salt: int, pages: str = "1") -> str:
+    """Digests with their page and their cell in each row, from a hash that the salt renews."""
+    cells = ", ".join(f"'c{r}', int({r * WIDTH} + (shiftrightunsigned(h, {3 * r}) & {WIDTH - 1}L))" for r in range(ROWS))
+    one = let(f"xxhash64(d, {salt})", "h", f"named_struct('p', int(pmod(shiftrightunsigned(h, 16), {pages})), 'x', d, {cells})")
+    return f"transform({found}, d -> {one})"
 
 
-def sketch(found: str, salt: int) -> str:
-    """The cells of an array of digests: array<struct<n: int, x: bigint>>."""
-    members = f"transform(sequence(0, {CELLS - 1}), c -> filter({found}, d -> {_in_cell('d', 'c', salt)}))"
-    return (f"transform({members}, f -> named_struct('n', size(f), "
-            "'x', aggregate(f, 0L, (a, d) -> a ^ d)))")
+def sketch(members: str) -> str:
+    """The cells of an array of placed digests: array<struct<n: int, x: bigint>>."""
+    cell = let("filter(m, s -> s.c{r} = k)", "f", "named_struct('n', size(f), 'x', aggregate(f, 0L, (a, s) -> a ^ s.x))")
+    rows = [f"transform(sequence({r * WIDTH}, {(r + 1) * WIDTH - 1}), k -> {cell.replace('{r}', str(r))})"
+            for r in range(ROWS)]
+    return let(members, "m", f"concat({', '.join(rows)})")
 
 
 def subtract(a: str, b: str) -> str:
@@ -74,20 +78,21 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(cells: str, salt: int) -> str:
-    """Peel a subtracted sketch: struct<cells, added, removed>; all cells are 0 if it gave all."""
-    pure = (f"(abs(s.n) = 1 AND (xxhash64(shiftrightunsigned(s.x, 16)) & 65535L) = (s.x & 65535L) "
-            f"AND {_in_cell('s.x', 'i', salt)})")
-    given = f"array_distinct(filter(st.cells, (s, i) -> {pure}))"
-    rest = (f"transform(st.cells, (s, i) -> aggregate(filter(g, p -> {_in_cell('p.x', 'i', salt)}), s, "
+    """Peel a subtracted sketch: struct<cells, added, removed, open>; all cells are 0 if it gave all."""
+    pure = "abs(s.n) = 1 AND (xxhash64(shiftrightunsigned(s.x, 16)) & 65535L) = (s.x & 65535L)"
+    given = f"array_distinct(filter(st.cells, s -> {pure}))"
+    at = placed("transform(g, p -> p.x)", salt)
+    rest = ("transform(st.cells, (s, i) -> aggregate(filter(q, p -> p.c0 = i OR p.c1 = i OR p.c2 = i), s, "
             "(a, p) -> named_struct('n', a.n - p.n, 'x', a.x ^ p.x)))")
-    taken = ("named_struct('cells', {rest}, "
+    rest = let(f"zip_with(g, {at}, (p, c) -> named_struct('n', p.n, 'x', p.x, 'c0', c.c0, 'c1', c.c1, 'c2', c.c2))", "q", rest)
+    taken = (f"named_struct('cells', {rest}, "
              "'added', concat(st.added, transform(filter(g, p -> p.n = 1), p -> p.x)), "
-             "'removed', concat(st.removed, transform(filter(g, p -> p.n = -1), p -> p.x)))").format(rest=rest)
-    step = f"element_at(transform(array({given}), g -> if(size(g) = 0, st, {taken})), 1)"
+             "'removed', concat(st.removed, transform(filter(g, p -> p.n = -1), p -> p.x)), 'open', true)")
+    stuck = "named_struct('cells', st.cells, 'added', st.added, 'removed', st.removed, 'open', false)"
+    step = let(given, "g", f"if(size(g) = 0, {stuck}, {taken})")
     start = (f"named_struct('cells', {cells}, 'added', cast(array() as array<bigint>), "
-             "'removed', cast(array() as array<bigint>))")
-    step = f"if(exists(st.cells, s -> abs(s.n) = 1), {step}, st)"
-    return f"aggregate(sequence(1, {PEELS}), {start}, (st, k) -> {step})"
+             "'removed', cast(array() as array<bigint>), 'open', true)")
+    return f"aggregate(sequence(1, {PEELS}), {start}, (st, k) -> if(st.open, {step}, st))"
 
 
 def spelled(cells: str) -> str:
@@ -101,6 +106,13 @@ EMPTY = "forall({0}.cells, s -> s.n = 0 AND s.x = 0L)"
 
 # -- differences -----------------------------------------------------------------------
 
+def _page(side: str) -> str:
+    """The digests of page ``p`` of a side, which is sorted by page."""
+    at = f"array_position(p{side}, p)"
+    until = f"get(filter(i{side}, e -> e.p > p), 0).i"
+    return f"if({at} = 0, slice({side}, 1, 0), slice({side}, int({at}), int(coalesce({until}, size({side})) - {at} + 1)))"
+
+
 def differences(pairs: DataFrame) -> DataFrame:
     """(row, pair, added, removed): digests only in ``a`` and only in ``b`` of each (row, pair, a, b).
 
@@ -108,20 +120,24 @@ def differences(pairs: DataFrame) -> DataFrame:
     """
     done, salt, pending = None, 1, pairs.select("row", "pair", "a", "b")
     while True:
-        pages = f"int(pow(2, ceil(log2(greatest(1, (size(a) + size(b)) / {PAGE})))))"
-        paged = pending.withColumn("pages", F.expr(pages))
-        page = lambda d: f"pmod(xxhash64({d}, {-salt}), pages)"
-        cells = [sketch(f"filter({side}, d -> {page('d')} = p)", salt) for side in "ab"]
+        paged = pending.withColumn("pages", F.expr(f"int(greatest(1, ceil((size(a) + size(b)) / {PAGE})))"))
+        paged = paged.select("row", "pair", "pages", *[
+            F.array_sort(F.expr(placed(x, salt, "pages"))).alias(x) for x in "ab"])
+        # the places at which the pages of a sorted array begin (0: no such page)
+        paged = paged.select("*", *[F.expr(f"transform({x}, d -> d.p)").alias(f"p{x}") for x in "ab"])
+        paged = paged.select("*", *[F.expr(f"array_compact(transform(p{x}, (p, i) -> if(i = 0 OR p{x}[i - 1] <> p, "
+                                           f"named_struct('p', p, 'i', i), null)))").alias(f"i{x}") for x in "ab"])
+        cells = [sketch(_page(x)) for x in "ab"]
         paged = paged.withColumn("tried", F.expr(
             f"transform(sequence(0, pages - 1), p -> {peel(subtract(*cells), salt)})"))
         # a page that is not empty after peeling is tried again; what it gave is not used
         tried = paged.withColumn("failed", F.expr(
             f"filter(transform(tried, (t, p) -> if({EMPTY.format('t')}, -1, p)), p -> p >= 0)"))
         got = "flatten(transform(filter(tried, t -> {0}), t -> t.{1}))"
-        again = "filter({0}, d -> array_contains(failed, int({1})))"
+        again = "transform(filter({0}, d -> array_contains(failed, d.p)), d -> d.x)"
         tried = stage(tried.select(
             "row", "pair", *[F.expr(got.format(EMPTY.format("t"), x)).alias(x) for x in ("added", "removed")],
-            *[F.expr(again.format(s, page("d"))).alias(s) for s in "ab"], (F.size("failed") > 0).alias("open")), "peeled")
+            *[F.expr(again.format(x)).alias(x) for x in "ab"], (F.size("failed") > 0).alias("open")), "peeled")
         out = tried.select("row", "pair", "added", "removed")
         done = out if done is None else done.unionByName(out)
         pending = tried.filter("open")
@@ -175,7 +191,7 @@ def report(docs: DataFrame) -> DataFrame:
         "concat(substring(text, 1, int(n_chars - take)), substring(next, 1, take))"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        *[F.expr(digests(c)).alias(d) for c, d in (("text", "dt"), ("edited", "de"), ("next", "dn"))])
-    rows = rows.select("*", *[F.expr(sketch(d, 0)).alias(s) for d, s in (("dt", "st"), ("de", "se"), ("dn", "sn"))])
+    rows = rows.select("*", *[F.expr(sketch(placed(d, 0))).alias(s) for d, s in (("dt", "st"), ("de", "se"), ("dn", "sn"))])
     rows = rows.select(
         "doc_id", "n_chars", "edited_sha256", F.expr(spelled("st")).alias("fingerprint"),
         F.expr(spelled("se")).alias("edited_fingerprint"), "dt", "de", "dn",
