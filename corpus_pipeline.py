@@ -26,9 +26,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates (from 0.80 on): the one with the least doc_id."""
     ship(spark)
-    return minhash.keep(docs)
+    return minhash.keep(docs, similarity=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near(docs):
+def near(docs, similarity=85):
     sets = [(d, shingles(t)) for d, t in docs]
     known = {d: s for d, s in sets if d is not None}
     root = {d: d for d in known}
@@ -111,7 +111,7 @@ def near(docs):
     for a in known:
         for b in known:
             common = len(known[a] & known[b])
-            if a < b and common and 100 * common >= 85 * len(known[a] | known[b]):
+            if a < b and common and 100 * common >= similarity * len(known[a] | known[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [(d, len(s), None if d is None else find(d), d is None or find(d) == d) for d, s in sets]

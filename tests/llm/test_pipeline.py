@@ -42,3 +42,17 @@ def test_stages(spark, tmp_path):
     packed = steps["packing"](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_near_dedup_from_eighty(spark):
+    rows = []
+    for i in range(40):  # pairs of 0.76 to 0.92
+        words = brute.prose(400 + i, 300).split(" ")
+        rows.append((2 * i, " ".join(words)))
+        for k in range(3 + i % 5):
+            words[20 + 40 * k:23 + 40 * k] = [f"w{k}x", "new", f"y{i}"]
+        rows.append((2 * i + 1, " ".join(words)))
+    at = {s: {r[0] for r in brute.near(rows, s) if not r[3]} for s in (80, 85)}
+    assert at[85] < at[80] < {r[0] for r in rows if r[0] % 2}  # some pairs lie between, some below
+    kept = corpus_pipeline.near_dedup(spark, brute.table(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in at[80])

@@ -3,8 +3,9 @@
 A document's set holds the hashes of its distinct shingles of five words. Documents with
 equal sets form a class, and one row stands for it from then on, so copies cost nothing
 further. A signature has ``M`` coordinates; each (coordinate, value) pair is a posting
-list. Two sets of similarity 0.85 agree in fewer than ``T`` of 48 coordinates with a
-probability of about two in a million, so only pairs with ``T`` collisions count:
+list. T is the most collisions that two sets of the wanted similarity fall short of with a
+probability of two in a million or less (28 of 48 at 0.85, 24 at 0.80), so only pairs with T
+collisions count:
 
 * Prefix: pairs with T collisions share one of each signature's n - T + 1 rarest shared
   values, n being how many of its values any other signature has. Only these are posted;
@@ -31,6 +32,7 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +47,26 @@ from zipledger.llm.components import components
 from zipledger.llm.words import gram_hashes, groups, texts_of, word_hashes
 
 SHINGLE = 5
-#: Links: 100 * intersection >= SIMILARITY * union.
+#: Links: 100 * intersection >= similarity * union; this one unless the caller names another.
 SIMILARITY = 85
-M, T = 48, 28
+M = 48
+#: The chance at most to miss a pair that is just similar enough.
+MISSED = 2e-6
 BLOCK = 2048
 _TURN = np.random.default_rng(48).integers(1, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(49).integers(1, 1 << 63, M, dtype=np.uint64)
 
 
+def collisions(similarity: int) -> int:
+    """T: pairs of this similarity (in hundredths) have fewer collisions with a chance of at most MISSED."""
+    p, missed = similarity / 100, 0.0
+    for t in range(M + 1):
+        missed += math.comb(M, t) * p ** t * (1 - p) ** (M - t)  # fewer than t + 1
+        if missed > MISSED:
+            return max(t, 1)
+    return M
+
+
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; texts of fewer words have one shingle."""
     texts = [t.lower() for t in texts]  # bytes: A-Z only
@@ -101,15 +115,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
+def prefixes(classes: DataFrame, similarity: int) -> DataFrame:
     """(rep, n, sig, posts): the postings that a class must have, rarest values first."""
+    least = collisions(similarity)
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
     tokens = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", token.alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("freq")).filter("freq > 1")
     shared = tokens.join(often, "token").groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("shared"))  # at most M values
-    posts = shared.filter(F.size("shared") >= T).select(
-        "rep", F.slice("shared", F.lit(1), F.size("shared") - T + 1).alias("posts"))
+    posts = shared.filter(F.size("shared") >= least).select(
+        "rep", F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("posts"))
     return classes.join(posts, "rep")
 
 
@@ -134,8 +149,8 @@ def _dealt(posts: DataFrame) -> DataFrame:
     return posts.repartition(*LIST).sortWithinPartitions(*LIST, "n", "rep")
 
 
-def _similar(rows: pd.DataFrame, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(left, right, collisions) of the pairs with T collisions in each list of ``rows``.
+def _similar(rows: pd.DataFrame, similarity: int, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, number of collisions) of the pairs with T collisions in each list of ``rows``.
 
     Rows are compared with the first, second ... row after them for as long as set sizes
     allow. ``across`` only yields pairs of two labels."""
@@ -146,23 +161,23 @@ def _similar(rows: pd.DataFrame, across: bool = False) -> Iterator[tuple[np.ndar
     sig, block = np.stack(rows["sig"].to_numpy()), rows["block"].to_numpy()
     cross = keys[:, 1] != keys[:, 2]
     label = rows["label"].to_numpy() if across else None
-    alive, d = np.arange(size), 1
+    alive, d, least = np.arange(size), 1, collisions(similarity)
     while len(alive):
         alive = alive[alive + d < end[alive]]
-        alive = alive[100 * n[alive] >= SIMILARITY * n[alive + d]]  # sorted by size: later ones fail too
+        alive = alive[100 * n[alive] >= similarity * n[alive + d]]  # sorted by size: later ones fail too
         left, right = alive, alive + d
         use = ~cross[left] | (block[left] != block[right])
         if across:
             use &= label[left] != label[right]
         left, right = left[use], right[use]
         same = (sig[left] == sig[right]).sum(axis=1)
-        hit = same >= T
+        hit = same >= least
         if hit.any():
             yield left[hit], right[hit], same[hit]
         d += 1
 
 
-def _by_list(work):
+def _by_list(work, similarity: int):
     """A ``mapInPandas`` function that gives ``work`` whole lists, as many as a batch holds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -173,16 +188,16 @@ def _by_list(work):
             cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last list may go on
             held = rows.iloc[cut:]
             if cut > 1:
-                yield from work(rows.iloc[:cut].reset_index(drop=True))
+                yield from work(rows.iloc[:cut].reset_index(drop=True), similarity)
         if held is not None and len(held) > 1:
-            yield from work(held.reset_index(drop=True))
+            yield from work(held.reset_index(drop=True), similarity)
     return run
 
 
-def _name_partners(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _name_partners(rows: pd.DataFrame, similarity: int) -> Iterator[pd.DataFrame]:
     """Each member's pair with the partner it collides with most."""
-    best, partner = np.full(len(rows), T - 1), np.full(len(rows), -1)
-    for left, right, same in _similar(rows):
+    best, partner = np.full(len(rows), -1), np.full(len(rows), -1)
+    for left, right, same in _similar(rows, similarity):
         for x, y in ((left, right), (right, left)):
             better = same > best[x]
             best[x[better]], partner[x[better]] = same[better], y[better]
@@ -193,14 +208,15 @@ def _name_partners(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
 
 
-def candidates(heads: DataFrame) -> DataFrame:
+def candidates(heads: DataFrame, similarity: int) -> DataFrame:
     """(u, v), u < v: the pairs that members of lists name, each once."""
-    return lists(heads).mapInPandas(_by_list(_name_partners), "u long, v long").filter("u < v").distinct()
+    named = lists(heads).mapInPandas(_by_list(_name_partners, similarity), "u long, v long")
+    return named.filter("u < v").distinct()
 
 
-def _across(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _across(rows: pd.DataFrame, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The candidate pairs of two labels that fall to this list, by falling collisions."""
-    found = list(_similar(rows, across=True))
+    found = list(_similar(rows, similarity, across=True))
     if not found:
         return (np.empty(0, np.int64),) * 3
     left, right, same = (np.concatenate(x) for x in zip(*found))
@@ -214,9 +230,9 @@ def _across(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return left[order], right[order], same[order]
 
 
-def _open_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _open_members(rows: pd.DataFrame, similarity: int) -> Iterator[pd.DataFrame]:
     """The members of lists that have candidate pairs of two labels."""
-    left, right, _ = _across(rows)
+    left, right, _ = _across(rows, similarity)
     if len(left):
         yield rows.iloc[np.unique(np.concatenate([left, right]))][[*LIST, "block", "rep"]]
 
@@ -240,17 +256,17 @@ class Sets:
         return values
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     """Whether two full sets are similar enough."""
-    if 100 * min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(common) and 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+    return bool(common) and 100 * common >= similarity * (len(a) + len(b) - common)
 
 
-def _link_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _link_members(rows: pd.DataFrame, similarity: int) -> Iterator[pd.DataFrame]:
     """The links between labels of each list, as many as it takes to connect what is connected."""
-    left, right, _ = _across(rows)
+    left, right, _ = _across(rows, similarity)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -261,20 +277,20 @@ def _link_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     label, rep, packed, sets, out = (rows["label"].tolist(), rows["rep"].tolist(), rows["z"].tolist(), Sets(), [])
     for x, y in zip(left.tolist(), right.tolist()):
         a, b = find(label[x]), find(label[y])
-        if a != b and linked(sets.get(rep[x], packed[x]), sets.get(rep[y], packed[y])):
+        if a != b and linked(sets.get(rep[x], packed[x]), sets.get(rep[y], packed[y]), similarity):
             root[max(a, b)] = min(a, b)
             out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
     if out:
         yield pd.DataFrame(out, columns=["u", "v"])
 
 
-def links_across(heads: DataFrame, packed: DataFrame) -> DataFrame:
+def links_across(heads: DataFrame, packed: DataFrame, similarity: int) -> DataFrame:
     """(u, v): links between classes of different ``label``s, enough to connect all that are linked."""
-    open_ = stage(lists(heads).mapInPandas(_by_list(_open_members), "token long, i long, j long, block long, rep long"),
-                  "open")
+    open_ = stage(lists(heads).mapInPandas(_by_list(_open_members, similarity),
+                                           "token long, i long, j long, block long, rep long"), "open")
     texts = packed.select(F.col("doc_id").alias("rep"), "z")
     rows = open_.join(heads.select("rep", "n", "sig", "label", F.col("posts.token").alias("tokens")), "rep")
-    return _dealt(rows.join(texts, "rep")).mapInPandas(_by_list(_link_members), "u long, v long")
+    return _dealt(rows.join(texts, "rep")).mapInPandas(_by_list(_link_members, similarity), "u long, v long")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,39 +300,42 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Sets()
-    for batch in _small(batches):
-        rows = list(zip(*[c.to_pylist() for c in batch.columns]))
-        keep = [(u, v) for u, v, zu, zv in rows if linked(sets.get(u, zu), sets.get(v, zv))]
-        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keep], pa.int64()) for c in (0, 1)], ["u", "v"])
+def _confirm(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
+        for batch in _small(batches):
+            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+            keep = [(u, v) for u, v, zu, zv in rows if linked(sets.get(u, zu), sets.get(v, zv), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keep], pa.int64()) for c in (0, 1)], ["u", "v"])
+    return run
 
 
-def confirmed(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, packed: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = packed.select(F.col("doc_id").alias("u"), F.col("z").alias("zu"))
     right = packed.select(F.col("doc_id").alias("v"), F.col("z").alias("zv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(_confirm, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "zu", "zv").mapInArrow(
+        _confirm(similarity), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; links from ``similarity`` hundredths on."""
     signed = stage(signatures(docs), "signatures")
     known = signed.filter("doc_id is not null and set_key is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
                                            F.first("sig").alias("sig"))
-    heads = stage(prefixes(classes.select("rep", "n", "sig")), "prefixes")
-    pairs = stage(candidates(heads), "pairs")
+    heads = stage(prefixes(classes.select("rep", "n", "sig"), similarity), "prefixes")
+    pairs = stage(candidates(heads, similarity), "pairs")
     wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     texts = id_text(docs).mapInArrow(_squeeze, "doc_id long, z binary")
     packed = stage(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = stage(confirmed(pairs, packed), "links")
+    links = stage(confirmed(pairs, packed, similarity), "links")
     first = components(links)
 
     named = heads.join(first, heads["rep"] == first["node"], "left").withColumn(
         "label", F.coalesce("component", "rep")).drop("node", "component")
     named = stage(named, "labelled")
-    more = stage(links_across(named, packed), "links")
+    more = stage(links_across(named, packed, similarity), "links")
     last = components(links.union(more)) if more.take(1) else first
 
     reps = classes.select(F.col("set_key").alias("k"), "rep")
@@ -328,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                          F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component: the one with the least doc_id; all columns."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
