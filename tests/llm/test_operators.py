@@ -145,6 +145,14 @@ def test_fingerprint_of_an_edit(spark):
     assert got[3]["fingerprint"] != got[2]["fingerprint"] and 0.5 < got[3]["near_edited"] < 0.85
 
 
+@pytest.mark.parametrize("at", [0, 1, 7, 30])
+def test_fingerprint_of_an_inserted_sentence(spark, at):
+    line = [brute.prose(k, 9) + "." for k in range(60)]
+    rows = [(2, " ".join(line)), (1, " ".join(line[:at] + ["Put in here."] + line[at:]))]
+    got = {r["doc_id"]: r for r in fingerprint.report(brute.table(spark, rows)).collect()}
+    assert 0.85 < got[2]["near_next"] < 1  # one line: all cuts after the sentence are where they were
+
+
 def test_fingerprint_differences(spark):
     a, b = list(range(1, 400)), list(range(200, 700))
     check = "transform({0}, h -> shiftleft(h, 16) | (xxhash64(h) & 65535L))"

@@ -1,8 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a pair of sentences of one line, each cut after ``PIECE`` characters if it is
-longer, so that an edit leaves the paragraphs after it as they were. Its digest has 48 bits of hash and
-16 check bits. A sketch has ``CELLS`` cells in three rows; a digest goes
+A paragraph is a run of sentences of one line that ends with the line or after a sentence
+whose hash says so (``CUT``: every second one). Cuts depend on the sentence before them only,
+so a sentence put in or taken out changes the paragraph it is in and at most joins it with
+a neighbour or splits it; all others stay as they were. A sentence of more than ``PIECE`` characters
+counts as several, cut from its beginning on: an edit changes those after it up to the sentence's end.
+A digest has 48 bits of hash and 16 check bits. A sketch has ``CELLS`` cells in three rows; a digest goes
 into one cell of each row, and a cell holds how many digests it has and their XOR. Equal
 texts have equal sketches, which is what the fingerprint string spells out.
 
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from zipledger.llm.common import id_text, pieces, stage, text_bytes
 
 PIECE = 128
+#: The bit of a sentence's hash that ends a paragraph; any below 16 does, digests use those from 16 on.
+CUT = 6
 ROWS, WIDTH = 3, 8
 CELLS = ROWS * WIDTH
 #: Digests for which a page of a larger sketch is meant.
@@ -48,7 +53,10 @@ def digests(text: str) -> str:
     """Distinct paragraph digests of a text column: 48 bits of hash, 16 of check."""
     end, other = "[.!?]", "[^.!?\\\\n]"
     sentence = f"{other}{{0,{PIECE}}}{end}+|{other}{{1,{PIECE}}}"
-    parts = f"regexp_extract_all({text}, '(?:{sentence}){{1,2}}', 0)"
+    # no sentence has a line end inside, so one is put after each at which a paragraph ends
+    ends = f"if((shiftrightunsigned(xxhash64(p), {CUT}) & 1L) = 1L, concat(p, '\\n'), p)"
+    lines = f"array_join(transform(regexp_extract_all({text}, '(?:{sentence})\\n?', 0), p -> {ends}), '')"
+    parts = f"filter(split({lines}, '\\n+'), p -> p <> '')"
     head = f"transform({parts}, p -> shiftrightunsigned(xxhash64(p), 16))"
     return f"array_distinct(transform({head}, h -> shiftleft(h, 16) | (xxhash64(h) & 65535L)))"
 
