@@ -35,19 +35,20 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cut(vocabulary: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = encoder(vocabulary), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py()), np.uint16(end_id)).astype("<u4")
-                raw = memoryview(ids).cast("B")
-                for at in range(0, len(ids), size):
-                    end = min(at + size, len(ids))
-                    out.append((doc_id, at, end - at, zlib.crc32(raw[4 * at:4 * end]), len(ids), row))
-                    row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                             [pa.array([], pa.int64())] * 6,
-                                             [x.split()[0] for x in PIECES.split(", ")])
+        row = TaskContext.get().partitionId() << 33
+        with encoder(vocabulary) as encode:
+            for batch in batches:
+                out: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = np.append(encode(text.as_py()), np.uint16(end_id)).astype("<u4")
+                    raw = memoryview(ids).cast("B")
+                    for at in range(0, len(ids), size):
+                        end = min(at + size, len(ids))
+                        out.append((doc_id, at, end - at, zlib.crc32(raw[4 * at:4 * end]), len(ids), row))
+                        row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
+                                                 [pa.array([], pa.int64())] * 6,
+                                                 [x.split()[0] for x in PIECES.split(", ")])
     return run
 
 

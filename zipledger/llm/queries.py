@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zipledger.llm import decontaminate, fingerprint, lm, minhash, packing, quality, suffix_array, suffix_tree, token_files, toxicity
+from zipledger.llm import (byte_pairs, decontaminate, fingerprint, lm, minhash, packing, periodic, quality, suffix_array, suffix_tree,
+                           token_files, toxicity, variants)
 from zipledger.llm.common import table
 from zipledger.session import shared_dir
 
@@ -58,6 +59,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.plant(table(spark, sf_dir, "documents")), least=12)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), slips=31)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.report(table(spark, sf_dir, "documents"))
+
+
 #: Words, windows and coverage again in SQL: a document's word is hit if a benchmark window covers it.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(
@@ -156,6 +169,63 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(other) AS c
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+#: The checksum of some byte values: eight shifts for each.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], CAST({codes} AS UBIGINT[])),
+        lambda a, c: list_reduce(list_concat([xor(a, c)], CAST(range(8) AS UBIGINT[])),
+            lambda v, k: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)"""
+
+#: Pairs of equal word 6-grams (every run has one) joined into stretches; those long enough are runs.
+OP11_SQL = r"""
+WITH d0 AS (SELECT doc_id, row_number() OVER () AS r, """ + _CRC.format(codes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c))") + r""" AS h, list_filter(
+        regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+d1 AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CAST(h // 10 AS BIGINT) AS g FROM d0),
+d2 AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM d1),
+d AS (SELECT doc_id, r, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+        lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM d2),
+gram AS (SELECT r, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS s FROM (
+        SELECT r, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= 12)),
+pair AS (SELECT x.r, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.r = y.r AND x.s = y.s AND x.i < y.i),
+isle AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+run0 AS (SELECT r, q, min(i) AS lo, max(i) + 6 + q AS hi FROM isle GROUP BY r, q, k
+         HAVING max(i) + 6 + q - min(i) >= greatest(12, 2 * q)),
+run AS (SELECT r, q, lo, hi FROM run0 a WHERE NOT EXISTS (SELECT 1 FROM run0 b WHERE b.r = a.r AND b.q < a.q
+         AND a.q % b.q = 0 AND b.lo <= a.lo AND b.hi >= a.hi)),
+t AS (SELECT r, count(*) AS n_runs, string_agg(lo || ',' || (hi - lo) || ',' || q || chr(10), '' ORDER BY lo, q) AS s,
+      min((lo - hi, lo, q)) AS best FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(lo + q, hi)) AS i FROM run),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS s FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, n AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[2] AS BIGINT) AS "start",
+       CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period,
+       CAST(-1000 * best[1] // best[3] AS BIGINT) AS exponent_milli, sha256(coalesce(t.s, '')) AS runs_sha256,
+       sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN kept USING (r)
+"""
+
+#: Misspellings planted, words counted, near words by what is left when a letter is taken out.
+OP12_SQL = r"""
+WITH RECURSIVE run AS (SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+kind AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS x FROM run WHERE length(w) >= 7 GROUP BY doc_id, w),
+slip AS (SELECT w, n, """ + _CRC.format(
+    codes="list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS UBIGINT))") + r""" AS h FROM kind),
+word AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2)
+         ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n FROM slip GROUP BY 1),
+v AS (SELECT word, n FROM word WHERE length(word) >= 7 AND n >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (
+        SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+         UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.s = v.word
+         UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.s = v.word),
+near AS (SELECT word, count(*) AS n_near, min((-n, encode(other))) AS best FROM pair GROUP BY word),
+known AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * v.n THEN decode(best[2]) END AS form,
+          CASE WHEN -best[1] >= 10 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN near USING (word)),
+follow AS (SELECT word, word AS root FROM known UNION ALL
+           SELECT follow.word, known.form FROM follow JOIN known ON known.word = follow.root WHERE known.form IS NOT NULL),
+ends AS (SELECT follow.word, follow.root FROM follow JOIN known ON known.word = follow.root WHERE known.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM known JOIN ends USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_tree": op2_suffix_tree,
@@ -167,6 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -175,4 +248,6 @@ ORACLES: dict[str, str] = {
     "op4_suffix_array": OP4_SQL,
     "op7_lm_scoring": OP7_SQL,
     "op10_minhash": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }

@@ -34,7 +34,7 @@ BATCH_IDS = 1 << 20
 
 def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
 
@@ -47,16 +47,17 @@ def _encode(vocabulary: str, end_id: int):
                  pa.array([x[1] for x in held], pa.int64()), pa.array(counts, pa.int64()), lists],
                 ["part", "local_start", "doc_id", "n_tokens", "ids"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py()), np.uint16(end_id))
-                held.append((start, doc_id, ids))
-                start, size = start + len(ids), size + len(ids)
-                if size >= BATCH_IDS:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+        with encoder(vocabulary) as encode:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = np.append(encode(text.as_py()), np.uint16(end_id))
+                    held.append((start, doc_id, ids))
+                    start, size = start + len(ids), size + len(ids)
+                    if size >= BATCH_IDS:
+                        yield out()
+                        held, size = [], 0
+            if held:
+                yield out()
     return run
 
 

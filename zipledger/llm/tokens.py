@@ -1,23 +1,29 @@
 """Word-piece ids of whole texts, from a vocabulary file of the tokenizers library.
 
 The vocabulary splits at white space, so the ids of a text are those of its
-space-separated chunks in order. Each worker process remembers the ids of the chunks
-it has met (a bounded number), which is what makes whole corpora affordable: most
-words of a text are known, and a new word of plain letters needs only the merges.
+space-separated chunks in order. A task remembers the ids of the chunks it has met (a
+bounded number, most of them forgotten when it ends), which is what makes whole corpora
+affordable: most words of a text are known, and a new word of plain letters needs only
+the merges.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 
-#: Chunks remembered by a worker process; further ones are encoded each time.
-REMEMBERED = 600_000
-#: Letters with an optional run of ASCII punctuation after them.
-_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: Chunks remembered while a task runs; further ones are encoded each time.
+REMEMBERED = 200_000
+#: Chunks that a worker process still remembers when a task has ended.
+LEFT = 50_000
+#: Letters with an optional run of ASCII punctuation after them. Superscript digits and
+#: fractions count as word characters here and as numbers in the vocabulary.
+_PLAIN = re.compile(r"([^\W\d_²³¹¼½¾]+)([!-/:-@\[-`{-~]*)")
 #: Characters for which lower-casing and composition are those of the vocabulary, letter by letter.
 _SIMPLE = re.compile(r"[^\x00-ſ]")
 
@@ -67,12 +73,21 @@ class _Memo(dict):
             self.once.add(chunk)
         return ids
 
+    def trim(self) -> None:
+        """Forget all but the chunks met first, which are the frequent ones."""
+        self.once = set()
+        if len(self) > LEFT:
+            first = list(itertools.islice(self.items(), LEFT))
+            self.clear()
+            self.update(first)
+
 
 _MEMOS: dict[str, _Memo] = {}
 
 
+@contextmanager
 def encoder(vocabulary: str):
-    """A function text -> ids (unsigned 16-bit array); None is an empty text."""
+    """A function text -> ids (unsigned 16-bit array) for one task; None is an empty text."""
     memo = _MEMOS.get(vocabulary)
     if memo is None:
         import os
@@ -89,4 +104,7 @@ def encoder(vocabulary: str):
             text = text.lower()
         return np.frombuffer(b"".join(map(look, text.replace("\n", " ").split(" "))), np.uint16)
 
-    return encode
+    try:
+        yield encode
+    finally:
+        memo.trim()
