@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zipledger.llm.common import id_text, pieces, text_bytes
 from zipledger.llm.repeats import staged
@@ -217,40 +218,40 @@ def _unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def _ask(path: str, buckets: int):
-    """Each part's distinct matches that are no token, by bucket."""
-    def messages(part: int, words: set[str]) -> pa.RecordBatch:
-        dealt: dict[int, list[bytes]] = {}
-        for word in sorted(words - vocabulary(path).known.keys()):
-            raw = word.encode()
-            dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int64()),
-             pa.array([_pack(v) for v in dealt.values()], pa.binary())], ["part", "bucket", "blob"])
+class Part:
+    """The matches of a part's texts: the distinct ones, and each text as their numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, unpack = vocabulary(path).split, zstandard.ZstdDecompressor()
-        now, words = None, set()
-        for batch in batches:
-            for part, z in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if part != now and words:
-                    yield messages(now, words)
-                    words = set()
-                now = part
-                words.update(split(unpack.decompress(z.as_py()).decode()))
-        if words:
-            yield messages(now, words)
+    def __init__(self, rows: pd.DataFrame, path: str):
+        self.vocab, self.number, self.texts = vocabulary(path), {}, []
+        unpack, number = zstandard.ZstdDecompressor(), self.number
+        for z in rows["__z"]:
+            matches = self.vocab.split(unpack.decompress(z).decode())
+            self.texts.append(np.fromiter((number.setdefault(m, len(number)) for m in matches), np.int32))
+
+    def asked(self, buckets: int) -> dict[int, list[str]]:
+        """The distinct matches that are no token, by bucket, in order."""
+        dealt: dict[int, list[str]] = {}
+        for word in sorted(self.number.keys() - self.vocab.known.keys()):
+            dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+        return dealt
+
+
+def _ask(path: str, buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        dealt = Part(rows, path).asked(buckets)
+        return pd.DataFrame({"part": rows["__part"].iloc[0], "bucket": list(dealt),
+                             "blob": [_pack([w.encode() for w in words]) for words in dealt.values()]})
     return run
 
 
 def _answer(path: str):
-    """The ids of a bucket's words, to every part that asked, with the words."""
+    """The ids of a bucket's words, to every part that asked, in its order."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asked = [_unpack(blob) for blob in rows["blob"]]
         words = sorted(set().union(*asked))
         ids = dict(zip(words, replayed(words, vocabulary(path))))
         return pd.DataFrame({"part": rows["part"], "bucket": rows["bucket"],
-                             "blob": [_pack([*a, *[ids[w] for w in a]]) for a in asked]})
+                             "blob": [_pack([ids[w] for w in a]) for a in asked]})
     return run
 
 
@@ -263,22 +264,22 @@ def decoded(ids: Iterable[int], vocab: Vocabulary) -> bytes:
     return b"".join(map(vocab.tokens.__getitem__, ids))
 
 
-def _finish(path: str, digest: bool):
-    names = ["__seq", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["__seq", "ids"]
+def _finish(path: str, buckets: int, digest: bool):
+    names = ["__doc", "__no_id", *(["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"])]
 
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        vocab, unpack, out = vocabulary(path), zstandard.ZstdDecompressor(), []
-        memo = dict(vocab.known) if len(rows) else {}
-        for blob in answers["blob"]:
-            both = _unpack(blob)
-            memo.update(zip([w.decode() for w in both[:len(both) // 2]], both[len(both) // 2:]))
-        for seq, z in zip(rows["__seq"], rows["__z"]):
-            ids = b"".join(map(memo.__getitem__, vocab.split(unpack.decompress(z).decode())))
+        part, out = Part(rows, path), []
+        memo, said = dict(part.vocab.known) if len(rows) else {}, dict(zip(answers["bucket"], answers["blob"]))
+        for bucket, words in part.asked(buckets).items():
+            memo.update(zip(words, _unpack(said[bucket])))
+        ids_of = [memo[word] for word in part.number]
+        for doc, no_id, numbers in zip(rows["__doc"], rows["__no_id"], part.texts):
+            ids = b"".join(map(ids_of.__getitem__, numbers.tolist()))
             if digest:
-                text = decoded(unpacked(ids).tolist(), vocab)
-                out.append((seq, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+                text = decoded(unpacked(ids).tolist(), part.vocab)
+                out.append((doc, no_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
             else:
-                out.append((seq, unpacked(ids).astype(np.int32)))
+                out.append((doc, no_id, unpacked(ids).astype(np.int32)))
         return pd.DataFrame(out, columns=names)
     return run
 
@@ -286,19 +287,19 @@ def _finish(path: str, digest: bool):
 def _encoded(docs: DataFrame, path: str, digest: bool) -> DataFrame:
     docs = id_text(docs)
     buckets = pieces(text_bytes(docs), BUCKET_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
-    parts = staged(docs, PART_BYTES)
-    asked = parts.select("__part", "__z").mapInArrow(_ask(path, buckets), MESSAGE)
+    grouped = staged(docs, PART_BYTES).select("__part", "__doc", "__no_id", "__z").groupBy("__part")
+    asked = grouped.applyInPandas(_ask(path, buckets), MESSAGE)
     # a number of its own: few bytes, much work
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(path), MESSAGE)
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    grouped = parts.select("__part", "__seq", "__z").groupBy("__part")
-    out = grouped.cogroup(answers.groupBy("part")).applyInPandas(_finish(path, digest), "__seq long, " + schema)
-    return out.join(parts.select("__seq", "doc_id"), "__seq").drop("__seq")
+    out = grouped.cogroup(answers.groupBy("part")).applyInPandas(
+        _finish(path, buckets, digest), "__doc long, __no_id boolean, " + schema)
+    return out.withColumn("doc_id", F.when(~F.col("__no_id"), F.col("__doc"))).drop("__doc", "__no_id")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(ids array<int>, doc_id) of every whole text."""
-    return _encoded(docs, path or default_vocabulary(), digest=False)
+    """(doc_id, ids array<int>) of every whole text."""
+    return _encoded(docs, path or default_vocabulary(), digest=False).select("doc_id", "ids")
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
