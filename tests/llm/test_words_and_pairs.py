@@ -210,10 +210,10 @@ def test_replay_equals_the_library(library):
     vocab.split("一")
     newer = sorted(vocab._newer)[::5]
     texts += [f"x{c}y 1{c}2 .{c}! {c} {c}{c}é" for c in newer]
-    words = sorted({w for t in texts for w in vocab.split(t)} - vocab.known.keys())
-    memo = {**vocab.known, **dict(zip(words, byte_pairs.replayed([w.encode() for w in words], vocab)))}
+    words = sorted({w.encode() for t in texts for w in vocab.split(t)} - vocab.whole.keys())
+    memo = {**vocab.whole, **dict(zip(words, byte_pairs.replayed(words, vocab)))}
     for text, want in zip(texts, library.encode_ordinary_batch(texts)):
-        ids = byte_pairs.unpacked(b"".join(memo[w] for w in vocab.split(text))).tolist()
+        ids = byte_pairs.unpacked(b"".join(memo[w.encode()] for w in vocab.split(text))).tolist()
         assert ids == want, text
         assert byte_pairs.decoded(ids, vocab) == text.encode()
 

@@ -1,12 +1,12 @@
 """Byte-level BPE from a rank file, by replaying the merges over the corpus' words.
 
-Texts are split by the vocabulary's pattern; a match that is a token needs no merges. Of
-the other matches, each part of the corpus (some MB of texts) sends the distinct ones to
-the bucket of their hash, and a bucket works on its distinct words together: an index from
+Texts are split once by the vocabulary's pattern; a part of the corpus (some MB of texts) is
+kept as its distinct matches and their numbers in order. A match that is a token needs no
+merges. The other distinct ones go to the bucket of their hash, and a bucket works on its distinct words together: an index from
 token pair to the places of the pair in all words is kept by the rank that the pair merges
 to, the ranks are replayed in ascending order, and a merge looks only at the two pairs it
 touches. A word is so merged once for the corpus (its copies are one entry per part) and
-its ids go back to the parts that asked, which look up every match of their texts.
+its ids go back to the parts that asked.
 
 The result is that of merging the lowest rank first, leftmost first, in each match. Where
 a merge makes a pair of a lower rank than the one being replayed (its token has another
@@ -33,15 +33,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from zipledger.llm.common import id_text, pieces, text_bytes
-from zipledger.llm.repeats import staged
+from zipledger.llm.common import id_text, pieces, stage, text_bytes
 from zipledger.llm.words import texts_of
 
 #: Text bytes in a part, and behind a bucket.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
 #: Word bytes replayed together.
 REPLAY_BYTES = 2 << 20
@@ -77,12 +76,7 @@ class Vocabulary:
         single = frozenset(self.bytes)
         pairs = np.array(sorted(k for k in self.merges if k >> _SHIFT in single and k % (1 << _SHIFT) in single), np.int64)
         self._pairs, self._to = pairs, np.array([self.merges[k] for k in pairs.tolist()], np.int64)
-        self.known: dict[str, bytes] = {}  # a match that is a token -> its packed id
-        for token, i in ranks.items():
-            try:
-                self.known[token.decode()] = i.to_bytes(4, "little")
-            except UnicodeDecodeError:
-                pass  # a part of a character
+        self.whole = {t: i.to_bytes(4, "little") for t, i in ranks.items()}  # a match that is a token -> its packed id
         self.pattern = pattern
         self._newer = self._exact = None
         import regex
@@ -214,33 +208,73 @@ def _pack(values: list[bytes]) -> bytes:
 def _unpack(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n + 1)) - n + 4 * (n + 1)
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n + 1), dtype=np.int64) - n + 4 * (n + 1)
     return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-class Part:
-    """The matches of a part's texts: the distinct ones, and each text as their numbers."""
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """The four bytes of the numbers side by side, compressed: the upper ones are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpack_numbers(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
-    def __init__(self, rows: pd.DataFrame, path: str):
-        self.vocab, self.number, self.texts = vocabulary(path), {}, []
-        unpack, number = zstandard.ZstdDecompressor(), self.number
-        for z in rows["__z"]:
-            matches = self.vocab.split(unpack.decompress(z).decode())
-            self.texts.append(np.fromiter((number.setdefault(m, len(number)) for m in matches), np.int32))
 
-    def asked(self, buckets: int) -> dict[int, list[str]]:
-        """The distinct matches that are no token, by bucket, in order."""
-        dealt: dict[int, list[str]] = {}
-        for word in sorted(self.number.keys() - self.vocab.known.keys()):
-            dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
-        return dealt
+PARTS = "part long, docs array<long>, counts array<long>, words binary, numbers binary"
+
+
+def _split(path: str, part_bytes: int):
+    """Parts of texts: a row has their ids, how many matches each has, the distinct matches and their numbers in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part = vocabulary(path).split, TaskContext.get().partitionId() << 32
+        docs, counts, numbers, number, held = [], [], [], {}, 0
+
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate(numbers)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+                 pa.array([_pack([w.encode() for w in number])], pa.binary()), pa.array([_pack_numbers(flat)], pa.binary())],
+                ["part", "docs", "counts", "words", "numbers"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                found = np.fromiter((number.setdefault(m, len(number)) for m in split(text.decode())), np.uint32)
+                docs.append(doc)
+                counts.append(len(found))
+                numbers.append(found)
+                held += len(text) + 64
+                if held >= part_bytes:
+                    yield row()
+                    part += 1
+                    docs, counts, numbers, number, held = [], [], [], {}, 0
+        if docs:
+            yield row()
+    return run
+
+
+def _asked(words: list[bytes], vocab: Vocabulary, buckets: int) -> dict[int, list[int]]:
+    """The numbers of the words that are no token, by bucket, in order."""
+    dealt: dict[int, list[int]] = {}
+    for k, word in enumerate(words):
+        if word not in vocab.whole:
+            dealt.setdefault(zlib.crc32(word) % buckets, []).append(k)
+    return dealt
 
 
 def _ask(path: str, buckets: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        dealt = Part(rows, path).asked(buckets)
-        return pd.DataFrame({"part": rows["__part"].iloc[0], "bucket": list(dealt),
-                             "blob": [_pack([w.encode() for w in words]) for words in dealt.values()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = _unpack(blob.as_py())
+                dealt = _asked(words, vocab, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int64()),
+                     pa.array([_pack([words[k] for k in ks]) for ks in dealt.values()], pa.binary())],
+                    ["part", "bucket", "blob"])
     return run
 
 
@@ -264,48 +298,56 @@ def decoded(ids: Iterable[int], vocab: Vocabulary) -> bytes:
     return b"".join(map(vocab.tokens.__getitem__, ids))
 
 
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+IDS = "doc_id long, ids array<int>"
+
+
 def _finish(path: str, buckets: int, digest: bool):
-    names = ["__doc", "__no_id", *(["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"])]
-
-    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        part, out = Part(rows, path), []
-        memo, said = dict(part.vocab.known) if len(rows) else {}, dict(zip(answers["bucket"], answers["blob"]))
-        for bucket, words in part.asked(buckets).items():
-            memo.update(zip(words, _unpack(said[bucket])))
-        ids_of = [memo[word] for word in part.number]
-        for doc, no_id, numbers in zip(rows["__doc"], rows["__no_id"], part.texts):
-            ids = b"".join(map(ids_of.__getitem__, numbers.tolist()))
-            if digest:
-                text = decoded(unpacked(ids).tolist(), part.vocab)
-                out.append((doc, no_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
-            else:
-                out.append((doc, no_id, unpacked(ids).astype(np.int32)))
-        return pd.DataFrame(out, columns=names)
+    """The ids of a part's texts: of each distinct match, then of the matches in order."""
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        vocab, out = vocabulary(path), []
+        said = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
+        for row in parts.to_pylist():
+            words = _unpack(row["words"])
+            ids_of = [vocab.whole.get(w) for w in words]
+            for bucket, numbers in _asked(words, vocab, buckets).items():
+                for k, ids in zip(numbers, _unpack(said[bucket])):
+                    ids_of[k] = ids
+            numbers, at = _unpack_numbers(row["numbers"]), 0
+            for doc, count in zip(row["docs"], row["counts"]):
+                ids = b"".join(map(ids_of.__getitem__, numbers[at:at + count].tolist()))
+                at += count
+                if digest:
+                    text = decoded(unpacked(ids).tolist(), vocab)
+                    out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+                else:
+                    out.append((doc, unpacked(ids).astype(np.int32)))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digest else [pa.int64(), pa.list_(pa.int32())]
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)],
+                        [c.split()[0] for c in (DIGEST if digest else IDS).split(", ")])
     return run
 
 
 def _encoded(docs: DataFrame, path: str, digest: bool) -> DataFrame:
     docs = id_text(docs)
     buckets = pieces(text_bytes(docs), BUCKET_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
-    grouped = staged(docs, PART_BYTES).select("__part", "__doc", "__no_id", "__z").groupBy("__part")
-    asked = grouped.applyInPandas(_ask(path, buckets), MESSAGE)
+    parts = stage(docs.mapInArrow(_split(path, PART_BYTES), PARTS), "parts")
+    asked = parts.select("part", "words").mapInArrow(_ask(path, buckets), MESSAGE)
     # a number of its own: few bytes, much work
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(path), MESSAGE)
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    out = grouped.cogroup(answers.groupBy("part")).applyInPandas(
-        _finish(path, buckets, digest), "__doc long, __no_id boolean, " + schema)
-    return out.withColumn("doc_id", F.when(~F.col("__no_id"), F.col("__doc"))).drop("__doc", "__no_id")
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        _finish(path, buckets, digest), DIGEST if digest else IDS)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
-    return _encoded(docs, path or default_vocabulary(), digest=False).select("doc_id", "ids")
+    return _encoded(docs, path or default_vocabulary(), digest=False)
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of what they decode to."""
-    return _encoded(docs, path or default_vocabulary(), digest=True).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return _encoded(docs, path or default_vocabulary(), digest=True)
 
 
 def decode(rows: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
