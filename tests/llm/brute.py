@@ -8,7 +8,8 @@ import re
 from collections import Counter
 
 #: Extra columns that have names the operators use themselves.
-EXTRA = ["kept", "n_words", "row", "part", "label", "start", "component", "z", "length", "rank"]
+EXTRA = ["kept", "n_words", "row", "part", "label", "start", "component", "z", "length", "rank", "__part", "__seq", "__z",
+         "__doc", "__no_id", "__kept", "__gone", "id", "spans", "hit_id", "hit_hash", "__spans"]
 SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in EXTRA)
 
 

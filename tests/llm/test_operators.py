@@ -228,7 +228,9 @@ def test_minhash(docs, none, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
     left = minhash.keep(docs)
     assert left.columns == docs.columns
-    assert 11 not in [r["doc_id"] for r in left.collect()]
+    ids = [r["doc_id"] for r in left.collect()]
+    assert 11 not in ids and ids.count(23) == 1  # a row that repeats another goes
+    assert minhash.keep(none).columns == none.columns and minhash.keep(none).count() == 0
 
 
 @pytest.mark.parametrize("block", [2048, 4])

@@ -29,7 +29,8 @@ def test_stages(spark, tmp_path):
     assert not [i for i in ids if i and i >= 60 and i % 2] and len([i for i in ids if i and i >= 60]) == 30
     before = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     docs = after("near_dedup", docs)
-    assert brute.rows_of(docs, "doc_id") == brute.ordered([(r[0],) for r in brute.near(before) if r[3]])
+    assert brute.rows_of(docs, "doc_id") == brute.ordered(
+        [(r[0],) for r in brute.near(list(dict.fromkeys(before))) if r[3]] + [(None,)] * (before.count((None, None)) - 1))
     before = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     docs = after("suffix_array_dedup", docs)
     assert docs.count() == len(before)
@@ -56,3 +57,24 @@ def test_near_dedup_from_eighty(spark):
     assert at[85] < at[80] < {r[0] for r in rows if r[0] % 2}  # some pairs lie between, some below
     kept = corpus_pipeline.near_dedup(spark, brute.table(spark, rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in at[80])
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    brute.table(spark, []).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, sf).count() == 0, name
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_empty_labels_and_benchmark(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = brute.table(spark, [(1, "kind words and more of them"), (2, None), (None, "you said so"), (3, "")])
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "decontamination"):
+        assert brute.rows_of(steps[name](spark, docs, sf), "doc_id") == [(None,), (1,), (2,), (3,)]

@@ -22,6 +22,13 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with neutral names for all columns but doc_id and text, so that none clashes with an operator's own.
+
+    ``.toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*[c.lower() if c.lower() in ("doc_id", "text") else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zipledger.llm.common import ascii_lower, id_text
+from zipledger.llm.common import aside, ascii_lower, id_text
 
 #: What separates words once A-Z are lower case (fixed by the word rule), and before that.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,19 +139,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, what: str = "docu
     """
     if what not in ("documents", "spans"):
         raise ValueError("what is 'documents' or 'spans'")
-    hits = find_hits(docs, benchmark, n)
+    plain = aside(docs)
+    hits = find_hits(plain, benchmark, n)
     text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    same = lambda right: key.eqNullSafe(right["__hit_id"]) & (F.xxhash64(text) == right["__hit_hash"])
+    same = lambda right: key.eqNullSafe(right["hit_id"]) & (F.xxhash64(text) == right["hit_hash"])
     if what == "documents":
-        bad = hits.select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).distinct()
-        return docs.join(bad, same(bad), "left_anti")
-    spans = hits.groupBy(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).agg(
-        F.collect_set(F.struct("start", "stop")).alias("__spans"))
+        bad = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+        return plain.join(bad, same(bad), "left_anti").toDF(*docs.columns)
+    spans = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans"))
     lead = F.regexp_extract(text, f"^{RAW_BREAKS}", 0)
     parts = F.regexp_extract_all(text, F.lit(f"{RAW_WORDS}(?:{RAW_BREAKS})?"), 0)
-    left = F.filter(parts, lambda _, i: ~F.exists("__spans", lambda s: (s.start <= i) & (i < s.stop)))
-    names = [c for c in docs.columns if c.lower() != "text"]
-    joined = docs.join(spans, same(spans), "left")
-    new = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(lead, F.array_join(left, "")))
-    return joined.select(*[F.col(f"`{c}`") for c in names], new.alias("text")).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    left = F.filter(parts, lambda _, i: ~F.exists("spans", lambda s: (s.start <= i) & (i < s.stop)))
+    joined = plain.join(spans, same(spans), "left")
+    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat(lead, F.array_join(left, "")))
+    return joined.select(*[new if c == "text" else plain[c] for c in plain.columns]).toDF(*docs.columns)

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zipledger.llm.common import id_text, stage
+from zipledger.llm.common import aside, id_text, stage
 from zipledger.llm.components import components
 from zipledger.llm.words import gram_hashes, groups, texts_of, word_hashes
 
@@ -348,6 +348,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 
 def keep(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id; all columns."""
-    gone = near_duplicates(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each component: the one with the least doc_id; all columns.
+
+    Of rows that repeat a doc_id and text one stays."""
+    plain = aside(docs)
+    gone = near_duplicates(plain, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    left = plain.join(gone, plain["doc_id"].cast("long") == F.col("id"), "left_anti")
+    ids = plain.select(F.col("doc_id").cast("long").alias("id")).dropna()
+    twice = stage(ids.groupBy("id").count().filter("count > 1").select("id"), "twice")
+    if not twice.isEmpty():
+        again = left["doc_id"].cast("long") == twice["id"]
+        left = left.join(twice, again, "left_anti").union(
+            left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.toDF(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zipledger.llm.common import id_text
+from zipledger.llm.common import aside, id_text
 from zipledger.llm.repeats import Rule, find, staged
 
 #: Eight-byte characters that quicksort looks at.
@@ -130,7 +130,8 @@ def remove(docs: DataFrame, length: int = 50) -> DataFrame:
 
     A removed byte may cut a character; its other bytes go too, so that texts stay UTF-8.
     """
-    parts = staged(docs)
+    plain = aside(docs)
+    parts = staged(plain)
     kept = find(parts, rule(length), with_text=True).select("__seq", F.col("kept").alias("__kept"))
     rest = parts.drop("__z", "__part", "__doc", "__no_id").join(kept, "__seq")
-    return rest.select(*[F.col("__kept" if c.lower() == "text" else f"`{c}`").cast(t).alias(c) for c, t in docs.dtypes])
+    return rest.select(*[F.col("__kept" if c == "text" else c).cast(t) for c, t in plain.dtypes]).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zipledger.llm.common import id_text
+from zipledger.llm.common import aside, id_text
 from zipledger.llm.repeats import Rule, find, staged
 
 #: Suffixes in one tree, at most, unless they agree in all words.
@@ -130,7 +130,8 @@ def report(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def remove(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with the remaining words, joined by a space, as text; all columns and rows."""
-    parts = staged(docs)
+    plain = aside(docs)
+    parts = staged(plain)
     kept = find(parts, rule(window), with_text=True).select("__seq", F.col("kept").alias("__kept"))
     rest = parts.drop("__z", "__part", "__doc", "__no_id").join(kept, "__seq")
-    return rest.select(*[F.col("__kept" if c.lower() == "text" else f"`{c}`").cast(t).alias(c) for c, t in docs.dtypes])
+    return rest.select(*[F.col("__kept" if c == "text" else c).cast(t) for c, t in plain.dtypes]).toDF(*docs.columns)
