@@ -234,9 +234,14 @@ def _split(path: str, part_bytes: int):
 
         def row() -> pa.RecordBatch:
             flat = np.concatenate(numbers)
+            # small numbers for frequent matches: they compress to little more than their information
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            words, flat = list(number), place[flat]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([_pack([w.encode() for w in number])], pa.binary()), pa.array([_pack_numbers(flat)], pa.binary())],
+                 pa.array([_pack([words[k].encode() for k in order])], pa.binary()), pa.array([_pack_numbers(flat)], pa.binary())],
                 ["part", "docs", "counts", "words", "numbers"])
 
         for batch in batches:
