@@ -26,11 +26,11 @@ from zipledger.operators import extract as X
 from zipledger.operators import search as S
 from zipledger.operators import stats as ST
 from zipledger.operators.merge import merge_paths
-from zipledger.plans.register import register
+from zipledger.plans.register import expire, register
 from zipledger.plans.scan import ScanResult, scan_and_register
 from zipledger.session import ship_package
 from zipledger.schemas import EXTRACT_RESULT
-from zipledger.sources.catalog import Catalog, published, read_table
+from zipledger.sources.catalog import Catalog, published_runs, read_table
 from zipledger.sources.fs import path_exists
 from zipledger.sources.listing import roots_frame
 
@@ -71,19 +71,25 @@ class Ledger:
              all_files: bool = False, excluded: Iterable[str] = EXCLUDED_DIRECTORIES,
              exclude_roots: Iterable[str] = (), scan_id: str | None = None,
              extensions: Iterable[str] | None = None, follow_symlinks: bool = False,
-             nested: bool = False, resume: bool = False) -> ScanResult:
+             nested: bool = False, resume: bool = False, refresh: bool = False) -> ScanResult:
         """Scan roots and register what was found (one Spark job set, all roots in parallel).
 
-        Without ``drives``, archives are labelled by their paths in the ledger's path style."""
+        Without ``drives``, archives are labelled by their paths in the ledger's path style.
+        ``refresh`` reads registered archives again that have changed and retires those that are gone."""
         roots = [r for r in roots if r not in set(exclude_roots)]
         rf = roots_frame(self.spark, roots, drives)
         sid = scan_id or _dt.datetime.now().strftime("%Y%m%dT%H%M%S") + "-" + _uuid.uuid4().hex[:6]
-        seq = published(self.spark, self.path).count()
+        seq = len(published_runs(self.spark, self.path))
         self._audit("scan", roots=roots, mode=mode, all_files=all_files, scan_id=sid)
         return scan_and_register(self.spark, rf, self.path, sid, mode=mode, all_files=all_files,
                                  excluded=excluded, scan_seq=seq, path_style=self.path_style,
                                  extensions=extensions, follow_symlinks=follow_symlinks, nested=nested,
-                                 resume=resume)
+                                 resume=resume, refresh=refresh)
+
+    def expire(self, older_than: _dt.timedelta = _dt.timedelta(days=1)) -> list[str]:
+        """Remove the files of replaced and failed runs that are older than that; their run ids."""
+        self._audit("expire", seconds=older_than.total_seconds())
+        return expire(self.spark, self.path, older_than)
 
     def merge(self, source_paths: Iterable[str], scan_id: str = "merged") -> None:
         """Merge other catalogues into this one (first source wins, missing skipped)."""

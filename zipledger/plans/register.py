@@ -7,7 +7,8 @@ appends to the manifest at the end makes all its tables visible together; the ru
 of the same scan that was visible before is replaced as a whole, so a rerun leaves
 no stale archives, entries or errors behind. A failed run is never seen.
 
-A path registered by an earlier scan is not registered again. Entries are
+``expire`` removes the folders of runs that no reader sees any more. A path registered by
+an earlier scan is not registered again, unless a refresh retires it. Entries are
 range-partitioned on ``(archive_uuid, entry_ordinal)`` before the write: files come
 out sorted by archive, so Parquet min/max statistics prune uuid lookups, and an
 archive holding a large share of all entries is split over several ranges instead
@@ -19,11 +20,12 @@ from __future__ import annotations
 import datetime as _dt
 import uuid as _uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST, SCAN_ERRORS
-from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS, _with_run, read_table, visible
+from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS, _with_run, in_runs, published_runs, read_table, visible
+from zipledger.sources.fs import _hadoop, path_exists
 
 
 def _write(df: DataFrame, path: str, scan_id: str, run_id: str) -> None:
@@ -53,9 +55,8 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
         "archive_uuid", "entry_ordinal")
     _write(ent, f"{catalog_path}/entries", scan_id, run_id)
-    written = (read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES))
-               .filter((F.col("scan_id") == scan_id) & (F.col("run_id") == run_id))
-               .select("archive_uuid").distinct())
+    written = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), [run_id]).select(
+        "archive_uuid").distinct()
     _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
            f"{catalog_path}/archives", scan_id, run_id)
     tables = dict(more or {})
@@ -66,3 +67,37 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     row = spark.createDataFrame([(scan_id, run_id, _dt.datetime.now())], MANIFEST)
     row.coalesce(1).write.mode("append").parquet(f"{catalog_path}/manifest")
     return run_id
+
+
+def expire(spark: SparkSession, catalog_path: str, older_than: _dt.timedelta = _dt.timedelta(days=1)) -> list[str]:
+    """Remove the run folders that no reader sees: replaced runs, and runs that failed before they were published.
+
+    Only folders not written to for ``older_than`` go, so a scan under way and queries planned on the run before
+    keep their files. The manifest is then rewritten to one file with a row per scan: the new file is there before
+    the old ones go, and readers take the last row of a scan however often it is there. Returns the run ids removed.
+    """
+    runs = set(published_runs(spark, catalog_path))
+    root, files = _hadoop(spark, catalog_path)
+    latest = (_dt.datetime.now() - older_than).timestamp() * 1000
+    gone = set()
+    for folder in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "*/scan_id=*/run_id=*")) or []:
+        run = folder.getPath().getName().split("=", 1)[1]
+        newest = max([folder.getModificationTime(), *[f.getModificationTime() for f in files.listStatus(folder.getPath())]])
+        if run not in runs and newest <= latest:
+            files.delete(folder.getPath(), True)
+            gone.add(run)
+    _compact_manifest(spark, catalog_path, sorted(runs))
+    return sorted(gone)
+
+
+def _compact_manifest(spark: SparkSession, catalog_path: str, runs: list[str]) -> None:
+    path = f"{catalog_path}/manifest"
+    if not path_exists(path, spark):
+        return
+    folder, files = _hadoop(spark, path)
+    old = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+    if len(old) > 1:
+        rows = in_runs(read_table(spark, path, MANIFEST), runs).collect()  # a row per scan
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(path)
+        for name in old:
+            files.delete(name, False)

@@ -12,8 +12,9 @@ import datetime as _dt
 import time
 from dataclasses import dataclass
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zipledger.functions.ids import archive_uuid
@@ -23,8 +24,8 @@ from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
 from zipledger.schemas import ARCHIVES, SCAN_PROGRESS
 from zipledger.session import materialize
-from zipledger.sources.catalog import visible
-from zipledger.sources.listing import dedupe_paths, list_all, list_objects, list_takeout_rows, split_takeout
+from zipledger.sources.catalog import published_runs, visible
+from zipledger.sources.listing import dedupe_paths, list_all, list_objects, list_takeout_rows, missing, split_takeout
 from zipledger.sources.reader import inner_archives, is_inner_archive, read_central_directories, split_entries
 
 
@@ -36,6 +37,7 @@ class ScanResult:
     errors: DataFrame
     rollup: DataFrame
     progress: DataFrame
+    found: DataFrame   # the whole listing, with the archives that were not read
 
     def totals(self) -> DataFrame:
         return scan_totals(self.rollup)
@@ -85,7 +87,7 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
     """
     ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     listing, root_errors = list_roots(spark, roots, mode, excluded, follow_symlinks)
-    listing = labelled(listing, path_style)
+    found = listing = labelled(listing, path_style)
     if skip is not None:
         listing = listing.join(skip.select("archive_path").distinct(), "archive_path", "left_anti")
     if unchanged is not None:
@@ -138,7 +140,7 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
         F.when(ok, F.coalesce("zip_count", F.lit(0))).otherwise(0).cast("long").alias("zip_count"),
         F.when(ok, F.coalesce("video_count", F.lit(0))).otherwise(0).cast("long").alias("video_count"),
         "error", ok.alias("success"))
-    return ScanResult(listing, archives, entries, errors, rollup, progress)
+    return ScanResult(listing, archives, entries, errors, rollup, progress, found)
 
 
 def metrics(res: ScanResult, seconds: float) -> DataFrame:
@@ -151,8 +153,42 @@ def metrics(res: ScanResult, seconds: float) -> DataFrame:
             .withColumn("scan_duration_seconds", F.lit(float(seconds))))
 
 
+def file_path(path: str = "archive_path") -> Column:
+    """The file an archive is in: itself, or the outermost archive of a virtual path."""
+    return F.regexp_replace(path, r"(?i)(?<=\.zip)!\d*/.*$", "")
+
+
+def as_seen(spark: SparkSession, catalog_path: str, scan_id: str) -> DataFrame:
+    """(archive_path, file_size, last_modified) of the files as other scans last saw them, read or refused."""
+    runs = published_runs(spark, catalog_path)
+    place = spark.createDataFrame([(r, k) for k, r in enumerate(runs)], "run_id string, _place int")
+    columns = ["archive_path", "file_size", "last_modified", "scan_id", "run_id"]
+    rows = visible(spark, catalog_path, "scan_progress", SCAN_PROGRESS, runs).select(columns).union(
+        visible(spark, catalog_path, "archives", ARCHIVES, runs).select(columns))
+    state = F.struct("file_size", "last_modified")
+    return (rows.filter(F.col("scan_id") != scan_id).join(place, "run_id").groupBy("archive_path")
+            .agg(F.max_by(state, "_place").alias("state")).select("archive_path", "state.*"))
+
+
+def changed_or_gone(spark: SparkSession, roots: DataFrame, res: ScanResult, known: DataFrame) -> DataFrame:
+    """(archive_uuid) of the ``known`` archives that the scan read again or that are not there any more.
+
+    An archive is gone if it lies below a root of the scan, was not listed, and no file of its path is found when
+    looked for. A root below which nothing at all was found retires nothing: a drive that is not mounted looks so.
+    """
+    known = known.select("archive_uuid", file_path().alias("file"))
+    again = known.join(res.listing.select(F.col("archive_path").alias("file")), "file", "left_semi")
+    live = res.found.select("root").distinct().join(roots.select("root"), "root", "left_semi")
+    below = [F.col("file").startswith(r["root"].rstrip("/") + "/") for r in live.collect()]  # a row per root
+    if not below:
+        return again.select("archive_uuid").distinct()
+    missed = known.filter(reduce(Column.__or__, below)).join(
+        res.found.select(F.col("archive_path").alias("file")), "file", "left_anti")
+    return again.union(missing(missed)).select("archive_uuid").distinct()
+
+
 def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str, scan_id: str,
-                      resume: bool = False, **kw) -> ScanResult:
+                      resume: bool = False, refresh: bool = False, **kw) -> ScanResult:
     """Scan and publish the result as a run of ``scan_id``.
 
     Archives another scan already registered are dropped from the listing, so
@@ -160,8 +196,20 @@ def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str,
     ``scan_id`` reads its own archives again and replaces its last run). With
     ``resume``, archives that other scans found bad or without targets are left
     out too unless their size or modification time has changed.
+
+    With ``refresh``, registered archives are compared with the listing by size and
+    modification time: changed ones are read again, those whose file is gone are
+    retired, and only these; the newest version of an archive is the one readers see.
     """
     started = time.time()
+    if refresh:
+        known = visible(spark, catalog_path, "archives", ARCHIVES).filter(F.col("scan_id") != scan_id)
+        res = scan(spark, roots, unchanged=as_seen(spark, catalog_path, scan_id), **kw)
+        retired = materialize(changed_or_gone(spark, roots, res, known), "retired")
+        register(catalog_path, res.archives, res.entries, scan_id, res.errors, check_existing=False,
+                 more={"scan_progress": res.progress, "scan_metrics": metrics(res, time.time() - started),
+                       "retired": retired})
+        return res
     registered = visible(spark, catalog_path, "archives", ARCHIVES).filter(
         F.col("scan_id") != scan_id).select("archive_path")
     unchanged = None

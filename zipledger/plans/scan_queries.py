@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from zipledger.operators.stats import list_archives
 from zipledger.plans.oracle_sql import ENT0, ext_of
+from zipledger.plans.register import expire
+from zipledger.plans.register import register as write_run
 from zipledger.plans.registry import VIDEO_EXT_SQL, register
 from zipledger.plans.scan import list_roots, scan, scan_and_register
 from zipledger.session import shared_dir
+from zipledger.sources.catalog import Catalog
 from zipledger.sources.derived import archive_path_col, read_documents
 from zipledger.sources.listing import filter_roots
-from zipledger.sources.packer import entry_datetime_sql, pack_documents
+from zipledger.sources.packer import ADDED, edit_archives, entry_datetime_sql, pack_documents
 
 SCAN_TS = _dt.datetime(2024, 1, 2)
 
@@ -202,6 +205,54 @@ def q_register(spark, sf_dir):
     return list_archives(cat).select("archive_name", "drive", "file_count", rel(base).alias("rel_path"))
 
 
+_KIND = "coalesce(TRY_CAST(NULLIF(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER), 0) % 4"
+
+
+@register("scan_refresh", f"""
+WITH {ENT0.strip()},
+e AS (SELECT archive_path, lang || '/' || file_name AS path_in_archive, file_size, {_KIND} AS kind,
+             row_number() OVER (PARTITION BY archive_path ORDER BY doc_id) - 1 AS i FROM ent0)
+SELECT archive_path AS rel_path, path_in_archive, file_size,
+       CAST(CASE WHEN kind = 1 THEN i // 2 ELSE i END AS INTEGER) AS entry_ordinal,
+       CASE WHEN kind = 3 THEN 'first' ELSE 'second' END AS scan_id
+FROM e WHERE kind <> 2 AND (kind <> 1 OR i % 2 = 0)
+UNION ALL
+SELECT archive_path, '{ADDED[0]}', CAST({len(ADDED[1])} AS BIGINT), CAST(count(*) AS INTEGER), 'second'
+FROM e WHERE kind = 0 GROUP BY archive_path""")
+def q_scan_refresh(spark, sf_dir):
+    # archives that grow, shrink and vanish between two scans; unchanged ones are not read again
+    base = shared_dir(spark, "zipledger-fixtures", f"refresh-{_uuid.uuid4().hex}")
+    pack_documents(spark, sf_dir, base)
+    _, roots = fixture(spark, sf_dir)
+    name = F.regexp_extract("root", "/mnt/[a-z]$", 0)
+    roots = roots.select(F.concat(F.lit(base), name).alias("root"), "drive")
+    path = shared_dir(spark, "zipledger-catalogs", f"refresh-{_uuid.uuid4().hex}")
+    scan_and_register(spark, roots, path, "first", all_files=True, scan_ts=SCAN_TS, refresh=True)
+    edit_archives(spark, sf_dir, base)
+    scan_and_register(spark, roots, path, "second", all_files=True, scan_ts=SCAN_TS, refresh=True)
+    c = Catalog.read(spark, path)
+    return c.entries.join(c.archives.select("archive_uuid", "archive_path"), "archive_uuid").select(
+        rel(base).alias("rel_path"), "path_in_archive", "file_size", "entry_ordinal", "scan_id")
+
+
+@register("register_rerun", f"""
+WITH {ENT0.strip()},{_VIDEO_ENT}
+SELECT split_part(archive_path, '/', -1) AS archive_name, drive, COUNT(*) AS file_count, CAST(1 AS BIGINT) AS runs
+FROM v GROUP BY archive_path, drive""")
+def q_register_rerun(spark, sf_dir):
+    # one scan registered four times; what is left of the older runs after they expire
+    from zipledger.plans.extract_queries import fixture_catalog
+    _, cat = fixture_catalog(spark, sf_dir)
+    path = shared_dir(spark, "zipledger-catalogs", f"rerun-{_uuid.uuid4().hex}")
+    for _ in range(4):
+        write_run(path, cat.archives, cat.entries, "again")
+    expire(spark, path, _dt.timedelta(0))
+    runs = spark.read.parquet(f"{path}/entries").join(
+        spark.read.parquet(f"{path}/archives").select("archive_uuid", "archive_name").distinct(), "archive_uuid")
+    runs = runs.groupBy("archive_name").agg(F.count_distinct("run_id").alias("runs"))
+    return list_archives(Catalog.read(spark, path)).select("archive_name", "drive", "file_count").join(runs, "archive_name")
+
+
 @register("scan_nested", f"""
 WITH {ENT0.strip()}
 SELECT '/nested/' || split_part(archive_path, '/', 3) || '/bundle-' || split_part(archive_path, '/', -1)

@@ -64,6 +64,11 @@ MANIFEST = StructType([
     StructField("published_at", TimestampType(), False),
 ])
 
+# Archives whose rows of earlier runs are void: a refresh found them changed or deleted.
+RETIRED = StructType([
+    StructField("archive_uuid", StringType(), False),
+])
+
 # Output of the listing step: one row per candidate archive file.
 LISTING = StructType([
     StructField("root", StringType(), False),

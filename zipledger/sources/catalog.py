@@ -3,7 +3,9 @@
 On storage every table of the catalogue is Parquet partitioned by ``scan_id`` and
 ``run_id`` (written by :mod:`zipledger.plans.register`), and ``manifest`` has one
 row per published run. Readers see, of every scan, the run published last: all of
-it or nothing of it, whatever a running or failed scan has written.
+it or nothing of it, whatever a running or failed scan has written. ``retired`` names
+archives that a refresh found changed or gone; rows that earlier runs have of them are
+not seen any more.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST
+from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST, RETIRED
 from zipledger.sources.fs import path_exists
 
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
@@ -35,18 +37,42 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """(scan_id, run_id) of the run of each scan that readers see."""
-    # a row per run: one task reads them all, and the few rows are broadcast by their size
-    return (read_table(spark, f"{path}/manifest", MANIFEST).coalesce(1).groupBy("scan_id")
-            .agg(F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id")))
+def published_runs(spark: SparkSession, path: str) -> list[str]:
+    """The runs that readers see, the last of each scan, in the order they were published.
 
+    They come to the driver (a row per scan), so that they are literals in the partition
+    filters of every query: files of replaced and failed runs are not even listed for a task."""
+    last = (read_table(spark, f"{path}/manifest", MANIFEST).coalesce(1).groupBy("scan_id")
+            .agg(F.max(F.struct("published_at", "run_id")).alias("last")).select("last.*"))
+    return [r["run_id"] for r in sorted(last.collect())]
 
-def visible(spark: SparkSession, path: str, table: str, schema: StructType) -> DataFrame:
-    """Rows of a table's published runs (a join on partition columns, so files of
-    other runs are pruned at run time)."""
-    rows = read_table(spark, f"{path}/{table}", _with_run(schema))
-    return rows.join(published(spark, path), ["scan_id", "run_id"], "left_semi")
+
+def in_runs(rows: DataFrame, runs: list[str]) -> DataFrame:
+    return rows.filter(F.col("run_id").isin(runs)) if runs else rows.filter(F.lit(False))
+
+
+def _not_retired(spark: SparkSession, path: str, rows: DataFrame, runs: list[str]) -> DataFrame:
+    """``rows`` without those of archives that a run published later has retired.
+
+    Retired archives are those a refresh found changed or deleted: few against the
+    catalogue, so Spark broadcasts them as long as their measured size allows it."""
+    if not path_exists(f"{path}/retired", spark):
+        return rows
+    place = spark.createDataFrame([(r, k) for k, r in enumerate(runs)], "run_id string, _place int")
+    retired = in_runs(read_table(spark, f"{path}/retired", _with_run(RETIRED)), runs)
+    last = retired.join(place, "run_id").groupBy("archive_uuid").agg(F.max("_place").alias("_retired"))
+    kept = rows.join(place, "run_id").join(last, "archive_uuid", "left").filter(
+        F.col("_retired").isNull() | (F.col("_place") >= F.col("_retired")))
+    return kept.select(rows.columns)
+
+
+def visible(spark: SparkSession, path: str, table: str, schema: StructType, runs: list[str] | None = None) -> DataFrame:
+    """Rows of a table's published runs (``runs``, if the caller has read them already).
+
+    The runs are fixed when the DataFrame is made: a query sees one state of the catalogue."""
+    runs = published_runs(spark, path) if runs is None else runs
+    rows = in_runs(read_table(spark, f"{path}/{table}", _with_run(schema)), runs)
+    return _not_retired(spark, path, rows, runs) if runs and table in ("archives", "entries") else rows
 
 
 @dataclass
@@ -67,8 +93,9 @@ class Catalog:
         ``refresh``, by a map-side-combined ``min``/``max`` over the
         ``(scan_seq, scan_id)`` key, and entries follow the chosen scan.
         """
-        arch = visible(spark, path, "archives", ARCHIVES)
-        ent = visible(spark, path, "entries", ENTRIES)
+        runs = published_runs(spark, path)
+        arch = visible(spark, path, "archives", ARCHIVES, runs)
+        ent = visible(spark, path, "entries", ENTRIES, runs)
         if not (resolve or refresh):
             return Catalog(arch, ent)
         pick = F.max if refresh else F.min

@@ -40,6 +40,22 @@ def _open_file(path: str):
     return filesystem.open_input_file(inner)
 
 
+def file_exists(path: str) -> bool:
+    """Whether a local or remote file is there; a file system that does not answer counts as having it."""
+    lp = local_path(path)
+    try:
+        if lp is not None:
+            os.lstat(lp)
+            return True
+        from pyarrow import fs as pafs
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+        return filesystem.get_file_info(inner).type != pafs.FileType.NotFound
+    except FileNotFoundError:
+        return False
+    except Exception:
+        return True
+
+
 def _open_member(outer, ordinal: str, member: str):
     zf = zipfile.ZipFile(outer)
     infos = zf.infolist()

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from zipledger.functions.paths import EXCLUDED_DIRECTORIES, TAKEOUT_FOLDER, basename, drive_label
 from zipledger.schemas import LISTING, WALK
 from zipledger.session import checkpoint_root, materialize
+from zipledger.sources.fs import file_exists
+from zipledger.sources.reader import task_count
 
 _WALK_COLS = [f.name for f in WALK.fields]
 
@@ -265,3 +267,14 @@ def dedupe_paths(listing: DataFrame) -> DataFrame:
             .agg(F.min(F.struct(*rest)).alias("s"))
             .select("archive_path", "s.*")
             .select(*[f.name for f in LISTING.fields]))
+
+
+def _missing(batches):
+    for pdf in batches:
+        yield pdf[[not file_exists(path) for path in pdf["file"]]]
+
+
+def missing(files: DataFrame) -> DataFrame:
+    """The rows (column ``file``) whose file is not there; looked for on the executors. What cannot be told stays."""
+    n = task_count(files.sparkSession, 0, 1)
+    return files.repartition(n, "file").mapInPandas(_missing, files.schema)

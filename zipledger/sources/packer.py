@@ -156,3 +156,38 @@ def pack_nested(spark: SparkSession, sf_dir: str) -> str:
      .write.format("noop").mode("overwrite").save())
     mark(marker, spark)
     return base
+
+
+#: An entry that edited archives get in addition.
+ADDED = ("en/IMG_added.MP4", b"added")
+
+
+def _editor(base: str):
+    def edit(batches):
+        for pdf in batches:
+            for path, kind in zip(pdf["archive_path"], pdf["kind"]):
+                final = base + path
+                if kind == 2:
+                    os.remove(final)
+                else:
+                    tmp = f"{final}.{_uuid.uuid4().hex}.part"
+                    with zipfile.ZipFile(final) as old, zipfile.ZipFile(tmp, "w", compression=zipfile.ZIP_DEFLATED) as new:
+                        for i, info in enumerate(old.infolist()):
+                            if kind == 0 or i % 2 == 0:
+                                new.writestr(info, old.read(info))
+                        if kind == 0:
+                            new.writestr(*ADDED)
+                    os.replace(tmp, final)
+                yield pd.DataFrame({"archive_path": [path], "entries": [kind]})
+    return edit
+
+
+def edit_archives(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """Change packed archives by the number in their source's name, modulo 4: 0 grow by an entry, 1 keep every
+    second entry, 2 are deleted, the others stay. ``base`` is a packing of its own, not the shared one."""
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"), F.lit(0))
+    rows = (read_documents(spark, sf_dir).select(archive_path_col().alias("archive_path"), (number % 4).alias("kind"))
+            .distinct().filter("kind < 3"))
+    n = max(spark.sparkContext.defaultParallelism, 2)
+    (rows.repartition(n, "archive_path").mapInPandas(_editor(base), PACK_RESULT)
+     .write.format("noop").mode("overwrite").save())
