@@ -70,6 +70,16 @@ def labelled(listing: DataFrame, path_style: str | None) -> DataFrame:
     return listing.withColumn("drive", F.coalesce("drive", drive_label("archive_path", path_style or "posix")))
 
 
+def progress_of(containers: DataFrame, entries: DataFrame, errors: DataFrame) -> DataFrame:
+    """``SCAN_PROGRESS`` rows of the archives that were read."""
+    failed = errors.select("archive_path").distinct().withColumn("_failed", F.lit(True))
+    done = entries.select("archive_path").distinct().withColumn("_done", F.lit(True))
+    return (containers.join(failed, "archive_path", "left").join(done, "archive_path", "left")
+            .select("archive_path", "file_size", "last_modified",
+                    F.when(F.col("_failed"), "error").when(F.col("_done"), "done")
+                    .otherwise("no_targets").alias("status")))
+
+
 def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files: bool = False,
          excluded: Iterable[str] = EXCLUDED_DIRECTORIES, scan_ts: _dt.datetime | None = None,
          scan_seq: int = 0, skip: DataFrame | None = None, nested: bool = False,
@@ -114,12 +124,7 @@ def scan(spark: SparkSession, roots: DataFrame, mode: str = "takeout", all_files
                 .select(archive_uuid("archive_path").alias("archive_uuid"), "drive", "archive_name",
                         "archive_path", "file_size", F.lit(None).cast("string").alias("file_hash"),
                         "last_modified", ts.alias("scan_date"), F.lit(scan_seq).cast("long").alias("scan_seq")))
-    failed = errors.select("archive_path").distinct().withColumn("_failed", F.lit(True))
-    done = with_entries.withColumn("_done", F.lit(True))
-    progress = (containers.join(failed, "archive_path", "left").join(done, "archive_path", "left")
-                .select("archive_path", "file_size", "last_modified",
-                        F.when(F.col("_failed"), "error").when(F.col("_done"), "done")
-                        .otherwise("no_targets").alias("status")))
+    progress = progress_of(containers, entries, errors)
     per_drive = (entries.groupBy("archive_path", "drive").agg(F.count(F.lit(1)).alias("n"))
                  .groupBy("drive").agg(F.count(F.lit(1)).alias("zip_count"),
                                        F.sum("n").cast("long").alias("video_count")))

@@ -23,6 +23,7 @@ from zipledger.plans.registry import VIDEO_EXT_SQL, register
 from zipledger.plans.scan import list_roots, scan, scan_and_register
 from zipledger.session import shared_dir
 from zipledger.sources.catalog import Catalog
+from zipledger.sources.datasource import register_source
 from zipledger.sources.derived import archive_path_col, read_documents
 from zipledger.sources.listing import filter_roots
 from zipledger.sources.packer import ADDED, edit_archives, entry_datetime_sql, pack_documents
@@ -89,6 +90,35 @@ def q_scan_entries_video(spark, sf_dir):
     return _scan_entries(spark, sf_dir, False)
 
 
+def _source_sql(where: str) -> str:
+    return f"""
+WITH {ENT0.strip()},
+e AS (SELECT archive_path AS rel_path, lang || '/' || file_name AS path_in_archive, file_size,
+             CAST(row_number() OVER (PARTITION BY archive_path ORDER BY doc_id) - 1 AS INTEGER) AS entry_ordinal,
+             CAST(NULL AS VARCHAR) AS error_class FROM ent0
+      UNION ALL SELECT DISTINCT {_BAD}, NULL, NULL, NULL, 'BadZipFile' FROM ent0)
+SELECT * FROM e {where}"""
+
+
+def _from_source(spark, sf_dir):
+    base, _ = fixture(spark, sf_dir)
+    register_source(spark)
+    rows = spark.read.format("archive_entries").load(base + "/mnt")
+    return rows.select(rel(base).alias("rel_path"), "path_in_archive", "file_size", "entry_ordinal", "error_class")
+
+
+@register("source_entries", _source_sql(""))
+def q_source_entries(spark, sf_dir):
+    # the reader format: every archive below a folder, bad ones as error rows
+    return _from_source(spark, sf_dir)
+
+
+@register("source_entries_filtered", _source_sql("WHERE file_size >= 2000 AND path_in_archive LIKE 'en/%'"))
+def q_source_entries_filtered(spark, sf_dir):
+    # both comparisons are pushed into the source
+    return _from_source(spark, sf_dir).where("file_size >= 2000 AND path_in_archive LIKE 'en/%'")
+
+
 @register("scan_errors", f"""
 WITH {ENT0.strip()}
 SELECT DISTINCT {_BAD} AS rel_path, {_DRIVE} AS drive, 'BadZipFile' AS error_class,

@@ -23,9 +23,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, drive_label
 from zipledger.plans.register import register
+from zipledger.plans.scan import progress_of
 from zipledger.schemas import ARCHIVES
 from zipledger.session import clear_stage, materialize
 from zipledger.sources.catalog import visible
+from zipledger.sources.datasource import register_source
 from zipledger.sources.reader import read_central_directories, split_entries
 
 
@@ -46,6 +48,38 @@ def archive_stream(spark: SparkSession, folders: str, max_files_per_trigger: int
     return reader.load(folders).select("path", "length", "modificationTime")
 
 
+def _register_batch(catalog_path: str, sid: str, batch_id: int, listing: DataFrame, raw: DataFrame, all_files: bool,
+                    scan_ts: _dt.datetime | None, retired: DataFrame | None = None) -> None:
+    """Publish a micro-batch: what a batch scan of its archives writes, progress rows included."""
+    ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
+    entries, errors = split_entries(raw, all_files, created_at=ts)
+    archives = (listing.join(entries.select("archive_path").distinct(), "archive_path", "left_semi")
+                .select(archive_uuid("archive_path").alias("archive_uuid"), "drive",
+                        basename("archive_path").alias("archive_name"), "archive_path", "file_size",
+                        F.lit(None).cast("string").alias("file_hash"), "last_modified",
+                        ts.alias("scan_date"), F.lit(int(batch_id)).cast("long").alias("scan_seq")))
+    more = {"scan_progress": progress_of(listing, entries, errors)}
+    if retired is not None:
+        more["retired"] = retired
+    register(catalog_path, archives, entries, sid, errors, check_existing=False, more=more)
+
+
+def _refreshing_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column], Column],
+                       scan_ts: _dt.datetime | None, stream: str):
+    """For entry rows of the ``archive_entries`` stream: an archive that comes again replaces what is registered of it."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sid = f"stream-{stream}-{batch_id:06d}"
+        raw = materialize(batch.withColumn("drive", drive_of(F.col("archive_path"))).withColumn(
+            "entry_mtime", F.col("entry_mtime").cast("timestamp")), f"raw-{sid}")
+        listing = raw.select("archive_path", "drive", F.col("archive_size").alias("file_size"),
+                             F.timestamp_seconds("archive_mtime").alias("last_modified")).distinct()
+        known = visible(batch.sparkSession, catalog_path, "archives", ARCHIVES).filter(F.col("scan_id") != sid)
+        retired = known.join(listing, "archive_path", "left_semi").select("archive_uuid").distinct()
+        _register_batch(catalog_path, sid, batch_id, listing, raw, all_files, scan_ts, retired)
+        clear_stage(batch.sparkSession, f"raw-{sid}")
+    return write
+
+
 def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column], Column],
                   scan_ts: _dt.datetime | None, stream: str = ""):
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,15 +92,8 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
         done = visible(batch.sparkSession, catalog_path, "archives", ARCHIVES).filter(
             F.col("scan_id") != sid).select("archive_path")
         listing = materialize(listing.join(done, "archive_path", "left_anti"), f"listing-{sid}")
-        ts = F.lit(scan_ts or _dt.datetime.now().replace(microsecond=0)).cast("timestamp")
         raw = materialize(read_central_directories(listing), f"raw-{sid}")
-        entries, errors = split_entries(raw, all_files, created_at=ts)
-        archives = (listing.join(entries.select("archive_path").distinct(), "archive_path", "left_semi")
-                    .select(archive_uuid("archive_path").alias("archive_uuid"), "drive",
-                            basename("archive_path").alias("archive_name"), "archive_path", "file_size",
-                            F.lit(None).cast("string").alias("file_hash"), "last_modified",
-                            ts.alias("scan_date"), F.lit(int(batch_id)).cast("long").alias("scan_seq")))
-        register(catalog_path, archives, entries, sid, errors, check_existing=False)
+        _register_batch(catalog_path, sid, batch_id, listing, raw, all_files, scan_ts)
         clear_stage(batch.sparkSession, f"listing-{sid}", f"raw-{sid}")
     return write
 
@@ -74,10 +101,19 @@ def _batch_writer(catalog_path: str, all_files: bool, drive_of: Callable[[Column
 def watch(spark: SparkSession, folders: str, catalog_path: str, checkpoint_location: str,
           all_files: bool = False, drive_of: Callable[[Column], Column] | None = None,
           available_now: bool = True, max_files_per_trigger: int | None = None,
-          scan_ts: _dt.datetime | None = None, processing_time: str = "1 minute", path_style: str = "posix"):
-    """Start the cataloguing stream; with ``available_now`` it stops when caught up."""
+          scan_ts: _dt.datetime | None = None, processing_time: str = "1 minute", path_style: str = "posix",
+          refresh: bool = False):
+    """Start the cataloguing stream; with ``available_now`` it stops when caught up.
+
+    With ``refresh`` the stream reads the ``archive_entries`` source, which also brings archives that have changed;
+    it runs until it is stopped (``folders`` are separated by commas there, and sub-folders are read)."""
     drive_of = drive_of or (lambda c: drive_label(c, path_style))
     name = hashlib.sha256(f"{checkpoint_location}\n{folders}".encode()).hexdigest()[:12]
+    if refresh:
+        register_source(spark)
+        entries = spark.readStream.format("archive_entries").load(folders)
+        return (entries.writeStream.foreachBatch(_refreshing_writer(catalog_path, all_files, drive_of, scan_ts, name))
+                .option("checkpointLocation", checkpoint_location).trigger(processingTime=processing_time).start())
     stream = archive_stream(spark, folders, max_files_per_trigger)
     w = (stream.writeStream
          .foreachBatch(_batch_writer(catalog_path, all_files, drive_of, scan_ts, name))
