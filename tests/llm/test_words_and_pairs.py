@@ -239,6 +239,18 @@ def test_byte_pair_report(spark, docs, none, library, monkeypatch):
     assert sorted(bytes(r["ids"]) for r in back) == sorted((t or "").encode() for _, t in brute.texts())
 
 
+def test_packed_numbers_and_words():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for numbers in ([], [0], [191, 192, 193, 255, 256, 2 ** 32 - 1], rng.integers(0, 1 << 20, 5000), rng.integers(0, 300, 5000)):
+        numbers = np.array(numbers, np.uint32)
+        assert byte_pairs._unpack_numbers(byte_pairs._pack_numbers(numbers)).tolist() == numbers.tolist()
+    for words in ([], [b""], [b"a", b"", b"\n" * 500, b"x" * 70_000]):
+        assert byte_pairs._unpack(byte_pairs._pack(words)) == words
+        ids = [w * 4 for w in words]
+        assert byte_pairs._unpack_ids(byte_pairs._pack_ids(ids)) == ids
+
+
 def test_byte_pair_vocabulary_is_checked(tmp_path):
     path = tmp_path / "few.tiktoken"
     path.write_bytes(base64.b64encode(b"a") + b" 0\n")

@@ -40,7 +40,7 @@ from zipledger.llm.common import id_text, pieces, stage, text_bytes
 from zipledger.llm.words import texts_of
 
 #: Text bytes in a part, and behind a bucket.
-PART_BYTES = 16 << 20
+PART_BYTES = 32 << 20
 BUCKET_BYTES = 32 << 20
 #: Word bytes replayed together.
 REPLAY_BYTES = 2 << 20
@@ -200,27 +200,51 @@ def replayed(words: list[bytes], vocab: Vocabulary) -> Iterator[bytes]:
 # -- parts and buckets -----------------------------------------------------------------
 
 def _pack(values: list[bytes]) -> bytes:
-    """Byte strings as their number, their lengths and themselves, compressed."""
-    sizes = np.array([len(values), *map(len, values)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(values))
+    """Byte strings: their lengths, then themselves, compressed."""
+    sizes = _pack_numbers(np.array([len(v) for v in values], np.uint32))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=9).compress(b"".join(values))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n + 1), dtype=np.int64) - n + 4 * (n + 1)
-    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    start = 4 + int.from_bytes(blob[:4], "little")
+    return _cut(zstandard.ZstdDecompressor().decompress(blob[start:]), _unpack_numbers(blob[4:start]))
+
+
+def _cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
-    """The four bytes of the numbers side by side, compressed: the upper ones are nearly all zero."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    """Numbers below 192 as a byte, others as a byte with their last six bits and the bytes of the rest, compressed.
+
+    The bytes of the same place stand side by side; small numbers take little more than their information."""
+    large = numbers >= 192
+    first = np.where(large, 192 + numbers % 64, numbers).astype(np.uint8)
+    rest = np.ascontiguousarray((numbers[large] // 64).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=6).compress(len(first).to_bytes(8, "little") + first.tobytes() + rest.tobytes())
 
 
 def _unpack_numbers(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
+    planes = np.frombuffer(raw, np.uint8, offset=8 + n).reshape(4, -1)
+    large = out >= 192
+    out[large] += np.ascontiguousarray(planes.T).view("<u4").reshape(-1) * np.uint32(64) - np.uint32(192)
+    return out
+
+
+def _pack_ids(values: list[bytes]) -> bytes:
+    """Packed ids of words: how many each has, then all of them."""
+    counts = _pack_numbers(np.array([len(v) // 4 for v in values], np.uint32))
+    return len(counts).to_bytes(4, "little") + counts + _pack_numbers(unpacked(b"".join(values)))
+
+
+def _unpack_ids(blob: bytes) -> list[bytes]:
+    start = 4 + int.from_bytes(blob[:4], "little")
+    ids = _unpack_numbers(blob[start:]).astype("<u4").tobytes()
+    return _cut(ids, 4 * _unpack_numbers(blob[4:start]).astype(np.int64))
 
 
 PARTS = "part long, docs array<long>, counts array<long>, words binary, numbers binary"
@@ -290,7 +314,7 @@ def _answer(path: str):
         words = sorted(set().union(*asked))
         ids = dict(zip(words, replayed(words, vocabulary(path))))
         return pd.DataFrame({"part": rows["part"], "bucket": rows["bucket"],
-                             "blob": [_pack([ids[w] for w in a]) for a in asked]})
+                             "blob": [_pack_ids([ids[w] for w in a]) for a in asked]})
     return run
 
 
@@ -316,7 +340,7 @@ def _finish(path: str, buckets: int, digest: bool):
             words = _unpack(row["words"])
             ids_of = [vocab.whole.get(w) for w in words]
             for bucket, numbers in _asked(words, vocab, buckets).items():
-                for k, ids in zip(numbers, _unpack(said[bucket])):
+                for k, ids in zip(numbers, _unpack_ids(said[bucket])):
                     ids_of[k] = ids
             numbers, at = _unpack_numbers(row["numbers"]), 0
             for doc, count in zip(row["docs"], row["counts"]):
