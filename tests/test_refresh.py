@@ -45,9 +45,9 @@ def test_ten_reruns_read_one_run(spark, scratch):
     for _ in range(4):
         scan_and_register(spark, roots, catalog, "s", mode="all")
     entries = Catalog.read(spark, catalog).entries
-    run, = published_runs(spark, catalog)
+    (_, run), = published_runs(spark, catalog)
     plan = _plan(entries)
-    assert f"run_id#" in plan.split("PartitionFilters")[1] and run in plan and "Join" not in plan
+    assert "run_id#" in plan.split("PartitionFilters")[1] and run in plan and "Join" not in plan
     assert len(entries.inputFiles()) <= 4 * 8 and len(_run_folders(catalog)) == 4
     assert expire(spark, catalog) == []                     # too young
     gone = expire(spark, catalog, dt.timedelta(0))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid as _uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
         "archive_uuid", "entry_ordinal")
     _write(ent, f"{catalog_path}/entries", scan_id, run_id)
-    written = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), [run_id]).select(
+    written = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), [(scan_id, run_id)]).select(
         "archive_uuid").distinct()
     _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
            f"{catalog_path}/archives", scan_id, run_id)
@@ -81,16 +82,16 @@ def expire(spark: SparkSession, catalog_path: str, older_than: _dt.timedelta = _
     latest = (_dt.datetime.now() - older_than).timestamp() * 1000
     gone = set()
     for folder in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "*/scan_id=*/run_id=*")) or []:
-        run = folder.getPath().getName().split("=", 1)[1]
+        run = tuple(unquote(p.getName().split("=", 1)[1]) for p in (folder.getPath().getParent(), folder.getPath()))
         newest = max([folder.getModificationTime(), *[f.getModificationTime() for f in files.listStatus(folder.getPath())]])
         if run not in runs and newest <= latest:
             files.delete(folder.getPath(), True)
-            gone.add(run)
+            gone.add(run[1])
     _compact_manifest(spark, catalog_path, sorted(runs))
     return sorted(gone)
 
 
-def _compact_manifest(spark: SparkSession, catalog_path: str, runs: list[str]) -> None:
+def _compact_manifest(spark: SparkSession, catalog_path: str, runs: list[tuple[str, str]]) -> None:
     path = f"{catalog_path}/manifest"
     if not path_exists(path, spark):
         return

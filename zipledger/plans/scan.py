@@ -24,7 +24,7 @@ from zipledger.operators.stats import scan_totals
 from zipledger.plans.register import register
 from zipledger.schemas import ARCHIVES, SCAN_PROGRESS
 from zipledger.session import materialize
-from zipledger.sources.catalog import published_runs, visible
+from zipledger.sources.catalog import published_runs, run_places, visible
 from zipledger.sources.listing import dedupe_paths, list_all, list_objects, list_takeout_rows, missing, split_takeout
 from zipledger.sources.reader import inner_archives, is_inner_archive, read_central_directories, split_entries
 
@@ -166,12 +166,12 @@ def file_path(path: str = "archive_path") -> Column:
 def as_seen(spark: SparkSession, catalog_path: str, scan_id: str) -> DataFrame:
     """(archive_path, file_size, last_modified) of the files as other scans last saw them, read or refused."""
     runs = published_runs(spark, catalog_path)
-    place = spark.createDataFrame([(r, k) for k, r in enumerate(runs)], "run_id string, _place int")
     columns = ["archive_path", "file_size", "last_modified", "scan_id", "run_id"]
     rows = visible(spark, catalog_path, "scan_progress", SCAN_PROGRESS, runs).select(columns).union(
         visible(spark, catalog_path, "archives", ARCHIVES, runs).select(columns))
     state = F.struct("file_size", "last_modified")
-    return (rows.filter(F.col("scan_id") != scan_id).join(place, "run_id").groupBy("archive_path")
+    return (rows.filter(F.col("scan_id") != scan_id).join(run_places(spark, runs), ["scan_id", "run_id"])
+            .groupBy("archive_path")
             .agg(F.max_by(state, "_place").alias("state")).select("archive_path", "state.*"))
 
 

@@ -37,36 +37,43 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def published_runs(spark: SparkSession, path: str) -> list[str]:
-    """The runs that readers see, the last of each scan, in the order they were published.
+def published_runs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(scan_id, run_id) of the runs that readers see, the last of each scan, in the order they were published.
 
     They come to the driver (a row per scan), so that they are literals in the partition
     filters of every query: files of replaced and failed runs are not even listed for a task."""
     last = (read_table(spark, f"{path}/manifest", MANIFEST).coalesce(1).groupBy("scan_id")
-            .agg(F.max(F.struct("published_at", "run_id")).alias("last")).select("last.*"))
-    return [r["run_id"] for r in sorted(last.collect())]
+            .agg(F.max(F.struct("published_at", "run_id")).alias("last")).select("last.*", "scan_id"))
+    return [(r["scan_id"], r["run_id"]) for r in sorted(last.collect())]
 
 
-def in_runs(rows: DataFrame, runs: list[str]) -> DataFrame:
-    return rows.filter(F.col("run_id").isin(runs)) if runs else rows.filter(F.lit(False))
+def in_runs(rows: DataFrame, runs: list[tuple[str, str]]) -> DataFrame:
+    if not runs:
+        return rows.filter(F.lit(False))
+    return rows.filter(F.concat_ws("/", "scan_id", "run_id").isin(["/".join(r) for r in runs]))
 
 
-def _not_retired(spark: SparkSession, path: str, rows: DataFrame, runs: list[str]) -> DataFrame:
+def run_places(spark: SparkSession, runs: list[tuple[str, str]]) -> DataFrame:
+    """(scan_id, run_id, _place): the order in which runs were published."""
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(runs)], "scan_id string, run_id string, _place int")
+
+
+def _not_retired(spark: SparkSession, path: str, rows: DataFrame, runs: list[tuple[str, str]]) -> DataFrame:
     """``rows`` without those of archives that a run published later has retired.
 
     Retired archives are those a refresh found changed or deleted: few against the
     catalogue, so Spark broadcasts them as long as their measured size allows it."""
     if not path_exists(f"{path}/retired", spark):
         return rows
-    place = spark.createDataFrame([(r, k) for k, r in enumerate(runs)], "run_id string, _place int")
+    place, run = run_places(spark, runs), ["scan_id", "run_id"]
     retired = in_runs(read_table(spark, f"{path}/retired", _with_run(RETIRED)), runs)
-    last = retired.join(place, "run_id").groupBy("archive_uuid").agg(F.max("_place").alias("_retired"))
-    kept = rows.join(place, "run_id").join(last, "archive_uuid", "left").filter(
+    last = retired.join(place, run).groupBy("archive_uuid").agg(F.max("_place").alias("_retired"))
+    kept = rows.join(place, run).join(last, "archive_uuid", "left").filter(
         F.col("_retired").isNull() | (F.col("_place") >= F.col("_retired")))
     return kept.select(rows.columns)
 
 
-def visible(spark: SparkSession, path: str, table: str, schema: StructType, runs: list[str] | None = None) -> DataFrame:
+def visible(spark: SparkSession, path: str, table: str, schema: StructType, runs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows of a table's published runs (``runs``, if the caller has read them already).
 
     The runs are fixed when the DataFrame is made: a query sees one state of the catalogue."""
