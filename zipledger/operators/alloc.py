@@ -16,11 +16,18 @@ strictly increasing indices, so the i-th request of ``n`` gets index
   time ``B`` (always, or its first own request); it is *skipped* when the
   request of ``n`` that reaches k comes after ``B``.
 
-Only the distinct blocking children of a node are scanned in order (one
-``applyInPandas`` group holds the distinct child names of one node, never the
-copies of a name); the rank of each request inside its node is a two-level
-count (per bucket of plan positions, then inside a bucket), so millions of
-copies of one name (``metadata.json`` in every export) spread over tasks.
+The rank of each request inside its node is a two-level count (per bucket of
+plan positions, then inside a bucket), so millions of copies of one name
+(``metadata.json`` in every export) spread over tasks. The blocking children of
+a node are scanned in ranges of k (:func:`_thresholds`): with ``s`` children
+skipped before it, child k is skipped when ``s <= k - start - c`` (``c``: the
+requests of ``n`` before time B, 0 if the child exists), so it maps ``s`` to
+``s`` or ``s + 1``. A composition of such maps is again a row of thresholds,
+one a child: the child is skipped when the count at the start of its range is
+not above its threshold. Ranges find their thresholds side by side, the counts
+at their starts follow by one pass over the thresholds that are still open
+(:func:`_starts_of_ranges`, which keeps two numbers), and each range then adds
+up its own. No task holds more than one range of a node's children.
 """
 
 from __future__ import annotations
@@ -29,19 +36,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from zipledger.session import materialize
-from pyspark.sql.types import (
-    BooleanType, LongType, StringType, StructField, StructType,
-)
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 BUCKET = 1 << 20  # plan positions per rank bucket (bounds one window partition)
 
-_SCAN_OUT = StructType([
+RANGE = 1 << 16   # child indexes scanned by one task
+ALWAYS = (1 << 63) - 1   # threshold of a child that is skipped whatever came before its range
+
+_THRESHOLDS = StructType([
     StructField("parent", StringType(), False),
-    StructField("k", LongType(), False),
+    StructField("range", LongType(), False),
     StructField("child", StringType(), False),
-    StructField("reached", BooleanType(), False),
-    StructField("skipped", BooleanType(), False),
-    StructField("j", LongType(), True),
+    StructField("k", LongType(), False),
+    StructField("c", LongType(), False),
+    StructField("start", LongType(), False),
+    StructField("r", LongType(), False),
+    StructField("threshold", LongType(), False),
+])
+
+_STARTS = StructType([
+    StructField("parent", StringType(), False),
+    StructField("range", LongType(), False),
+    StructField("at_start", LongType(), False),
 ])
 
 
@@ -104,40 +120,94 @@ def _running(rows: DataFrame, key: str, bucket: str, order: list, amount: Column
             .drop("_amount", "_off", "_here"))
 
 
-def _scan_children(pdf_iter_group: pd.DataFrame) -> pd.DataFrame:
-    """For one parent node, walk its blocking children in index order.
+def _thresholds(group: pd.DataFrame) -> pd.DataFrame:
+    """``threshold`` of each child of one range of one node.
 
-    ``s`` counts children skipped so far, so child index ``k`` is reached by
-    the parent's request number ``j = k - start + 1 - s``. The child is
-    skipped when it was blocked before that request came (``c`` = number of
-    the parent's requests before the child's blocking time, 0 if it exists),
-    i.e. when ``c < j``. Children beyond the parent's ``r`` requests are never
-    reached. The group holds distinct child names only, never request copies.
-    """
-    pdf = pdf_iter_group.sort_values("k")
-    start = int(pdf["start"].iloc[0])
-    r = int(pdf["r"].iloc[0])
-    s = 0
-    rows = []
-    for parent, k, child, c in zip(pdf["parent"], pdf["k"], pdf["child"], pdf["c"]):
-        j = int(k) - start + 1 - s
-        if j > r or j < 1:
-            rows.append((parent, int(k), child, False, False, None))
+    The t-th child of a range is skipped from the count ``s`` at the range's start when
+    ``s`` and the earlier skips of the range do not exceed ``k - start - c``. The largest
+    such ``s`` is the free number of rank ``k - start - c - t`` among the numbers that no
+    earlier child has taken, and is taken by it: thresholds of a range are distinct.
+    Counts at the start lie between 0 and ``before``, the children of earlier ranges, so
+    thresholds outside are only counted (-1: never skipped, ``ALWAYS``)."""
+    group = group.sort_values("k")
+    before = int(group["before"].iloc[0])
+    taken, below, out = [], 0, []   # taken numbers from 0 to before, in order; how many lie below 0
+    for t, (k, start, c) in enumerate(zip(group["k"], group["start"], group["c"])):
+        rank = int(k) - int(start) - int(c) - t + below
+        if rank < 0:
+            below += 1
+            out.append(-1)
             continue
-        skipped = int(c) < j
-        if skipped:
-            s += 1
-        rows.append((parent, int(k), child, True, skipped, j))
-    out = pd.DataFrame(rows, columns=[f.name for f in _SCAN_OUT.fields])
-    out["j"] = pd.array(out["j"].tolist(), dtype="Int64")
-    return out
+        lo, hi = 0, len(taken)   # taken[i] - i free numbers lie below taken[i]
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if taken[mid] - mid > rank:
+                hi = mid
+            else:
+                lo = mid + 1
+        if rank + lo > before:
+            out.append(ALWAYS)
+        else:
+            taken.insert(lo, rank + lo)
+            out.append(rank + lo)
+    return group.assign(threshold=out)[_THRESHOLDS.fieldNames()]
+
+
+def _starts_of_ranges(batches):
+    """Skips before each range, from rows (parent, range, threshold, n) in that order."""
+    node = part = None
+    at_start = inside = 0
+    for pdf in batches:
+        out = []
+        for parent, rng, threshold, n in zip(pdf["parent"], pdf["range"], pdf["threshold"], pdf["n"]):
+            if parent != node:
+                node, part, at_start, inside = parent, None, 0, 0
+            if rng != part:
+                part, at_start, inside = rng, at_start + inside, 0
+                out.append((node, int(part), at_start))
+            if threshold >= at_start:
+                inside += int(n)
+        yield pd.DataFrame(out, columns=_STARTS.fieldNames())
+
+
+def _scan_children(children: DataFrame, starts: DataFrame, width: int) -> DataFrame:
+    """(parent, child, reached, skipped, j) of every blocking child (parent, child, k, c).
+
+    ``j`` is the request of the parent that would get index k. Beyond the ``r``-th it is
+    never reached; as j does not fall from child to child, nothing after it is either, so
+    the skips counted beyond that point touch no one."""
+    ranged = (children.join(starts.withColumnRenamed("node", "parent"), "parent")
+              .withColumn("range", F.floor(F.col("k") / width).cast("long")))
+    sizes = ranged.groupBy("parent", "range").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.partitionBy("parent").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("parent", "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    found = materialize(ranged.join(sizes, ["parent", "range"])
+                        .select("parent", "range", "child", "k", "c", F.col("start").cast("long").alias("start"),
+                                "r", "before")
+                        .groupBy("parent", "range").applyInPandas(_thresholds, _THRESHOLDS), "alloc-thresholds")
+    several = (found.groupBy("parent").agg(F.min("range").alias("_a"), F.max("range").alias("_b"))
+               .filter("_a < _b").select("parent"))
+    open_rows = (found.join(several, "parent", "left_semi")
+                 .groupBy("parent", "range", "threshold").agg(F.count(F.lit(1)).alias("n"))
+                 .repartition("parent").sortWithinPartitions("parent", "range"))
+    at = open_rows.mapInPandas(_starts_of_ranges, _STARTS)
+    inside = Window.partitionBy("parent", "range").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (found.join(at, ["parent", "range"], "left")
+               .withColumn("at_start", F.coalesce("at_start", F.lit(0)))
+               .withColumn("s", F.col("at_start") + F.coalesce(
+                   F.sum((F.col("threshold") >= F.col("at_start")).cast("long")).over(inside), F.lit(0)))
+               .withColumn("j", F.col("k") - F.col("start") + 1 - F.col("s")))
+    reached = F.col("j") <= F.col("r")
+    return counted.select("parent", "child", "j", reached.alias("reached"),
+                          (reached & (F.col("c") < F.col("j"))).alias("skipped"))
 
 
-def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str = "base") -> DataFrame:
+def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str = "base",
+             width: int = RANGE) -> DataFrame:
     """Add ``out_name`` to ``plan`` (``plan_pos`` unique, ``base_col`` = wanted name).
 
     ``existing`` (column ``name``) lists names already present in the output
-    folder.
+    folder; ``width`` is the number of child indexes that one task scans.
     """
     spark = plan.sparkSession
     req = materialize(_rank_in_node(plan.select("plan_pos", F.col(base_col).alias("node"))), "alloc-req")
@@ -174,8 +244,7 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None, base_col: str =
         starts = (node_ex.join(taken.withColumn("taken", F.lit(True)), "node", "left")
                   .select("node", "r", (F.col("exists") | F.coalesce("taken", F.lit(False))).cast("int")
                           .alias("start")))
-        scanned = materialize(children.join(starts.withColumnRenamed("node", "parent"), "parent")
-                              .groupBy("parent").applyInPandas(_scan_children, _SCAN_OUT), "alloc-scan")
+        scanned = materialize(_scan_children(children, starts, width), "alloc-scan")
         new_taken = scanned.filter(F.col("reached") & ~F.col("skipped")).select(F.col("child").alias("node"))
         if new_taken.exceptAll(taken).isEmpty() and taken.exceptAll(new_taken).isEmpty():
             break
