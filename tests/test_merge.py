@@ -11,7 +11,7 @@ TS = dt.datetime(2024, 1, 1)
 
 def _cat(spark, archives, entries):
     a = [(u, "D:", p.rsplit("/", 1)[1], p, 1, None, None, TS, 0) for u, p in archives]
-    e = [(u, n, 1, n, i, None, TS, None, None, None) for i, (u, n) in enumerate(entries)]
+    e = [(u, n, 1, n, i, None, TS, None, None, None, None, None) for i, (u, n) in enumerate(entries)]
     return Catalog(spark.createDataFrame(a, ARCHIVES), spark.createDataFrame(e, ENTRIES))
 
 

@@ -35,9 +35,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from zipledger.session import materialize
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from zipledger.operators.ranking import running
+from zipledger.session import materialize
+
 BUCKET = 1 << 20  # plan positions per rank bucket (bounds one window partition)
 
 RANGE = 1 << 16   # child indexes scanned by one task
@@ -101,25 +103,10 @@ def _count_before(requests: DataFrame, markers: DataFrame) -> DataFrame:
     mk = markers.select("parent", F.floor(F.col("pos") / BUCKET).alias("bucket"), "pos", "child",
                         F.lit(1).alias("is_marker"))
     u = req.unionByName(mk)
-    return (_running(u, "parent", "bucket", ["pos"], 1 - F.col("is_marker"))
+    return (running(u, "parent", "bucket", ["pos"], 1 - F.col("is_marker"))
             .filter(F.col("is_marker") == 1).select("parent", "child", F.col("running").alias("c")))
 
 
-def _running(rows: DataFrame, key: str, bucket: str, order: list, amount: Column) -> DataFrame:
-    """``rows`` with ``running``: the sum of ``amount`` over a key's rows before each.
-
-    Two levels, so that a key with a large share of all rows is no single window: sums of
-    buckets are added up per key, and rows within their bucket only."""
-    rows = rows.withColumn("_amount", amount)
-    sums = rows.groupBy(key, bucket).agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(key, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("_here", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-            .join(offs, [key, bucket]).withColumn("running", F.col("_off") + F.col("_here"))
-            .drop("_amount", "_off", "_here"))
-
-
 def _thresholds(group: pd.DataFrame) -> pd.DataFrame:
     """``threshold`` of each child of one range of one node.
 
@@ -263,7 +250,7 @@ def _assign(plan: DataFrame, req: DataFrame, starts: DataFrame, skips: DataFrame
             skips.select(F.lit(None).cast("long").alias("plan_pos"), "node", F.col("j").cast("long").alias("j"),
                          F.lit(1).alias("skip")))
         both = both.withColumn("bucket", F.floor(F.col("j") / BUCKET))
-        asked = _running(both, "node", "bucket", [F.col("j"), F.desc("skip")], F.col("skip")).filter("skip = 0")
+        asked = running(both, "node", "bucket", [F.col("j"), F.desc("skip")], F.col("skip")).filter("skip = 0")
     names = with_name_parts(asked.select("plan_pos", "node", "j", "running"), "node")
     out = (names.join(starts, "node")
            .withColumn("idx", F.col("start") + F.col("j") - 1 + F.col("running"))

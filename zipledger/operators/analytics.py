@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from zipledger.functions.paths import extension
 from zipledger.sources.catalog import Catalog
-from zipledger.sources.slices import each_entry, sliced, told
+from zipledger.sources.slices import each_entry, sliced, told, with_place
 
 
 def same_file_across_archives(entries: DataFrame, hash_col: str = "file_hash") -> DataFrame:
@@ -105,16 +105,16 @@ def _check_entry(opened, row) -> tuple:
     path, ordinal = row["archive_path"], row["entry_ordinal"]
     ordinal = None if pd.isna(ordinal) else int(ordinal)
     try:
-        info = opened.entry(path, ordinal or 0)
-    except Exception as e:
-        return (path, ordinal, "error", told(e))
-    try:
-        with opened.zip.open(info) as src:  # reading to the end checks the CRC
+        if ordinal is None:   # could not be read when it was scanned
+            opened.entry(path, 0)
+            return (path, ordinal, "ok", None)
+        with opened.read(row) as src:  # reading to the end checks the CRC
             while src.read(1 << 20):
                 pass
         return (path, ordinal, "ok", None)
     except Exception as e:
-        return (path, ordinal, "corrupt", told(e))
+        # an archive that cannot be opened, or whose directory is needed and cannot be read, is an error
+        return (path, ordinal, "error" if opened.error is not None or isinstance(e, IndexError) else "corrupt", told(e))
 
 
 def integrity_check(raw: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def integrity_check(raw: DataFrame) -> DataFrame:
     ``raw`` are reader rows (every entry incl. non-targets, and error rows).
     Entries are checked in slices of even size on many tasks.
     """
-    wanted = [c for c in ("archive_path", "entry_ordinal", "compressed_size") if c in raw.columns]
-    work = sliced(raw.select(*wanted)).mapInPandas(each_entry(_check_entry, _CRC.fieldNames()), _CRC)
+    work = sliced(with_place(raw, "archive_path", "entry_ordinal")).mapInPandas(each_entry(_check_entry, _CRC.fieldNames()), _CRC)
     rank = F.when(F.col("status") == "error", 2).when(F.col("status") == "corrupt", 1).otherwise(0)
     return (work.groupBy("archive_path")
             .agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("checked"),
@@ -150,8 +149,7 @@ def _read_text(encoding: str):
     def make(opened, row) -> tuple:
         key = tuple(row[c] for c in ("archive_path", "path_in_archive", "entry_ordinal", "file_name", "file_size"))
         try:
-            info = opened.entry(row["archive_path"], int(row["entry_ordinal"]))
-            with opened.zip.open(info) as src:   # the whole entry, never a prefix
+            with opened.read(row) as src:   # the whole entry, never a prefix
                 return (*key, src.read().decode(encoding, errors="replace"), None)
         except Exception as e:
             return (*key, None, told(e))
@@ -163,8 +161,8 @@ def entry_texts(cat: Catalog, extensions=(".txt",), encoding: str = "utf-8") ->
     ent = cat.entries
     if extensions is not None:
         ent = ent.filter(extension("path_in_archive").isin([e.lower() for e in extensions]))
-    ent = ent.join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid").select(
-        "archive_path", "path_in_archive", "entry_ordinal", "file_name", "file_size", "compressed_size")
+    ent = with_place(ent.join(cat.archives.select("archive_uuid", "archive_path"), "archive_uuid"),
+                     "archive_path", "path_in_archive", "entry_ordinal", "file_name", "file_size")
     return sliced(ent).mapInPandas(each_entry(_read_text(encoding), _TEXT.fieldNames()), _TEXT)
 
 

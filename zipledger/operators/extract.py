@@ -34,7 +34,7 @@ from zipledger.operators.ranking import global_row_number
 from zipledger.schemas import EXTRACT_RESULT
 from zipledger.session import materialize
 from zipledger.sources.fs import local_path
-from zipledger.sources.slices import each_entry, sliced, told
+from zipledger.sources.slices import each_entry, sliced, told, with_place
 
 COPY_BYTES = 1 << 20
 _RES_COLS = [f.name for f in EXTRACT_RESULT.fields]
@@ -73,9 +73,10 @@ def plan(matches: DataFrame, order: list[Column], output_dir: str,
     named = allocate(with_base, existing)
     out_dir = output_dir.rstrip("/")
     ordinal = F.col("entry_ordinal") if "entry_ordinal" in named.columns else F.lit(None).cast("int")
-    return named.select("plan_pos", "archive_path", "path_in_archive", "file_name", "file_size",
-                        ordinal.alias("entry_ordinal"), "out_name",
-                        F.concat(F.lit(out_dir + "/"), F.col("out_name")).alias("output_path"))
+    named = named.withColumn("entry_ordinal", ordinal).withColumn(
+        "output_path", F.concat(F.lit(out_dir + "/"), F.col("out_name")))
+    return with_place(named, "plan_pos", "archive_path", "path_in_archive", "file_name", "file_size",
+                      "entry_ordinal", "out_name", "output_path")
 
 
 def _publish(tmp: str, target: str) -> None:
@@ -121,18 +122,21 @@ def _extract_entry(opened, row) -> tuple:
     ordinal = None if pd.isna(ordinal) else int(ordinal)
     key = (int(row["plan_pos"]), path, member, ordinal, row["output_path"])
     try:
-        opened.entry(path, 0) if ordinal is None else None
-        infos = opened.infos if ordinal is None else [opened.entry(path, ordinal)]
-        # without an ordinal the last of the entries with the name is meant
-        info = next((i for i in reversed(infos) if i.filename == member), None)
+        src = opened.placed(row)
+        if src is None:
+            opened.entry(path, 0) if ordinal is None else None
+            infos = opened.infos if ordinal is None else [opened.entry(path, ordinal)]
+            # without an ordinal the last of the entries with the name is meant
+            info = next((i for i in reversed(infos) if i.filename == member), None)
+            if info is None:
+                raise IndexError
+            src = opened.zip.open(info)
     except IndexError:
-        info = None
+        return (*key, "missing", None, None, f"File '{member}' not found in ZIP archive")
     except Exception as e:
         return (*key, "error", None, None, told(e))
-    if info is None:
-        return (*key, "missing", None, None, f"File '{member}' not found in ZIP archive")
     try:
-        with opened.zip.open(info) as src:
+        with src:
             return (*key, "ok", *_copy(src, row["output_path"]), None)
     except Exception as e:
         return (*key, "error", None, None, told(e))
@@ -141,8 +145,8 @@ def _extract_entry(opened, row) -> tuple:
 def run(planned: DataFrame) -> DataFrame:
     """Execute a plan once; returns the result rows (``EXTRACT_RESULT``)."""
     ordinal = F.col("entry_ordinal") if "entry_ordinal" in planned.columns else F.lit(None).cast("int")
-    work = planned.select("plan_pos", "archive_path", "path_in_archive", ordinal.alias("entry_ordinal"),
-                          "output_path", "file_size")
+    work = with_place(planned.withColumn("entry_ordinal", ordinal), "plan_pos", "archive_path", "path_in_archive",
+                      "entry_ordinal", "output_path", "file_size")
     work = sliced(work, "entry_ordinal", "plan_pos", size="file_size")
     return materialize(work.mapInPandas(each_entry(_extract_entry, _RES_COLS), EXTRACT_RESULT), "extract-results")
 

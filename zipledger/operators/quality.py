@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from zipledger.schemas import HASHED
 from zipledger.sources.catalog import Catalog
-from zipledger.sources.slices import each_entry, sliced, told
+from zipledger.sources.slices import each_entry, sliced, told, with_place
 
 _KEY = ["archive_path", "path_in_archive", "entry_ordinal", "archive_uuid", "file_size"]
 _HASH_COLS = [f.name for f in HASHED.fields]
@@ -49,9 +49,8 @@ def size_collisions(entries: DataFrame) -> DataFrame:
 def _hash_entry(opened, row) -> tuple:
     key = (row["archive_path"], row["path_in_archive"], int(row["entry_ordinal"]), row["archive_uuid"], row["file_size"])
     try:
-        info = opened.entry(row["archive_path"], int(row["entry_ordinal"]))
         h = hashlib.sha256()
-        with opened.zip.open(info) as src:
+        with opened.read(row) as src:
             while chunk := src.read(1 << 20):
                 h.update(chunk)
         return (*key, h.hexdigest(), None)
@@ -64,8 +63,7 @@ def hash_entries(entries: DataFrame) -> DataFrame:
     for name, kind in (("archive_uuid", "string"), ("file_size", "long")):
         if name not in entries.columns:
             entries = entries.withColumn(name, F.lit(None).cast(kind))
-    wanted = [*_KEY, *(["compressed_size"] if "compressed_size" in entries.columns else [])]
-    return sliced(entries.select(*wanted)).mapInPandas(each_entry(_hash_entry, _HASH_COLS), HASHED)
+    return sliced(with_place(entries, *_KEY)).mapInPandas(each_entry(_hash_entry, _HASH_COLS), HASHED)
 
 
 def hashed_candidates(cat: Catalog) -> DataFrame:

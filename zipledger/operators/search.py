@@ -22,6 +22,7 @@ from zipledger.functions.paths import like_contains, like_suffix, regex_find
 from zipledger.functions.text import clip, size_mb
 from zipledger.operators.ranking import global_row_number
 from zipledger.sources.catalog import Catalog
+from zipledger.sources.slices import with_place
 
 
 def name_predicate(pattern: str | None, regex: bool = False, case_sensitive: bool = False,
@@ -66,8 +67,8 @@ def name_asc() -> list[Column]:
 
 def matched(cat: Catalog, cond: Column) -> DataFrame:
     """Entries satisfying ``cond`` joined with their archive columns."""
-    ent = cat.entries.filter(cond).select("archive_uuid", "file_name", "file_size",
-                                          "path_in_archive", "entry_ordinal")
+    ent = with_place(cat.entries.filter(cond), "archive_uuid", "file_name", "file_size", "path_in_archive",
+                     "entry_ordinal")
     return ent.join(_archive_side(cat), "archive_uuid")
 
 

@@ -30,6 +30,8 @@ ENTRIES = StructType([
     StructField("compressed_size", LongType(), True),
     StructField("entry_mtime", TimestampType(), True),
     StructField("crc32", LongType(), True),
+    StructField("header_offset", LongType(), True),
+    StructField("compress_type", IntegerType(), True),
 ])
 
 # Archives that could not be read (the reference only logs these).
@@ -89,6 +91,8 @@ RAW_ENTRIES = StructType([
     StructField("compressed_size", LongType(), True),
     StructField("entry_mtime", TimestampType(), True),
     StructField("crc32", LongType(), True),
+    StructField("header_offset", LongType(), True),
+    StructField("compress_type", IntegerType(), True),
     StructField("error_class", StringType(), True),
     StructField("error_message", StringType(), True),
 ])

@@ -22,7 +22,8 @@ from zipledger.sources.fs import path_exists
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
                 "file_hash", "last_modified", "scan_date", "scan_seq"]
 ENTRY_COLS = ["archive_uuid", "file_name", "file_size", "path_in_archive", "entry_ordinal",
-              "file_hash", "created_at", "compressed_size", "entry_mtime", "crc32"]
+              "file_hash", "created_at", "compressed_size", "entry_mtime", "crc32",
+              "header_offset", "compress_type"]
 
 
 def _with_run(schema: StructType) -> StructType:

@@ -82,7 +82,8 @@ def derived_catalog(spark: SparkSession, sf_dir: str, path_style: str = "wsl",
     entries = rows.select(
         "archive_uuid", "file_name", "file_size", "path_in_archive", "entry_ordinal", "file_hash",
         ts.alias("created_at"), F.lit(None).cast("long").alias("compressed_size"),
-        F.lit(None).cast("timestamp").alias("entry_mtime"), "crc32")
+        F.lit(None).cast("timestamp").alias("entry_mtime"), "crc32",
+        F.lit(None).cast("long").alias("header_offset"), F.lit(None).cast("int").alias("compress_type"))
     # one row per archive; partial aggregation runs map-side before the shuffle
     archives = (rows.groupBy("archive_path")
                 .agg(F.sum("file_size").alias("file_size"))

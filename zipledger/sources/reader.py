@@ -45,12 +45,12 @@ def _read_directories(batch_rows: int):
                     with open_binary(path) as fh, zipfile.ZipFile(fh) as zf:
                         for i, info in enumerate(zf.infolist()):
                             out.append((path, drive, i, info.filename, int(info.file_size), int(info.compress_size),
-                                        _mtime(info), int(info.CRC), None, None))
+                                        _mtime(info), int(info.CRC), info.header_offset, info.compress_type, None, None))
                             if len(out) >= batch_rows:
                                 yield pd.DataFrame(out, columns=_RAW_COLS)
                                 out = []
                 except Exception as e:  # bad archive: record and continue
-                    out.append((path, drive, None, None, None, None, None, None, type(e).__name__, str(e)))
+                    out.append((path, drive, None, None, None, None, None, None, None, None, type(e).__name__, str(e)))
                 if len(out) >= batch_rows:
                     yield pd.DataFrame(out, columns=_RAW_COLS)
                     out = []
@@ -111,7 +111,8 @@ def split_entries(raw: DataFrame, all_files: bool = False, created_at=None) -> t
                        basename("path_in_archive").alias("file_name"),
                        "file_size", "path_in_archive", "entry_ordinal",
                        F.lit(None).cast("string").alias("file_hash"),
-                       ts.alias("created_at"), "compressed_size", "entry_mtime", "crc32"))
+                       ts.alias("created_at"), "compressed_size", "entry_mtime", "crc32",
+                       "header_offset", "compress_type"))
     errors = raw.filter(F.col("error_class").isNotNull()).select(
         "archive_path", "drive", "error_class", "error_message")
     return entries, errors
