@@ -66,12 +66,11 @@ def _with_v(select_sql: str) -> str:
 @register("alloc_names", _with_v(r"""
 SELECT p.pass, archive_path AS rel_path, path_in_archive,
        CASE WHEN p.pass = 0 THEN file_name ELSE regexp_replace(file_name, '(\.[^.]*)$', '_1\1') END AS out_name
-FROM v, (SELECT 0 AS pass UNION ALL SELECT 1) p
-WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vid-00%'"""))
+FROM v, (SELECT 0 AS pass UNION ALL SELECT 1) p"""))
 def q_alloc_names(spark, sf_dir):
-    # the same matches planned twice into one folder: the second pass collides
+    # all entries planned twice into one folder: the second pass collides
     base, cat = fixture_catalog(spark, sf_dir)
-    m = S.matched(cat, like_contains("file_name", "vid-00"))
+    m = S.matched(cat, F.lit(True))
     twice = m.withColumn("pass", F.lit(0)).unionByName(m.withColumn("pass", F.lit(1)))
     numbered = X.global_row_number(twice, [F.col("pass")] + S.size_desc(), "plan_pos")
     named = allocate(numbered.withColumn("base", basename("path_in_archive")))
@@ -90,10 +89,10 @@ def _result_cols(base, res):
 
 @register("extract_run", _with_v(f"""
 SELECT {_RUN_COLS} FROM v JOIN documents d USING (doc_id)
-WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vid-0001%'"""))
+WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%.mov%'"""))
 def q_extract_run(spark, sf_dir):
     base, cat = fixture_catalog(spark, sf_dir)
-    m = S.matched(cat, like_contains("file_name", "vid-0001"))
+    m = S.matched(cat, like_contains("file_name", ".MOV"))
     res = X.extract(m, S.size_desc(), fresh_output(spark))
     return _result_cols(base, res)
 
@@ -152,11 +151,10 @@ def q_extract_validate(spark, sf_dir):
 
 @register("extract_resume", _with_v(r"""
 SELECT archive_path AS rel_path, path_in_archive FROM v
-WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%vid-000%'
-  AND translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NOT LIKE '%vid-0001%'"""))
+WHERE translate(file_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NOT LIKE '%.mov%'"""))
 def q_extract_resume(spark, sf_dir):
-    # a first run extracted the 'vid-0001' matches; resuming 'vid-000' leaves the rest
+    # a first run extracted the entries of one type; resuming with all entries leaves the rest
     base, cat = fixture_catalog(spark, sf_dir)
-    first = X.extract(S.matched(cat, like_contains("file_name", "vid-0001")), S.size_desc(), fresh_output(spark))
-    todo = X.remaining(S.matched(cat, like_contains("file_name", "vid-000")), first)
+    first = X.extract(S.matched(cat, like_contains("file_name", ".mov")), S.size_desc(), fresh_output(spark))
+    todo = X.remaining(S.matched(cat, F.lit(True)), first)
     return todo.select(rel(base).alias("rel_path"), "path_in_archive")

@@ -7,7 +7,7 @@ import uuid as _uuid
 
 from pyspark.sql import functions as F
 
-from zipledger.functions.ids import archive_uuid_py
+from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import VIDEO_EXTENSIONS, is_target
 from zipledger.operators import analytics as A
 from zipledger.operators import extract as X
@@ -16,12 +16,13 @@ from zipledger.operators import search as S
 from zipledger.operators.stats import list_archives
 from zipledger.plans.extract_queries import _V, fixture_catalog, full_catalog
 from zipledger.plans.oracle_sql import ENT0, ext_of, with_catalog
-from zipledger.plans.registry import SEARCH_COLS, UUID, UUID_PATH, VIDEO_EXT_SQL, cat, register
+from zipledger.plans.registry import SEARCH_COLS, UUID, VIDEO_EXT_SQL, cat, register
 from zipledger.plans.scan_queries import _ALL_ARCHIVES, _catalog_path, fixture, rel
 from zipledger.plans.scan import list_roots
 from zipledger.session import shared_dir
 from zipledger.schemas import SCAN_METRICS, SCAN_PROGRESS
 from zipledger.sources.catalog import Catalog, visible
+from zipledger.sources.derived import entry_rows, read_documents
 from zipledger.sources.packer import entry_datetime_sql
 from zipledger.sources.reader import read_central_directories
 from zipledger.streaming.watch import watch
@@ -213,13 +214,26 @@ def q_filter_by_date(spark, sf_dir):
     return f.select(rel(base).alias("rel_path"), "path_in_archive", "entry_mtime")
 
 
+def _squeezed(spark, sf_dir):
+    """The derived catalogue with a compressed size that SQL can tell: the text without its spaces."""
+    rows = entry_rows(read_documents(spark, sf_dir), with_text=True).select(
+        archive_uuid("archive_path").alias("archive_uuid"), "entry_ordinal",
+        F.octet_length(F.translate("text", " ", "")).cast("long").alias("compressed_size"))
+    c = cat(spark, sf_dir)
+    return Catalog(c.archives, c.entries.drop("compressed_size").join(rows, ["archive_uuid", "entry_ordinal"]))
+
+
+_SQUEEZED = "sq AS (SELECT ent.*, CAST(strlen(replace(d.text, ' ', '')) AS BIGINT) AS compressed_size FROM ent JOIN documents d USING (doc_id))"
+
+
 @register("archive_stats", with_catalog("""
 SELECT a.archive_uuid, a.archive_name, COUNT(*) AS entries, CAST(SUM(e.file_size) AS BIGINT) AS total_size,
        MIN(e.file_size) AS min_size, MAX(e.file_size) AS max_size, AVG(e.file_size) AS avg_size,
-       CAST(NULL AS DOUBLE) AS compression_ratio
-FROM arch a JOIN ent e USING (archive_uuid) GROUP BY a.archive_uuid, a.archive_name"""))
+       CASE WHEN SUM(e.file_size) > 0 THEN CAST(SUM(e.compressed_size) AS BIGINT) / CAST(SUM(e.file_size) AS BIGINT) END
+         AS compression_ratio
+FROM arch a JOIN sq e USING (archive_uuid) GROUP BY a.archive_uuid, a.archive_name""", _SQUEEZED))
 def q_archive_stats(spark, sf_dir):
-    s = A.archive_stats(cat(spark, sf_dir))
+    s = A.archive_stats(_squeezed(spark, sf_dir))
     return s.select("archive_uuid", "archive_name", "entries", "total_size", "min_size", "max_size",
                     "avg_size", "compression_ratio")
 
@@ -235,14 +249,11 @@ def q_archive_ratio(spark, sf_dir):
                     F.col("compression_ratio").between(0.05, 1.05).alias("within"))
 
 
-@register("filter_by_ratio", _with_all("""
-SELECT archive_path AS rel_path, path_in_archive FROM v WHERE file_size > 0 AND file_size * 1.02 + 20 <= file_size * 1.5"""))
+@register("filter_by_ratio", with_catalog("""
+SELECT archive_uuid, path_in_archive FROM sq WHERE file_size > 0 AND compressed_size / file_size <= 0.85""", _SQUEEZED))
 def q_filter_by_ratio(spark, sf_dir):
-    # deflate adds at most a few bytes, so every entry that is not tiny passes a ratio of 1.5
-    base, c = full_catalog(spark, sf_dir)
-    e = c.entries.join(c.archives.select("archive_uuid", "archive_path"), "archive_uuid")
-    f = A.filter_ratio(e.filter(F.col("file_size") * 1.02 + 20 <= F.col("file_size") * 1.5), 1.5)
-    return f.select(rel(base).alias("rel_path"), "path_in_archive")
+    # about a word in six ends after five letters, so the bound parts the entries
+    return A.filter_ratio(_squeezed(spark, sf_dir).entries, 0.85).select("archive_uuid", "path_in_archive")
 
 
 @register("timeline", _with_all(f"""
@@ -256,15 +267,21 @@ def q_timeline(spark, sf_dir):
 # ---- C-6: compare two versions of one archive ----------------------------------------------
 @register("compare_archives", with_catalog(f"""
 SELECT path_in_archive, file_size AS left_size,
-       CASE WHEN {ext_of('path_in_archive')} IN ({VIDEO_EXT_SQL}) THEN file_size END AS right_size,
-       CASE WHEN {ext_of('path_in_archive')} IN ({VIDEO_EXT_SQL}) THEN 'same' ELSE 'removed' END AS status
-FROM ent WHERE archive_uuid = '{UUID}'"""))
+       CASE file_size % 5 WHEN 0 THEN NULL WHEN 1 THEN file_size + 1 ELSE file_size END AS right_size,
+       CASE file_size % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' WHEN 2 THEN 'changed' ELSE 'same' END AS status
+FROM ent WHERE archive_uuid = '{UUID}'
+UNION ALL
+SELECT 'new/' || path_in_archive, NULL, file_size, 'added' FROM ent
+WHERE archive_uuid = '{UUID}' AND file_size % 5 = 3"""))
 def q_compare_archives(spark, sf_dir):
-    # the derived (all files) version of an archive vs its scanned, video-only registration
+    # an archive and a later version of it: entries gone, grown, rewritten at their size, and new ones
     left = cat(spark, sf_dir).entries.filter(F.col("archive_uuid") == UUID)
-    base, c = fixture_catalog(spark, sf_dir)
-    right = c.entries.filter(F.col("archive_uuid") == archive_uuid_py(base + UUID_PATH))
-    return A.compare(left, right)
+    kind = F.pmod("file_size", F.lit(5))
+    right = (left.filter(kind != 0)
+             .withColumn("crc32", F.when(kind == 2, F.col("crc32").bitwiseXOR(F.lit(1))).otherwise(F.col("crc32")))
+             .withColumn("file_size", F.col("file_size") + F.when(kind == 1, 1).otherwise(0)))
+    new = left.filter(kind == 3).withColumn("path_in_archive", F.concat(F.lit("new/"), "path_in_archive"))
+    return A.compare(left, right.unionByName(new))
 
 
 # ---- C-11: categories ------------------------------------------------------------------------
@@ -300,19 +317,19 @@ def q_integrity_check(spark, sf_dir):
 @register("extract_plan", _with_v(f"""
 SELECT row_number() OVER (ORDER BY file_size DESC, archive_path, doc_id) AS plan_pos,
        archive_path AS rel_path, path_in_archive, file_name AS out_name, file_size
-FROM v WHERE {_FOLD} LIKE '%vid-00%'"""))
+FROM v WHERE {_FOLD} LIKE '%img%'"""))
 def q_extract_plan(spark, sf_dir):
     base, c = fixture_catalog(spark, sf_dir)
-    m = S.matched(c, S.name_predicate("vid-00"))
+    m = S.matched(c, S.name_predicate("img"))
     p = X.plan(m, S.size_desc(), shared_dir(spark, "zipledger-extract", "preview"))
     return p.select("plan_pos", rel(base).alias("rel_path"), "path_in_archive", "out_name", "file_size")
 
 
 @register("extract_space", _with_v(f"""
-SELECT COUNT(*) AS files, CAST(SUM(file_size) AS BIGINT) AS bytes_needed FROM v WHERE {_FOLD} LIKE '%vid-00%'"""))
+SELECT COUNT(*) AS files, CAST(SUM(file_size) AS BIGINT) AS bytes_needed FROM v WHERE {_FOLD} LIKE '%img%'"""))
 def q_extract_space(spark, sf_dir):
     _, c = fixture_catalog(spark, sf_dir)
-    m = S.matched(c, S.name_predicate("vid-00"))
+    m = S.matched(c, S.name_predicate("img"))
     return m.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").cast("long").alias("bytes_needed"))
 
 
