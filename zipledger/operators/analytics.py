@@ -26,11 +26,7 @@ def same_file_across_archives(entries: DataFrame, hash_col: str = "file_hash") -
 
 def archive_stats(cat: Catalog) -> DataFrame:
     """Per archive: entry count, total/min/max/avg size, compression ratio."""
-    per = cat.entries.groupBy("archive_uuid").agg(
-        F.count(F.lit(1)).alias("entries"), F.sum("file_size").cast("long").alias("total_size"),
-        F.min("file_size").alias("min_size"), F.max("file_size").alias("max_size"),
-        F.avg("file_size").alias("avg_size"),
-        F.sum("compressed_size").cast("long").alias("compressed"))
+    per = cat.per_archive().withColumn("avg_size", F.col("total_size").cast("double") / F.col("entries"))
     return (cat.archives.select("archive_uuid", "archive_name", "archive_path", "drive")
             .join(per, "archive_uuid")
             .withColumn("compression_ratio",

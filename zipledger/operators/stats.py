@@ -1,6 +1,7 @@
 """Catalogue statistics: summary, per-archive counts, per-drive rollups.
 
-Entry counts are always pre-aggregated per ``archive_uuid`` (map-side partial
+Counts and sums come from the totals that the sink keeps per archive; a catalogue
+without them pre-aggregates its entries per ``archive_uuid`` (map-side partial
 aggregation, then one shuffle on a well-spread key) before they meet the
 archive rows, so a drive or an archive holding a large share of all entries
 never gathers its entries in one task.
@@ -19,33 +20,34 @@ from zipledger.sources.catalog import Catalog
 def summary(cat: Catalog) -> DataFrame:
     """One row: drives, zip_files, video_files, total_size (bytes), total_size_gb.
 
-    Both tables are scanned once and folded by a single global aggregation
-    over their union (no join); an empty catalogue gives zeros.
+    Archives and totals (or entries) are scanned once and folded by a single global
+    aggregation over their union (no join); an empty catalogue gives zeros.
     """
-    a = cat.archives.select(F.lit(1).alias("is_archive"), F.col("drive"),
+    a = cat.archives.select(F.lit(1).alias("is_archive"), F.col("drive"), F.lit(0).cast("long").alias("n"),
                             F.lit(None).cast("long").alias("size"))
-    e = cat.entries.select(F.lit(0).alias("is_archive"), F.lit(None).cast("string").alias("drive"),
-                           F.col("file_size").alias("size"))
+    n, size = (F.lit(1), "file_size") if cat.totals is None else (F.col("entries"), "total_size")
+    e = (cat.entries if cat.totals is None else cat.totals).select(
+        F.lit(0).alias("is_archive"), F.lit(None).cast("string").alias("drive"), n.cast("long").alias("n"),
+        F.col(size).alias("size"))
     both = a.unionByName(e)
     total = F.coalesce(F.sum("size"), F.lit(0)).cast("long")
     return both.agg(
         F.count_distinct("drive").alias("drives"),
         F.coalesce(F.sum("is_archive"), F.lit(0)).cast("long").alias("zip_files"),
-        F.coalesce(F.sum(1 - F.col("is_archive")), F.lit(0)).cast("long").alias("video_files"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("video_files"),
         total.alias("total_size"),
         size_gb(total).alias("total_size_gb"),
     )
 
 
 def entry_counts(cat: Catalog) -> DataFrame:
-    return cat.entries.groupBy("archive_uuid").agg(F.count(F.lit(1)).alias("file_count"))
+    return cat.per_archive().select("archive_uuid", F.col("entries").alias("file_count"))
 
 
 def archive_info(cat: Catalog, uuid: str) -> DataFrame:
     """(archive_path, archive_name, drive, file_count) of one archive; no row if absent."""
     arch = cat.archives.filter(F.col("archive_uuid") == uuid)
-    cnt = cat.entries.filter(F.col("archive_uuid") == uuid).groupBy("archive_uuid").agg(
-        F.count(F.lit(1)).alias("file_count"))
+    cnt = entry_counts(cat).filter(F.col("archive_uuid") == uuid)
     return (arch.join(cnt, "archive_uuid", "left")
             .select("archive_path", "archive_name", "drive",
                     F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count")))
@@ -58,8 +60,10 @@ def list_archives(cat: Catalog, limit: int | None = None) -> DataFrame:
     those archives are counted."""
     if limit and limit > 0:
         top = cat.archives.orderBy("archive_name", "archive_path").limit(limit)
-        mine = cat.entries.join(top.select("archive_uuid"), "archive_uuid", "left_semi")
-        cat = Catalog(top, mine)
+        if cat.totals is None:
+            cat = Catalog(top, cat.entries.join(top.select("archive_uuid"), "archive_uuid", "left_semi"))
+        else:
+            cat = Catalog(top, cat.entries, cat.totals)
     res = (cat.archives.join(entry_counts(cat), "archive_uuid", "left")
            .select("archive_name", "drive", "archive_uuid",
                    F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"),

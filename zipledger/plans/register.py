@@ -1,6 +1,6 @@
 """The catalogue sink: one run of a scan, published at once.
 
-Layout: ``<catalog>/entries``, ``archives``, ``scan_errors``, ``scan_progress`` and
+Layout: ``<catalog>/entries``, ``archives``, ``archive_totals``, ``scan_errors``, ``scan_progress`` and
 ``scan_metrics``, each Parquet partitioned by ``scan_id`` and ``run_id``, and
 ``<catalog>/manifest``. A run writes into new ``run_id`` folders, and the row it
 appends to the manifest at the end makes all its tables visible together; the run
@@ -24,8 +24,9 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST, SCAN_ERRORS
-from zipledger.sources.catalog import ARCHIVE_COLS, ENTRY_COLS, _with_run, in_runs, published_runs, read_table, visible
+from zipledger.schemas import ARCHIVE_TOTALS, ARCHIVES, ENTRIES, MANIFEST, SCAN_ERRORS
+from zipledger.sources.catalog import (ARCHIVE_COLS, ENTRY_COLS, _with_run, in_runs, published_runs, read_table,
+                                       totals_of, visible)
 from zipledger.sources.fs import _hadoop, path_exists
 
 
@@ -56,8 +57,10 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
         "archive_uuid", "entry_ordinal")
     _write(ent, f"{catalog_path}/entries", scan_id, run_id)
-    written = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), [(scan_id, run_id)]).select(
-        "archive_uuid").distinct()
+    run = [(scan_id, run_id)]
+    rows = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), run)
+    _write(totals_of(rows), f"{catalog_path}/archive_totals", scan_id, run_id)
+    written = in_runs(read_table(spark, f"{catalog_path}/archive_totals", _with_run(ARCHIVE_TOTALS)), run)
     _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
            f"{catalog_path}/archives", scan_id, run_id)
     tables = dict(more or {})

@@ -165,12 +165,12 @@ def file_path(path: str = "archive_path") -> Column:
 
 def as_seen(spark: SparkSession, catalog_path: str, scan_id: str) -> DataFrame:
     """(archive_path, file_size, last_modified) of the files as other scans last saw them, read or refused."""
-    runs = published_runs(spark, catalog_path)
+    runs = [run for run in published_runs(spark, catalog_path) if run[0] != scan_id]
     columns = ["archive_path", "file_size", "last_modified", "scan_id", "run_id"]
     rows = visible(spark, catalog_path, "scan_progress", SCAN_PROGRESS, runs).select(columns).union(
         visible(spark, catalog_path, "archives", ARCHIVES, runs).select(columns))
     state = F.struct("file_size", "last_modified")
-    return (rows.filter(F.col("scan_id") != scan_id).join(run_places(spark, runs), ["scan_id", "run_id"])
+    return (rows.join(run_places(spark, runs), ["scan_id", "run_id"])
             .groupBy("archive_path")
             .agg(F.max_by(state, "_place").alias("state")).select("archive_path", "state.*"))
 
@@ -208,7 +208,9 @@ def scan_and_register(spark: SparkSession, roots: DataFrame, catalog_path: str,
     """
     started = time.time()
     if refresh:
-        known = visible(spark, catalog_path, "archives", ARCHIVES).filter(F.col("scan_id") != scan_id)
+        # as if this scan had never run: its last run, with what it retired, is replaced
+        others = [run for run in published_runs(spark, catalog_path) if run[0] != scan_id]
+        known = visible(spark, catalog_path, "archives", ARCHIVES, others)
         res = scan(spark, roots, unchanged=as_seen(spark, catalog_path, scan_id), **kw)
         retired = materialize(changed_or_gone(spark, roots, res, known), "retired")
         register(catalog_path, res.archives, res.entries, scan_id, res.errors, check_existing=False,

@@ -34,6 +34,16 @@ ENTRIES = StructType([
     StructField("compress_type", IntegerType(), True),
 ])
 
+# What a run's entries of one archive add up to; rows of several runs can be added again.
+ARCHIVE_TOTALS = StructType([
+    StructField("archive_uuid", StringType(), False),
+    StructField("entries", LongType(), False),
+    StructField("total_size", LongType(), True),
+    StructField("min_size", LongType(), True),
+    StructField("max_size", LongType(), True),
+    StructField("compressed", LongType(), True),
+])
+
 # Archives that could not be read (the reference only logs these).
 SCAN_ERRORS = StructType([
     StructField("archive_path", StringType(), False),

@@ -2,7 +2,8 @@
 
 On storage every table of the catalogue is Parquet partitioned by ``scan_id`` and
 ``run_id`` (written by :mod:`zipledger.plans.register`), and ``manifest`` has one
-row per published run. Readers see, of every scan, the run published last: all of
+row per published run. ``archive_totals`` has what the entries of each archive add up to,
+so that counts and sums read no entries. Readers see, of every scan, the run published last: all of
 it or nothing of it, whatever a running or failed scan has written. ``retired`` names
 archives that a refresh found changed or gone; rows that earlier runs have of them are
 not seen any more.
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from zipledger.schemas import ARCHIVES, ENTRIES, MANIFEST, RETIRED
-from zipledger.sources.fs import path_exists
+from zipledger.schemas import ARCHIVE_TOTALS, ARCHIVES, ENTRIES, MANIFEST, RETIRED
+from zipledger.sources.fs import partitions_of, path_exists
 
 ARCHIVE_COLS = ["archive_uuid", "drive", "archive_name", "archive_path", "file_size",
                 "file_hash", "last_modified", "scan_date", "scan_seq"]
@@ -80,13 +81,39 @@ def visible(spark: SparkSession, path: str, table: str, schema: StructType, runs
     The runs are fixed when the DataFrame is made: a query sees one state of the catalogue."""
     runs = published_runs(spark, path) if runs is None else runs
     rows = in_runs(read_table(spark, f"{path}/{table}", _with_run(schema)), runs)
-    return _not_retired(spark, path, rows, runs) if runs and table in ("archives", "entries") else rows
+    return _not_retired(spark, path, rows, runs) if runs and table in ("archives", "entries", "archive_totals") else rows
+
+
+def totals_of(entries: DataFrame) -> DataFrame:
+    """``ARCHIVE_TOTALS`` rows of entries."""
+    return entries.groupBy("archive_uuid").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("file_size").cast("long").alias("total_size"),
+        F.min("file_size").alias("min_size"), F.max("file_size").alias("max_size"),
+        F.sum("compressed_size").cast("long").alias("compressed"))
+
+
+def _stored_totals(spark: SparkSession, path: str, runs: list[tuple[str, str]], entries: DataFrame) -> DataFrame:
+    """The totals that runs have stored, and those of the entries of runs that have none."""
+    rows = visible(spark, path, "archive_totals", ARCHIVE_TOTALS, runs).select(ARCHIVE_TOTALS.fieldNames())
+    stored = partitions_of(f"{path}/archive_totals", spark)
+    bare = [r for r in runs if r not in stored]
+    return rows.unionByName(totals_of(in_runs(entries, bare))) if bare else rows
 
 
 @dataclass
 class Catalog:
     archives: DataFrame
     entries: DataFrame
+    totals: DataFrame | None = None   # ``ARCHIVE_TOTALS`` rows of the entries, if they are stored
+
+    def per_archive(self) -> DataFrame:
+        """One ``ARCHIVE_TOTALS`` row for each archive that has entries."""
+        if self.totals is None:
+            return totals_of(self.entries)
+        return self.totals.groupBy("archive_uuid").agg(
+            F.sum("entries").alias("entries"), F.sum("total_size").cast("long").alias("total_size"),
+            F.min("min_size").alias("min_size"), F.max("max_size").alias("max_size"),
+            F.sum("compressed").cast("long").alias("compressed"))
 
     @staticmethod
     def read(spark: SparkSession, path: str, resolve: bool = False, refresh: bool = False) -> "Catalog":
@@ -105,7 +132,7 @@ class Catalog:
         arch = visible(spark, path, "archives", ARCHIVES, runs)
         ent = visible(spark, path, "entries", ENTRIES, runs)
         if not (resolve or refresh):
-            return Catalog(arch, ent)
+            return Catalog(arch, ent, _stored_totals(spark, path, runs, ent))
         pick = F.max if refresh else F.min
         winner = (arch.groupBy("archive_path")
                   .agg(pick(F.struct("scan_seq", "scan_id")).alias("w"))

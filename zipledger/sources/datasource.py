@@ -44,7 +44,7 @@ from zipledger.sources.fs import local_path, open_binary
 from zipledger.sources.reader import _mtime
 
 SCHEMA = ("archive_path string, archive_size long, archive_mtime double, entry_ordinal int, path_in_archive string, file_size long, "
-          "compressed_size long, entry_mtime timestamp_ntz, crc32 long, error_class string, error_message string")
+          "compressed_size long, entry_mtime timestamp_ntz, crc32 long, header_offset long, compress_type int, error_class string, error_message string")
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Columns that filters are pushed on.
 PUSHED = ("archive_path", "archive_size", "entry_ordinal", "path_in_archive", "file_size", "compressed_size")
@@ -114,17 +114,18 @@ def _rows(share: Share, tests: list[tuple[int, object, object]]) -> Iterator[tup
     every = tuple(range(len(COLUMNS)))
     for about in _archives(share):
         path = about[0]
-        row: tuple = (*about, *(None,) * 8)
+        row: tuple = (*about, *(None,) * 10)
         if not _passes(tests, row, (0, 1, 2)):
             continue
         try:
             with open_binary(path) as stream, zipfile.ZipFile(stream) as archive:
                 for i, info in enumerate(archive.infolist()):
-                    row = (*about, i, info.filename, info.file_size, info.compress_size, _mtime(info), info.CRC, None, None)
+                    row = (*about, i, info.filename, info.file_size, info.compress_size, _mtime(info), info.CRC,
+                           info.header_offset, info.compress_type, None, None)
                     if _passes(tests, row, every):
                         yield row
         except Exception as e:
-            row = (*about, *(None,) * 6, type(e).__name__, str(e))
+            row = (*about, *(None,) * 8, type(e).__name__, str(e))
             if _passes(tests, row, every):
                 yield row
 

@@ -13,6 +13,7 @@ import io
 import os
 import re
 import zipfile
+from urllib.parse import unquote
 
 #: Where a virtual path goes from an archive into a member of it.
 _INTO = re.compile(r"(?<=\.zip)!(\d*)/", re.IGNORECASE)
@@ -89,6 +90,14 @@ def path_exists(path: str, spark) -> bool:
     return bool(filesystem.exists(jpath))
 
 
+def partitions_of(path: str, spark) -> set[tuple[str, str]]:
+    """(scan_id, run_id) of the partitions of a stored table."""
+    folder, filesystem = _hadoop(spark, path)
+    found = filesystem.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "scan_id=*/run_id=*")) or []
+    steps = [(p.getPath().getParent().getName(), p.getPath().getName()) for p in found]
+    return {(unquote(a.split("=", 1)[1]), unquote(b.split("=", 1)[1])) for a, b in steps}
+
+
 def mark(path: str, spark) -> None:
     """Make an empty file, the sign that what lies beside it is complete."""
     jpath, filesystem = _hadoop(spark, path)
