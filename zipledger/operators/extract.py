@@ -89,32 +89,64 @@ def _publish(tmp: str, target: str) -> None:
     os.remove(tmp)
 
 
+def _pour(src, dst) -> tuple[int, str]:
+    h, n = hashlib.sha256(), 0
+    while chunk := src.read(COPY_BYTES):
+        dst.write(chunk)
+        h.update(chunk)
+        n += len(chunk)
+    return n, h.hexdigest()
+
+
+def _copy_remote(src, filesystem, target: str) -> tuple[int, str]:
+    """Write a stream below a name of this attempt, then move it to its own.
+
+    A task lost half-way leaves no file under the target's name. If the name is taken, the
+    file there is either what an earlier attempt of this task finished (the same bytes:
+    done) or a foreign one, which stays as it is. A store has no link that fails where a
+    file is; the look at the name comes right before the move."""
+    from pyarrow import fs as pafs
+    tmp = f"{target}.{_uuid.uuid4().hex}.part"
+    parent = target.rpartition("/")[0]
+    if parent:
+        filesystem.create_dir(parent, recursive=True)
+    try:
+        with filesystem.open_output_stream(tmp) as dst:
+            n, digest = _pour(src, dst)
+        there = filesystem.get_file_info(target)
+        if there.type == pafs.FileType.NotFound:
+            filesystem.move(tmp, target)
+            return n, digest
+        if there.type != pafs.FileType.File or there.size != n:
+            raise FileExistsError(target)
+        h = hashlib.sha256()
+        with filesystem.open_input_stream(target) as old:
+            while chunk := old.read(COPY_BYTES):
+                h.update(chunk)
+        if h.hexdigest() != digest:
+            raise FileExistsError(target)
+        return n, digest
+    finally:
+        if filesystem.get_file_info(tmp).type != pafs.FileType.NotFound:
+            filesystem.delete_file(tmp)
+
+
 def _copy(src, target: str) -> tuple[int, str]:
     """Write a stream to a path or URI; (bytes, sha256)."""
-    h, n = hashlib.sha256(), 0
     local = local_path(target)
     if local is None:
         from pyarrow import fs as pafs
-        filesystem, inner = pafs.FileSystem.from_uri(target)
-        if filesystem.get_file_info(inner).type != pafs.FileType.NotFound:
-            raise FileExistsError(target)
-        out, tmp = filesystem.open_output_stream(inner), None
-    else:
-        os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
-        tmp = f"{local}.{_uuid.uuid4().hex}.part"
-        out = open(tmp, "wb")
+        return _copy_remote(src, *pafs.FileSystem.from_uri(target))
+    os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
+    tmp = f"{local}.{_uuid.uuid4().hex}.part"
     try:
-        with out as dst:
-            while chunk := src.read(COPY_BYTES):
-                dst.write(chunk)
-                h.update(chunk)
-                n += len(chunk)
-        if tmp is not None:
-            _publish(tmp, local)
+        with open(tmp, "wb") as dst:
+            written = _pour(src, dst)
+        _publish(tmp, local)
     finally:
-        if tmp is not None and os.path.exists(tmp):
+        if os.path.exists(tmp):
             os.remove(tmp)
-    return n, h.hexdigest()
+    return written
 
 
 def _extract_entry(opened, row) -> tuple:
