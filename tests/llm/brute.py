@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -125,3 +126,24 @@ def rows_of(df, *columns):
 
 def ordered(rows):
     return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def backoff(rows, order, alpha):
+    """(doc_id, words, sum of log scores) of each row by the n-grams of the other rows."""
+    words = [re.findall("[^ \\t-\\r]+", text or "") for _, text in rows]
+    grams = [[Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) for n in range(order + 1)] for w in words]
+    out = []
+    for k, (doc, _) in enumerate(rows):
+        rest = [sum((g[n] for j, g in enumerate(grams) if j != k), Counter()) for n in range(order + 1)]
+        elsewhere, total = sum(len(w) for j, w in enumerate(words) if j != k), 0.0
+        for i in range(len(words[k])):
+            longest = min(order - 1, i)
+            for n in range(longest, -1, -1):
+                context, gram = tuple(words[k][i - n:i]), tuple(words[k][i - n:i + 1])
+                if rest[n + 1][gram]:
+                    total += math.log(rest[n + 1][gram] / (rest[n][context] if n else elsewhere)) + (longest - n) * math.log(alpha)
+                    break
+            else:
+                total += order * math.log(alpha) - math.log(elsewhere + 1)
+        out.append((doc, len(words[k]), round(total, 6)))
+    return out

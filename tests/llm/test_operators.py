@@ -260,12 +260,34 @@ def test_lm(docs, none):
     ten, sixteen = (next(r for r in got if r["doc_id"] == d) for d in (10, 16))
     assert ten["mean_log_score"] > sixteen["mean_log_score"]
     assert lm.scores(none).count() == 0
-    assert lm.scores(docs, order=3).count() == len(brute.texts())
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_by_brute_force(spark, monkeypatch, order):
+    # word lists of few words, so that all orders meet again; many parts and buckets
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 10)
+    rng = np.random.default_rng(order)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 40))))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "a"), (103, rows[5][1]), (103, rows[5][1])]
+    got = [(r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm.scores(brute.table(spark, rows), order).collect()]
+    assert sorted(got) == sorted(brute.backoff(rows, order, lm.ALPHA))
+
+
+def test_lm_messages():
+    rng = np.random.default_rng(1)
+    columns = [np.empty(0, np.uint64), np.zeros(5, np.uint64), np.array([2 ** 64 - 1], np.uint64),
+               rng.integers(0, 1 << 63, 1000, dtype=np.uint64), rng.integers(0, 3, 1000).astype(np.uint64)]
+    assert [c.tolist() for c in lm._unpack(lm._pack(columns))] == [c.tolist() for c in columns]
+    h = np.unique(rng.integers(0, 2 ** 64 - 1, 5000, dtype=np.uint64, endpoint=True))
+    for buckets in (1, 2, 7, 300):
+        deal = lm.Deal(buckets)
+        back = [(deal.begins[b] + np.cumsum(deal.gaps(h[s], b), dtype=np.uint64)).tolist() for b, (s,) in deal.parted([h])]
+        assert sum(back, []) == h.tolist()
 
 
 def test_lm_by_hand(spark):
     rows = [(1, "a b a b"), (2, "a b c"), (3, "z")]
-    got = {r["doc_id"]: r["log_score"] for r in lm.scores(brute.table(spark, rows)).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in lm.scores(brute.table(spark, rows), order=2).collect()}
     # elsewhere: a 2, b 2, "a b" 2, "b a" 1 of 5 words; "b c" and c occur only here
     want = np.log(2 / 5) + np.log(2 / 2) + 2 * np.log(0.4) - np.log(6)
     assert got[2] == pytest.approx(want)

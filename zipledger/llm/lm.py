@@ -2,10 +2,16 @@
 
 Count tables are partitioned by the hash of the n-gram and joined to the documents' own
 n-grams. One row per n-gram and document would be many times the corpus, so rows are
-packed: a part (a few MB of texts) sends each bucket its distinct n-grams of that bucket
-with their counts, the bucket adds up the parts and answers the totals in the same order,
-and the part looks each of its places up and sums per document. An n-gram is one entry per
-part however often it occurs, so frequent ones are no load on their bucket.
+packed: a part (a few MB of texts) deals its distinct n-grams, in ascending order of their
+hashes, to buckets, which are ranges of hashes. This happens twice. First a part sends the
+leading bits of its hashes, and a bucket says which of them some other n-gram also has; an
+n-gram that is claimed by nobody else occurs in this part alone, so its count is known.
+Then only the others are sent, as whole hashes of 64 bits with their counts, each order by
+itself; the bucket adds up the parts and answers the totals in the same order. At last the
+part looks each of its places up and sums per document. An n-gram is one entry per part
+however often it occurs, so frequent ones are no load on their bucket. Hashes of n words
+are compared with hashes of n words only; among k distinct n-grams of one order, one in
+2 ** 64 / k takes another's count in (a trillion: one in 18 million).
 
 A document is scored by the rest of the corpus: its own counts are taken off the totals.
 A word's score is c(context word) / c(context) for the longest context of up to ``order - 1``
@@ -19,6 +25,7 @@ ids pass through. No documents make no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zipledger.llm.common import id_text, pieces
-from zipledger.llm.repeats import MESSAGE, _pack, _unpack, staged
+from zipledger.llm.repeats import MESSAGE, staged
 from zipledger.llm.words import gram_hashes, groups, word_hashes
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 #: The entry that counts words.
 WORDS = np.uint64(0)
+#: Bytes of texts in a part, and parts whose n-grams make a bucket.
+PART_BYTES = 8 << 20
+BUCKET_PARTS = 2
+#: Kinds of messages.
+CLAIM, TOTAL = 1, 2
+_COLUMNS = ["part", "bucket", "kind", "blob"]
 
 
 def _texts(rows: pd.DataFrame) -> list[bytes]:
@@ -46,7 +59,7 @@ def _grams(texts: list[bytes], order: int) -> Iterator[tuple[int, np.ndarray, li
     """(first text, words before each text, hashes of the n-grams from each place on for n = 1, 2 ...)."""
     for a, b in groups(texts):
         words, firsts = word_hashes(texts[a:b])
-        yield a, firsts, [gram_hashes(words, n) >> np.uint64(16) for n in range(1, order + 1)]
+        yield a, firsts, [gram_hashes(words, n) for n in range(1, order + 1)]
 
 
 def _inside(firsts: np.ndarray, n: int) -> np.ndarray:
@@ -55,119 +68,215 @@ def _inside(firsts: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(ends)) + n <= ends)
 
 
-def _counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a part and their counts, in ascending order."""
-    found, total = [], 0
+def _counts(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of a part and their counts for n = 1, 2 ..., in ascending order.
+
+    Those of single words begin with the entry that counts words."""
+    found, total = [[np.empty(0, np.uint64)] for _ in range(order)], 0
     for _, firsts, grams in _grams(texts, order):
         total += int(firsts[-1])
         for n, g in enumerate(grams, 1):
-            found.append(g[_inside(firsts, n)])
-    h, count = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
-    return np.append(WORDS, h), np.append(total, count)
+            found[n - 1].append(g[_inside(firsts, n)])
+    out = []
+    while found:
+        out.append(np.unique(np.concatenate(found.pop(0)), return_counts=True))
+    h, count = out[0]
+    return [(np.append(WORDS, h), np.append(total, count)), *out[1:]]
+
+
+# -- messages --------------------------------------------------------------------------
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers; the bytes of one rank lie side by side, and those that repeat are compressed."""
+    packer, out = zstandard.ZstdCompressor(level=1, write_content_size=True), []
+    for column in columns:
+        planes = np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        planes = [p.tobytes() for p in planes[:-(-int(column.max()).bit_length() // 8)]] if len(column) else []
+        packed = [min(p, packer.compress(p), key=len) for p in planes]
+        out += [struct.pack("<IB", len(column), len(packed)), struct.pack(f"<{len(packed)}I", *map(len, packed)), *packed]
+    return b"".join(out)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    unpacker, out, at = zstandard.ZstdDecompressor(), [], 0
+    while at < len(blob):
+        size, used = struct.unpack_from("<IB", blob, at)
+        lengths = struct.unpack_from(f"<{used}I", blob, at + 5)
+        at += 5 + 4 * used
+        column = np.zeros((size, 8), np.uint8)
+        for i, length in enumerate(lengths):
+            plane = blob[at:at + length]
+            column[:, i] = np.frombuffer(plane if length == size else unpacker.decompress(plane), np.uint8)
+            at += length
+        out.append(column.reshape(-1).view("<u8"))
+    return out
+
+
+class Deal:
+    """How ascending hashes are dealt to buckets, which are ranges of hashes."""
+
+    def __init__(self, buckets: int):
+        self.width = ((1 << 64) - 1) // buckets
+        self.begins = np.arange(buckets, dtype=np.uint64) * np.uint64(self.width)
+        # leading bits: a bucket has fewer than PART_BYTES n-grams of one order, so few share theirs by chance
+        self.shift = np.uint64(max(0, 64 - PART_BYTES.bit_length() - 1 - buckets.bit_length()))
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where each bucket's hashes begin, and the end."""
+        return np.append(np.searchsorted(h, self.begins), len(h))
+
+    def parted(self, orders: list[np.ndarray]) -> Iterator[tuple[int, list[slice]]]:
+        """(bucket, its hashes of each order) of the buckets that have any."""
+        at = [self.places(h) for h in orders]
+        for bucket in np.flatnonzero(np.any([np.diff(a) > 0 for a in at], axis=0)).tolist():
+            yield bucket, [slice(a[bucket], a[bucket + 1]) for a in at]
+
+    def gaps(self, h: np.ndarray, bucket: int, shift: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """A bucket's ascending hashes as differences from the one before, the first from the bucket's begin."""
+        h = np.append(self.begins[bucket], h) >> shift
+        return np.diff(h)
+
 
+def _ranks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The messages' numbers one after the other, each as its rank, and how often each rank comes."""
+    every = np.concatenate([np.cumsum(c, dtype=np.uint64) for c in columns])
+    _, rank, times = np.unique(every, return_inverse=True, return_counts=True)
+    return rank, times
 
-def _dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by bucket, the buckets met, and where each begins in that order."""
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, *np.unique(bucket[order], return_index=True)
 
+def _answered(rows: pd.DataFrame, kind: int, columns: list[list[np.ndarray]]) -> pd.DataFrame:
+    """One message of ``kind`` to each sender; ``columns`` has the orders' answers by sender."""
+    blobs = [_pack(list(answer)) for answer in zip(*columns)]
+    return pd.DataFrame({"part": rows["part"], "bucket": rows["bucket"], "kind": kind, "blob": blobs}, columns=_COLUMNS)
 
-def _send(order: int, buckets: int):
+
+def _send_claims(order: int, buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, count = _counts(_texts(rows.sort_values("__seq")), order)
-        by, names, at = _dealt(h, buckets)
+        deal, part = Deal(buckets), rows["__part"].iloc[0]
+        orders = [h for h, _ in _counts(_texts(rows), order)]
+        out = [(part, bucket, CLAIM, _pack([deal.gaps(h[s], bucket, deal.shift) for h, s in zip(orders, at)]))
+               for bucket, at in deal.parted(orders)]
+        return pd.DataFrame(out, columns=_COLUMNS)
+    return run
+
+
+def _answer_claims(rows: pd.DataFrame) -> pd.DataFrame:
+    """To each part a bit for each of its leading bits: whether they come more than once."""
+    asked, columns = [_unpack(b) for b in rows["blob"]], []
+    for messages in zip(*asked):
+        rank, times = _ranks(messages)
+        ends = np.cumsum([len(m) for m in messages])[:-1]
+        columns.append([np.packbits(x) for x in np.split(times[rank] > 1, ends)])
+    return _answered(rows, CLAIM, columns)
+
+
+def _claimed(deal: Deal, orders: list[np.ndarray], answers: pd.DataFrame) -> list[np.ndarray]:
+    """For each order which n-grams another part may have too."""
+    bits = {b: _unpack(z) for b, z in zip(answers["bucket"], answers["blob"])}
+    out = [np.zeros(len(h), bool) for h in orders]
+    for bucket, at in deal.parted(orders):
+        for flags, s, packed in zip(out, at, bits[bucket]):
+            flags[s] = np.unpackbits(packed.astype(np.uint8), count=s.stop - s.start)
+    return out
+
+
+def _send_counts(order: int, buckets: int):
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=_COLUMNS)
+        deal, part = Deal(buckets), rows["__part"].iloc[0]
+        counted = _counts(_texts(rows), order)
+        claimed = _claimed(deal, [h for h, _ in counted], answers)
+        counted = [(h[flags], count[flags]) for (h, count), flags in zip(counted, claimed)]
         out = []
-        for name, hs, cs in zip(names.tolist(), np.split(h[by], at[1:]), np.split(count[by], at[1:])):
-            # a count over 255 goes on in further entries behind the others
-            head = (hs << np.uint64(8)) | np.minimum(cs, 255).astype(np.uint64)
-            more, extra = np.flatnonzero(cs > 255), []
-            left = cs[more] - 255
-            while len(more):
-                extra.append((hs[more] << np.uint64(8)) | np.minimum(left, 255).astype(np.uint64))
-                more, left = more[left > 255], left[left > 255] - 255
-            blob = _pack(np.concatenate([head, *extra]))
-            out.append((rows["__part"].iloc[0], name, len(hs), blob))
-        return pd.DataFrame(out, columns=["part", "bucket", "kind", "blob"])
+        for bucket, at in deal.parted([h for h, _ in counted]):
+            columns = [c for (h, count), s in zip(counted, at) for c in (deal.gaps(h[s], bucket), count[s])]
+            out.append((part, bucket, TOTAL, _pack(columns)))
+        return pd.DataFrame(out, columns=_COLUMNS)
     return run
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+def _answer_totals(rows: pd.DataFrame) -> pd.DataFrame:
     """The totals of a bucket, to each part for its own n-grams in its order."""
-    values = [_unpack(b) for b in rows["blob"]]
-    every = np.concatenate(values)
-    _, inverse = np.unique(every >> np.uint64(8), return_inverse=True)
-    total = np.bincount(inverse, (every & np.uint64(255)).astype(float)).astype("<u8")[inverse]
-    packer, out, at = zstandard.ZstdCompressor(level=1), [], 0
-    for part, bucket, asked, v in zip(rows["part"], rows["bucket"], rows["kind"], values):
-        # the eight bytes of the numbers side by side: nearly all are zero
-        planes = np.ascontiguousarray(total[at:at + asked].view(np.uint8).reshape(-1, 8).T)
-        out.append((part, bucket, asked, packer.compress(planes.tobytes())))
-        at += len(v)
-    return pd.DataFrame(out, columns=["part", "bucket", "kind", "blob"])
+    asked, columns = list(zip(*[_unpack(b) for b in rows["blob"]])), []
+    for hashes, counts in zip(asked[::2], asked[1::2]):
+        rank, times = _ranks(hashes)
+        total = np.bincount(rank, np.concatenate(counts).astype(float), len(times)).astype(np.int64)[rank]
+        columns.append(np.split(total, np.cumsum([len(c) for c in counts])[:-1]))
+    return _answered(rows, TOTAL, columns)
+
 
+# -- scores ----------------------------------------------------------------------------
 
-def _own(values: np.ndarray) -> np.ndarray:
-    """How often each value occurs among them."""
-    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-    return count[inverse]
+def _totals(deal: Deal, counted: list[tuple[np.ndarray, np.ndarray]], answers: pd.DataFrame) -> list[np.ndarray]:
+    """The corpus totals of a part's n-grams of each order."""
+    kind = answers["kind"]
+    claimed = _claimed(deal, [h for h, _ in counted], answers[kind == CLAIM])
+    said = {b: _unpack(z) for b, z in zip(answers["bucket"][kind == TOTAL], answers["blob"][kind == TOTAL])}
+    shared = [h[flags] for (h, _), flags in zip(counted, claimed)]
+    got = [np.zeros(len(h), np.int64) for h in shared]
+    for bucket, at in deal.parted(shared):
+        for values, s, answer in zip(got, at, said[bucket]):
+            values[s] = answer
+    out = []
+    for (_, count), flags, values in zip(counted, claimed, got):
+        total = count.astype(np.int64)  # what occurs in this part alone
+        total[flags] = values
+        out.append(total)
+    return out
 
 
 def _score(order: int, buckets: int):
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names = ["__seq", "n_words", "log_score"]
         if not len(rows):
-            return pd.DataFrame(columns=names)
-        rows = rows.sort_values("__seq", ignore_index=True)
+            return pd.DataFrame(columns=["__seq", "n_words", "log_score"])
         texts = _texts(rows)
-        h, _ = _counts(texts, order)
-        by, met, at = _dealt(h, buckets)
-        unpack, said = zstandard.ZstdDecompressor(), dict(zip(answers["bucket"], answers["blob"]))
-        totals = np.concatenate([np.frombuffer(unpack.decompress(said[b]), np.uint8).reshape(8, -1).T.copy()
-                                 .view("<u8").reshape(-1) for b in met.tolist()])
-        total = np.empty(len(h), np.int64)
-        total[by] = totals.astype(np.int64)
-        corpus, h, total = int(total[0]), h[1:], total[1:]
-        out = []
+        counted = _counts(texts, order)
+        totals = _totals(Deal(buckets), counted, answers)
+        keys, corpus = [h for h, _ in counted], int(totals[0][0])
+        keys[0], totals[0] = keys[0][1:], totals[0][1:]
+        size, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for start, firsts, grams in _grams(texts, order):
-            found = []  # for n = 1, 2 ... the corpus totals from each place on
+            sizes = np.diff(firsts)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rest = []  # for n = 1, 2 ... the counts elsewhere of the n-grams from each place on
             for n, g in enumerate(grams, 1):
-                spot = np.zeros(int(firsts[-1]), np.int64)
                 places = _inside(firsts, n)
-                spot[places] = total[np.searchsorted(h, g[places])] if len(places) else 0
-                found.append(spot)
-            for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
-                size = b - a
-                rest = [f[a:b - n + 1] - _own(grams[n - 1][a:b - n + 1]) if size >= n else np.empty(0, np.int64)
-                        for n, f in enumerate(found, 1)]
-                out.append((rows["__seq"].iat[start + i], size, _sum(rest, size, corpus - size, order)))
-        return pd.DataFrame(out, columns=names)
+                spot = np.searchsorted(keys[n - 1], g[places])
+                _, same, times = np.unique(owner[places] << 32 | spot, return_inverse=True, return_counts=True)
+                elsewhere = np.zeros(len(owner), np.int64)
+                elsewhere[places] = totals[n - 1][spot] - times[same]
+                rest.append(elsewhere)
+            place = np.arange(len(owner)) - firsts[owner]
+            size[start:start + len(sizes)] = sizes
+            sums[start:start + len(sizes)] = np.bincount(
+                owner, _word_scores(rest, place, corpus - sizes[owner], order), len(sizes))
+        return pd.DataFrame({"__seq": rows["__seq"].to_numpy(), "n_words": size, "log_score": sums})
     return run
 
 
-def _sum(rest: list[np.ndarray], size: int, elsewhere: int, order: int) -> float:
-    """The sum of the words' log scores; ``rest[n - 1]`` has the counts elsewhere of n-grams by place."""
-    if not size:
-        return 0.0
-    score = np.full(size, order * np.log(ALPHA) - np.log(elsewhere + 1))
+def _word_scores(rest: list[np.ndarray], place: np.ndarray, elsewhere: np.ndarray, order: int) -> np.ndarray:
+    """The log score of each word; ``place`` is its number in its text, ``elsewhere`` the words of the others."""
+    score = order * np.log(ALPHA) - np.log(elsewhere + 1.0)
     for n in range(1, order + 1):  # longer contexts overwrite shorter ones
-        count = rest[n - 1]
-        word = np.arange(n - 1, size)
-        hit = count > 0
-        context = rest[n - 2][:len(count)] if n > 1 else np.full(len(count), max(elsewhere, 1))
-        shorter = np.minimum(order - 1, word) - (n - 1)  # the words the context was shortened by
-        score[word[hit]] = (np.log(count[hit]) - np.log(context[hit]) + shorter[hit] * np.log(ALPHA))
-    return float(score.sum())
+        hit = np.flatnonzero(rest[n - 1] > 0)
+        word = hit + n - 1
+        context = rest[n - 2][hit] if n > 1 else np.maximum(elsewhere[hit], 1)
+        shorter = np.minimum(order - 1, place[word]) - (n - 1)  # the words the context was shortened by
+        score[word] = np.log(rest[n - 1][hit]) - np.log(context) + shorter * np.log(ALPHA)
+    return score
 
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document."""
-    parts = staged(id_text(docs))
-    buckets = pieces(parts.select("__part").distinct().count(), 1)  # parts are of even size
+    parts = staged(id_text(docs), PART_BYTES)
+    buckets = pieces(parts.select("__part").distinct().count(), BUCKET_PARTS)  # parts are of even size
     grouped = parts.select("__part", "__seq", "__z").groupBy("__part")
-    asked = grouped.applyInPandas(_send(order, buckets), MESSAGE)
-    answers = asked.groupBy("bucket").applyInPandas(_answer, MESSAGE)
-    out = grouped.cogroup(answers.groupBy("part")).applyInPandas(
+    claims = grouped.applyInPandas(_send_claims(order, buckets), MESSAGE).groupBy("bucket").applyInPandas(
+        _answer_claims, MESSAGE)
+    counts = grouped.cogroup(claims.groupBy("part")).applyInPandas(_send_counts(order, buckets), MESSAGE)
+    totals = counts.groupBy("bucket").applyInPandas(_answer_totals, MESSAGE)
+    out = grouped.cogroup(claims.union(totals).groupBy("part")).applyInPandas(
         _score(order, buckets), "__seq long, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.join(parts.select("__seq", "doc_id"), "__seq").select(

@@ -135,18 +135,25 @@ FROM d LEFT JOIN cut USING (r)
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(
         regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-one AS (SELECT r, p, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS y FROM (
-        SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d)),
+one AS (SELECT r, x, lag(x) OVER o AS y, lag(x, 2) OVER o AS z FROM (
+        SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) WINDOW o AS (PARTITION BY r ORDER BY p)),
 c1 AS (SELECT x, count(*) AS n FROM one GROUP BY x), c2 AS (SELECT y, x, count(*) AS n FROM one GROUP BY y, x),
+c3 AS (SELECT z, y, x, count(*) AS n FROM one GROUP BY z, y, x),
 m1 AS (SELECT r, x, count(*) AS n FROM one GROUP BY r, x), m2 AS (SELECT r, y, x, count(*) AS n FROM one GROUP BY r, y, x),
+m3 AS (SELECT r, z, y, x, count(*) AS n FROM one GROUP BY r, z, y, x),
 size AS (SELECT r, count(*) AS n, (SELECT count(*) FROM one) AS corpus FROM one GROUP BY r),
-rest AS (SELECT one.r, one.y, c1.n - m1.n AS w1, c2.n - m2.n AS w2, cy.n - my.n AS before, corpus - size.n AS others
+rest AS (SELECT one.r, one.y, one.z, c1.n - m1.n AS w1, c2.n - m2.n AS w2, c3.n - m3.n AS w3, cy.n - my.n AS before,
+                cz.n - mz.n AS before2, corpus - size.n AS others
          FROM one JOIN c1 ON one.x = c1.x JOIN m1 ON one.r = m1.r AND one.x = m1.x JOIN size ON one.r = size.r
          LEFT JOIN c2 ON one.y = c2.y AND one.x = c2.x LEFT JOIN m2 ON one.r = m2.r AND one.y = m2.y AND one.x = m2.x
-         LEFT JOIN c1 cy ON one.y = cy.x LEFT JOIN m1 my ON one.r = my.r AND one.y = my.x),
-sums AS (SELECT r, count(*) AS n, sum(CASE WHEN w2 > 0 THEN ln(w2) - ln(before)
-                WHEN w1 > 0 THEN ln(w1) - ln(others) + CASE WHEN y IS NULL THEN 0 ELSE ln(0.4) END
-                ELSE 2 * ln(0.4) - ln(others + 1) END) AS score FROM rest GROUP BY r)
+         LEFT JOIN c3 ON one.z = c3.z AND one.y = c3.y AND one.x = c3.x
+         LEFT JOIN m3 ON one.r = m3.r AND one.z = m3.z AND one.y = m3.y AND one.x = m3.x
+         LEFT JOIN c1 cy ON one.y = cy.x LEFT JOIN m1 my ON one.r = my.r AND one.y = my.x
+         LEFT JOIN c2 cz ON one.z = cz.y AND one.y = cz.x LEFT JOIN m2 mz ON one.r = mz.r AND one.z = mz.y AND one.y = mz.x),
+sums AS (SELECT r, count(*) AS n, sum(CASE WHEN w3 > 0 THEN ln(w3) - ln(before2)
+                WHEN w2 > 0 THEN ln(w2) - ln(before) + CASE WHEN z IS NULL THEN 0 ELSE ln(0.4) END
+                WHEN w1 > 0 THEN ln(w1) - ln(others) + CASE WHEN y IS NULL THEN 0 WHEN z IS NULL THEN 1 ELSE 2 END * ln(0.4)
+                ELSE 3 * ln(0.4) - ln(others + 1) END) AS score FROM rest GROUP BY r)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS log_score,
        round(score / n, 6) AS mean_log_score
 FROM d LEFT JOIN sums USING (r)
