@@ -30,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from zipledger.llm.common import id_text, pieces
-from zipledger.llm.repeats import MESSAGE, staged
-from zipledger.llm.words import gram_hashes, groups, word_hashes
+from zipledger.llm.common import id_text, pieces, stage
+from zipledger.llm.repeats import MESSAGE
+from zipledger.llm.words import TOGETHER, gram_hashes, groups, texts_of, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
@@ -47,12 +50,49 @@ PART_BYTES = 8 << 20
 BUCKET_PARTS = 2
 #: Kinds of messages.
 CLAIM, TOTAL = 1, 2
+CHUNK = StructType([StructField("chunk_part", LongType()), *(
+    StructField(name, BinaryType()) for name in ("ids", "none", "sizes", "z"))])
 _COLUMNS = ["part", "bucket", "kind", "blob"]
 
 
+def _chunks(part_bytes: int):
+    """Rows of about a megabyte of texts, compressed together, with their ids and lengths."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        task, held, size, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            columns = [np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids]),
+                       np.array([len(t) for t in texts], "<i8")]
+            blobs = [packer.compress(b) for b in (*(c.tobytes() for c in columns), b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + held // part_bytes], pa.int64()),
+                                               *(pa.array([b], pa.binary()) for b in blobs)], CHUNK.names)
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                ids.append(i)
+                texts.append(text)
+                size += len(text) + 64
+                if size >= min(TOGETHER, part_bytes):
+                    yield row()
+                    held, size, ids, texts = held + size, 0, [], []
+        if texts:
+            yield row()
+    return run
+
+
 def _texts(rows: pd.DataFrame) -> list[bytes]:
+    unpack, out = zstandard.ZstdDecompressor(), []
+    for sizes, z in zip(rows["sizes"], rows["z"]):
+        ends, raw = np.cumsum(np.frombuffer(unpack.decompress(sizes), "<i8")).tolist(), unpack.decompress(z)
+        out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+    return out
+
+
+def _ids(rows: pd.DataFrame) -> pd.Series:
     unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(z) for z in rows["__z"]]
+    ids, none = (np.frombuffer(b"".join(map(unpack.decompress, rows[c])), t) for c, t in (("ids", "<i8"), ("none", bool)))
+    return pd.Series(pd.arrays.IntegerArray(ids.copy(), none.copy()))
 
 
 def _grams(texts: list[bytes], order: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
@@ -152,7 +192,7 @@ def _answered(rows: pd.DataFrame, kind: int, columns: list[list[np.ndarray]]) ->
 
 def _send_claims(order: int, buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        deal, part = Deal(buckets), rows["__part"].iloc[0]
+        deal, part = Deal(buckets), rows["chunk_part"].iloc[0]
         orders = [h for h, _ in _counts(_texts(rows), order)]
         out = [(part, bucket, CLAIM, _pack([deal.gaps(h[s], bucket, deal.shift) for h, s in zip(orders, at)]))
                for bucket, at in deal.parted(orders)]
@@ -184,7 +224,7 @@ def _send_counts(order: int, buckets: int):
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=_COLUMNS)
-        deal, part = Deal(buckets), rows["__part"].iloc[0]
+        deal, part = Deal(buckets), rows["chunk_part"].iloc[0]
         counted = _counts(_texts(rows), order)
         claimed = _claimed(deal, [h for h, _ in counted], answers)
         counted = [(h[flags], count[flags]) for (h, count), flags in zip(counted, claimed)]
@@ -229,7 +269,7 @@ def _totals(deal: Deal, counted: list[tuple[np.ndarray, np.ndarray]], answers: p
 def _score(order: int, buckets: int):
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame(columns=["__seq", "n_words", "log_score"])
+            return pd.DataFrame(columns=["doc_id", "n_words", "log_score"])
         texts = _texts(rows)
         counted = _counts(texts, order)
         totals = _totals(Deal(buckets), counted, answers)
@@ -251,7 +291,7 @@ def _score(order: int, buckets: int):
             size[start:start + len(sizes)] = sizes
             sums[start:start + len(sizes)] = np.bincount(
                 owner, _word_scores(rest, place, corpus - sizes[owner], order), len(sizes))
-        return pd.DataFrame({"__seq": rows["__seq"].to_numpy(), "n_words": size, "log_score": sums})
+        return pd.DataFrame({"doc_id": _ids(rows), "n_words": size, "log_score": sums})
     return run
 
 
@@ -269,15 +309,15 @@ def _word_scores(rest: list[np.ndarray], place: np.ndarray, elsewhere: np.ndarra
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document."""
-    parts = staged(id_text(docs), PART_BYTES)
-    buckets = pieces(parts.select("__part").distinct().count(), BUCKET_PARTS)  # parts are of even size
-    grouped = parts.select("__part", "__seq", "__z").groupBy("__part")
+    # written once: parts are of even size, and a retried task must find the same ones
+    parts = stage(id_text(docs).mapInArrow(_chunks(PART_BYTES), CHUNK), "chunks")
+    buckets = pieces(parts.select("chunk_part").distinct().count(), BUCKET_PARTS)
+    grouped = parts.groupBy("chunk_part")
     claims = grouped.applyInPandas(_send_claims(order, buckets), MESSAGE).groupBy("bucket").applyInPandas(
         _answer_claims, MESSAGE)
     counts = grouped.cogroup(claims.groupBy("part")).applyInPandas(_send_counts(order, buckets), MESSAGE)
     totals = counts.groupBy("bucket").applyInPandas(_answer_totals, MESSAGE)
     out = grouped.cogroup(claims.union(totals).groupBy("part")).applyInPandas(
-        _score(order, buckets), "__seq long, n_words long, log_score double")
+        _score(order, buckets), "doc_id long, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return out.join(parts.select("__seq", "doc_id"), "__seq").select(
-        "doc_id", "n_words", "log_score", mean.alias("mean_log_score"))
+    return out.withColumn("mean_log_score", mean)
