@@ -3,8 +3,9 @@
 Words are runs of digits, a-z and non-ASCII characters after lower-casing A-Z. A
 window is ``n`` consecutive words of a benchmark item (the whole item when it is
 shorter). The hash set of benchmark word blocks is broadcast when its size is
-checked to be small, and joined by shuffle otherwise; document texts are read
-once, never shuffled. DataFrame functions only, no Python in tasks.
+checked to be small, and joined by shuffle otherwise. Document texts are never shuffled;
+they are read once for the report and once for each distinct window length (at most ``n``).
+DataFrame functions only, no Python in tasks.
 
 A document is cut into segments that begin every ``k = n // 2`` words and reach as
 far as all windows beginning in the first ``k`` words. Each of these windows holds

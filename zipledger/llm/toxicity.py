@@ -1,13 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are first rewritten to symbols: insult, threat, target, negation, reported
-speech, clause end, or other. Five small transducers read the symbols, each keeping
+speech, clause end, or other. Four small transducers read the symbols, each keeping
 its own state (words left under a negation, reported speech begun, target named,
-threat pending); their composition reads a clause once and emits its matched weights
+threat pending); insults have no state of their own. Their composition reads a clause once and emits its matched weights
 by reading: plain, targeted, negated, reported, threat. A logistic model turns a
 document's sums into a score from 0 to 1.
 
-The insult transducer is learned: words and word beginnings whose documents are labelled
+Which words are insults is learned: words and word beginnings whose documents are labelled
 toxic far more often than not, weighted by their log odds. Other languages inflect and
 compound, so beginnings matter as much as words. It is fitted, as the logistic model is,
 on at most ``SAMPLE`` labelled rows of the training folds (taken in hash order), and holds
