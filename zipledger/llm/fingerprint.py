@@ -114,11 +114,13 @@ EMPTY = "forall({0}.cells, s -> s.n = 0 AND s.x = 0L)"
 
 # -- differences -----------------------------------------------------------------------
 
+#: Begins each page of a sorted side; no digest is in a cell before the first.
+MARK = "named_struct('p', int(p), 'x', -9223372036854775808L, 'c0', -1, 'c1', -1, 'c2', -1)"
+
+
 def _page(side: str) -> str:
-    """The digests of page ``p`` of a side, which is sorted by page."""
-    at = f"array_position(p{side}, p)"
-    until = f"get(filter(i{side}, e -> e.p > p), 0).i"
-    return f"if({at} = 0, slice({side}, 1, 0), slice({side}, int({at}), int(coalesce({until}, size({side})) - {at} + 1)))"
+    """The digests of page ``p`` of a side, which lie between its mark and the next one."""
+    return f"slice({side}, i{side}[p] + 2, i{side}[p + 1] - i{side}[p] - 1)"
 
 
 def differences(pairs: DataFrame) -> DataFrame:
@@ -129,12 +131,13 @@ def differences(pairs: DataFrame) -> DataFrame:
     done, salt, pending = None, 1, pairs.select("row", "pair", "a", "b")
     while True:
         paged = pending.withColumn("pages", F.expr(f"int(greatest(1, ceil((size(a) + size(b)) / {PAGE})))"))
+        marks = f"transform(sequence(0, pages - 1), p -> {MARK})"
         paged = paged.select("row", "pair", "pages", *[
-            F.array_sort(F.expr(placed(x, salt, "pages"))).alias(x) for x in "ab"])
-        # the places at which the pages of a sorted array begin (0: no such page)
-        paged = paged.select("*", *[F.expr(f"transform({x}, d -> d.p)").alias(f"p{x}") for x in "ab"])
-        paged = paged.select("*", *[F.expr(f"array_compact(transform(p{x}, (p, i) -> if(i = 0 OR p{x}[i - 1] <> p, "
-                                           f"named_struct('p', p, 'i', i), null)))").alias(f"i{x}") for x in "ab"])
+            F.array_sort(F.expr(f"concat({placed(x, salt, 'pages')}, {marks})")).alias(x) for x in "ab"])
+        # the places of the marks of a sorted side, and its end
+        paged = paged.select("*", *[F.expr(
+            f"concat(array_compact(transform({x}, (d, i) -> if(d.c0 < 0, i, null))), array(size({x})))").alias(f"i{x}")
+            for x in "ab"])
         cells = [sketch(_page(x)) for x in "ab"]
         paged = paged.withColumn("tried", F.expr(
             f"transform(sequence(0, pages - 1), p -> {peel(subtract(*cells), salt)})"))
@@ -142,7 +145,7 @@ def differences(pairs: DataFrame) -> DataFrame:
         tried = paged.withColumn("failed", F.expr(
             f"filter(transform(tried, (t, p) -> if({EMPTY.format('t')}, -1, p)), p -> p >= 0)"))
         got = "flatten(transform(filter(tried, t -> {0}), t -> t.{1}))"
-        again = "transform(filter({0}, d -> array_contains(failed, d.p)), d -> d.x)"
+        again = "transform(filter({0}, d -> d.c0 >= 0 AND array_contains(failed, d.p)), d -> d.x)"
         tried = stage(tried.select(
             "row", "pair", *[F.expr(got.format(EMPTY.format("t"), x)).alias(x) for x in ("added", "removed")],
             *[F.expr(again.format(x)).alias(x) for x in "ab"], (F.size("failed") > 0).alias("open")), "peeled")
