@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid as _uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,27 @@ from zipledger.sources.catalog import (ARCHIVE_COLS, ENTRY_COLS, _with_run, in_r
 from zipledger.sources.fs import _hadoop, path_exists
 
 
+#: Entries that are written as one file, by one task.
+FILE_ROWS = 1 << 16
+
+
 def _write(df: DataFrame, path: str, scan_id: str, run_id: str) -> None:
     (df.withColumn("scan_id", F.lit(scan_id)).withColumn("run_id", F.lit(run_id))
      .write.mode("append").partitionBy("scan_id", "run_id").parquet(path))
 
 
+def _write_all(tables: dict[str, DataFrame], catalog_path: str, scan_id: str, run_id: str) -> None:
+    """Write tables of a run that do not depend on each other at the same time; raises what the first of them raised."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(rows.sparkSession)(_write), rows, f"{catalog_path}/{name}", scan_id, run_id)
+                for name, rows in tables.items()]
+    for job in jobs:
+        job.result()
+
+
 def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id: str,
              errors: DataFrame | None = None, check_existing: bool = True,
-             more: dict[str, DataFrame] | None = None) -> str:
+             more: dict[str, DataFrame] | None = None, totals: DataFrame | None = None, size: int | None = None) -> str:
     """Write one run of a scan, publish it and return its run id.
 
     Archives without any entry are not registered; a run without rows is published
@@ -46,6 +61,11 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
     do), so readers never have to resolve duplicates. ``check_existing=False`` is
     for callers that already removed registered archives from their input (the scan
     job filters its listing). ``more`` are further tables of the run by name.
+
+    A caller that has added up the entries already gives ``totals`` (``ARCHIVE_TOTALS``
+    rows of the archives with entries) and only those ``archives``; the tables then do not
+    follow from each other and are written side by side. ``size`` is the most rows
+    ``entries`` can have: up to ``FILE_ROWS`` they make one sorted file, without ranges.
     """
     spark = entries.sparkSession
     run_id = _uuid.uuid4().hex
@@ -54,22 +74,30 @@ def register(catalog_path: str, archives: DataFrame, entries: DataFrame, scan_id
             F.col("scan_id") != scan_id).select("archive_uuid")
         entries = entries.join(taken, "archive_uuid", "left_anti")
     ent = entries.select(*ENTRY_COLS)
-    ent = ent.repartitionByRange("archive_uuid", "entry_ordinal").sortWithinPartitions(
-        "archive_uuid", "entry_ordinal")
-    _write(ent, f"{catalog_path}/entries", scan_id, run_id)
-    run = [(scan_id, run_id)]
-    rows = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), run)
-    _write(totals_of(rows), f"{catalog_path}/archive_totals", scan_id, run_id)
-    written = in_runs(read_table(spark, f"{catalog_path}/archive_totals", _with_run(ARCHIVE_TOTALS)), run)
-    _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
-           f"{catalog_path}/archives", scan_id, run_id)
+    small = size is not None and size <= FILE_ROWS
+    ent = ent.coalesce(1) if small else ent.repartitionByRange("archive_uuid", "entry_ordinal")
+    ent = ent.sortWithinPartitions("archive_uuid", "entry_ordinal")
     tables = dict(more or {})
     if errors is not None:
-        tables["scan_errors"] = errors.select(*SCAN_ERRORS.fieldNames())
-    for name, rows in tables.items():
-        _write(rows, f"{catalog_path}/{name}", scan_id, run_id)
-    row = spark.createDataFrame([(scan_id, run_id, _dt.datetime.now())], MANIFEST)
-    row.coalesce(1).write.mode("append").parquet(f"{catalog_path}/manifest")
+        errors = errors.select(*SCAN_ERRORS.fieldNames())
+        tables["scan_errors"] = errors.coalesce(1) if small else errors
+    if totals is not None:
+        tables |= {"entries": ent, "archive_totals": totals.select(*ARCHIVE_TOTALS.fieldNames()),
+                   "archives": archives.select(*ARCHIVE_COLS)}
+        _write_all(tables, catalog_path, scan_id, run_id)
+    else:
+        _write(ent, f"{catalog_path}/entries", scan_id, run_id)
+        run = [(scan_id, run_id)]
+        rows = in_runs(read_table(spark, f"{catalog_path}/entries", _with_run(ENTRIES)), run)
+        _write(totals_of(rows), f"{catalog_path}/archive_totals", scan_id, run_id)
+        written = in_runs(read_table(spark, f"{catalog_path}/archive_totals", _with_run(ARCHIVE_TOTALS)), run)
+        _write(archives.join(written, "archive_uuid", "left_semi").select(*ARCHIVE_COLS),
+               f"{catalog_path}/archives", scan_id, run_id)
+        for name, rows in tables.items():
+            _write(rows, f"{catalog_path}/{name}", scan_id, run_id)
+    row = spark.range(0, 1, 1, 1).select(F.lit(scan_id).alias("scan_id"), F.lit(run_id).alias("run_id"),
+                                         F.lit(_dt.datetime.now()).alias("published_at"))
+    row.write.mode("append").parquet(f"{catalog_path}/manifest")
     return run_id
 
 

@@ -17,6 +17,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from zipledger.functions.ids import archive_uuid
 from zipledger.functions.paths import basename, is_directory_entry, is_target
@@ -36,26 +37,33 @@ def _mtime(info: zipfile.ZipInfo):
         return None
 
 
-def _read_directories(batch_rows: int):
+def _read_directories(batch_rows: int, more: tuple[str, ...] = ()):
+    """``more`` are listing columns that every row gets; an archive without entries then makes a row of nulls."""
+    columns = _RAW_COLS + list(more)
+
     def run(batches):
         out = []
         for pdf in batches:
-            for path, drive in zip(pdf["archive_path"], pdf["drive"]):
+            for path, drive, *rest in zip(*(pdf[c] for c in ("archive_path", "drive", *more))):
                 try:
                     with open_binary(path) as fh, zipfile.ZipFile(fh) as zf:
-                        for i, info in enumerate(zf.infolist()):
+                        infos = zf.infolist()
+                        if more and not infos:
+                            out.append((path, drive, *[None] * 10, *rest))
+                        for i, info in enumerate(infos):
                             out.append((path, drive, i, info.filename, int(info.file_size), int(info.compress_size),
-                                        _mtime(info), int(info.CRC), info.header_offset, info.compress_type, None, None))
+                                        _mtime(info), int(info.CRC), info.header_offset, info.compress_type, None, None,
+                                        *rest))
                             if len(out) >= batch_rows:
-                                yield pd.DataFrame(out, columns=_RAW_COLS)
+                                yield pd.DataFrame(out, columns=columns)
                                 out = []
                 except Exception as e:  # bad archive: record and continue
-                    out.append((path, drive, None, None, None, None, None, None, None, None, type(e).__name__, str(e)))
+                    out.append((path, drive, *[None] * 8, type(e).__name__, str(e), *rest))
                 if len(out) >= batch_rows:
-                    yield pd.DataFrame(out, columns=_RAW_COLS)
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=_RAW_COLS)
+            yield pd.DataFrame(out, columns=columns)
     return run
 
 
@@ -78,6 +86,16 @@ def read_central_directories(listing: DataFrame, batch_rows: int = BATCH_ROWS,
             .mapInPandas(_read_directories(batch_rows), RAW_ENTRIES))
 
 
+def read_listed(listing: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """``RAW_ENTRIES`` rows with ``archive_size`` and ``archive_modified`` (microseconds) of their archive.
+
+    Every archive of ``listing`` (archive_path, drive and those two) has a row, so one table holds all that a scan
+    of it found. Archives are read where the listing has them: Spark deals files to tasks by size and number."""
+    more = ["archive_size", "archive_modified"]
+    schema = StructType([*RAW_ENTRIES.fields, *(StructField(c, LongType(), True) for c in more)])
+    return listing.select("archive_path", "drive", *more).mapInPandas(_read_directories(batch_rows, tuple(more)), schema)
+
+
 def is_inner_archive() -> Column:
     """Reader rows that are themselves archives to look into."""
     return (F.col("error_class").isNull() & ~is_directory_entry("path_in_archive")
