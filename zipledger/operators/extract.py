@@ -6,8 +6,8 @@
    *before* anything is written, so a retried task writes the same names.
 2. **Run**: the plan is dealt in slices of even bytes (:mod:`zipledger.sources.slices`);
    a task opens each of its archives once and copies its entries in 1 MiB
-   chunks to a temporary name, then links it to its own, which fails if another
-   file has taken that name since. An entry is what its archive holds at its
+   chunks to a temporary name (in a folder of the task), then links it to its
+   own, which fails if another file has taken that name since. An entry is what its archive holds at its
    ordinal, so entries of one name are each extracted with their own bytes.
    Missing entries and unreadable archives become error rows, not failures.
 3. The results are written once to a table in the shared folder, so the side
@@ -23,6 +23,8 @@ import filecmp
 import hashlib
 import os
 import uuid as _uuid
+from contextlib import closing
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,25 +133,51 @@ def _copy_remote(src, filesystem, target: str) -> tuple[int, str]:
             filesystem.delete_file(tmp)
 
 
-def _copy(src, target: str) -> tuple[int, str]:
+class Unfinished:
+    """A task's unfinished files: in a folder of its own within each output folder.
+
+    A folder lets in or out one name at a time, whichever task asks for it. Temporary names are kept out of the
+    folder that all tasks share, so an entry changes it once, by its link."""
+
+    def __init__(self):
+        self.folders: dict[str, str] = {}
+
+    def file(self, target: str) -> str:
+        """A name for the unfinished file of ``target``, one file at a time."""
+        folder = os.path.dirname(target) or "."
+        if folder not in self.folders:
+            os.makedirs(own := f"{folder}/.{_uuid.uuid4().hex}.parts")
+            self.folders[folder] = own
+        return f"{self.folders[folder]}/part"
+
+    def close(self) -> None:
+        for own in self.folders.values():
+            os.rmdir(own)
+        self.folders = {}
+
+
+def _copy(src, target: str, unfinished: Unfinished | None = None) -> tuple[int, str]:
     """Write a stream to a path or URI; (bytes, sha256)."""
     local = local_path(target)
     if local is None:
         from pyarrow import fs as pafs
         return _copy_remote(src, *pafs.FileSystem.from_uri(target))
-    os.makedirs(os.path.dirname(local) or ".", exist_ok=True)
-    tmp = f"{local}.{_uuid.uuid4().hex}.part"
+    if unfinished is None:
+        with closing(Unfinished()) as one:
+            return _copy(src, target, one)
+    tmp = unfinished.file(local)
     try:
         with open(tmp, "wb") as dst:
             written = _pour(src, dst)
         _publish(tmp, local)
-    finally:
+    except BaseException:
         if os.path.exists(tmp):
             os.remove(tmp)
+        raise
     return written
 
 
-def _extract_entry(opened, row) -> tuple:
+def _extract_entry(opened, row, unfinished: Unfinished | None = None) -> tuple:
     path, member, ordinal = row["archive_path"], row["path_in_archive"], row["entry_ordinal"]
     ordinal = None if pd.isna(ordinal) else int(ordinal)
     key = (int(row["plan_pos"]), path, member, ordinal, row["output_path"])
@@ -169,18 +197,23 @@ def _extract_entry(opened, row) -> tuple:
         return (*key, "error", None, None, told(e))
     try:
         with src:
-            return (*key, "ok", *_copy(src, row["output_path"]), None)
+            return (*key, "ok", *_copy(src, row["output_path"], unfinished), None)
     except Exception as e:
         return (*key, "error", None, None, told(e))
 
 
+def _extract_entries(batches):
+    with closing(Unfinished()) as unfinished:
+        yield from each_entry(partial(_extract_entry, unfinished=unfinished), _RES_COLS)(batches)
+
+
 def run(planned: DataFrame) -> DataFrame:
     """Execute a plan once; returns the result rows (``EXTRACT_RESULT``)."""
     ordinal = F.col("entry_ordinal") if "entry_ordinal" in planned.columns else F.lit(None).cast("int")
     work = with_place(planned.withColumn("entry_ordinal", ordinal), "plan_pos", "archive_path", "path_in_archive",
                       "entry_ordinal", "output_path", "file_size")
     work = sliced(work, "entry_ordinal", "plan_pos", size="file_size")
-    return materialize(work.mapInPandas(each_entry(_extract_entry, _RES_COLS), EXTRACT_RESULT), "extract-results")
+    return materialize(work.mapInPandas(_extract_entries, EXTRACT_RESULT), "extract-results")
 
 
 def extract(matches: DataFrame, order: list[Column], output_dir: str, skip_existing_scan: bool = False) -> DataFrame:
