@@ -20,6 +20,7 @@ import uuid as _uuid
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -28,6 +29,8 @@ from zipledger.session import shared_dir
 from zipledger.sources.derived import archive_path_col, entry_rows, read_documents
 from zipledger.sources.fs import mark, path_exists, version_of
 
+LEVEL = 1   # of deflation: texts of a few kilobytes, packed as fast as that goes
+
 PACK_RESULT = StructType([
     StructField("archive_path", StringType(), False),
     StructField("entries", LongType(), False),
@@ -46,35 +49,33 @@ def entry_datetime_sql(col: str = "doc_id") -> str:
 
 
 def _writer(base: str):
+    """Texts go from the Arrow batch into the archive as they lie there: a task holds one batch and no copy of it."""
     def write(batches):
         current, zf, tmp, final, n = None, None, None, None, 0
 
         def close():
-            if zf is not None:
-                zf.close()
-                os.replace(tmp, final)
-                return pd.DataFrame({"archive_path": [current], "entries": [n]})
-            return None
+            zf.close()
+            os.replace(tmp, final)
+            return pa.RecordBatch.from_pydict({"archive_path": [current], "entries": [n]})
 
-        for pdf in batches:
-            for path, member, doc_id, text in zip(pdf["archive_path"], pdf["path_in_archive"],
-                                                  pdf["doc_id"], pdf["text"]):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("archive_path", "path_in_archive", "doc_id")), batch.column("text"))
+            for path, member, doc_id, text in rows:
                 if path != current:
-                    done = close()
-                    if done is not None:
-                        yield done
+                    if zf is not None:
+                        yield close()
                     current, n = path, 0
                     final = base + path
                     os.makedirs(os.path.dirname(final), exist_ok=True)
                     tmp = f"{final}.{_uuid.uuid4().hex}.part"
                     zf = zipfile.ZipFile(tmp, "w", compression=zipfile.ZIP_DEFLATED)
-                info = zipfile.ZipInfo(member, date_time=entry_datetime(int(doc_id)))
+                info = zipfile.ZipInfo(member, date_time=entry_datetime(doc_id))
                 info.compress_type = zipfile.ZIP_DEFLATED
-                zf.writestr(info, text.encode("utf-8"))
+                zf.writestr(info, memoryview(text.as_buffer()), compresslevel=LEVEL)
                 n += 1
-        done = close()
-        if done is not None:
-            yield done
+            batch = rows = text = None   # gone before the next one comes
+        if zf is not None:
+            yield close()
     return write
 
 
@@ -115,7 +116,7 @@ def pack_documents(spark: SparkSession, sf_dir: str, base: str | None = None) ->
     # whole archives per task (a part holds at most PART_ROWS documents)
     (rows.repartition(parts, "archive_path")
      .sortWithinPartitions("archive_path", "doc_id")
-     .mapInPandas(_writer(base), PACK_RESULT)
+     .mapInArrow(_writer(base), PACK_RESULT)
      .write.format("noop").mode("overwrite").save())
     bad = (docs.select("source", archive_path_col().alias("archive_path"))
            .select(bad_archive_path_col().alias("bad_path"), "source").distinct())

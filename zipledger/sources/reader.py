@@ -25,7 +25,7 @@ from zipledger.schemas import RAW_ENTRIES
 from zipledger.sources.fs import open_binary
 
 _RAW_COLS = [f.name for f in RAW_ENTRIES.fields]
-BATCH_ROWS = 10000
+BATCH_ROWS = 2000
 #: Central directories one task reads, about.
 ARCHIVES_PER_TASK = 500
 
