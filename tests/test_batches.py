@@ -36,3 +36,14 @@ def test_directories_come_in_small_batches(scratch):
     listing = pd.DataFrame({"archive_path": [f"{scratch}/a.zip"], "drive": ["D:"]})
     sizes = [len(b) for b in _read_directories(BATCH_ROWS)(iter([listing]))]
     assert sum(sizes) == 4500 and max(sizes) <= 2000
+
+
+def test_packing_tasks_follow_from_the_bytes(spark, scratch, monkeypatch):
+    from zipledger.sources import packer
+    from zipledger.sources.fs import size_of
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(packer, "task_count", lambda spark, amount, each: asked.append((amount, each)) or 3, raising=False)
+    packer.pack_documents(spark, sf, f"{scratch}/base")
+    assert asked == [(size_of(f"{sf}/documents.parquet", spark), packer.PACK_BYTES)]
+    packed = [f"{d}/{n}" for d, _, names in os.walk(f"{scratch}/base/mnt") for n in names if not n.endswith("-index.zip")]
+    assert sum(len(zipfile.ZipFile(p).infolist()) for p in packed) == spark.read.parquet(f"{sf}/documents.parquet").count()

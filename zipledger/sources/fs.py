@@ -104,8 +104,13 @@ def mark(path: str, spark) -> None:
     filesystem.create(jpath, True).close()
 
 
+def size_of(path: str, spark) -> int:
+    """The bytes of a file or folder."""
+    jpath, filesystem = _hadoop(spark, path)
+    return filesystem.getContentSummary(jpath).getLength()
+
+
 def version_of(path: str, spark) -> str:
     """A name for the present state of a file or folder: its bytes and modification time."""
     jpath, filesystem = _hadoop(spark, path)
-    size = filesystem.getContentSummary(jpath).getLength()
-    return f"{size}-{filesystem.getFileStatus(jpath).getModificationTime() // 1000}"
+    return f"{size_of(path, spark)}-{filesystem.getFileStatus(jpath).getModificationTime() // 1000}"

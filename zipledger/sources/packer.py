@@ -27,9 +27,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from zipledger.session import shared_dir
 from zipledger.sources.derived import archive_path_col, entry_rows, read_documents
-from zipledger.sources.fs import mark, path_exists, version_of
+from zipledger.sources.fs import mark, path_exists, size_of, version_of
+from zipledger.sources.reader import task_count
 
-LEVEL = 1   # of deflation: texts of a few kilobytes, packed as fast as that goes
+#: Bytes of the stored table that one task packs, about.
+PACK_BYTES = 64 << 20
+
+#: Of deflation: many small texts, packed as fast as that goes.
+LEVEL = 1
 
 PACK_RESULT = StructType([
     StructField("archive_path", StringType(), False),
@@ -112,7 +117,7 @@ def pack_documents(spark: SparkSession, sf_dir: str, base: str | None = None) ->
         return base
     docs = read_documents(spark, sf_dir)
     rows = entry_rows(docs, with_text=True).select("archive_path", "path_in_archive", "doc_id", "text")
-    parts = max(spark.sparkContext.defaultParallelism, 2)
+    parts = task_count(spark, size_of(f"{sf_dir}/documents.parquet", spark), PACK_BYTES)
     # whole archives per task (a part holds at most PART_ROWS documents)
     (rows.repartition(parts, "archive_path")
      .sortWithinPartitions("archive_path", "doc_id")
