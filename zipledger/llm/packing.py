@@ -20,7 +20,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,26 +27,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zipledger.llm.common import id_text, stage
-from zipledger.llm.tokens import default_vocabulary, encoder
+from zipledger.llm.tokens import closed, default_vocabulary, encoder_of_many, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
 
 
 def _cut(vocabulary: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        with encoder(vocabulary) as encode:
-            for batch in batches:
+        row, encode = TaskContext.get().partitionId() << 33, encoder_of_many(vocabulary)
+        for batch in batches:
+            for docs in slices(batch):
                 out: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.append(encode(text.as_py()), np.uint16(end_id)).astype("<u4")
-                    raw = memoryview(ids).cast("B")
-                    for at in range(0, len(ids), size):
-                        end = min(at + size, len(ids))
-                        out.append((doc_id, at, end - at, zlib.crc32(raw[4 * at:4 * end]), len(ids), row))
+                offsets, ids = closed(*encode(docs.column(1).to_pylist()), end_id)
+                raw, edges = memoryview(ids).cast("B"), offsets.tolist()
+                for doc_id, first, last in zip(docs.column(0).to_pylist(), edges, edges[1:]):
+                    for at in range(first, last, size):
+                        end = min(at + size, last)
+                        out.append((doc_id, at - first, end - at, zlib.crc32(raw[4 * at:4 * end]), last - first, row))
                         row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                                 [pa.array([], pa.int64())] * 6,
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
                                                  [x.split()[0] for x in PIECES.split(", ")])
     return run
 

@@ -25,39 +25,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zipledger.llm.common import id_text
-from zipledger.llm.tokens import default_vocabulary, encoder
+from zipledger.llm.tokens import closed, default_vocabulary, encoder_of_many, slices
 
 FILE_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
-#: Ids in an Arrow batch handed to the writer, at most (a longer document is a batch alone).
-BATCH_IDS = 1 << 20
 
 
 def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            counts = [len(x[2]) for x in held]
-            values = pa.array(np.concatenate([x[2] for x in held]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(held), pa.int32()), pa.array([x[0] for x in held], pa.int64()),
-                 pa.array([x[1] for x in held], pa.int64()), pa.array(counts, pa.int64()), lists],
-                ["part", "local_start", "doc_id", "n_tokens", "ids"])
-
-        with encoder(vocabulary) as encode:
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.append(encode(text.as_py()), np.uint16(end_id))
-                    held.append((start, doc_id, ids))
-                    start, size = start + len(ids), size + len(ids)
-                    if size >= BATCH_IDS:
-                        yield out()
-                        held, size = [], 0
-            if held:
-                yield out()
+        part, start, encode = TaskContext.get().partitionId(), 0, encoder_of_many(vocabulary)
+        for batch in batches:
+            for docs in slices(batch):
+                offsets, ids = closed(*encode(docs.column(1).to_pylist()), end_id)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(docs.num_rows, part), pa.int32()), pa.array(start + offsets[:-1].astype(np.int64)),
+                     docs.column(0), pa.array(np.diff(offsets), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+                    ["part", "local_start", "doc_id", "n_tokens", "ids"])
+                start += len(ids)
     return run
 
 
