@@ -2,7 +2,7 @@
 
 A unit is a byte or a word, a window is ``n`` consecutive units of one document, and the
 question is, for every window, what the other places with the same units are: the least
-doc_id among them, or how many there are. Suffixes are not moved whole. Of each window,
+doc_id among them (bytes), or how many there are (words). Suffixes are not moved whole. Of each window,
 the least of the hashes of its ``k``-grams names an anchor; equal windows have the same
 anchor, and about one place in (n - k) / 2 is one. So the suffixes at anchors, with the
 units to their left that windows may begin at, hold every window exactly once.
@@ -19,6 +19,8 @@ one message per part. A k-gram with more than ``HOT`` places is too short a pref
 contexts are sent window by window, by the hash of the whole window, so that a frequent
 phrase with many continuations is spread over all buckets. Parts are dealt by size and
 buckets by hash; neither grows with a key. Texts are staged and moved compressed.
+
+The steps of this module are those of words; ``byte_windows`` has those of bytes.
 """
 
 from __future__ import annotations
@@ -42,29 +44,37 @@ from zipledger.llm.words import gram_hashes, texts_of, word_hashes
 
 #: Text bytes in a part, and about as many behind a bucket. Raise it with the memory of executors.
 PART_BYTES = 4 << 20
+#: Bytes of texts that anchors are looked for in together, so that arrays stay in a core's cache.
+TOGETHER = 1 << 15
 #: Places of a k-gram from which on its contexts are sent window by window.
 HOT = 2000
 MESSAGE = "part long, bucket long, kind int, blob binary"
-_ODD = np.random.default_rng(256).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = np.random.default_rng(256).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: (sorted order of some unit sequences, units each has in common with the one before it)
 Order = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
+@dataclass(frozen=True)
+class Steps:
+    """What parts send and buckets answer in the two exchanges, and the results of a part."""
+    send_grams: Callable
+    answer_grams: Callable
+    send_contexts: Callable
+    answer_contexts: Callable
+    finish: Callable
+
+
 @dataclass(frozen=True)
 class Rule:
-    """What a unit and a window are, what is asked of a window, and how suffixes are ordered."""
+    """What a unit and a window are, how suffixes are ordered, and the steps that ask of a window.
+
+    Without other ``steps`` units are words, and the number of a window's places is asked."""
     words: bool
     n: int
     k: int
-    least: bool  # the least doc_id of a window's places; else their number
     order: Order
     hot: int = HOT
-
-    def repeated(self, value: int, doc: int) -> bool:
-        return value < doc if self.least else value > 1
-
-    def units(self, context: bytes) -> bytes | list[bytes]:
-        return context.split(b" ") if self.words else context
+    steps: Steps | None = None
 
 
 # -- parts -----------------------------------------------------------------------------
@@ -109,9 +119,9 @@ def _byte_grams(raw: bytes, k: int) -> np.ndarray:
     words = np.ndarray((len(raw) - size + 1,), f"<u{size}", raw, strides=(1,))  # the word at every byte
     h = np.zeros(count, np.uint64)
     for i, at in enumerate(sorted({*range(0, k - size + 1, size), k - size})):
-        h += words[at:at + count] * _ODD[i]
+        h += words[at:at + count] * ODD[i]
     h ^= h >> np.uint64(32)
-    h *= _ODD[-1]
+    h *= ODD[-1]
     return h
 
 
@@ -131,7 +141,7 @@ class Chunk:
         self._anchors(values)
 
     def cut(self, i: int, j: int) -> bytes:
-        return b" ".join(self.words[i:j]) if self.rule.words else self.raw[i:j]
+        return b" ".join(self.words[i:j])
 
     def _anchors(self, values: np.ndarray) -> None:
         n, k = self.rule.n, self.rule.k
@@ -168,13 +178,30 @@ def chunks(rule: Rule, packed: list[bytes]) -> Iterator[tuple[int, Chunk]]:
     for i, z in enumerate(packed):
         texts.append(unpack.decompress(z))
         size += len(texts[-1])
-        if size >= 1 << 17:  # arrays of 64-bit numbers that fit a core's cache
+        if size >= TOGETHER:
             yield start, Chunk(rule, texts)
             start, texts, size = i + 1, [], 0
     if texts:
         yield start, Chunk(rule, texts)
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, its compressed texts) from batches in which the rows of a part follow each other."""
+    now, held = None, []
+    for batch in batches:
+        parts, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                if parts[a] != now and held:
+                    yield now, held
+                    held = []
+                now = int(parts[a])
+                held += packed[a:b]
+    if held:
+        yield now, held
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Numbers of 56 bits."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
@@ -201,19 +228,8 @@ def _send_grams(rule: Rule, buckets: int):
              pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, []
-        for batch in batches:
-            parts, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    if parts[a] != now and found:
-                        yield rows(now, found)
-                        found = []
-                    now = int(parts[a])
-                    found += [c.hash for _, c in chunks(rule, packed[a:b])]
-        if found:
-            yield rows(now, found)
+        for part, packed in by_part(batches):
+            yield rows(part, [c.hash for _, c in chunks(rule, packed)])
     return run
 
 
@@ -247,42 +263,34 @@ class Contexts:
         self.known, self.hot = known >> np.uint64(8), (known & np.uint64(255)) == 2
         self.buckets = buckets
 
-    def _number(self, bucket: int, key: bytes, value: int) -> int:
-        """The number of a context in its bucket; its value takes in one more place."""
+    def _number(self, bucket: int, key: bytes) -> int:
+        """The number of a context in its bucket, which has one more place."""
         mine = self.by_bucket[bucket]
         old = mine.get(key)
         if old is None:
-            mine[key] = [value, len(mine)]
+            mine[key] = [1, len(mine)]
             return len(mine) - 1
-        if not self.rule.least:
-            old[0] += value
-        elif value < old[0]:
-            old[0] = value
+        old[0] += 1
         return old[1]
 
-    def places(self) -> Iterator[tuple[int, Chunk, list[tuple[int, int, int, int, int]]]]:
-        """(first text, chunk, places) in order; a place: (text, first window, last window, bucket, number)."""
-        docs, no_id = self.rows["__doc"].to_numpy(), self.rows["__no_id"].to_numpy()
-        least, n, number, first = self.rule.least, self.rule.n, self._number, [bytes((i,)) for i in range(256)]
+    def places(self) -> Iterator[tuple[int, Chunk, list[tuple[int, int, int, int]]]]:
+        """(first text, chunk, places) in order; a place: (first window, last window, bucket, number)."""
+        n, number, first = self.rule.n, self._number, [bytes((i,)) for i in range(256)]
         for start, chunk in chunks(self.rule, self.rows["__z"].tolist()):
             out = []
             if len(self.known):
                 spot = np.minimum(np.searchsorted(self.known, chunk.hash), len(self.known) - 1)
                 hit = np.flatnonzero(self.known[spot] == chunk.hash)
-                owner = np.searchsorted(chunk.firsts, chunk.lo[hit], side="right") - 1 + start
-                if least:
-                    hit, owner = hit[~no_id[owner]], owner[~no_id[owner]]
                 hot, cut = self.hot[spot[hit]], chunk.cut
-                value = docs[owner] if least else np.ones(len(hit), np.int64)
                 bucket = (chunk.hash[hit] % np.uint64(self.buckets)).astype(np.int64)
-                every = (bucket, owner, value, chunk.at[hit], chunk.lo[hit], chunk.hi[hit])
-                for b, d, v, at, lo, hi in zip(*(x[~hot].tolist() for x in every)):
-                    out.append((d, lo, hi, b, number(b, first[at - lo] + cut(lo, hi + n), v)))
-                for _, d, v, at, lo, hi in zip(*(x[hot].tolist() for x in every)):
+                every = (bucket, chunk.at[hit], chunk.lo[hit], chunk.hi[hit])
+                for b, at, lo, hi in zip(*(x[~hot].tolist() for x in every)):
+                    out.append((lo, hi, b, number(b, first[at - lo] + cut(lo, hi + n))))
+                for _, at, lo, hi in zip(*(x[hot].tolist() for x in every)):
                     for p in range(lo, hi + 1):  # window by window
                         key = first[at - p] + cut(p, p + n)
                         b = zlib.crc32(key) % self.buckets
-                        out.append((d, p, p, b, number(b, key, v)))
+                        out.append((p, p, b, number(b, key)))
             yield start, chunk, out
 
 
@@ -319,12 +327,12 @@ def _read_contexts(blob: bytes) -> tuple[list[bytes], list[int]]:
 
 def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[tuple[bytes, list[int]] | None]:
     """For each distinct context its runs of windows (lengths, values), or None if all have its own value."""
-    units = [rule.units(c[1:]) for c in contexts]
+    units = [c[1:].split(b" ") for c in contexts]
     left = np.array([c[0] for c in contexts])
     # contexts whose anchor's k-gram no other context has stand alone
     grams: dict = defaultdict(list)
     for i, (u, at) in enumerate(zip(units, left.tolist())):
-        grams[tuple(u[at:at + rule.k]) if rule.words else u[at:at + rule.k]].append(i)
+        grams[tuple(u[at:at + rule.k])].append(i)
     many = np.array([i for g in grams.values() if len(g) > 1 for i in g], np.int64)
     out: list[tuple[bytes, list[int]] | None] = [None] * len(contexts)
     if not len(many):
@@ -335,8 +343,8 @@ def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[
     rank = np.empty(size, np.int64)
     rank[order] = np.arange(size)
     own = np.array([values[i] for i in many.tolist()], np.int64)
-    before = _before(rule, [units[i][:at] for i, at in zip(many.tolist(), most.tolist())], int(most.max()))
-    kinds, total = int(before.max(initial=0)) + 1, np.minimum if rule.least else np.add
+    before = _before([units[i][:at] for i, at in zip(many.tolist(), most.tolist())], int(most.max()))
+    kinds = int(before.max(initial=0)) + 1
     side = np.zeros(size, np.int64)  # class of the units to the left, one more for each offset
     found = np.zeros((size, int(most.max()) + 1), np.int64)
     for j in range(found.shape[1]):
@@ -348,7 +356,7 @@ def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[
             key = np.cumsum(common < rule.n - j)[rank[rows]] * (size + 1) + side[rows]
             by = np.argsort(key, kind="stable")
             first = np.concatenate([[True], key[by][1:] != key[by][:-1]])
-            sums = total.reduceat(own[rows[by]], np.flatnonzero(first))
+            sums = np.add.reduceat(own[rows[by]], np.flatnonzero(first))
             found[rows[by], j] = sums[np.cumsum(first) - 1]
     for r, (i, high, low) in enumerate(zip(many.tolist(), most.tolist(), fewest.tolist())):
         each = found[r, low:high + 1][::-1]  # windows from the first on: offsets fall
@@ -361,11 +369,8 @@ def window_values(rule: Rule, contexts: list[bytes], values: list[int]) -> list[
     return out
 
 
-def _before(rule: Rule, lefts: list, width: int) -> np.ndarray:
+def _before(lefts: list, width: int) -> np.ndarray:
     """The units before each anchor as numbers, the nearest first."""
-    if not rule.words:
-        rows = b"".join([u[::-1].ljust(width, b"\0") for u in lefts])
-        return np.frombuffer(rows, np.uint8).reshape(len(lefts), width).astype(np.int64)
     names: dict[bytes, int] = {}
     out = np.zeros((len(lefts), max(width, 1)), np.int64)
     for r, u in enumerate(lefts):
@@ -384,7 +389,7 @@ def _answer_contexts(rule: Rule):
                 if i == len(total):
                     total.append(value)
                 else:
-                    total[i] = min(total[i], value) if rule.least else total[i] + value
+                    total[i] += value
         windows, one = window_values(rule, list(number), total), bytes((255,))
         packer, out = zstandard.ZstdCompressor(level=3), []
         for part, bucket, (keys, values) in zip(rows["part"], rows["bucket"], sent):
@@ -429,21 +434,21 @@ def _finish(rule: Rule, buckets: int, with_text: bool):
         replies = answers[answers["kind"] == 3]
         said = {b: _read_answer(x) for b, x in zip(replies["bucket"], replies["blob"])}
         own = {b: [v for v, _ in mine.values()] for b, mine in found.by_bucket.items()}
-        docs, seqs, out, repeated = rows["__doc"].tolist(), rows["__seq"].tolist(), [], rule.repeated
+        seqs, out = rows["__seq"].tolist(), []
         for start, chunk, places in every:
             cover, firsts = np.zeros(chunk.size + 1, np.int32), chunk.firsts
             begin: list[int] = []
             end: list[int] = []
-            for d, lo, hi, bucket, index in places:
+            for lo, hi, bucket, index in places:
                 counts, begins, lengths, values = said[bucket]
                 if not counts[index]:
-                    if repeated(own[bucket][index], docs[d]):
+                    if own[bucket][index] > 1:
                         begin.append(lo)
                         end.append(hi)
                     continue
                 for r in range(begins[index], begins[index] + counts[index]):
                     last = min(hi, lo + lengths[r] - 1)
-                    if repeated(values[r], docs[d]):
+                    if values[r] > 1:
                         begin.append(lo)
                         end.append(last)
                     lo = last + 1
@@ -455,11 +460,7 @@ def _finish(rule: Rule, buckets: int, with_text: bool):
                 drop = gone[a:b]
                 removed = int(drop.sum())
                 spans = int(((edges > a) & (edges < b)).sum() + (b > a and bool(drop[0]))) if removed else 0
-                if rule.words:
-                    kept = b" ".join([w for w, x in zip(chunk.words[a:b], drop) if not x] if removed
-                                     else chunk.words[a:b])
-                else:
-                    kept = np.frombuffer(chunk.raw, np.uint8)[a:b][~drop].tobytes() if removed else chunk.raw[a:b]
+                kept = b" ".join([w for w, x in zip(chunk.words[a:b], drop) if not x] if removed else chunk.words[a:b])
                 row = (seqs[start + i], b - a, removed, spans, hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
         return pd.DataFrame(out, columns=names)
@@ -473,14 +474,17 @@ def find(parts: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     bytes, of which a fragment of a character that a removed byte has cut is left out.
     """
     total = parts.select("__part").distinct().count()  # parts are of even size
-    buckets = pieces(total, 1)
+    buckets, steps = pieces(total, 1), rule.steps or WORDS
     light = parts.select("__part", "__z")
-    grams = light.mapInArrow(_send_grams(rule, buckets), MESSAGE)
-    asked = stage(grams.groupBy("bucket").applyInPandas(_answer_grams(rule.hot), MESSAGE), "grams")
+    grams = light.mapInArrow(steps.send_grams(rule, buckets), MESSAGE)
+    asked = stage(grams.groupBy("bucket").applyInPandas(steps.answer_grams(rule.hot), MESSAGE), "grams")
     rows = parts.select("__part", "__seq", "__doc", "__no_id", "__z")
     grouped = rows.groupBy("__part")
-    contexts = grouped.cogroup(asked.groupBy("part")).applyInPandas(_send_contexts(rule, buckets), MESSAGE)
-    answers = contexts.groupBy("bucket").applyInPandas(_answer_contexts(rule), MESSAGE)
+    contexts = grouped.cogroup(asked.groupBy("part")).applyInPandas(steps.send_contexts(rule, buckets), MESSAGE)
+    answers = contexts.groupBy("bucket").applyInPandas(steps.answer_contexts(rule), MESSAGE)
     schema = "__seq long, n_units long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return grouped.cogroup(asked.union(answers).groupBy("part")).applyInPandas(
-        _finish(rule, buckets, with_text), schema)
+        steps.finish(rule, buckets, with_text), schema)
+
+
+WORDS = Steps(_send_grams, _answer_grams, _send_contexts, _answer_contexts, _finish)

@@ -19,106 +19,97 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zipledger.llm.byte_windows import BYTES
 from zipledger.llm.common import aside, id_text
 from zipledger.llm.repeats import Rule, find, staged
 
+#: Text bytes in a part, and about as many behind a bucket. Messages are as many as parts times buckets.
+PART_BYTES = 16 << 20
 #: Eight-byte characters that quicksort looks at.
 SHALLOW = 3
-SMALL = 24
-
-
-def common_prefix(a: bytes, b: bytes) -> int:
-    """Bytes that two strings of one length have in common at their beginning."""
-    differ = int.from_bytes(a, "big") ^ int.from_bytes(b, "big")
-    return len(a) - (differ.bit_length() + 7) // 8
-
-
-def multikey_quicksort(keys: np.ndarray) -> list[np.ndarray]:
-    """Groups of rows that tie in all characters (columns) of ``keys``, in order."""
-    out: list[np.ndarray] = []
-    todo = [(np.arange(len(keys)), 0)]
-    while todo:
-        rows, depth = todo.pop()
-        if not len(rows):
-            continue
-        if len(rows) == 1 or depth == keys.shape[1]:
-            out.append(rows)
-        elif len(rows) <= SMALL:
-            named = sorted(zip(map(tuple, keys[rows, depth:].tolist()), rows.tolist()))
-            start = 0
-            for i in range(1, len(named) + 1):
-                if i == len(named) or named[i][0] != named[start][0]:
-                    out.append(np.array([r for _, r in named[start:i]]))
-                    start = i
-        else:
-            char = keys[rows, depth]
-            pivot = np.sort(char[[0, len(char) // 2, -1]])[1]
-            todo.append((rows[char > pivot], depth))  # the last pushed comes first
-            todo.append((rows[char == pivot], depth + 1))
-            todo.append((rows[char < pivot], depth))
-    return out
-
-
-def blind_trie(strings: list[bytes], rows: list[int]) -> list[int]:
-    """``rows`` in the order of their strings, which are all of one length."""
-    root: list | None = None  # a branch is [depth, {byte: child}], a leaf is a list of rows in a tuple
-    for row in rows:
-        text = strings[row]
-        if root is None:
-            root = ([row],)
-            continue
-        node = root
-        while isinstance(node, list):  # blind search: only the branching bytes
-            node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
-        leaf = node[0]
-        depth = common_prefix(text, strings[leaf[0]])
-        if depth == len(text):
-            leaf.append(row)
-            continue
-        above, node = None, root
-        while isinstance(node, list) and node[0] < depth:
-            above, node = node, node[1][text[node[0]]]
-        if isinstance(node, list) and node[0] == depth:
-            node[1][text[depth]] = ([row],)
-        else:
-            branch = [depth, {strings[leaf[0]][depth]: node, text[depth]: ([row],)}]
-            if above is None:
-                root = branch
-            else:
-                above[1][text[above[0]]] = branch
-    out: list[int] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if isinstance(node, tuple):
-            out += node[0]
-        else:
-            todo += [child for _, child in sorted(node[1].items(), key=lambda x: -x[0])]
-    return out
 
 
-def deep_shallow(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes, and what each has in common with the one before it."""
-    width = max(8 * SHALLOW, max(map(len, suffixes)))
-    strings = [s.ljust(width, b"\0") for s in suffixes]
-    matrix = np.frombuffer(b"".join(strings), np.uint8).reshape(len(strings), width)
-    keys = np.ascontiguousarray(matrix[:, :8 * SHALLOW]).view(">u8").astype(np.uint64)
-    order: list[int] = []
-    for group in multikey_quicksort(keys):
-        order += group.tolist() if len(group) == 1 else blind_trie(strings, group.tolist())
-    ranked = np.array(order)
-    differ = matrix[ranked[1:]] != matrix[ranked[:-1]]
+def _ties(names: np.ndarray) -> np.ndarray:
+    """Which of some ordered names have an equal one next to them."""
+    same = np.concatenate([[False], names[1:] == names[:-1], [False]])
+    return (same[1:] | same[:-1])[:len(names)]
+
+
+def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, group of each place): rows in a group tie in all characters (columns) of ``keys``.
+
+    All groups that tie so far are sorted by their next character together."""
+    order, group = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+    for depth in range(keys.shape[1]):
+        at = np.flatnonzero(_ties(group))
+        if not len(at):
+            break
+        char = keys[order[at], depth]
+        by = np.argsort(char, kind="stable")
+        if depth:
+            by = by[np.argsort(group[at][by], kind="stable")]
+        order[at], char = order[at][by], char[by]
+        new = np.zeros(len(keys), np.int64)
+        new[at[1:]] = char[1:] != char[:-1]
+        new[1:] |= group[1:] != group[:-1]
+        group = np.cumsum(new)
+    return order, group
+
+
+def blind_tries(matrix: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``order`` with the rows of each group in the order of their bytes.
+
+    A blind trie of each group, from the root down and a level of all tries at a time: a node
+    is a group, its branching place the first byte in which one of its rows is not as the first
+    row is, and its children the groups by that byte. Nodes whose rows are equal are leaves."""
+    order, at = order.copy(), np.flatnonzero(_ties(group))
+    names = group[at]
+    while len(at):
+        rows = order[at]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+        differ = matrix[rows] != matrix[rows[first]][node]
+        depth = np.where(differ.any(axis=1), differ.argmax(axis=1), matrix.shape[1])
+        branch = np.minimum.reduceat(depth, first)[node]
+        inner = branch < matrix.shape[1]
+        at, rows, node, branch = at[inner], rows[inner], node[inner], branch[inner]
+        names = node * 256 + matrix[rows, branch]
+        by = np.argsort(names, kind="stable")
+        order[at], names = rows[by], names[by]
+        left = _ties(names)
+        at, names = at[left], names[left]
+    return order
+
+
+def ordered(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by their bytes, and what each has in common with the one before it."""
+    if not len(matrix):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    size, width = matrix.shape
+    wide = np.zeros((size, max(8 * SHALLOW, width)), np.uint8)
+    wide[:, :width] = matrix
+    keys = np.ascontiguousarray(wide[:, :8 * SHALLOW]).view(">u8").astype(np.uint64)
+    ranked = blind_tries(wide, *multikey_quicksort(keys))
+    sorted_rows = matrix[ranked]
+    differ = sorted_rows[1:] != sorted_rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     return ranked, np.concatenate([[0], common])
 
 
+def deep_shallow(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes, and what each has in common with the one before it."""
+    width = max(map(len, suffixes), default=0)
+    rows = b"".join([s.ljust(width, b"\0") for s in suffixes])
+    return ordered(np.frombuffer(rows, np.uint8).reshape(len(suffixes), width))
+
+
 def rule(length: int = 50) -> Rule:
-    return Rule(words=False, n=length, k=min(20, length), least=True, order=deep_shallow)
+    return Rule(words=False, n=length, k=min(20, length), order=ordered, steps=BYTES)
 
 
 def report(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    parts = staged(id_text(docs))
+    parts = staged(id_text(docs), PART_BYTES)
     found = find(parts, rule(length))
     ids = parts.select("__seq", "doc_id")
     return found.join(ids, "__seq").select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans",
@@ -131,7 +122,7 @@ def remove(docs: DataFrame, length: int = 50) -> DataFrame:
     A removed byte may cut a character; its other bytes go too, so that texts stay UTF-8.
     """
     plain = aside(docs)
-    parts = staged(plain)
+    parts = staged(plain, PART_BYTES)
     kept = find(parts, rule(length), with_text=True).select("__seq", F.col("kept").alias("__kept"))
     rest = parts.drop("__z", "__part", "__doc", "__no_id").join(kept, "__seq")
     return rest.select(*[F.col("__kept" if c == "text" else c).cast(t) for c, t in plain.dtypes]).toDF(*docs.columns)

@@ -117,7 +117,7 @@ def tree_order(suffixes: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rule(window: int = 35) -> Rule:
-    return Rule(words=True, n=window, k=max(1, window // 3), least=False, order=tree_order)
+    return Rule(words=True, n=window, k=max(1, window // 3), order=tree_order)
 
 
 def report(docs: DataFrame, window: int = 35) -> DataFrame:
