@@ -11,7 +11,7 @@ as far before their anchors are equal if both classes are.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -152,14 +152,16 @@ class Shape:
         return both[:, 0], both[:, 1]
 
 
-def _distinct(blocks: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(blocks: Iterable[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, the number of each row) of blocks of rows."""
     kind = pa.binary(width)
     rows = pa.chunked_array([pa.FixedSizeBinaryArray.from_buffers(kind, len(b), [None, pa.py_buffer(b)])
                              for b in blocks], kind)
     if not len(rows):
         return np.empty((0, width), np.uint8), np.empty(0, np.int64)
-    found = rows.dictionary_encode().combine_chunks()
+    found = rows.dictionary_encode()
+    del rows
+    found = found.combine_chunks()
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
     names = found.dictionary
     raw = np.frombuffer(names.buffers()[1], np.uint8)[names.offset * width:(names.offset + len(names)) * width]
@@ -167,9 +169,10 @@ def _distinct(blocks: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
 
 
 class Part:
-    """The places of a part's repeated anchors, in order, and their distinct contexts by bucket.
+    """The places of a part's repeated anchors, in order, and their distinct contexts.
 
-    ``number`` is the context of each place; ``own`` the least doc_id of a context's places."""
+    ``order`` has the contexts by bucket; ``number`` is the place there of each place's context,
+    ``own`` the least doc_id of a context's places."""
 
     def __init__(self, rule: Rule, buckets: int, rows: pd.DataFrame, grams: pd.DataFrame):
         self.shape = shape = Shape(rule)
@@ -198,17 +201,16 @@ class Part:
             lo = lo + after
             hi = np.where(hot, lo, hi)
         self.lo, self.hi, self.owner = lo, hi, owner
-        rows_, number = _distinct(list(self._blocks(at)), shape.width)
-        docs, own = rows["__doc"].to_numpy(np.int64), np.full(len(rows_), LARGEST)
-        np.minimum.at(own, number, docs[owner])
-        self.docs = docs
-        where, is_hot = np.zeros(len(rows_), np.int64), np.zeros(len(rows_), bool)
+        self.rows, number = _distinct(self._blocks(at), shape.width)
+        self.docs, own = rows["__doc"].to_numpy(np.int64), np.full(len(self.rows), LARGEST)
+        np.minimum.at(own, number, self.docs[owner])
+        where, is_hot = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
         where[number], is_hot[number] = bucket, hot
-        where[is_hot] = _spread(rows_[is_hot], buckets)
-        order = np.argsort(where, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.rows, self.bucket, self.own, self.number = rows_[order], where[order], own[order], rank[number]
+        where[is_hot] = _spread(self.rows[is_hot], buckets)
+        self.order = np.argsort(where, kind="stable")
+        rank = np.empty(len(own), np.int64)
+        rank[self.order] = np.arange(len(own))
+        self.bucket, self.own, self.number = where[self.order], own[self.order], rank[number]
 
     def _blocks(self, at: np.ndarray) -> Iterator[np.ndarray]:
         shape = self.shape
@@ -223,10 +225,11 @@ class Part:
             yield out
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        shape, packer = self.shape, zstandard.ZstdCompressor(level=3)
-        left, right = shape.sides(self.rows)
-        flat = b"".join([self.rows[a:a + ROWS, 4:4 + shape.bytes][shape.inside(left[a:a + ROWS], right[a:a + ROWS])].tobytes()
-                         for a in range(0, len(left), ROWS)])
+        shape, packer, flat = self.shape, zstandard.ZstdCompressor(level=3), bytearray()
+        left, right = (side[self.order] for side in shape.sides(self.rows))
+        for a in range(0, len(left), ROWS):
+            block = self.rows[self.order[a:a + ROWS], 4:4 + shape.bytes]
+            flat += block[shape.inside(left[a:a + ROWS], right[a:a + ROWS])].tobytes()
         ends = np.concatenate([[0], np.cumsum(left + right)])
         left, right = left.astype("<u2"), right.astype("<u2")
         for bucket, a, b in _slices(self.bucket):
@@ -411,6 +414,7 @@ def finish(rule: Rule, buckets: int, with_text: bool):
             return pd.DataFrame(columns=names)
         rows = rows.sort_values("__seq", ignore_index=True)
         part = Part(rule, buckets, rows, answers[answers["kind"] == 1])
+        part.rows = None  # its places are enough
         owner, begin, end = spans(part, answers[answers["kind"] == 3])
         removed = np.bincount(owner, end - begin, len(rows)).astype(np.int64).tolist()
         firsts, raw, out = part.firsts.tolist(), part.raw, []

@@ -41,6 +41,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str, order: list[str]) -> DataFrame:
+    """``stage`` with the rows dealt by the hash of ``key``, in ``order``, so that grouping by it moves none of them.
+
+    Files carry that only as a table of the session's catalog; it is taken off the catalog again, the files stay."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "llm-stage") + f"/{name}-{uuid.uuid4().hex}"
+    table = f"spark_catalog.default.zipledger_{name}_{uuid.uuid4().hex}"
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(pieces, key).sortBy(*order).option("path", path).option("compression", "zstd").saveAsTable(
+        table, format="parquet")
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external: without its files
+    return rows
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column: one number, from which task counts follow."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zipledger.llm.common import pieces, stage
+from zipledger.llm.common import pieces, stage, stage_by
 from zipledger.llm.words import gram_hashes, texts_of, word_hashes
 
 #: Text bytes in a part, and about as many behind a bucket. Raise it with the memory of executors.
@@ -108,7 +108,7 @@ def staged(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
         "__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     fields = [f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]
     schema = ", ".join([*fields, "__part long", "__seq long", "__z binary"])
-    return stage(docs.mapInArrow(_squeeze(part_bytes), schema), "parts")
+    return stage_by(docs.mapInArrow(_squeeze(part_bytes), schema), "parts", "__part", ["__part", "__seq"])
 
 
 def _byte_grams(raw: bytes, k: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from zipledger.llm.common import aside, id_text
 from zipledger.llm.repeats import Rule, find, staged
 
 #: Text bytes in a part, and about as many behind a bucket. Messages are as many as parts times buckets.
-PART_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 #: Eight-byte characters that quicksort looks at.
 SHALLOW = 3
 
