@@ -169,10 +169,9 @@ def _distinct(blocks: Iterable[np.ndarray], width: int) -> tuple[np.ndarray, np.
 
 
 class Part:
-    """The places of a part's repeated anchors, in order, and their distinct contexts.
+    """The places of a part's repeated anchors, in order, and their distinct contexts by bucket.
 
-    ``order`` has the contexts by bucket; ``number`` is the place there of each place's context,
-    ``own`` the least doc_id of a context's places."""
+    ``number`` is the context of each place, counted over ``contexts()``."""
 
     def __init__(self, rule: Rule, buckets: int, rows: pd.DataFrame, grams: pd.DataFrame):
         self.shape = shape = Shape(rule)
@@ -200,41 +199,53 @@ class Part:
             at, lo, hi, owner, bucket, hot = (np.repeat(x, counts) for x in (at, lo, hi, owner, bucket, hot))
             lo = lo + after
             hi = np.where(hot, lo, hi)
-        self.lo, self.hi, self.owner = lo, hi, owner
-        self.rows, number = _distinct(self._blocks(at), shape.width)
-        self.docs, own = rows["__doc"].to_numpy(np.int64), np.full(len(self.rows), LARGEST)
-        np.minimum.at(own, number, self.docs[owner])
-        where, is_hot = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
-        where[number], is_hot[number] = bucket, hot
-        where[is_hot] = _spread(self.rows[is_hot], buckets)
-        self.order = np.argsort(where, kind="stable")
-        rank = np.empty(len(own), np.int64)
-        rank[self.order] = np.arange(len(own))
-        self.bucket, self.own, self.number = where[self.order], own[self.order], rank[number]
-
-    def _blocks(self, at: np.ndarray) -> Iterator[np.ndarray]:
-        shape = self.shape
+        self.docs, self.at, self.lo, self.hi, self.owner = rows["__doc"].to_numpy(np.int64), at, lo, hi, owner
         padded = bytes(shape.left) + self.raw + bytes(shape.n)
-        around = np.ndarray((len(padded) - shape.bytes + 1,), f"V{shape.bytes}", padded, strides=(1,))
-        for a in range(0, len(at), ROWS):
-            mine = at[a:a + ROWS]
-            left, right = mine - self.lo[a:a + ROWS], self.hi[a:a + ROWS] + shape.n - mine
+        self.around = np.ndarray((len(padded) - shape.bytes + 1,), f"V{shape.bytes}", padded, strides=(1,))
+        if hot.any():
+            bucket[hot] = np.concatenate([_spread(b, buckets) for b in self._blocks(np.flatnonzero(hot))])
+        self.bucket, self.number = bucket, np.empty(len(at), np.int64)
+
+    def _blocks(self, places: np.ndarray) -> Iterator[np.ndarray]:
+        shape = self.shape
+        for a in range(0, len(places), ROWS):
+            some = places[a:a + ROWS]
+            at = self.at[some]
+            left, right = at - self.lo[some], self.hi[some] + shape.n - at
             out = shape.rows(left, right)
-            np.multiply(around[mine].view(np.uint8).reshape(-1, shape.bytes), shape.inside(left, right),
+            np.multiply(self.around[at].view(np.uint8).reshape(-1, shape.bytes), shape.inside(left, right),
                         out=out[:, 4:4 + shape.bytes])
             yield out
 
+    def contexts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(distinct contexts, bucket of each, least doc_id of its places) of some buckets at a time, by bucket.
+
+        Fills ``number``."""
+        order = np.argsort(self.bucket, kind="stable")
+        names = self.bucket[order]
+        last = np.flatnonzero(np.append(names[1:] != names[:-1], True)) + 1 if len(names) else np.empty(0, np.int64)
+        start = known = 0
+        while start < len(order):
+            end = int(last[min(np.searchsorted(last, start + 4 * ROWS), len(last) - 1)])
+            some = order[start:end]
+            rows, number = _distinct(self._blocks(some), self.shape.width)  # numbered as they come, so by bucket
+            own, bucket = np.full(len(rows), LARGEST), np.empty(len(rows), np.int64)
+            np.minimum.at(own, number, self.docs[self.owner[some]])
+            bucket[number] = names[start:end]
+            self.number[some] = number + known
+            yield rows, bucket, own
+            start, known = end, known + len(rows)
+
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        shape, packer, flat = self.shape, zstandard.ZstdCompressor(level=3), bytearray()
-        left, right = (side[self.order] for side in shape.sides(self.rows))
-        for a in range(0, len(left), ROWS):
-            block = self.rows[self.order[a:a + ROWS], 4:4 + shape.bytes]
-            flat += block[shape.inside(left[a:a + ROWS], right[a:a + ROWS])].tobytes()
-        ends = np.concatenate([[0], np.cumsum(left + right)])
-        left, right = left.astype("<u2"), right.astype("<u2")
-        for bucket, a, b in _slices(self.bucket):
-            yield bucket, packer.compress(b"".join([
-                _number(b - a), _planes(left[a:b]), _planes(right[a:b]), _planes(self.own[a:b]), flat[ends[a]:ends[b]]]))
+        shape, packer = self.shape, zstandard.ZstdCompressor(level=3)
+        for rows, buckets, own in self.contexts():
+            left, right = shape.sides(rows)
+            flat = rows[:, 4:4 + shape.bytes][shape.inside(left, right)].tobytes()
+            ends = np.concatenate([[0], np.cumsum(left + right)])
+            left, right = left.astype("<u2"), right.astype("<u2")
+            for bucket, a, b in _slices(buckets):
+                yield bucket, packer.compress(b"".join([
+                    _number(b - a), _planes(left[a:b]), _planes(right[a:b]), _planes(own[a:b]), flat[ends[a]:ends[b]]]))
 
 
 def _spread(rows: np.ndarray, buckets: int) -> np.ndarray:
@@ -334,6 +345,11 @@ def _runs(rule: Rule, shape: Shape, rows: np.ndarray, left: np.ndarray, windows:
 def answer_contexts(rule: Rule):
     shape = Shape(rule)
 
+    def grams(block: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(block), -(-rule.k // 8) * 8), np.uint8)
+        out[:, :rule.k] = block[:, 4 + shape.left:4 + shape.left + rule.k]
+        return out
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         blocks, own, sizes = [], [], []
         for blob in rows["blob"]:
@@ -345,11 +361,21 @@ def answer_contexts(rule: Rule):
             block[:, 4:4 + shape.bytes][shape.inside(left, right)] = reader.bytes(int((left + right).sum()))
             blocks.append(block)
             sizes.append(count)
-        distinct, number = _distinct(blocks, shape.width)
+        values, number = np.concatenate(own), np.empty(sum(sizes), np.int64)
+        groups, found, known = 1 + len(values) // (4 * ROWS), [], 0
+        group = np.concatenate([_spread(grams(b), groups) for b in blocks])
+        for g in range(groups):  # all contexts of a k-gram are in one
+            mine = np.flatnonzero(group == g)
+            picked = np.split(mine, np.searchsorted(mine, np.cumsum(sizes)[:-1]))
+            starts = np.cumsum(sizes) - sizes
+            distinct, names = _distinct([b[i - a] for b, i, a in zip(blocks, picked, starts)], shape.width)
+            least = np.full(len(distinct), LARGEST)
+            np.minimum.at(least, names, values[mine])
+            found.append(window_values(rule, distinct, least))
+            number[mine] = names + known
+            known += len(distinct)
         del blocks
-        values, least = np.concatenate(own), np.full(len(distinct), LARGEST)
-        np.minimum.at(least, number, values)
-        counts, lengths, results = window_values(rule, distinct, least)
+        counts, lengths, results = (np.concatenate(x) for x in zip(*found))
         begins = np.cumsum(counts) - counts
         # nothing is said of a context that has the part's own value in all its windows
         said = np.where((counts[number] == 1) & (results[begins[number]] == values), 0, counts[number])
@@ -381,11 +407,11 @@ def _read_answers(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.nda
 
 # -- results ---------------------------------------------------------------------------
 
-def spans(part: Part, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(part: Part, own: np.ndarray, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, begin, end) of the stretches that repeated windows cover, in order."""
     said, lengths, values = _read_answers(answers)
     lo, hi, owner, number = part.lo, part.hi, part.owner, part.number
-    value = part.own[number]
+    value = own[number]
     if len(values):
         counts = np.maximum(said[number], 1)
         after = _within(counts)
@@ -414,8 +440,8 @@ def finish(rule: Rule, buckets: int, with_text: bool):
             return pd.DataFrame(columns=names)
         rows = rows.sort_values("__seq", ignore_index=True)
         part = Part(rule, buckets, rows, answers[answers["kind"] == 1])
-        part.rows = None  # its places are enough
-        owner, begin, end = spans(part, answers[answers["kind"] == 3])
+        own = np.concatenate([np.empty(0, np.int64), *[o for _, _, o in part.contexts()]])
+        owner, begin, end = spans(part, own, answers[answers["kind"] == 3])
         removed = np.bincount(owner, end - begin, len(rows)).astype(np.int64).tolist()
         firsts, raw, out = part.firsts.tolist(), part.raw, []
         cuts = np.searchsorted(owner, np.arange(len(rows) + 1)).tolist()
